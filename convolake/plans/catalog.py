@@ -1,0 +1,11 @@
+"""Every query of the engine and the DuckDB SQL that checks it, by name."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
