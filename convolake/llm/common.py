@@ -13,6 +13,11 @@ SPACES = " \t\n\x0b\x0c\r"
 #: The same as a character class for Java's expressions.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+#: A key with more than this share of the rows is hot; there are at most 1 / HOT_SHARE hot keys, so that they can be broadcast.
+HOT_SHARE = 1 / 2000
+#: Bits of one bitmap_construct_agg bucket. A fixed value of Spark's function.
+BUCKET_BITS = 32768
+
 _folders: dict[str, str] = {}
 
 
@@ -65,3 +70,22 @@ def mixed(*cols: Column | str) -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """many joined to one, which has a row for each key and, in count, how many rows of many have it. Hot keys join by broadcast, so that none lands in one task."""
+    hot = F.broadcast(one.where(F.col(count) > max(1000, int(total * HOT_SHARE))))
+    rest = many.join(hot.select(key), key, "left_anti").join(one, key, how)
+    return many.join(hot, key).select(*rest.columns).unionByName(rest)
+
+
+def bitmap_filter(rows: DataFrame, keys: DataFrame, key: str, max_bits: int = 1 << 28) -> DataFrame:
+    """The rows whose key may be in keys: by a bitmap that is broadcast, of at most max_bits. It lets some others pass, more if the bound is met; it drops none of keys."""
+    n = keys.count()
+    bits = min(max_bits, max(1 << 20, 1 << (16 * n).bit_length()))
+    slot = F.pmod(F.xxhash64(key), F.lit(bits)) + F.lit(1)
+    bitmap = keys.select(F.bitmap_bucket_number(slot).alias("__bucket"), F.bitmap_bit_position(slot).alias("__bit"))
+    bitmap = bitmap.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    rows = rows.withColumns({"__bucket": F.bitmap_bucket_number(slot), "__bit": F.bitmap_bit_position(slot)}).join(F.broadcast(bitmap), "__bucket")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1).drop("__bucket", "__bit", "__bits")
