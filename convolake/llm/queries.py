@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.llm import decontamination, exact_dedup, licenses, ngram_join, piece_codec, quality, secrets, token_counts
+from convolake.llm import decontamination, exact_dedup, fm_dedup, licenses, ngram_join, piece_codec, quality, secrets, suffix_dedup, token_counts
 from convolake.llm.common import table
 
 
@@ -29,10 +29,18 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_benchmark_decontamination, op4_secret_scans, op6_sentencepiece, op8_token_counts, op9_license_scans, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_benchmark_decontamination, op4_secret_scans, op5_suffix_array_dedup, op6_sentencepiece, op7_substring_dedup, op8_token_counts, op9_license_scans, op10_ngram_jaccard_join)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
