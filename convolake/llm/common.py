@@ -79,13 +79,34 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, count: str, total: in
     return many.join(hot, key).select(*rest.columns).unionByName(rest)
 
 
-def bitmap_filter(rows: DataFrame, keys: DataFrame, key: str, max_bits: int = 1 << 28) -> DataFrame:
-    """The rows whose key may be in keys: by a bitmap that is broadcast, of at most max_bits. It lets some others pass, more if the bound is met; it drops none of keys."""
+def bitmap_flag(rows: DataFrame, keys: DataFrame, key: str, flag: str, max_bits: int = 1 << 28) -> DataFrame:
+    """rows with whether their key may be in keys: by a bitmap that is broadcast, of at most max_bits. Of keys none is missed; others may be taken for one, more of them if the bound is met."""
     n = keys.count()
     bits = min(max_bits, max(1 << 20, 1 << (16 * n).bit_length()))
     slot = F.pmod(F.xxhash64(key), F.lit(bits)) + F.lit(1)
     bitmap = keys.select(F.bitmap_bucket_number(slot).alias("__bucket"), F.bitmap_bit_position(slot).alias("__bit"))
     bitmap = bitmap.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-    rows = rows.withColumns({"__bucket": F.bitmap_bucket_number(slot), "__bit": F.bitmap_bit_position(slot)}).join(F.broadcast(bitmap), "__bucket")
+    rows = rows.withColumns({"__bucket": F.bitmap_bucket_number(slot), "__bit": F.bitmap_bit_position(slot)}).join(F.broadcast(bitmap), "__bucket", "left")
     byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1).drop("__bucket", "__bit", "__bits")
+    return rows.withColumn(flag, F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bit", "__bits")
+
+
+def bitmap_filter(rows: DataFrame, keys: DataFrame, key: str, max_bits: int = 1 << 28) -> DataFrame:
+    """The rows whose key may be in keys."""
+    return bitmap_flag(rows, keys, key, "__may", max_bits).where("__may").drop("__may")
+
+
+def row_key(id_col: Column | str, text_col: Column | str) -> Column:
+    """Tells rows apart that repeat a doc_id with another text."""
+    return F.xxhash64(id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs by decided (row_key, kept), one row for each of docs. Of rows that are the same in both columns as many as kept says, one, stay. Only rows that may be dropped are shuffled."""
+    odd = decided.groupBy("row_key").agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")).where("NOT __kept OR __n > 1")
+    odd = saved(odd.withColumnRenamed("row_key", "__key"), "dropped")
+    keyed = docs.withColumn("__key", row_key(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    told = bitmap_flag(keyed, odd.select("__key"), "__key", "__may")
+    rest = told.where("__may").join(odd, "__key", "left_anti")
+    one = told.where("__may").join(odd.where("__kept").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    return told.where("NOT __may").select(*docs.columns).unionByName(rest.select(*docs.columns)).unionByName(one.select(*docs.columns))

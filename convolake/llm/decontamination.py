@@ -73,26 +73,52 @@ class Items:
         return out
 
 
+def _blocks(items: DataFrame, block_shingles: int, item_col: str, item_text: str) -> tuple[DataFrame, int]:
+    """(item_id, text, block) of the items, and the number of blocks; a shingle is counted for each two characters."""
+    every = texts(items, item_col, item_text).select(F.col("doc_id").alias("item_id"), "text")
+    cost = every.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    n = max(1, math.ceil(cost / (2 * block_shingles)))
+    return saved(every.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n))), "benchmark"), n
+
+
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8, miss: float = 1e-9, block_shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item that it contains: doc_id, item_id, n_shingles and n_shared of the item, containment."""
     rows = texts(docs, id_col, text_col)
-    every = texts(items, item_col, item_text).select(F.col("doc_id").alias("item_id"), "text").withColumn("cost", F.length("text") + 1)
-    every = saved(every, "benchmark")
-    blocks = max(1, math.ceil((every.agg(F.sum("cost")).first()[0] or 0) / (4 * block_shingles)))  # a shingle for each word, and a word has two characters or more with its space
-    kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), every.schema["item_id"].dataType.simpleString()
-    item_type, out = to_arrow_type(every.schema["item_id"].dataType), None
+    every, blocks = _blocks(items, block_shingles, item_col, item_text)
+    kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), every.schema["item_id"].dataType
+    out = None
     for k in range(blocks):
-        block = every.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select("item_id", "text").collect()
-        ids, said = [r.item_id for r in block], [r.text for r in block]
+        part = rows.mapInArrow(_search(every, k, shingle, threshold, miss), f"doc_id {kind}, item_id {item_kind.simpleString()}, n_shingles long, n_shared long, containment double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _search(every: DataFrame, k: int, shingle: int, threshold: float, miss: float):
+    block = every.where(F.col("block") == k).select("item_id", "text").collect()  # of a bounded size
+    ids, said, item_type = [r.item_id for r in block], [r.text for r in block], to_arrow_type(every.schema["item_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Items(said, shingle, threshold, miss)
+        for batch in batches:
+            got = [(d, ids[k], n, m, m / n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, n, m in known.found(t)]
+            if got:
+                columns = list(zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], item_type), *(pa.array(c, pa.int64()) for c in columns[2:4]), pa.array(columns[4], pa.float64())], ["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, said=said) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def without_items(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8, miss: float = 1e-9, block_shingles: int = 1_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that contain no item; they are filtered where they are read."""
+    every, blocks = _blocks(items, block_shingles, item_col, item_text)
+    at, schema = docs.columns.index(text_col), docs.schema
+    for k in range(blocks):
+        said = [r.text for r in every.where(F.col("block") == k).select("text").collect()]
+
+        def run(batches: Iterator[pa.RecordBatch], said=said) -> Iterator[pa.RecordBatch]:
             known = Items(said, shingle, threshold, miss)
             for batch in batches:
-                got = [(d, ids[k], n, m, m / n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, n, m in known.found(t)]
-                if got:
-                    columns = list(zip(*got, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], item_type), *(pa.array(c, pa.int64()) for c in columns[2:4]), pa.array(columns[4], pa.float64())], ["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
+                yield batch.filter(pa.array([not known.found(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        part = rows.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_shingles long, n_shared long, containment double")
-        out = part if out is None else out.unionByName(part)
-    return out
+        docs = docs.mapInArrow(run, schema)
+    return docs

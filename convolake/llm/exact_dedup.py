@@ -11,15 +11,10 @@ stays. A null doc_id stays only if its group has no other. An empty table gives
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolake.llm.common import SPACE_CLASS, saved, texts
-
-#: A group larger than this share of the rows joins by broadcast: there are at most 1/HOT_SHARE of them.
-HOT_SHARE = 1 / 2000
-#: Bits of one bitmap_construct_agg bucket. A fixed value of Spark's function.
-BUCKET_BITS = 32768
+from convolake.llm.common import SPACE_CLASS, bitmap_filter, row_key, saved, spread_join, texts
 
 
 def normalised(text: Column) -> Column:
@@ -27,11 +22,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_CLASS + "+", " ")
 
 
-def _slot(digest: Column, bits: int) -> Column:
-    """Place of a digest in the filter, from 1 on."""
-    return F.pmod(F.xxhash64(digest), F.lit(bits)) + F.lit(1)
-
-
 class DigestIndex:
     """Sorted digest runs over (doc_id, text) tables.
 
@@ -52,7 +42,7 @@ class DigestIndex:
 
     def flush(self, docs: DataFrame) -> None:
         """Writes the digests of docs as sorted runs of level 0; (run, seq) tells rows of one doc_id apart."""
-        rows = docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha"), F.lit(len(self.runs)).alias("run"), F.monotonically_increasing_id().alias("seq"))
+        rows = docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha"), F.lit(len(self.runs)).alias("run"), row_key("doc_id", "text").alias("row_key"), F.monotonically_increasing_id().alias("seq"))
         rows = rows.withColumn("digest", self._digest(F.col("sha"))).sortWithinPartitions("digest")
         self.runs.append(saved(rows, "dedup-run", **self._options()))
 
@@ -72,16 +62,9 @@ class DigestIndex:
         return self.merged.where("n > 1")
 
     def _passing(self, docs: DataFrame) -> DataFrame:
-        """(digest, text as normalised, doc_id) of all documents that may be hits."""
-        n = self.hits().count()
-        bits = min(self.max_filter_bits, max(1 << 20, 1 << (16 * n).bit_length()))
-        slot = _slot(F.col("digest"), bits)
-        bitmap = self.hits().select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
-        bitmap = bitmap.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))  # at most max_filter_bits / 8 bytes
-        rows = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("digest", self._digest(F.unhex(F.sha2("norm", 256))))
-        rows = rows.withColumns({"bucket": F.bitmap_bucket_number(slot), "bit": F.bitmap_bit_position(slot)}).join(F.broadcast(bitmap), "bucket")
-        byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return rows.where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select("digest", "norm", "doc_id")
+        """(digest, text as normalised, doc_id, row_key) of all documents that may be hits."""
+        rows = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), normalised(F.col("text")).alias("norm")).withColumn("digest", self._digest(F.unhex(F.sha2("norm", 256))))
+        return bitmap_filter(rows, self.hits(), "digest", self.max_filter_bits)
 
     def collisions(self, docs: DataFrame) -> DataFrame:
         """The byte verification: digests under which different texts meet."""
@@ -89,36 +72,33 @@ class DigestIndex:
         return distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
 
     def resolve(self, docs: DataFrame) -> DataFrame:
-        """One row for each row of docs, which must be what was flushed: doc_id, keep_id, group_size, kept, text_sha256."""
+        """One row for each row of docs, which must be what was flushed: doc_id, keep_id, group_size, kept, text_sha256, row_key."""
         rows, total = self.all_runs(), self.all_runs().count()
         collided = saved(self.collisions(docs), "dedup-collisions")
         some = not collided.isEmpty()
         if some:
             rows = rows.join(collided, "digest", "left_anti")
-        hot = F.broadcast(self.hits().where(F.col("n") > max(1000, int(total * HOT_SHARE))).select("digest", "first", "n"))  # at most 1 / HOT_SHARE rows
-        rest = rows.join(hot, "digest", "left_anti").join(self.hits().select("digest", "first", "n"), "digest", "left")
-        met = rows.join(hot, "digest").select(*rest.columns).unionByName(rest)
+        met = spread_join(rows, self.hits().select("digest", "first", "n"), "digest", "n", total, "left")
         out = met.select(
             "doc_id",
             F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
             F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
             F.coalesce((F.col("first.seq") == F.col("seq")) & (F.col("first.run") == F.col("run")), F.lit(True)).alias("kept"),
             F.lower(F.hex("sha")).alias("text_sha256"),
+            "row_key",
         )
         return out.unionByName(self._by_text(docs, collided)) if some else out
 
     def _by_text(self, docs: DataFrame, collided: DataFrame) -> DataFrame:
         """The rows of digests that collide, grouped by the text itself."""
-        from pyspark.sql import Window
-
         rows = self._passing(docs).join(collided, "digest", "left_semi")
         same = Window.partitionBy("norm")
         first = F.row_number().over(same.orderBy(F.col("doc_id").asc_nulls_last()))
-        return rows.select("doc_id", F.min("doc_id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size"), (first == 1).alias("kept"), F.sha2("norm", 256).alias("text_sha256"))
+        return rows.select("doc_id", F.min("doc_id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size"), (first == 1).alias("kept"), F.sha2("norm", 256).alias("text_sha256"), "row_key")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """For each document the one that stays of its group of equal texts: doc_id, keep_id, group_size, kept, text_sha256."""
+    """For each document the one that stays of its group of equal texts: doc_id, keep_id, group_size, kept, text_sha256, row_key."""
     rows = texts(docs, id_col, text_col)
     index = DigestIndex(**settings)
     index.flush(rows)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convolake.llm.common import bitmap_filter, parts, saved, spread_join, texts
+from convolake.llm.common import bitmap_filter, parts, row_key, saved, spread_join, texts
 from convolake.llm.components import components
 from convolake.llm.shingles import mix, shingle_set, word_numbers, words
 
@@ -99,9 +99,10 @@ def compare(left: list[tuple], right: list[tuple], threshold: float) -> tuple[li
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, class_id (least doc_id of its class), class_size, n_links (documents of similarity threshold or more, copies too), kept (one row of each class, of the least doc_id)."""
+    """Per document: doc_id, class_id (least doc_id of its class), class_size, n_links (documents of similarity threshold or more, copies too), kept (one row of each class, of the least doc_id), row_key."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
+    keyed = rows.withColumn("row_key", row_key("doc_id", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     bands, depth = bands_for(threshold, recall)
 
@@ -109,12 +110,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
         for batch in batches:
             sets = [shingle_set(word_numbers(words(t)), shingle) for t in batch.column(1).to_pylist()]
             signs = [signature(s, bands, depth).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "row_key", "key", "bands"])
 
-    signed = rows.mapInArrow(sign, f"doc_id {kind}, key binary, bands array<long>")
+    signed = keyed.mapInArrow(sign, f"doc_id {kind}, row_key long, key binary, bands array<long>")
     signed = saved(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     total = signed.count()
-    with_key = signed.select("row", "doc_id", "key").where("key <> X''")
+    with_key = signed.select("row", "doc_id", "row_key", "key").where("key <> X''")
     reps = saved(with_key.groupBy("key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives")
 
     # Ties inside buckets, and the components that they make.
@@ -175,6 +176,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
     of = saved(spread_join(with_key, told, "key", "copies", total), "of-class")
     named = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))
     out = spread_join(of, saved(named, "named"), "root", "class_size", total)
-    out = out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"))
-    alone = signed.where("key = X''").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    out = out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"), "row_key")
+    alone = signed.where("key = X''").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "row_key")
     return out.unionByName(alone)

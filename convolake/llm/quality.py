@@ -125,3 +125,16 @@ def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", thre
     weights, bias = train(texts(docs, id_col, text_col), taught, **settings)
     out = score_texts(docs, weights, bias, id_col, text_col)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs, with all their columns, that are predicted as good; they are filtered where they are read."""
+    taught = labels.select(F.col("doc_id"), F.col(f"`{label_col}`").alias("label")).where(~held_out(F.col("doc_id")))
+    weights, bias = train(texts(docs, id_col, text_col), taught, **settings)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([score(features(t or ""), weights, bias) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

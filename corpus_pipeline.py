@@ -1,45 +1,36 @@
 """A corpus from quality filter to token identifiers, in stages that each work on all that the one before kept.
 
-Each stage takes (spark, docs, sf_dir) and returns a table, which is written and read again before the next. The first stages return the columns of documents; a
-row that is dropped is dropped whole. Operators name their columns themselves, so what they decide comes back by doc_id; documents whose doc_id is null, or
-repeats, are kept or dropped like any other row of that doc_id that has their text.
+Each stage takes (spark, docs, sf_dir) and returns a table, which is written and read again before the next. The first stages return the columns of documents and
+drop whole rows; the last returns identifiers. Null and empty texts are one text, of which one row stays if the classifier lets it pass. Of rows that repeat a doc_id
+with the same text one stays; with another text they are documents of their own. An empty table passes through as such.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from convolake.llm import decontamination, exact_dedup, ngram_join, piece_codec, quality
-from convolake.llm.common import saved, table
-
-
-def _keeping(docs: DataFrame, decided: DataFrame, kept: str) -> DataFrame:
-    """The rows of docs by a decision for each of their doc_ids, which are unique."""
-    gone = decided.where(~F.col(kept)).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+from convolake.llm.common import keep_rows, saved, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good."""
-    scored = quality.quality(docs, table(spark, sf_dir, "labels"))
-    return _keeping(docs, scored.select("doc_id", (F.col("predicted") == 1).alias("good")), "good")
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id."""
-    return _keeping(docs, exact_dedup.exact_dedup(docs), "kept")
+    return keep_rows(docs, exact_dedup.exact_dedup(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the one with the smallest doc_id."""
-    return _keeping(docs, ngram_join.near_duplicates(docs), "kept")
+    return keep_rows(docs, ngram_join.near_duplicates(docs))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _keeping(docs, found.select("doc_id", F.lit(False).alias("clean")), "clean")
+    return decontamination.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

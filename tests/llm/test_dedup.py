@@ -35,12 +35,12 @@ ROWS = [(5, "a  b\n"), (2, "a b "), (9, None), (3, ""), (4, " "), (7, "\x0b\x0c"
 def test_groups_and_collisions(spark, digest_bytes):
     rows = ROWS + [(100 + i, f"t{i % 300}") for i in range(900)]
     got = exact_dedup(docs(spark, rows), digest_bytes=digest_bytes, memtable_rows=50).collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows)
 
 
 def test_hot_group(spark):
     rows = [(i, "same") for i in range(3000)] + [(5000 + i, f"{i // 2}") for i in range(3000)]
-    assert sorted(map(tuple, exact_dedup(docs(spark, rows)).collect()), key=str) == brute(rows)
+    assert sorted((tuple(r)[:5] for r in exact_dedup(docs(spark, rows)).collect()), key=str) == brute(rows)
 
 
 def test_runs_are_merged(spark):

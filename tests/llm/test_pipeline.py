@@ -59,3 +59,23 @@ def test_stages_against_brute_force(spark, sf_dir, stages):
 
 def test_run_is_all_stages(spark, sf_dir, stages):
     assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted((r.doc_id, r.ids_sha256) for r in stages[-1])
+
+
+def test_odd_rows_in_each_stage(spark, sf_dir):
+    text = " ".join(f"the word{i} and" for i in range(40))
+    near = text.replace("word7 ", "other ")
+    rows = [(1, text), (1, text), (1, near), (2, text), (3, None), (4, ""), (None, None), (5, "a b"), (5, "c d"), (6, "THE!! " * 50_000), (None, "e f")]
+    docs = spark.createDataFrame([(i, t, None, None, None, 1, True) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_key int, kept boolean")
+    seen = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    once = corpus_pipeline.exact_copies(spark, docs, sf_dir)
+    assert seen(once) == sorted([(1, text), (1, near), (3, None), (5, "a b"), (5, "c d"), (6, rows[9][1]), (None, "e f")], key=str)
+    assert once.columns == docs.columns
+    apart = corpus_pipeline.near_copies(spark, docs, sf_dir)
+    assert [x for x in seen(apart) if x[1] and len(x[1]) > 100] in ([(1, text), (6, rows[9][1])], [(1, near), (6, rows[9][1])])
+    assert len(seen(apart)) == 8
+    clean = corpus_pipeline.benchmark_leaks(spark, docs, sf_dir)
+    assert seen(clean) == sorted(rows, key=str)
+    good = seen(corpus_pipeline.quality_filter(spark, docs, sf_dir))
+    assert (6, rows[9][1]) not in good and good.count((1, text)) == 2
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).collect() == []
