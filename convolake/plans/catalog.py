@@ -1,11 +1,270 @@
-"""Every query of the engine and the DuckDB SQL that checks it, by name."""
+"""Every query of the engine and the DuckDB SQL that checks it, by name.
+
+Most queries are operators in SQL that both engines read alike; for them the check runs the operator's text over the twins of its tables. The others are built from columns and
+have SQL of their own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from convolake.functions import text as T
+from convolake.operators import analytics, archive, normalize, quality, sanitize, search, shapes
+from convolake.sources import bindings as B
+
+#: More tables of the fixtures: SQL that both engines read, over the bound ones.
+DERIVED = {
+    "old": ("messages", "SELECT platform, conversation_id, pos, role, CASE WHEN conv_id % 5 = 3 AND pos = 0 THEN 'x' || message_id ELSE message_id END AS message_id, CASE WHEN conv_id % 5 = 4 THEN texte || ' old' ELSE texte END AS texte FROM {messages} WHERE conv_id % 7 <> 0 AND NOT (conv_id % 5 = 1 AND pos > 2)"),
+    "new": ("messages", "SELECT platform, conversation_id, pos, role, message_id, texte FROM {messages} WHERE conv_id % 6 <> 5 AND NOT (conv_id % 5 = 2 AND pos < 2)"),
+    "daily": ("messages", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS day, count(*) AS n FROM {messages} GROUP BY CAST(ts AS DATE)"),
+    "entries": ("conv", "SELECT conversation_id, title, message_count AS ord FROM {conv} UNION ALL SELECT conversation_id, 'b' || title, message_count + 1 FROM {conv} WHERE conv_id % 2 = 0"),
+    "scores": ("events", "SELECT event_type AS service, value AS score FROM {events}"),
+    "canaries": ("conv", "SELECT platform AS canary, conv_id % 3 <> 0 AS expected, conv_id % 4 <> 0 AS detected FROM {conv}"),
+}
+AXIS = "SELECT strftime(CAST(unnest(generate_series(TIMESTAMP '2023-02-01', TIMESTAMP '2025-01-01', INTERVAL 1 MONTH)) AS DATE), '%Y-%m') AS month"
+DAYS = "SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS day"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "axis":
+        return spark.range(24).select(F.date_format(F.add_months(F.lit("2023-02-01").cast("date"), F.col("id").cast("int")), "yyyy-MM").alias("month"))
+    if name == "days":
+        return spark.range(365).select(F.date_add(F.lit("2024-01-02").cast("date"), F.col("id").cast("int")).alias("day"))
+    if name in DERIVED:
+        base, sql = DERIVED[name]
+        return spark.sql(sql, **{base: _table(spark, sf_dir, base)})
+    return B.TABLES[name](spark, sf_dir) if name in B.TABLES else B.read(spark, sf_dir, name)
+
+
+def _duck(names: tuple[str, ...], sql: str) -> str:
+    """sql with the tables that it needs before it."""
+    known, more = [], []
+    for n in names:
+        base = DERIVED[n][0] if n in DERIVED else n
+        if base in B.SQL:
+            known.append(base)
+        if n in DERIVED:
+            more.append(f"{n} AS ({DERIVED[n][1].replace('{' + base + '}', base)})")
+        elif n in ("axis", "days"):
+            more.append(f"{n} AS ({AXIS if n == 'axis' else DAYS})")
+    body = B.cte(*known).removeprefix("WITH ").strip() if known else ""
+    parts = ", ".join(x for x in (body, *more) if x)
+    if not parts:
+        return sql
+    if sql.lstrip().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts}, {sql.lstrip().removeprefix('WITH RECURSIVE ')}"
+    return f"WITH {parts}, {sql.lstrip().removeprefix('WITH ')}" if sql.lstrip().startswith("WITH ") else f"WITH {parts} {sql}"
+
+
+Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _sql(**operators) -> None:
+    for name, op in operators.items():
+        Q[name] = (lambda spark, sf_dir, op=op: op(*(_table(spark, sf_dir, t) for t in op.tables)), _duck(op.tables, op.sql))
+
+
+def _query(name: str, tables: str, sql: str | None):
+    """Registers a function of the named tables."""
+    names = tuple(tables.split())
+
+    def add(f):
+        Q[name] = (lambda spark, sf_dir: f(*(_table(spark, sf_dir, t) for t in names)), sql and _duck(names, sql))
+        return f
+
+    return add
+
+
+_sql(
+    g1_stats=analytics.stats, g2_top_models=analytics.top_models, g3_activity_daily=analytics.daily, g4_timeline_platform=analytics.timeline_platform, g4_timeline_model=analytics.timeline_model, g5_day_view=analytics.day_view,
+    g6_distinct_models=analytics.distinct_models, g7_date_bounds=analytics.date_bounds, g9_facets=analytics.facets, g10_status=analytics.status, g11_tool_stats=analytics.tool_stats, g15_majority=analytics.majority,
+    g17_bench_summary=analytics.bench_summary, g18_media_stats=analytics.media_stats, g19_run_summary=analytics.run_summary, g20_inventory_counters=analytics.inventory_counters, g21_heat_levels=analytics.heat_levels, g22_bars=analytics.bars,
+    a18_api_health=analytics.api_health, k6_event_days=analytics.event_days, w5_recent=analytics.recent_days,
+    o1_merge_status=archive.merge_status, o1_merge_payload=archive.merge_payload, o2_content_equal=archive.content_equal, o4_inventory_upsert=archive.inventory_upsert, b3_inventory_order=archive.inventory_order, a6_inventory_load=archive.inventory_load,
+    j20_inventory_refresh=archive.inventory_refresh, b5_replace=archive.replace_conversations, b6_delete=archive.delete_conversation, b15_purge_cascade=archive.purge_cascade, b16_media_prune=archive.media_prune, w17_content_dedupe=archive.media_dedupe,
+    b7_media_upsert=archive.media_upsert, t5_gallery_page=archive.gallery_page, j16_file_referenced=archive.file_referenced, b11_retention=archive.retention, p10_daily_targets=archive.daily_targets, p9_incremental_skip=archive.incremental_skip,
+    p14_seeded_sample=archive.seeded_sample, u1_union_first_wins=archive.union_first_wins, u2_unknown_or_recent=archive.unknown_or_recent, u4_set_difference=archive.lost, u5_set_intersection=archive.common, b17_url_backfill=archive.url_backfill,
+    b19_legacy=archive.legacy, a14_legacy_union=archive.legacy_union, j10_metadata_fallback=archive.metadata_fallback, t4_list_conversations=archive.list_conversations, t3_list_by_messages=archive.list_by_messages, a15_platforms=archive.platforms,
+    o6_retry_unavailable=archive.retry_unavailable, c15_unique_filename=archive.unique_names,
+    w1_consecutive_roles=normalize.consecutive_roles, w3_message_index=normalize.message_index, w4_nth_message=normalize.nth_message, w5_first_message=normalize.first_message, p21_first_n=normalize.first_n, w2_alternation_runs=normalize.role_runs,
+    w7_attach_pending=normalize.attach_pending, w8_fill_times=normalize.fill_times, w9_longest_row=normalize.longest_row, w10_best_turn=normalize.best_turn, w11_last_per_key=normalize.last_per_key, w14_nearest_heading=normalize.nearest_heading,
+    w16_dedupe_keep_first=normalize.dedupe_keep_first, j11_siblings=normalize.siblings, j13_active_branch=normalize.active_branch, w12_window_chain=normalize.window_chain, q8_suite_answer=normalize.suite_answer,
+    g16_shape_monitor=shapes.monitor, g23_canary_coverage=quality.canary_coverage,
+)
+
+#: A vector that the fixtures search by: that of vec_id 0.
+_OWN = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+
+
+def _vector(embeddings: DataFrame) -> list[float]:
+    return list(embeddings.where("vec_id = 0").first()["embedding"])  # a query is one vector
+
+
+_query("t1_knn_topk", "embeddings", f"SELECT vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_OWN} AS DOUBLE[])), 4) AS distance FROM embeddings ORDER BY 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_OWN} AS DOUBLE[])), vec_id LIMIT 10")(
+    lambda e: search.nearest(e, _vector(e), 10, "vec_id").select("vec_id", F.round("distance", 4).alias("distance"))
+)
+_COS = f"list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST({_OWN} AS DOUBLE[]))"
+_query("v5_knn_prefilter", "messages vectors embeddings", f"SELECT m.msg_seq, round(1 - {_COS}, 4) AS distance FROM vectors v JOIN messages m USING (msg_seq) WHERE m.platform = 'claude' AND m.role = 'user' ORDER BY 1 - {_COS}, m.msg_seq LIMIT 10")(
+    lambda m, v, e: search.knn_prefiltered(m, v, _vector(e), 10, "claude", "user").select("msg_seq", F.round("distance", 4).alias("distance"))
+)
+_query("v4_knn_postfilter", "messages vectors embeddings", f"SELECT msg_seq FROM (SELECT v.msg_seq FROM vectors v ORDER BY 1 - {_COS}, v.msg_seq LIMIT 40) n JOIN messages m USING (msg_seq) WHERE m.platform IN ('claude', 'grok')")(
+    lambda m, v, e: search.knn_postfiltered(m, v, _vector(e), 40, platforms=["claude", "grok"]).select("msg_seq")
+)
+_query("t7_similar", "messages vectors", "SELECT m.msg_seq, m.platform, m.conversation_id, round(s, 4) AS score FROM (SELECT v.msg_seq, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])) AS s FROM vectors v CROSS JOIN (SELECT embedding FROM vectors WHERE msg_seq = 1000) o WHERE v.msg_seq <> 1000 ORDER BY s DESC, v.msg_seq LIMIT 10) n JOIN messages m USING (msg_seq)")(
+    lambda m, v: search.similar(m, v, 1000)
+)
+_query("v6_vector_fetch", "vectors", "SELECT msg_seq, round(CAST(embedding[1] AS DOUBLE), 4) AS first_value FROM vectors WHERE msg_seq IN (1, 1000, 2001, 3002)")(
+    lambda v: v.where(F.col("msg_seq").isin(1, 1000, 2001, 3002)).select("msg_seq", F.round(F.get("embedding", 0).cast("double"), 4).alias("first_value"))
+)
+QUERY = "the and of that"
+_TERMS = "'the', 'and', 'of', 'that'"
+_FOLD = "strip_accents(lower({}))"
+_TOKENS = r"list_distinct(regexp_extract_all({}, '[\p{{L}}\p{{N}}_\-]+'))"
+_KW = f"CAST(len(list_intersect([{_TERMS}], {_TOKENS.format(_FOLD.format('texte'))})) AS DOUBLE) / 4"
+_SCORED = f"least(1.0, {_KW} + CASE WHEN contains({_FOLD.format('texte')}, '{QUERY}') THEN 0.3 ELSE 0 END)"
+_LOW = "translate(texte, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ANY = "(" + " OR ".join(f"contains({_LOW}, {t})" for t in _TERMS.split(", ")) + ")"
+_query("p2_keyword_candidates", "messages", f"SELECT msg_seq FROM messages WHERE {_ANY} AND platform IN ('claude', 'gemini') ORDER BY msg_seq LIMIT 2000")(lambda m: search.keyword_candidates(m, QUERY, platforms=["claude", "gemini"]).select("msg_seq"))
+_query("c23_keyword_score", "messages", f"SELECT msg_seq, round({_SCORED}, 4) AS score FROM messages")(lambda m: m.select("msg_seq", F.round(T.keyword_score(F.col("texte"), T.query_terms(QUERY), QUERY), 4).alias("score")))
+_HYBRID = f"""near AS (SELECT v.msg_seq, {_COS} AS s FROM vectors v ORDER BY 1 - {_COS}, v.msg_seq LIMIT 200), word AS (SELECT msg_seq FROM messages WHERE {_ANY} ORDER BY msg_seq LIMIT 2000),
+    both_ AS (SELECT msg_seq, s, 0 AS arm FROM near UNION ALL SELECT v.msg_seq, list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST({_OWN} AS DOUBLE[])), 1 FROM word JOIN vectors v USING (msg_seq) WHERE v.msg_seq NOT IN (SELECT msg_seq FROM near)),
+    scored AS (SELECT m.*, arm, s, greatest(0.0, least(1.0, s)) AS sem, {_SCORED} AS kw FROM both_ JOIN messages m USING (msg_seq)),
+    best AS (SELECT *, round(0.6 * sem + 0.4 * kw, 4) AS score FROM scored WHERE 0.6 * sem + 0.4 * kw > 0 ORDER BY round(0.6 * sem + 0.4 * kw, 4) DESC, arm, CASE WHEN arm = 0 THEN -s ELSE 0 END, msg_seq LIMIT 20)"""
+_query("v7_hybrid_messages", "messages vectors embeddings", f"WITH {_HYBRID} SELECT msg_seq, score, round(sem, 4) AS semantic_score, round(kw, 4) AS keyword_score FROM best")(
+    lambda m, v, e: search.hybrid(m, v, _vector(e), QUERY).select("msg_seq", "score", "semantic_score", "keyword_score")
+)
+_GROUPED = "SELECT platform, conversation_id, count(*) AS hit_count, max(score) AS best_score, arg_max(msg_seq, (score, -msg_seq)) AS best_seq, row_number() OVER (ORDER BY CASE WHEN count(*) >= 2 THEN 0 ELSE 1 END, max(score) DESC, conversation_id) AS place FROM best GROUP BY platform, conversation_id"
+_query("v7_hybrid_search", "messages vectors embeddings", f"WITH {_HYBRID} {_GROUPED}")(lambda m, v, e: search.group_results(search.hybrid(m, v, _vector(e), QUERY)))
+_query("p4_filter_only", "messages", "SELECT msg_seq FROM messages WHERE platform IN ('claude', 'grok') AND ts >= TIMESTAMP '2024-08-01' AND ts <= TIMESTAMP '2024-11-30 23:59:59' ORDER BY ts DESC, msg_seq DESC LIMIT 200")(
+    lambda m: search.criteria_only(m, platforms=["claude", "grok"], date_from="2024-08-01", date_to="2024-11-30 23:59:59").select("msg_seq")
+)
+_query("p7_grep_literal", "messages", "SELECT conversation_id, pos, 'texte' AS field, CAST((length(texte) - length(replace(lower(texte), 'the', ''))) / 3 AS BIGINT) AS n FROM messages WHERE contains(lower(texte), 'the') ORDER BY platform, conversation_id, pos LIMIT 100")(
+    lambda m: search.grep(m, "the", limit=100).select("conversation_id", "pos", "field", "n")
+)
+_query("p6_grep_regex", "messages", r"SELECT msg_seq, CAST(len(regexp_extract_all(texte, '\b[A-Z][a-z]+ing\b')) AS BIGINT) AS n FROM messages WHERE regexp_matches(texte, '\b[A-Z][a-z]+ing\b')")(
+    lambda m: m.where(F.col("texte").rlike(r"\b[A-Z][a-z]+ing\b")).select("msg_seq", F.regexp_count("texte", F.lit(r"\b[A-Z][a-z]+ing\b")).cast("long").alias("n"))
+)
+_query("p8_grep_inventory", "conv", "SELECT conversation_id, title FROM conv WHERE NOT scraped AND (contains(lower(title), '3') OR contains(lower(conversation_id), '12'))")(
+    lambda c: c.where(~F.col("scraped") & (F.contains(F.lower("title"), F.lit("3")) | F.contains(F.lower("conversation_id"), F.lit("12")))).select("conversation_id", "title")
+)
+_query("p20_message_lookup", "messages", "SELECT message_id, pos FROM messages WHERE conversation_id = 'c000003' AND pos = 1")(lambda m: search.lookup(m, "c000003", "2").select("message_id", "pos"))
+_query("p15_all_terms", "messages", "SELECT msg_seq FROM messages WHERE contains(lower(texte), 'the') AND contains(lower(texte), 'and')")(lambda m: m.where(F.forall(F.array(F.lit("the"), F.lit("and")), lambda t: F.contains(F.lower("texte"), t))).select("msg_seq"))
+_query("p16_anniversary", "messages", "SELECT msg_seq FROM messages WHERE strftime(ts, '%m-%d') = '08-15' AND year(ts) < 2025 ORDER BY msg_seq LIMIT 6")(lambda m: m.where((F.date_format("ts", "MM-dd") == "08-15") & (F.year("ts") < 2025)).orderBy("msg_seq").limit(6).select("msg_seq"))
+_query("c58_field_stack", "messages", "SELECT conversation_id, pos, field, md5(value) AS value FROM (SELECT conversation_id, pos, 'texte' AS field, texte AS value FROM messages UNION ALL SELECT conversation_id, pos, 'message_id', message_id FROM messages UNION ALL SELECT conversation_id, pos, 'model', model FROM messages) t WHERE value <> ''")(
+    lambda m: search.field_stack(m).select("conversation_id", "pos", "field", F.md5("value").alias("value"))
+)
+_query("j4_vector_cache", "messages vectors", "SELECT md5(texte) AS fingerprint, min(msg_seq) AS msg_seq FROM messages JOIN vectors USING (msg_seq) WHERE md5(texte) IN (SELECT md5(texte) FROM messages WHERE pos = 0) GROUP BY md5(texte)")(
+    lambda m, v: search.cached_vectors(m.where("pos = 0").select(F.md5("texte").alias("fingerprint")), m.join(v, "msg_seq").select("msg_seq", "embedding", F.md5("texte").alias("fingerprint"))).select("fingerprint", "msg_seq")
+)
+_query("j5_meta_left", "messages conv", "SELECT m.msg_seq, c.title FROM messages m LEFT JOIN (SELECT * FROM conv WHERE conv_id % 2 = 0) c ON c.conversation_id = m.conversation_id WHERE m.pos = 0")(
+    lambda m, c: m.where("pos = 0").join(c.where("conv_id % 2 = 0").select("conversation_id", "title"), "conversation_id", "left").select("msg_seq", "title")
+)
+_query("j8_media_full_outer", "messages media", "SELECT coalesce(t.conversation_id, h.conversation_id) AS conversation_id, coalesce(hit_count, 0) AS hit_count, coalesce(media_hits, 0) AS media_hits FROM (SELECT conversation_id, count(*) AS hit_count FROM messages WHERE pos < 3 GROUP BY 1) t FULL OUTER JOIN (SELECT conversation_id, count(*) AS media_hits FROM media GROUP BY 1) h ON h.conversation_id = t.conversation_id")(
+    lambda m, d: search.media_groups(m.where("pos < 3").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("hit_count")), d)
+)
+
+# Text operations, over messages, documents and pages.
+_SAID = "'# Head\n\n' || texte || '\n```py\nprint(1)\n```\n\n- see https://a.example/x.png?q=1, ![i](https://b.example/i.jpg) and [f](https://c.example/f.pdf)\n\n\n'"
+_made = lambda: F.concat(F.lit("# Head\n\n"), F.col("texte"), F.lit("\n```py\nprint(1)\n```\n\n- see https://a.example/x.png?q=1, ![i](https://b.example/i.jpg) and [f](https://c.example/f.pdf)\n\n\n"))
+
+
+def _text(name: str, column, duck: str, key: str = "msg_seq", tables: str = "messages") -> None:
+    _query(name, tables, f"SELECT {key}, {duck} AS value FROM {tables}")(lambda t: t.select(key, column().alias("value")))
+
+
+_text("c1_timestamps", lambda: T.iso_z(T.parse_iso(F.concat(F.lit("2024-03-"), F.lpad((F.col("pos") + 25).cast("string"), 2, "0"), F.lit("T10:00:00+02:00")))), "CASE WHEN pos + 25 <= 31 THEN '2024-03-' || CAST(pos + 25 AS VARCHAR) || 'T08:00:00Z' END")
+_text("c2_iso_z", lambda: T.iso_z(F.col("ts")), "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')")
+_text("c3_code_blocks", lambda: F.array_join(F.transform(T.code_blocks(_made()), lambda b: F.concat_ws("|", b["language"], b["code"])), ";"), "'py|print(1)'")
+_text("c9_index_text", lambda: F.md5(T.index_text(F.col("texte"), F.lit("why"), F.array(F.lit("a"), F.lit("")), F.array().cast("array<string>"), F.array(F.lit("t1"), F.lit("t2")))), "md5(trim(texte, ' \n\t\r') || '\n\n[Raisonnement]\nwhy\n\n[Artefacts]\na\n\n[Outils]\nt1\nt2')")
+_text("c10_fingerprint", lambda: T.fingerprint("model", F.col("texte")), "sha256('model' || chr(10) || texte)")
+_text("c11_media_fingerprint", lambda: T.fingerprint("model", F.col("content_key"), F.col("media_id").cast("string")), "sha256('model' || chr(10) || content_key || chr(10) || CAST(media_id AS VARCHAR))", "media_id", "media")
+_text("c13_slug", lambda: T.slug(F.col("text")), r"""coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), '-{2,}', '-', 'g'), 1, 80), '[-.]+$', ''), ''), 'untitled')""", "doc_id", "documents")
+_text("c14_safe_id", lambda: T.safe_id(F.substring("text", 1, 40)), r"coalesce(nullif(regexp_replace(trim(substr(text, 1, 40), ' ' || chr(10) || chr(9)), '[^A-Za-z0-9._-]', '_', 'g'), ''), 'unknown')", "doc_id", "documents")
+_text("c16_urls", lambda: T.conversation_url(F.col("platform"), F.col("conversation_id")), "CASE platform WHEN 'chatgpt' THEN 'https://chatgpt.com/c/' WHEN 'claude' THEN 'https://claude.ai/chat/' WHEN 'gemini' THEN 'https://gemini.google.com/app/' WHEN 'perplexity' THEN 'https://www.perplexity.ai/search/' WHEN 'grok' THEN 'https://grok.com/chat/' ELSE 'https://chat.mistral.ai/work/' END || conversation_id")
+_text("c16_current_url", lambda: T.current_url(F.concat(F.lit("https://chat.mistral.ai/chat/"), F.col("message_id"))), "'https://chat.mistral.ai/work/' || message_id")
+_text("c19_clean", lambda: F.md5(T.clean_vendor_text(F.concat(F.lit("<grok:render x>y\n</grok:render>a<br/>b  \n\n\n\n"), F.col("texte"), F.lit("<xaiArtifact id=1> ")))), r"md5('a' || chr(10) || 'b' || chr(10) || chr(10) || regexp_replace(regexp_replace(regexp_replace(texte, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'))")
+_text("c20_fold", lambda: F.md5(T.fold(F.col("text"))), "md5(strip_accents(lower(text)))", "doc_id", "documents")
+_text("c21_match_key", lambda: T.match_key(F.col("text"), 40), r"substr(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]', '', 'g'), 1, 40)", "doc_id", "documents")
+_text("c22_tokenize", lambda: F.md5(F.array_join(F.array_sort(T.tokens(F.col("text"))), " ")), r"md5(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]+'), lambda x: length(x) >= 2))), ' '))", "doc_id", "documents")
+_text("c25_collapse", lambda: F.md5(T.collapse(F.col("text"))), r"md5(trim(regexp_replace(text, '\s+', ' ', 'g')))", "doc_id", "documents")
+_FLAT = r"trim(regexp_replace(texte, '\s+', ' ', 'g'))"
+_text("c26_snippet", lambda: T.snippet(F.col("texte"), ["the"], 60), f"CASE WHEN length({_FLAT}) <= 60 THEN {_FLAT} ELSE CASE WHEN greatest(instr(lower({_FLAT}), 'the') - 21, 0) > 0 THEN '…' ELSE '' END || substr({_FLAT}, greatest(instr(lower({_FLAT}), 'the') - 21, 0) + 1, 60) || CASE WHEN greatest(instr(lower({_FLAT}), 'the') - 21, 0) + 60 < length({_FLAT}) THEN '…' ELSE '' END END")
+_text("c27_window", lambda: T.window(F.col("texte"), F.lit(20), F.lit(25), 10, 10), r"CASE WHEN 1 = 1 THEN '…' || trim(regexp_replace(substr(texte, 11, least(length(texte), 35) - 10), '\s+', ' ', 'g')) || CASE WHEN length(texte) > 35 THEN '…' ELSE '' END END")
+_text("c28_extract", lambda: T.extract(F.col("texte"), 50), f"CASE WHEN length({_FLAT}) <= 50 THEN {_FLAT} ELSE regexp_replace(substr({_FLAT}, 1, 50), '(.) [^ ]*$', '\\1') || '…' END")
+_text("c29_ui_title", lambda: T.ui_title(F.when(F.col("pos") % 3 == 0, F.lit("ChatGPT")).otherwise(F.concat(F.lit("  A "), F.col("message_id")))), "CASE WHEN pos % 3 <> 0 THEN 'A ' || message_id END")
+_text("c31_math", lambda: T.math(F.concat(F.lit("\\( x \\) "), F.col("message_id"), F.lit(" \\[ y \\]"))), "'$ x $ ' || message_id || ' $$y$$'")
+_text("c35_image_urls", lambda: F.array_join(T.image_urls(_made()), " "), "'https://b.example/i.jpg'")
+_text("c36_media_urls", lambda: F.array_join(F.transform(T.media_urls(_made()), lambda x: F.concat_ws(" ", x["context"], x["url"])), ";"), "'bare https://a.example/x.png?q=1,;md-image https://b.example/i.jpg;md-link https://c.example/f.pdf'")
+_text("c37_media_kind", lambda: T.media_kind(F.concat(F.lit("https://x/"), F.col("content_key"), F.get(F.array(F.lit(".PNG?a"), F.lit(".mp3"), F.lit(".mov#t"), F.lit(".txt")), (F.col("media_id") % 4).cast("int")))), "CASE media_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' WHEN 2 THEN 'video' END", "media_id", "media")
+_text("c38_display_name", lambda: T.display_name(F.concat(F.lit("https://x/y/"), F.col("message_id"), F.lit("/?q=/z"))), "message_id")
+_text("c39_rewrite_links", lambda: F.md5(T.rewrite_links(_made(), F.create_map(F.lit("https://b.example/i.jpg"), F.lit("images/i.jpg")))), f"md5(replace({_SAID}, 'https://b.example/i.jpg', 'images/i.jpg'))")
+_text("c40_attachment", lambda: T.is_attachment(F.lit(""), F.concat(F.lit("https://x/a"), F.when(F.col("pos") % 2 == 0, F.lit(".pdf?x=1")).otherwise(F.lit(".exe")))), "pos % 2 = 0")
+_text("c43_html_text", lambda: F.md5(T.collapse(T.html_text(F.lit("<p>a &amp; b</p><script>x</script><li>c<br>d</li>")))), "md5('a & b c d')", "page_id", "pages")
+_text("c45_strip_fences", lambda: F.md5(T.strip_fences(_made())), f"md5(regexp_replace({_SAID}, '(?s)```.*?```', '', 'g'))")
+_text("c46_format_tags", lambda: F.array_join(T.format_tags(F.get(F.array(F.lit("2024-01-02"), F.lit("a@b.co"), F.md5("texte"), F.lit("https://x.y"), F.lit("no tag")), F.col("pos") % 5)), "+"), "CASE pos % 5 WHEN 0 THEN 'iso-date' WHEN 1 THEN 'email' WHEN 2 THEN 'hash' WHEN 3 THEN 'url' ELSE '' END")
+_text("c47_buckets", lambda: T.bucket(F.length("texte") % 150), "CASE WHEN length(texte) % 150 = 0 THEN '0' WHEN length(texte) % 150 = 1 THEN '1' WHEN length(texte) % 150 <= 5 THEN '2-5' WHEN length(texte) % 150 <= 20 THEN '6-20' WHEN length(texte) % 150 <= 100 THEN '21-100' ELSE '100+' END")
+_text("c48_masked_key", lambda: T.masked_key(F.concat(F.lit("k:"), F.md5("texte"))), "'k:<hash>'")
+_text("c51_relative_dates", lambda: T.iso_z(T.relative_date(F.get(F.array(F.lit("25 sept., 19:01"), F.lit("hier, 08:05"), F.lit("31 avr., 10:00"), F.lit("1 janv., 00:30"), F.lit("soon")), F.col("pos") % 5), F.lit("2024-07-10 12:00:00").cast("timestamp"))), "CASE pos % 5 WHEN 0 THEN '2023-09-25T19:01:00Z' WHEN 1 THEN '2024-07-09T08:05:00Z' WHEN 3 THEN '2024-01-01T00:30:00Z' END")
+_text("c57_source_entry", lambda: T.source_entry(F.when(F.col("pos") % 2 == 0, F.lit(" T ")), F.concat(F.lit("u"), F.col("message_id"))), "CASE WHEN pos % 2 = 0 THEN 'T — u' || message_id ELSE 'u' || message_id END")
+_text("u6_ordered_distinct", lambda: F.array_join(F.array_distinct(F.split(F.regexp_replace("texte", r"\s+", " "), " ")), " ").substr(1, 20), r"substr(array_to_string(list_transform(list_filter(list_zip(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), range(len(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' ')))), lambda x: list_position(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), x[1]) = x[2] + 1), lambda x: x[1]), ' '), 1, 20)")
+
+# Quality, sanitising, shapes.
+_METRICS = r"SELECT platform, conversation_id, count(*) AS messages, CAST(0 AS BIGINT) AS consecutive_roles, count(*) AS images, CAST(0 AS BIGINT) AS tables, CAST(count(*) AS BIGINT) AS lists, CAST(0 AS BIGINT) AS code_langs, CAST(sum(length(texte) - length(replace(texte, '$', ''))) AS BIGINT) AS latex FROM messages GROUP BY platform, conversation_id"
+_query("c41_metrics", "messages", _METRICS)(lambda m: quality.metrics(m.withColumn("texte", _made())))
+_CAPS = "'headings', 'image_markdown', 'link', 'list_bullet'"
+_query("c42_capabilities", "messages", "SELECT platform, conversation_id, count(*) > 0 AS has_all FROM messages GROUP BY platform, conversation_id")(
+    lambda m: quality.capabilities(m.withColumn("texte", _made())).select("platform", "conversation_id", (F.size(F.array_intersect("capabilities", F.array(*(F.lit(x.strip("'")) for x in _CAPS.split(", "))))) == 4).alias("has_all"))
+)
+_CHECKED = "checked AS (SELECT platform, conversation_id, count(*) AS old_messages, count(CASE WHEN NOT (conv_id % 3 = 1 AND pos > 1) THEN 1 END) AS new_messages FROM messages GROUP BY ALL), told AS (SELECT *, round(CAST(new_messages AS DOUBLE) / old_messages, 3) AS retention, CASE WHEN new_messages < old_messages * 0.6 OR round(CAST(new_messages AS DOUBLE) / old_messages, 3) < 1.0 THEN 'degrade' ELSE 'ok' END AS status FROM checked)"
+
+
+def _rechecked(m: DataFrame) -> DataFrame:
+    plain = m.withColumn("texte", F.lit(""))
+    return quality.recheck(quality.metrics(plain.where("NOT (conv_id % 3 = 1 AND pos > 1)")), quality.metrics(plain))
+
+
+_query("j15_recheck_compare", "messages", f"WITH {_CHECKED} SELECT platform, conversation_id, old_messages, new_messages, retention, status FROM told")(lambda m: _rechecked(m).drop("lost"))
+_query("q1_regressions", "messages", f"WITH {_CHECKED} SELECT platform, conversation_id, CASE WHEN new_messages < old_messages * 0.6 THEN 'messages' ELSE '' END AS lost FROM told")(lambda m: _rechecked(m).select("platform", "conversation_id", F.array_join("lost", ",").alias("lost")))
+_query("g12_recheck_summary", "messages", f"WITH {_CHECKED} SELECT platform, count(*) AS compared, count(CASE WHEN status = 'ok' THEN 1 END) AS ok, count(CASE WHEN status = 'degrade' THEN 1 END) AS degraded, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS ignored, round(avg(retention), 3) AS retention, CASE WHEN min(retention) < 0.5 THEN 'critique' WHEN count(CASE WHEN status = 'degrade' THEN 1 END) > 0 THEN 'attention' ELSE 'ok' END AS verdict FROM told GROUP BY platform")(
+    lambda m: quality.verdicts(_rechecked(m))
+)
+_query("g14_audit", "messages", f"SELECT platform, count(DISTINCT conversation_id) AS conv, count(*) AS msgs, CAST(sum(len(regexp_extract_all({_SAID}, '{quality.LINK}'))) AS BIGINT) AS links, CAST(sum(len(regexp_extract_all({_SAID}, '{quality.FENCE}'))) AS BIGINT) AS fences, CAST(sum(len(regexp_extract_all({_SAID}, '{quality.IMAGE}'))) AS BIGINT) AS images, count(CASE WHEN regexp_matches(regexp_replace({_SAID}, '(?s)```.*?```', '', 'g'), '{quality.HTML}') THEN 1 END) AS residual_html, CAST(0 AS BIGINT) AS near_empty FROM messages GROUP BY platform")(
+    lambda m: quality.audit(m.withColumn("texte", _made()))
+)
+_query("c18_pii_scan", "documents", rf"SELECT doc_id, line, 'email' AS kind, n FROM (SELECT doc_id, line, len(list_filter(regexp_extract_all(said, '{sanitize.EMAIL}'), lambda x: NOT regexp_matches(x, '{sanitize.SAFE_EMAIL}'))) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS said, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line FROM documents) l) t WHERE n > 0")(
+    lambda d: sanitize.findings(d).where("kind = 'email'")
+)
+_query("c17_sanitize", "documents", r"SELECT doc_id, md5('calendar@example.com ' || text || ' ?sig=REDACTED') AS value FROM documents")(
+    lambda d: d.select("doc_id", F.md5(sanitize.sanitize(F.concat(F.lit("a.b@group.calendar.google.com "), F.col("text"), F.lit(" ?sig=abc")))).alias("value"))
+)
+_query("n2_shape_union", "events", "SELECT '$.' || key AS path, string_agg(DISTINCT CASE json_type(value) WHEN 'VARCHAR' THEN 'str' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'list' ELSE 'object' END, '+') AS kinds FROM (SELECT unnest(json_keys(props)) AS key, json_extract(props, '$.' || unnest(json_keys(props))) AS value FROM events) t GROUP BY key")(
+    lambda e: shapes.merge(shapes.shape_rows(e, "event_id", "props")).where("path <> '$' AND path NOT LIKE '%[]%' AND path NOT LIKE '$.%.%'").select("path", F.array_join("kinds", "+").alias("kinds"))
+)
+
+
+def _two_shapes(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = m.groupBy("conversation_id").agg(F.max("conv_id").alias("k"), F.collect_list(F.struct("message_id", "role", "pos")).alias("messages"))
+    said = F.to_json(F.struct("conversation_id", "messages"))
+    less = F.when(F.col("k") % 2 == 0, F.to_json(F.struct("conversation_id", F.transform("messages", lambda x: F.struct(x["message_id"].alias("message_id"), x["pos"].cast("string").alias("pos"), F.lit(1).alias("extra"))).alias("messages")))).otherwise(said)
+    return shapes.merge(shapes.shape_rows(rows.select("conversation_id", said.alias("payload")), "conversation_id")), shapes.merge(shapes.shape_rows(rows.where("k % 2 = 0").select("conversation_id", less.alias("payload")), "conversation_id"))
+
+
+_query("j22_shape_compare", "messages", None)(lambda m: shapes.compare(*_two_shapes(m)).select("path", F.array_join("ref_kinds", "+").alias("ref_kinds"), F.array_join("kinds", "+").alias("kinds"), "change"))
+_query("n4_shape_score", "messages", None)(lambda m: shapes.score(shapes.compare(*_two_shapes(m))))
+_query("n9_signature", "messages", None)(lambda m: shapes.signature(_two_shapes(m)[0]))
+_query("n1_shape_rows", "events", None)(lambda e: shapes.shape_rows(e, "event_id", "props"))
+_query("w2_alternation_fold", "messages", None)(lambda m: normalize.fold_runs(m.withColumn("role", F.when(F.col("pos") % 3 == 2, F.lit("user")).otherwise(F.col("role")))).select("conversation_id", "run", "role", "message_id", F.md5("texte").alias("texte")))
+_query("c34_autolink", "messages", None)(lambda m: m.select("msg_seq", F.md5(T.autolink(_made())).alias("value")))
+_query("c44_markdown_text", "messages", None)(lambda m: m.select("msg_seq", F.md5(T.markdown_text(_made())).alias("value")))
+_query("t6_random", "conv", None)(lambda c: search.random_conversations(c, 8, 42).select("conversation_id"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in Q.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in Q.items() if sql}
