@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolake.functions import text as T
-from convolake.operators import analytics, archive, normalize, quality, sanitize, search, shapes
+from convolake.operators import analytics, archive, calibration, normalize, parsers, quality, sanitize, search, shapes
+from convolake.sources import archive as archives
 from convolake.sources import bindings as B
+from convolake.streaming import incremental
 
 #: More tables of the fixtures: SQL that both engines read, over the bound ones.
 DERIVED = {
@@ -262,6 +264,71 @@ _query("c44_markdown_text", "messages", None)(lambda m: m.select("msg_seq", F.md
 _query("t6_random", "conv", None)(lambda c: search.random_conversations(c, 8, 42).select("conversation_id"))
 
 
+# Payloads, pages, calibration and indexing; their inputs are made from the bound tables.
+def _payloads(m: DataFrame, platform: str) -> DataFrame:
+    own = m.where(F.col("platform") == platform).groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("pos", "message_id", "role", "texte", "model", "ts"))).alias("a"))
+    iso = lambda x: T.iso_z(x["ts"])
+    each = lambda f: F.transform("a", f)
+    made = {
+        "claude": lambda: F.struct(
+            F.get(F.col("a"), F.size("a") - 1)["message_id"].alias("current_leaf_message_uuid"),
+            F.transform("a", lambda x, i: F.struct(x["message_id"].alias("uuid"), F.when(i > 0, F.get(F.col("a"), i - 1)["message_id"]).alias("parent_message_uuid"), F.when(x["role"] == "assistant", "assistant").otherwise("human").alias("sender"), i.alias("index"), iso(x).alias("created_at"), F.array(F.struct(F.lit("text").alias("type"), x["texte"].alias("text"))).alias("content"))).alias("chat_messages"),
+        ),
+        "chatgpt": lambda: F.struct(each(lambda x: F.struct(x["message_id"].alias("id"), F.struct(x["role"].alias("role")).alias("author"), F.struct(F.lit("text").alias("content_type"), F.array(x["texte"]).alias("parts")).alias("content"), F.unix_timestamp(x["ts"]).cast("double").alias("create_time"), F.struct(x["model"].alias("model_slug")).alias("metadata"))).alias("messages")),
+        "grok": lambda: F.struct(each(lambda x: F.struct(x["message_id"].alias("responseId"), F.when(x["role"] == "user", "human").otherwise("assistant").alias("sender"), x["texte"].alias("message"), iso(x).alias("createTime"), x["model"].alias("model"))).alias("responses")),
+        "perplexity": lambda: F.struct(each(lambda x: F.struct(x["message_id"].alias("uuid"), x["texte"].alias("query_str"), iso(x).alias("entry_created_datetime"), F.array(F.struct(F.lit("ask_text").alias("intended_usage"), F.struct(F.concat(F.lit("re "), x["texte"]).alias("answer")).alias("markdown_block"))).alias("blocks"))).alias("entries")),
+        "mistral": lambda: F.struct(F.struct(F.transform("a", lambda x, i: F.struct(x["message_id"].alias("id"), F.lit(0).alias("version"), F.when(i > 0, F.get(F.col("a"), i - 1)["message_id"]).alias("parentId"), x["role"].alias("role"), iso(x).alias("createdAt"), F.array(F.struct(F.lit("text").alias("type"), x["texte"].alias("text"))).alias("contentChunks"))).alias("items")).alias("messages")),
+        "gemini": lambda: F.struct(each(lambda x: F.array(F.array(x["texte"]), F.array(F.concat(F.lit("re "), x["texte"])))).alias("turns")),
+    }
+    return own.select("conversation_id", F.to_json(made[platform]()).alias("payload"))
+
+
+_LINE = r"regexp_replace(texte, '^\s+|\s+$', '', 'g')"
+_ALL = "SELECT conversation_id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1 AS INTEGER) AS pos, message_id, {role} AS role, md5({text}) AS texte FROM messages WHERE platform = '{p}'"
+for _name, _platform, _role in (("m1", "chatgpt", None), ("m2", "claude", "CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END"), ("m4", "grok", "CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END"), ("m5", "mistral", "role")):
+    _query(f"{_name}_{_platform}", "messages", _ALL.format(role=_role or "role", text=_LINE, p=_platform) + (" AND role <> 'system'" if _platform == "chatgpt" else ""))(
+        lambda m, p=_platform: parsers.MAPPERS[p](_payloads(m, p)).select("conversation_id", "pos", "message_id", "role", F.md5("texte").alias("texte"))
+    )
+for _name, _platform in (("m3", "gemini"), ("m6", "perplexity")):
+    _query(f"{_name}_{_platform}", "messages", f"SELECT conversation_id, CAST(2 * (row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1) AS INTEGER) + h AS pos, CASE h WHEN 0 THEN 'user' ELSE 'assistant' END AS role, md5(CASE h WHEN 0 THEN {_LINE} ELSE 're ' || regexp_replace(texte, '\\s+$', '') END) AS texte FROM messages CROSS JOIN (SELECT 0 AS h UNION ALL SELECT 1) t WHERE platform = '{_platform}'".replace("PARTITION BY conversation_id", "PARTITION BY conversation_id, h"))(
+        lambda m, p=_platform: parsers.MAPPERS[p](_payloads(m, p)).select("conversation_id", "pos", "role", F.md5("texte").alias("texte"))
+    )
+_query("html_to_markdown", "pages", None)(lambda p: parsers.html_to_markdown(p))
+_query("a22_page_links", "pages", None)(lambda p: parsers.page_links(p, "^https?://|^/"))
+_query("a16_canonical_url", "pages", "SELECT page_id, url AS canonical FROM pages")(lambda p: p.select("page_id", T.canonical_url(F.concat(F.lit("<LINK href='"), F.col("url"), F.lit("' rel=\"canonical\">"), F.col("html"))).alias("canonical")))
+_query("b13_markdown", "messages", None)(lambda m: archives.render_markdown(m))
+_query("b12_html", "messages", None)(lambda m: archives.render_html(m))
+_query("a10_media_references", "messages", "SELECT platform, 'images' AS folder, 'i' || CAST(pos % 3 AS VARCHAR) || '.png' AS name, arg_min(message_id, (conversation_id, pos)) AS message_id FROM messages GROUP BY ALL")(
+    lambda m: archives.media_references(m.withColumn("texte", F.concat(F.lit("![x](images/i"), (F.col("pos") % 3).cast("string"), F.lit(".png)")))).select("platform", "folder", "name", "message_id")
+)
+_query("j19_queue_coverage", "messages", None)(lambda m: calibration.queue_coverage(m.where("role = 'user' AND pos < 4").withColumn("place", F.col("msg_seq")), m.where("role = 'user' AND conv_id % 3 <> 0").withColumn("place", F.col("msg_seq"))))
+_TAXONOMY = [("articles", "the"), ("conjunctions", "and"), ("prepositions", "of"), ("german", "und"), ("french", "les"), ("never", "zzzz")]
+
+
+def _tagged(m: DataFrame) -> DataFrame:
+    tests = m.where("pos < 6").select("platform", F.col("msg_seq").alias("place"), F.lit("").alias("capability"), F.substring("texte", 1, 200).alias("prompt"))
+    return calibration.tag_tests(tests, m.sparkSession.createDataFrame(_TAXONOMY, "id string, keyword string"))
+
+
+_query("q4_tag_tests", "messages", "SELECT msg_seq AS place, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN contains(strip_accents(lower(substr(texte, 1, 200))), '{k}') THEN '{i}' END" for i, k in _TAXONOMY) + "], lambda x: x IS NOT NULL)), ',') AS found FROM messages WHERE pos < 6")(lambda m: _tagged(m).select("place", F.array_join("capabilities", ",").alias("found")))
+_query("q5_min_cover", "messages", None)(lambda m: calibration.minimum_cover(_tagged(m), "platform"))
+_query("q7_payload", "messages", None)(lambda m: calibration.payload(_tagged(m), m.sparkSession.createDataFrame(_TAXONOMY, "id string, keyword string"), "platform"))
+
+
+def _indexed(m: DataFrame) -> DataFrame:
+    rows = m.withColumn("exported_at", F.concat(F.lit("2024-"), (F.col("conv_id") % 3).cast("string")))
+    old = incremental.hashing_encoder(rows.where("conv_id % 3 <> 1").withColumn("fingerprint", T.fingerprint("hash", F.col("texte"))), 8).select("platform", "conversation_id", "message_id", "fingerprint", "embedding")
+    state = rows.where("conv_id % 3 = 0").select("platform", "conversation_id", "exported_at").distinct()
+    return incremental.index_step(rows, state, old, lambda d: incremental.hashing_encoder(d, 8), "hash")[0]
+
+
+_query("v9_incremental_index", "messages", "SELECT message_id, sha256('hash' || chr(10) || texte) AS fingerprint FROM messages WHERE conv_id % 3 = 0 OR trim(texte) <> ''")(lambda m: _indexed(m).select("message_id", "fingerprint"))
+_query("v1_hashing_encoder", "messages", None)(lambda m: incremental.hashing_encoder(m, 16).select("msg_seq", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 3).alias("norm")))
+_query("k1_merged_messages", "old new", archive.merge_payload.sql.replace("SELECT t.platform, t.conversation_id, t.status, o.i AS pos, o.k AS identity FROM", "SELECT t.conversation_id, o.k AS identity FROM").replace("SELECT t.platform, t.conversation_id, t.status, w.i, w.k FROM", "SELECT t.conversation_id, w.k FROM"))(
+    lambda o, n: incremental.merged_messages(o, n).select("conversation_id", F.concat(F.lit("id:"), F.col("message_id")).alias("identity"))
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in Q.items()}
 
