@@ -55,10 +55,45 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_benchmark_decontamination, op4_secret_scans, op5_suffix_array_dedup, op6_sentencepiece, op7_substring_dedup, op8_token_counts, op9_license_scans, op10_ngram_jaccard_join)}
 
+#: Words, and their shingles of five or of all words of a shorter text, for DuckDB.
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))"
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+_LOWER = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_RUNS = "list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))"
+
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op3_benchmark_decontamination": f"""
+        WITH i AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) t WHERE len(w) > 0),
+        n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
+        d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents) t WHERE len(w) > 0)
+        SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, CAST(count(*) AS DOUBLE) / n_shingles AS containment
+        FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles""",
+    "op7_substring_dedup": f"""
+        WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        p AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) - 33)) AS i FROM t),
+        x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(array_to_string(w[i:i + 34], ' '))) AS times FROM p),
+        c AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM x WHERE times > 1) y GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+               sha256(coalesce(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT coalesce(list_contains(gone, z[2]), FALSE)), lambda z: z[1]), ' '), '')) AS kept_sha256
+        FROM t LEFT JOIN c USING (doc_id)""",
+    "op9_license_scans": f"""
+        WITH l AS (SELECT license, {_RUNS} AS s FROM (SELECT license, {_LOWER} AS w FROM (VALUES {_TEMPLATES}) v(license, text)) t),
+        d AS (SELECT doc_id, {_RUNS} AS own FROM (SELECT doc_id, {_LOWER} AS w FROM documents) t WHERE len(w) > 4),
+        i AS (SELECT license, len(s) AS n, unnest(s) AS s FROM l), u AS (SELECT doc_id, unnest(own) AS s FROM d)
+        SELECT doc_id, license, n AS n_shingles, count(*) AS n_shared, CAST(count(*) AS DOUBLE) / n AS containment FROM u JOIN i USING (s) GROUP BY doc_id, license, n HAVING count(*) >= 0.8 * n""",
+    "op10_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents) t WHERE len(w) > 0),
+        n AS (SELECT doc_id, len(s) AS n FROM d), u AS (SELECT doc_id, unnest(s) AS s FROM d),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b USING (s) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*))),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        class AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS class_id FROM documents d LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id)
+        SELECT c.doc_id, c.class_id, count(*) OVER (PARTITION BY c.class_id) AS class_size, coalesce(k.n_links, 0) AS n_links, c.doc_id = c.class_id AS kept
+        FROM class c LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) k ON k.a = c.doc_id""",
 }
