@@ -119,28 +119,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
     reps = saved(with_key.groupBy("key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives")
 
     # Ties inside buckets, and the components that they make.
-    own = signed.join(reps.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("rep"), F.explode("bands").alias("bucket"))
+    own = bitmap_filter(signed.select("row", "bands"), reps.select(F.col("rep").alias("row")), "row")  # a copy that passes has the ties of its representative
+    own = own.select(F.col("row").alias("rep"), F.explode("bands").alias("bucket"))
     own = saved(own, "buckets")
     least = own.groupBy("bucket").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     least = saved(least, "bucket-firsts")
-    ties = spread_join(own, least, "bucket", "n", total).where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    met = saved(bitmap_filter(own, least, "bucket"), "shared-buckets")  # most buckets hold one representative, and their rows stay where they are
+    ties = spread_join(met, least, "bucket", "n", total).where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     groups = saved(components(ties), "candidates")
 
-    # The sets of the candidates: only texts that the filter passes are read into sets, and only sets of representatives are shuffled.
+    # The texts of the candidates: only those of representatives are shuffled, as texts pack better than sets of numbers.
     sized = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     members = spread_join(groups, sized, "root", "members", total).withColumnRenamed("node", "rep")
     members = saved(members.join(reps, "rep").select("key", "rep", "copies", "root", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "members")
     wanted = signed.select("row", "doc_id").join(members.select(F.col("rep").alias("row")), "row").select("doc_id")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(word_numbers(words(t)), shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "found"])
+            keys = [set_key(shingle_set(word_numbers(words(t)), shingle)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(1)], ["key", "text"])
 
-    found = bitmap_filter(rows, saved(wanted, "wanted"), "doc_id").mapInArrow(sets, "key binary, found binary")
-    found = found.join(members, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    found = bitmap_filter(rows, saved(wanted, "wanted"), "doc_id").mapInArrow(name, "key binary, text string")
+    found = found.join(members.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "copies", "found")
+    dealt = dealt.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "copies", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, {}
@@ -160,7 +162,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
                     if group:
                         yield from close()
                     group, held = (root, low, high), {}
-                held[rep] = o, (rep, copies, np.frombuffer(s, np.uint64))
+                if rep not in held:
+                    held[rep] = o, (rep, copies, shingle_set(word_numbers(words(s)), shingle))
         if group:
             yield from close()
 
