@@ -57,8 +57,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Most bytes of texts that Spark hands to a Python worker at once; a longer text is handed over alone.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES, as ten thousand texts may be any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) != str(BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text): no other column of the input can clash with those of an operator. A null text becomes empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
@@ -110,3 +122,18 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     rest = told.where("__may").join(odd, "__key", "left_anti")
     one = told.where("__may").join(odd.where("__kept").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
     return told.where("NOT __may").select(*docs.columns).unionByName(rest.select(*docs.columns)).unionByName(one.select(*docs.columns))
+
+
+def without_collector(run):
+    """A batch function whose large tables hold no cycles: the collector would walk them again and again. It is on again for the worker's next task."""
+
+    def quiet(batches):
+        import gc
+
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return quiet

@@ -12,38 +12,45 @@ comes back exactly. Rows that repeat stay rows of their own; an empty table give
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convolake.llm.common import texts
+from convolake.llm.common import texts, without_collector
 from convolake.llm.pieces import MARK, Pieces, chunks, marked_words, model_bytes
 
 
-def merged(symbols: list[str], rank: dict[str, int]) -> list[str]:
-    """The plain merges of a few symbols: the lowest rank first, from the left."""
-    while True:
-        best = min(((r, i) for i in range(len(symbols) - 1) if (r := rank.get(symbols[i] + symbols[i + 1])) is not None), default=None)
-        if best is None:
-            return symbols
-        i = best[1]
-        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+def last_merges(pieces: Pieces) -> dict[str, tuple[str, str]]:
+    """The two symbols of which the last merge makes each piece of two characters or more; a piece that its own merges don't make is left out."""
+    rank, out = pieces.rank, {}
+    for piece in rank:
+        symbols = list(piece)
+        while len(symbols) > 2:
+            best = min(((r, i) for i in range(len(symbols) - 1) if (r := rank.get(symbols[i] + symbols[i + 1])) is not None), default=None)
+            if best is None:
+                break
+            i = best[1]
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        if len(symbols) == 2:
+            out[piece] = symbols[0], symbols[1]
+    return out
 
 
 class Codec:
     """Encodes and decodes whole texts; known holds the identifiers of words, at most limit of them."""
 
-    def __init__(self, pieces: Pieces, limit: int = 600_000):
+    def __init__(self, pieces: Pieces, limit: int = 200_000, splits: dict[str, tuple[str, str]] | None = None):
         self.pieces, self.limit = pieces, limit
+        self.splits = last_merges(pieces) if splits is None else splits
         self.known: dict[str, tuple[int, ...]] = {}
         self.stands: dict[tuple[str, str], bool] = {}
-        self.alone = {p for p in pieces.ids if len(p) == 1 or merged(list(p), pieces.rank) == [p]}
+        self.alone = {p for p in pieces.ids if len(p) == 1} | set(self.splits)
         self.ends: dict[str, list[int]] = {}  # lengths of the pieces by their last three characters, or by all of a shorter one; longest first
         for p in sorted(self.alone, key=len, reverse=True):
             if len(p) not in (sizes := self.ends.setdefault(p[-3:], [])):
@@ -53,13 +60,26 @@ class Codec:
         self.high = min((i for i, b in self.byte_of.items() if b >= 128), default=-1), max((i for i, b in self.byte_of.items() if b >= 128), default=-2)
 
     def holds(self, left: str, right: str) -> bool:
-        """Whether merging the two on their own leaves them as they are."""
+        """Whether merging the two on their own leaves them as they are: the later of their merges is undone, again and again, and none across their border may have come before it."""
         if (known := self.stands.get((left, right))) is None:
             if len(self.stands) > 2_000_000:
                 self.stands.clear()
-            known = self.stands[left, right] = merged(list(left + right), self.pieces.rank) == [left, right]
+            known = self.stands[left, right] = self._holds(left, right)
         return known
 
+    def _holds(self, left: str, right: str) -> bool:
+        rank, limit = self.pieces.rank.get, float("inf")
+        while True:
+            if (r := rank(left + right)) is not None and r < limit:
+                return False
+            a, b = rank(left, -1), rank(right, -1)
+            if a > b:
+                limit, left = a, self.splits[left][1]
+            elif b >= 0:
+                limit, right = b + 1, self.splits[right][0]  # of equal merges the left one comes first
+            else:
+                return True
+
     def learn(self, words: Iterable[str]) -> None:
         """Adds the identifiers of marked words to the table, walking them as a trie."""
         last = [0]  # length of the last token of each prefix of the word before; 0 for a character outside the vocabulary
@@ -120,13 +140,7 @@ class Codec:
             self.known.clear()
             new = set().union(*split)
         self.learn(new)
-        out = []
-        for words in split:
-            ids = array("i")
-            for x in map(self.known.__getitem__, words):
-                ids.extend(x)
-            out.append(ids)
-        return out
+        return [array("i", chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of identifiers; bytes that are no UTF-8 become replacement characters."""
@@ -144,7 +158,7 @@ class Codec:
         return out.replace(MARK, " ").removeprefix(" ")
 
 
-def _blocks(values: list[str], size: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def _blocks(values: list[str], size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """Stretches of a batch of about so many characters."""
     start, n = 0, 0
     for k, t in enumerate(values):
@@ -159,10 +173,10 @@ def _blocks(values: list[str], size: int = 2_000_000) -> Iterator[tuple[int, lis
 def encode(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, ids array<int>, n_tokens, ids_sha256 (of the identifiers as little-endian 32-bit integers), round_trip (decoding gives the text)."""
     model = model or model_bytes()
+    splits = last_merges(Pieces(model))  # as many as the vocabulary has pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Pieces(model))
-        gc.disable()
+        codec = Codec(Pieces(model), splits=splits)
         for batch in batches:
             for start, block in _blocks(batch.column(1).to_pylist()):
                 ids = [np.frombuffer(x, np.int32) for x in codec.encode(block)]
@@ -173,7 +187,7 @@ def encode(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(block)), lists, pa.array(np.diff(sizes)), pa.array(digests), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "ids_sha256", "round_trip"])
 
     rows = texts(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, ids_sha256 string, round_trip boolean")
+    return rows.mapInArrow(without_collector(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, ids_sha256 string, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model: bytes | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -181,7 +195,7 @@ def decode(tokens: DataFrame, model: bytes | None = None, id_col: str = "doc_id"
     model = model or model_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Pieces(model))
+        codec = Codec(Pieces(model), splits={})
         for batch in batches:
             out = [codec.decode(np.array(x or [], np.int32)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])

@@ -9,7 +9,6 @@ Null and empty texts have no token. Rows that repeat stay rows of their own, in
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from operator import add
@@ -17,7 +16,7 @@ from operator import add
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from convolake.llm.common import texts
+from convolake.llm.common import texts, without_collector
 from convolake.llm.pieces import MARK, Pieces, chunks, marked_words, model_bytes
 
 
@@ -105,7 +104,6 @@ def token_counts(docs: DataFrame, model: bytes | None = None, limit: int = 4096,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCounts(Pieces(model), known_words)
-        gc.disable()  # nothing here makes cycles, and a collection would walk the whole table
         for batch in batches:
             values = batch.column(1).to_pylist()
             n = [count_tokens(t, known) for t in values]
@@ -113,4 +111,4 @@ def token_counts(docs: DataFrame, model: bytes | None = None, limit: int = 4096,
 
     rows = texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(without_collector(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

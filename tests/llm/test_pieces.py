@@ -18,7 +18,7 @@ def library():
 
 def cases():
     deal = random.Random(7)
-    return ODD + ["".join(deal.choice("abthe  \n\t▁é日🙂x.,1\r") for _ in range(deal.randint(0, 40))) for _ in range(1500)]
+    return ODD + [" " * k + "x" + " " * (k // 2) for k in range(70)] + ["".join(deal.choice("abthe  \n\t▁é日🙂x.,1\r") for _ in range(deal.randint(0, 40))) for _ in range(1500)]
 
 
 def test_counts_equal_the_library(library):
