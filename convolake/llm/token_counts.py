@@ -65,10 +65,11 @@ class WordCounts(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        if word[-2:] not in self.pieces.pairs and len(word) > 1:  # no merge takes the last character
-            n = self[word[:-1]] + self.pieces.size(word[-1])
-        else:
-            n = merged_count(MARK + word, self.pieces)
+        k, n = len(word), 0
+        while k > 1 and word[k - 2 : k] not in self.pieces.pairs:  # no merge takes the last character
+            k -= 1
+            n += self.pieces.size(word[k])
+        n += self[word[:k]] if k < len(word) else merged_count(MARK + word, self.pieces)
         if len(word) <= 64:
             self[word] = n
         return n

@@ -27,6 +27,13 @@ def test_counts_equal_the_library(library):
         assert token_counts.count_tokens(t, known) == len(library.encode(t)), repr(t)
 
 
+@pytest.mark.parametrize("run", ["0", "12", "123456789", "日", "中文字符", "ก", "日本語テキスト"])
+def test_counts_of_long_runs(library, run):
+    known, said = token_counts.WordCounts(Pieces(model_bytes()), 50), run * 5000
+    for t in (said, f"a {said}", f"{said[:5000]}. b"):
+        assert token_counts.count_tokens(t, known) == len(library.encode(t))
+
+
 def test_identifiers_equal_the_library_and_come_back(library):
     codec = piece_codec.Codec(Pieces(model_bytes()), 400)
     every = cases()
