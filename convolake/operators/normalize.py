@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolake.functions.text import strip
-from convolake.operators.base import sql_operator
+from convolake.operators.base import over, sql_operator
 
 consecutive_roles = sql_operator("SELECT conversation_id, count(CASE WHEN role = before THEN 1 END) AS n FROM (SELECT conversation_id, role, lag(role) OVER (PARTITION BY conversation_id ORDER BY pos) AS before FROM {messages}) t GROUP BY conversation_id", "messages")
 message_index = sql_operator("SELECT platform, conversation_id, msg_seq, row_number() OVER (PARTITION BY platform, conversation_id ORDER BY msg_seq) AS message_index FROM {messages}", "messages")
@@ -39,8 +40,8 @@ nearest_heading = sql_operator("SELECT conversation_id, message_id, max(CASE WHE
 dedupe_keep_first = sql_operator("SELECT conversation_id, first_seq, row_number() OVER (PARTITION BY conversation_id ORDER BY first_seq) AS place FROM (SELECT conversation_id, substr(lower(texte), 1, 1) AS key, min(msg_seq) AS first_seq FROM {messages} GROUP BY conversation_id, substr(lower(texte), 1, 1)) t", "messages")
 #: Versions of one message: siblings of a parent and sender.
 siblings = sql_operator("SELECT conversation_id, parent, role, count(*) AS n, min(msg_seq) AS first_seq, max(msg_seq) AS active_seq FROM (SELECT *, CAST(floor(pos / 2.0) AS INT) - 1 AS parent FROM {messages}) t GROUP BY conversation_id, parent, role", "messages")
-#: Path from the last leaf to the root of a tree of messages; the guard bounds a broken tree.
-active_branch = sql_operator(
+#: active_branch for another engine, up to a guard.
+_BRANCH = sql_operator(
     """WITH RECURSIVE tree AS (SELECT conversation_id, pos, CASE WHEN pos % 4 = 3 THEN pos - 2 ELSE pos - 1 END AS parent FROM {messages}),
     leaf AS (SELECT conversation_id, max(pos) AS pos FROM tree GROUP BY conversation_id),
     walk AS (SELECT t.conversation_id, t.pos, t.parent, 0 AS depth FROM tree t JOIN leaf l ON l.conversation_id = t.conversation_id AND l.pos = t.pos
@@ -48,8 +49,8 @@ active_branch = sql_operator(
     SELECT conversation_id, pos, depth FROM walk""",
     "messages",
 )
-#: Order of keys from overlapping windows: each key's first successor, followed from the keys that none precedes.
-window_chain = sql_operator(
+#: window_chain for another engine, up to a guard.
+_CHAIN = sql_operator(
     """WITH RECURSIVE edges AS (SELECT conversation_id, a, min(b) AS b FROM (SELECT conversation_id, msg_seq AS a, lead(msg_seq) OVER (PARTITION BY conversation_id ORDER BY pos) AS b FROM {messages} WHERE pos % 7 <> 5
         UNION ALL SELECT conversation_id, msg_seq, lead(msg_seq) OVER (PARTITION BY conversation_id ORDER BY pos) FROM {messages}) x WHERE b IS NOT NULL GROUP BY conversation_id, a),
     heads AS (SELECT DISTINCT e.conversation_id, e.a FROM edges e LEFT JOIN edges p ON p.conversation_id = e.conversation_id AND p.b = e.a WHERE p.b IS NULL),
@@ -61,10 +62,48 @@ window_chain = sql_operator(
 suite_answer = sql_operator("SELECT conversation_id, min(answer) AS answer_seq FROM (SELECT conversation_id, role, lead(role) OVER (PARTITION BY conversation_id ORDER BY pos) AS next_role, lead(msg_seq) OVER (PARTITION BY conversation_id ORDER BY pos) AS answer FROM {messages}) t WHERE role = 'user' AND next_role = 'assistant' GROUP BY conversation_id", "messages")
 
 
+def follow(steps: DataFrame, node: str) -> DataFrame:
+    """Whole walks from the nodes that start one: (conversation_id, node, depth), from steps (conversation_id, node, next, start). A walk ends where there is no row for the next node, or one that it has met. The nodes of a conversation are one group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, to, starts = (table.column(c).to_pylist() for c in (node, "next", "start"))
+        after, met, depths = dict(zip(own, to, strict=True)), [], []
+        for at in dict.fromkeys(n for n, s in zip(own, starts, strict=True) if s):
+            seen = set()
+            while at is not None and at in after and at not in seen:
+                met.append(at)
+                depths.append(len(seen))
+                seen.add(at)
+                at = after[at]
+        key = table.column("conversation_id")[0].as_py()
+        return pa.table({"conversation_id": pa.array([key] * len(met), table.schema.field("conversation_id").type), node: pa.array(met, table.schema.field(node).type), "depth": pa.array(depths, pa.int32())})
+
+    kinds = dict(steps.dtypes)
+    return steps.select("conversation_id", node, "next", "start").groupBy("conversation_id").applyInArrow(run, f"conversation_id {kinds['conversation_id']}, {node} {kinds[node]}, depth int")
+
+
+def active_branch(messages: DataFrame) -> DataFrame:
+    """Path from the last leaf to the root of a tree of messages."""
+    return follow(over("SELECT conversation_id, pos, CASE WHEN pos % 4 = 3 THEN pos - 2 ELSE pos - 1 END AS next, pos = max(pos) OVER (PARTITION BY conversation_id) AS start FROM {messages}", messages=messages), "pos")
+
+
+def window_chain(messages: DataFrame) -> DataFrame:
+    """Order of keys from overlapping windows: each key's first successor, followed from the keys that none precedes."""
+    steps = over(
+        """WITH edges AS (SELECT conversation_id, msg_seq, min(b) AS next FROM (SELECT conversation_id, msg_seq, lead(msg_seq) OVER (PARTITION BY conversation_id ORDER BY pos) AS b FROM {messages} WHERE pos % 7 <> 5
+        UNION ALL SELECT conversation_id, msg_seq, lead(msg_seq) OVER (PARTITION BY conversation_id ORDER BY pos) FROM {messages}) x GROUP BY conversation_id, msg_seq)
+        SELECT e.*, e.next IS NOT NULL AND p.b IS NULL AS start FROM edges e LEFT JOIN (SELECT DISTINCT conversation_id, next AS b FROM edges) p ON p.conversation_id = e.conversation_id AND p.b = e.msg_seq""",
+        messages=messages,
+    )
+    return follow(steps, "msg_seq")
+
+
+for _whole, _guarded in ((active_branch, _BRANCH), (window_chain, _CHAIN)):
+    _whole.tables, _whole.sql = _guarded.tables, _guarded.sql
+
+
 def fold_runs(messages: DataFrame) -> DataFrame:
     """Messages with alternating roles. In a run a text that the one so far holds is dropped, one that holds it replaces it, and others follow after a blank line; the first message_id, model and time that aren't empty stay."""
-    from convolake.operators.base import over
-
     runs = over(_RUNS, messages=messages)
     said = F.transform(F.sort_array(F.collect_list(F.struct("pos", "texte"))), lambda x: F.coalesce(x["texte"], F.lit("")))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolake.functions import text as T
+from convolake.operators.normalize import follow
 
 COLUMNS = ("conversation_id", "pos", "message_id", "role", "model", "ts", "texte", "reasoning", "tools", "sources", "artifacts")
 _NONE = "CAST(array() AS array<string>)"
@@ -45,16 +46,11 @@ CLAUDE = "uuid string, model string, current_leaf_message_uuid string, chat_mess
 
 
 def claude(payloads: DataFrame) -> DataFrame:
-    """A tree of messages: the branch from the current leaf, or else from the message with the largest index, to the root. The walk is bounded by the number of messages."""
+    """A tree of messages: the branch from the current leaf, or else from the message with the largest index, to the root."""
     p = _read(payloads, CLAUDE)
     rows = p.select("conversation_id", F.col("p.model").alias("model"), F.col("p.current_leaf_message_uuid").alias("leaf"), F.explode("p.chat_messages").alias("m"))
     flat = rows.select("conversation_id", "model", F.col("m.uuid").alias("id"), F.col("m.parent_message_uuid").alias("parent"), "m", F.row_number().over(Window.partitionBy("conversation_id").orderBy((F.col("m.uuid") == F.col("leaf")).desc_nulls_last(), F.col("m.index").desc_nulls_last())).alias("k"))
-    spark = payloads.sparkSession
-    walk = spark.sql(
-        """WITH RECURSIVE walk AS (SELECT conversation_id, id, parent, 0 AS depth FROM {flat} WHERE k = 1
-        UNION ALL SELECT t.conversation_id, t.id, t.parent, w.depth + 1 FROM walk w JOIN {flat} t ON t.conversation_id = w.conversation_id AND t.id = w.parent WHERE w.depth < 5000) SELECT conversation_id, id, max(depth) AS depth FROM walk GROUP BY conversation_id, id""",
-        flat=flat,
-    )
+    walk = follow(flat.withColumns({"next": F.col("parent"), "start": F.col("k") == 1}), "id")
     on = flat.join(walk, ["conversation_id", "id"])
     content, answer = F.coalesce(F.col("m.content"), F.array()), F.col("m.sender") != "human"
     of = lambda kind, f: F.transform(F.filter(F.col("m.content"), lambda b: b["type"] == kind), f)
@@ -140,11 +136,7 @@ def mistral(payloads: DataFrame) -> DataFrame:
     rows = p.select("conversation_id", F.explode("p.messages.items").alias("m"))
     flat = rows.select("conversation_id", F.concat_ws("@", "m.id", F.coalesce("m.version", F.lit(0)).cast("string")).alias("id"), F.when(F.col("m.parentId").isNotNull(), F.concat_ws("@", "m.parentId", F.coalesce("m.parentVersion", F.lit(0)).cast("string"))).alias("parent"), "m")
     flat = flat.withColumn("k", F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.col("m.createdAt").desc_nulls_last(), F.col("id").desc())))
-    walk = payloads.sparkSession.sql(
-        """WITH RECURSIVE walk AS (SELECT conversation_id, id, parent, 0 AS depth FROM {flat} WHERE k = 1
-        UNION ALL SELECT t.conversation_id, t.id, t.parent, w.depth + 1 FROM walk w JOIN {flat} t ON t.conversation_id = w.conversation_id AND t.id = w.parent WHERE w.depth < 5000) SELECT conversation_id, id, max(depth) AS depth FROM walk GROUP BY conversation_id, id""",
-        flat=flat,
-    )
+    walk = follow(flat.withColumns({"next": F.col("parent"), "start": F.col("k") == 1}), "id")
     said = lambda thinking: _joined(F.transform(F.filter("m.contentChunks", lambda c: (c["type"] == "reasoning") if thinking else (c["type"] == "text")), lambda c: c["text"]), "")
     files = F.transform("m.files", lambda f: F.concat(F.lit("["), f["name"], F.lit("]("), f["url"], F.lit(")")))
     return _finish(flat.join(walk, ["conversation_id", "id"]), [-F.col("depth")], message_id=F.col("m.id"), role=F.col("m.role"), ts=T.parse_iso(F.col("m.createdAt")), texte=_joined(F.array(T.math(said(False)), _joined(files))), reasoning=said(True))

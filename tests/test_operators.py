@@ -119,6 +119,30 @@ def test_branch_of_a_tree(spark):
     assert got == [("user", "q", "", []), ("assistant", "new", "why", ["search"])]
 
 
+def test_walks_of_long_chains(spark):
+    rows = [("c", k, 10 * k) for k in range(700)] + [("d", 0, 7), ("e", 0, 1), ("e", 1, 2)]
+    df = spark.createDataFrame(rows, "conversation_id string, pos int, msg_seq long")
+    branch, at = [], 699
+    while at >= 0:
+        branch.append(("c", at, len(branch)))
+        at -= 2 if at % 4 == 3 else 1
+    branch += [("d", 0, 0), ("e", 1, 0), ("e", 0, 1)]
+    assert sorted(map(tuple, normalize.active_branch(df).collect())) == sorted(branch)
+    chain = [("c", 10 * k, k) for k in range(700)] + [("e", 1, 0), ("e", 2, 1)]
+    assert sorted(map(tuple, normalize.window_chain(df).collect())) == chain
+    steps = spark.createDataFrame([("c", "a", "b", True), ("c", "b", "c", False), ("c", "c", "b", False), ("d", "a", "z", True), ("d", "b", None, True)], "conversation_id string, id string, next string, start boolean")
+    assert sorted(map(tuple, normalize.follow(steps, "id").collect())) == [("c", "a", 0), ("c", "b", 1), ("c", "c", 2), ("d", "a", 0), ("d", "b", 0)]
+
+
+def test_branches_of_long_trees(spark):
+    ids = [f"m{k}" for k in range(6000)]
+    tree = [{"uuid": i, "parent_message_uuid": p, "sender": "human", "index": k, "content": [{"type": "text", "text": i}]} for k, (i, p) in enumerate(zip(ids, [None, *ids]))]
+    items = [{"id": i, "version": 0, "parentId": p, "role": "user", "createdAt": f"2024-01-01T{k:06}", "contentChunks": [{"type": "text", "text": i}]} for k, (i, p) in enumerate(zip(ids, [None, *ids]))]
+    for mapper, talk in ((parsers.claude, {"current_leaf_message_uuid": ids[-1], "chat_messages": tree}), (parsers.mistral, {"messages": {"items": items}})):
+        got = mapper(spark.createDataFrame([("c", json.dumps(talk))], "conversation_id string, payload string"))
+        assert [r.texte for r in got.orderBy("pos").collect()] == ids
+
+
 def test_suites_and_covers(spark):
     suite = "# Media\n## Test 1 — Images\n```\nsend it\n```\n## Test 2 : Audio\n```\nplay\n```\n# End\n"
     df = spark.createDataFrame([("s", suite)], "suite_id string, text string")
