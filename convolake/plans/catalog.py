@@ -306,11 +306,16 @@ _TAXONOMY = [("articles", "the"), ("conjunctions", "and"), ("prepositions", "of"
 
 
 def _tagged(m: DataFrame) -> DataFrame:
-    tests = m.where("pos < 6").select("platform", F.col("msg_seq").alias("place"), F.lit("").alias("capability"), F.substring("texte", 1, 200).alias("prompt"))
+    tests = m.select("platform", F.col("msg_seq").alias("place"), F.lit("").alias("capability"), F.col("texte").alias("prompt"))
     return calibration.tag_tests(tests, m.sparkSession.createDataFrame(_TAXONOMY, "id string, keyword string"))
 
 
-_query("q4_tag_tests", "messages", "SELECT msg_seq AS place, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN contains(strip_accents(lower(substr(texte, 1, 200))), '{k}') THEN '{i}' END" for i, k in _TAXONOMY) + "], lambda x: x IS NOT NULL)), ',') AS found FROM messages WHERE pos < 6")(lambda m: _tagged(m).select("place", F.array_join("capabilities", ",").alias("found")))
+def _found(m: DataFrame) -> DataFrame:
+    return _tagged(m).select("place", F.array_join("capabilities", ",").alias("found"))
+
+
+_query("q4_tag_tests", "messages", "SELECT msg_seq AS place, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN contains(strip_accents(lower(substr(texte, 1, 200))), '{k}') THEN '{i}' END" for i, k in _TAXONOMY) + "], lambda x: x IS NOT NULL)), ',') AS found FROM messages WHERE pos < 6")(lambda m: _found(m.where("pos < 6").withColumn("texte", F.substring("texte", 1, 200))))  # as far as its SQL goes
+_query("q4_tag_tests_whole", "messages", "SELECT msg_seq AS place, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN contains(strip_accents(lower(texte)), '{k}') THEN '{i}' END" for i, k in _TAXONOMY) + "], lambda x: x IS NOT NULL)), ',') AS found FROM messages")(lambda m: _found(m))
 _query("q5_min_cover", "messages", None)(lambda m: calibration.minimum_cover(_tagged(m), "platform"))
 _query("q7_payload", "messages", None)(lambda m: calibration.payload(_tagged(m), m.sparkSession.createDataFrame(_TAXONOMY, "id string, keyword string"), "platform"))
 

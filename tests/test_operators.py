@@ -1,10 +1,12 @@
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from convolake.functions import text as T
 from convolake.operators import archive, calibration, normalize, parsers, quality, sanitize, search, shapes
+from convolake.plans import catalog
 from convolake.sources import archive as archives
 from convolake.streaming import incremental
 
@@ -13,6 +15,10 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
+def one_fold(said):
+    return "".join(c for c in unicodedata.normalize("NFD", said.lower()) if not unicodedata.combining(c))
+
+
 def test_text(spark):
     assert one(spark, T.slug(F.lit("Été à la Plage!! (2)"))) == "ete-a-la-plage-2"
     assert one(spark, T.slug(F.lit("!!!"))) == "untitled"
@@ -152,6 +158,28 @@ def test_suites_and_covers(spark):
     assert sorted(r.place for r in calibration.minimum_cover(tests, "key").collect()) == [2, 3]
 
 
+def test_tags_of_whole_texts(spark, sf_dir):
+    df = spark.createDataFrame([("p", 7, 1, "x " * 300 + "ÜND"), ("p", 0, 2, "the end"), ("q", 9, 3, "the les")], "platform string, pos int, msg_seq long, texte string")
+    assert {r.place: r.capabilities for r in catalog._tagged(df).collect()} == {1: ["german"], 2: ["articles"], 3: ["articles", "french"]}
+    own = {}
+    for r in catalog._table(spark, sf_dir, "messages").collect():
+        own.setdefault(r.platform, {})[r.msg_seq] = {i for i, k in catalog._TAXONOMY if k in one_fold(r.texte)}
+    cover = {}
+    for platform, tags in own.items():
+        left = set().union(*tags.values())
+        while left:
+            best = max(sorted(tags), key=lambda p: len(tags[p] & left))
+            cover.setdefault(platform, []).append(best)
+            left -= tags[best]
+    got = {}
+    for r in catalog.queries()["q5_min_cover"](spark, sf_dir).collect():
+        got.setdefault(r.platform, []).append(r.place)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in cover.items()}
+    every = {i for i, _ in catalog._TAXONOMY}
+    want = {k: (sorted(set().union(*v.values())), sorted(every - set().union(*v.values()))) for k, v in own.items()}
+    assert {r.platform: (r.covered, r.missing) for r in catalog.queries()["q7_payload"](spark, sf_dir).collect()} == want
+
+
 def test_shape_scores(spark):
     rows = lambda *said: spark.createDataFrame([(k, s) for k, s in enumerate(said)], "payload_id int, payload string")
     ref = shapes.merge(shapes.shape_rows(rows('{"id": "x", "messages": [{"role": "u", "n": 1}]}', "not json")))
