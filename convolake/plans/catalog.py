@@ -224,8 +224,8 @@ _CHECKED = "checked AS (SELECT platform, conversation_id, count(*) AS old_messag
 
 
 def _rechecked(m: DataFrame) -> DataFrame:
-    plain = m.withColumn("texte", F.lit(""))
-    return quality.recheck(quality.metrics(plain.where("NOT (conv_id % 3 = 1 AND pos > 1)")), quality.metrics(plain))
+    told = m.withColumn("code_langs", F.size(F.filter(T.code_blocks(F.col("texte")), lambda b: b["language"] != "")))
+    return quality.recheck(quality.metrics(told.where("NOT (conv_id % 3 = 1 AND pos > 1)")), quality.metrics(told))
 
 
 _query("j15_recheck_compare", "messages", f"WITH {_CHECKED} SELECT platform, conversation_id, old_messages, new_messages, retention, status FROM told")(lambda m: _rechecked(m).drop("lost"))

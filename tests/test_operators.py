@@ -211,6 +211,15 @@ def test_search_semantics(spark):
     assert [(r.conversation_id, r.hit_count) for r in search.group_results(search.hybrid(m, v, [1.0, 0.0], "cat", k=3)).orderBy("place").collect()] == [("c1", 1), ("c1", 1), ("c2", 1)]
 
 
+def test_rechecks_of_real_texts(spark):
+    rich = "![i](u)\n- a\n1. b\n| --- |\n```py\nx\n```\n$x$"
+    rows = [("p", f"c{c}", c, k, "user" if k % 2 == 0 else "assistant", t) for c in (3, 4) for k, t in enumerate(("hi", "ho", rich))]
+    rows += [("p", "c7", 7, k, "user" if k % 2 == 0 else "assistant", rich) for k in range(3)] + [("p", "c10", 10, k, "user", "") for k in range(4)]
+    df = spark.createDataFrame(rows, "platform string, conversation_id string, conv_id long, pos int, role string, texte string")
+    got = {r.conversation_id: (r.old_messages, r.new_messages, r.lost, r.status) for r in catalog._rechecked(df).collect()}
+    assert got == {"c3": (3, 3, [], "ok"), "c4": (3, 2, ["images", "tables", "lists", "code_langs", "latex"], "degrade"), "c7": (3, 2, [], "degrade"), "c10": (4, 2, ["messages"], "degrade")}
+
+
 def test_verdicts(spark):
     df = spark.createDataFrame([("a", "ok", 1.0), ("a", "vide", 0.0), ("b", "ok", 1.0), ("b", "degrade", 0.9), ("b", "ignore", None), ("c", "ignore", None), ("d", "ok", 1.2)], "platform string, status string, retention double")
     assert {r.platform: r.verdict for r in quality.verdicts(df).collect()} == {"a": "critique", "b": "attention", "c": "inconnu", "d": "ok"}
