@@ -167,6 +167,9 @@ _query("j5_meta_left", "messages conv", "SELECT m.msg_seq, c.title FROM messages
 _query("j8_media_full_outer", "messages media", "SELECT coalesce(t.conversation_id, h.conversation_id) AS conversation_id, coalesce(hit_count, 0) AS hit_count, coalesce(media_hits, 0) AS media_hits FROM (SELECT conversation_id, count(*) AS hit_count FROM messages WHERE pos < 3 GROUP BY 1) t FULL OUTER JOIN (SELECT conversation_id, count(*) AS media_hits FROM media GROUP BY 1) h ON h.conversation_id = t.conversation_id")(
     lambda m, d: search.media_groups(m.where("pos < 3").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("hit_count")), d)
 )
+_query("j8_media_full_outer_all", "messages media", "SELECT coalesce(t.conversation_id, h.conversation_id) AS conversation_id, coalesce(hit_count, 0) AS hit_count, coalesce(media_hits, 0) AS media_hits FROM (SELECT conversation_id, count(*) AS hit_count FROM messages GROUP BY 1) t FULL OUTER JOIN (SELECT conversation_id, count(*) AS media_hits FROM media GROUP BY 1) h ON h.conversation_id = t.conversation_id")(
+    lambda m, d: search.media_groups(m.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("hit_count")), d)
+)
 
 # Text operations, over messages, documents and pages.
 _SAID = "'# Head\n\n' || texte || '\n```py\nprint(1)\n```\n\n- see https://a.example/x.png?q=1, ![i](https://b.example/i.jpg) and [f](https://c.example/f.pdf)\n\n\n'"
@@ -301,7 +304,7 @@ _query("b12_html", "messages", None)(lambda m: archives.render_html(m))
 _query("a10_media_references", "messages", "SELECT platform, 'images' AS folder, 'i' || CAST(pos % 3 AS VARCHAR) || '.png' AS name, arg_min(message_id, (conversation_id, pos)) AS message_id FROM messages GROUP BY ALL")(
     lambda m: archives.media_references(m.withColumn("texte", F.concat(F.lit("![x](images/i"), (F.col("pos") % 3).cast("string"), F.lit(".png)")))).select("platform", "folder", "name", "message_id")
 )
-_query("j19_queue_coverage", "messages", None)(lambda m: calibration.queue_coverage(m.where("role = 'user' AND pos < 4").withColumn("place", F.col("msg_seq")), m.where("role = 'user' AND conv_id % 3 <> 0").withColumn("place", F.col("msg_seq"))))
+_query("j19_queue_coverage", "messages", None)(lambda m: calibration.queue_coverage(m.where("role = 'user'").withColumn("place", F.col("msg_seq")), m.where("role = 'user' AND conv_id % 3 <> 0").withColumn("place", F.col("msg_seq"))))
 _TAXONOMY = [("articles", "the"), ("conjunctions", "and"), ("prepositions", "of"), ("german", "und"), ("french", "les"), ("never", "zzzz")]
 
 

@@ -1,5 +1,7 @@
 import json
+import random
 import unicodedata
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +182,39 @@ def test_tags_of_whole_texts(spark, sf_dir):
     assert {r.platform: (r.covered, r.missing) for r in catalog.queries()["q7_payload"](spark, sf_dir).collect()} == want
 
 
+def greedy_coverage(queue, seen):
+    used, present = set(), []
+    for short, long in queue:
+        near = [j for j, (s, _) in enumerate(seen) if j not in used and s and short and (short in s or s in short)]
+        if near:
+            used.add(max(near, key=lambda j: SequenceMatcher(None, long, seen[j][1]).ratio()))
+        present.append(bool(near))
+    return present
+
+
+def test_coverage_of_a_whole_queue(spark, sf_dir):
+    deal = random.Random(3)
+    words = ["".join(deal.choice("ab") for _ in range(deal.randint(0, 4))) for _ in range(400)]
+    words += [deal.choice(("the first turn of a talk that is ", "x" * 30)) + deal.choice(("", "one", "two", "long " * 30)) for _ in range(200)] + [None, "!?"]
+    deal.shuffle(words)
+    frame = lambda some: spark.createDataFrame([(deal_key(k), k, t) for k, t in enumerate(some)], "platform string, place long, texte string")
+    deal_key = lambda k: "pq"[k % 2]
+    queue, seen = frame(words), frame(sorted(words[:300], key=str))
+    keys = lambda d: d.select("platform", "place", T.match_key(F.col("texte"), 25).alias("short"), T.match_key(F.col("texte"), 120).alias("long")).orderBy("place").collect()
+
+    def held(queue, seen):
+        left, right = keys(queue), keys(seen)
+        want = {}
+        for p in {r.platform for r in left}:
+            own = [r for r in left if r.platform == p]
+            want |= {(p, r.place): x for r, x in zip(own, greedy_coverage([(r.short, r.long) for r in own], [(r.short, r.long) for r in right if r.platform == p]), strict=True)}
+        return want
+
+    assert {(r.platform, r.place): r.present for r in calibration.queue_coverage(queue, seen).collect()} == held(queue, seen)
+    asked = catalog._table(spark, sf_dir, "messages").where("role = 'user'").withColumn("place", F.col("msg_seq"))
+    assert {(r.platform, r.place): r.present for r in catalog.queries()["j19_queue_coverage"](spark, sf_dir).collect()} == held(asked, asked.where("conv_id % 3 <> 0"))
+
+
 def test_shape_scores(spark):
     rows = lambda *said: spark.createDataFrame([(k, s) for k, s in enumerate(said)], "payload_id int, payload string")
     ref = shapes.merge(shapes.shape_rows(rows('{"id": "x", "messages": [{"role": "u", "n": 1}]}', "not json")))
