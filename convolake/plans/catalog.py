@@ -215,6 +215,10 @@ _text("c48_masked_key", lambda: T.masked_key(F.concat(F.lit("k:"), F.md5("texte"
 _text("c51_relative_dates", lambda: T.iso_z(T.relative_date(F.get(F.array(F.lit("25 sept., 19:01"), F.lit("hier, 08:05"), F.lit("31 avr., 10:00"), F.lit("1 janv., 00:30"), F.lit("soon")), F.col("pos") % 5), F.lit("2024-07-10 12:00:00").cast("timestamp"))), "CASE pos % 5 WHEN 0 THEN '2023-09-25T19:01:00Z' WHEN 1 THEN '2024-07-09T08:05:00Z' WHEN 3 THEN '2024-01-01T00:30:00Z' END")
 _text("c57_source_entry", lambda: T.source_entry(F.when(F.col("pos") % 2 == 0, F.lit(" T ")), F.concat(F.lit("u"), F.col("message_id"))), "CASE WHEN pos % 2 = 0 THEN 'T — u' || message_id ELSE 'u' || message_id END")
 _text("u6_ordered_distinct", lambda: F.array_join(F.array_distinct(F.split(F.regexp_replace("texte", r"\s+", " "), " ")), " ").substr(1, 20), r"substr(array_to_string(list_transform(list_filter(list_zip(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), range(len(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' ')))), lambda x: list_position(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), x[1]) = x[2] + 1), lambda x: x[1]), ' '), 1, 20)")
+# Of whole texts, which the SQL of the queries without "whole" or "pages" does not ask for.
+_text("c14_safe_id_whole", lambda: F.md5(T.safe_id(F.col("text"))), r"md5(coalesce(nullif(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9._-]', '_', 'g'), ''), 'unknown'))", "doc_id", "documents")
+_query("c43_html_text_pages", "pages", None)(lambda p: p.select("page_id", T.html_text(F.col("html")).alias("value")))
+_text("u6_ordered_distinct_whole", lambda: F.md5(F.array_join(F.array_distinct(F.split(F.regexp_replace("texte", r"\s+", " "), " ")), " ")), r"md5(array_to_string(list_transform(list_filter(list_zip(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), range(len(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' ')))), lambda x: list_position(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), x[1]) = x[2] + 1), lambda x: x[1]), ' '))")
 
 # Quality, sanitising, shapes.
 _METRICS = r"SELECT platform, conversation_id, count(*) AS messages, CAST(0 AS BIGINT) AS consecutive_roles, count(*) AS images, CAST(0 AS BIGINT) AS tables, CAST(count(*) AS BIGINT) AS lists, CAST(0 AS BIGINT) AS code_langs, CAST(sum(length(texte) - length(replace(texte, '$', ''))) AS BIGINT) AS latex FROM messages GROUP BY platform, conversation_id"

@@ -1,5 +1,8 @@
+import hashlib
+import html
 import json
 import random
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -111,6 +114,25 @@ def test_pages():
         assert part in said, (part, said)
 
 
+def test_text_of_whole_pages(spark, sf_dir):
+    pages = {r.page_id: r.html for r in catalog._table(spark, sf_dir, "pages").collect()}
+    got = {r.page_id: r.value for r in catalog.queries()["c43_html_text_pages"](spark, sf_dir).collect()}
+    assert got.keys() == pages.keys()
+    for k, said in pages.items():
+        said = re.sub(r"(?is)<(script|style)\b.*?</\1>", "", said)
+        said = re.sub(r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|pre|blockquote)>", "\n", said)
+        assert got[k] == html.unescape(re.sub(r"<[^>]+>", "", said))
+
+
+def test_whole_ids_and_words(spark, sf_dir):
+    ids = {r.doc_id: r.value for r in catalog.queries()["c14_safe_id_whole"](spark, sf_dir).collect()}
+    for r in catalog._table(spark, sf_dir, "documents").collect():
+        assert ids[r.doc_id] == hashlib.md5((re.sub(r"[^A-Za-z0-9._-]", "_", r.text.strip()) or "unknown").encode()).hexdigest()
+    words = {r.msg_seq: r.value for r in catalog.queries()["u6_ordered_distinct_whole"](spark, sf_dir).collect()}
+    for r in catalog._table(spark, sf_dir, "messages").collect():
+        assert words[r.msg_seq] == hashlib.md5(" ".join(dict.fromkeys(re.sub(r"\s+", " ", r.texte).split(" "))).encode()).hexdigest()
+
+
 def test_pending_reasoning(spark):
     m = lambda role, kind, **c: {"id": c.pop("id", ""), "author": {"role": role}, "content": {"content_type": kind, **c}, "metadata": {}}
     talk = [m("system", "text", parts=["no"]), m("user", "text", id="u", parts=["q"]), m("assistant", "thoughts", thoughts=[{"summary": "s", "content": "t"}]), m("assistant", "text", id="a", parts=["r \\(x\\)"]), m("assistant", "thoughts", thoughts=[{"summary": "lost", "content": ""}]), m("user", "text", id="v", parts=["p"])]
