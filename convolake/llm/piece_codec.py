@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +42,14 @@ def last_merges(pieces: Pieces) -> dict[str, tuple[str, str]]:
 
 
 class Codec:
-    """Encodes and decodes whole texts; known holds the identifiers of words, at most limit of them."""
+    """Encodes and decodes whole texts. known and older hold the identifiers of words as little-endian 32-bit integers, at most limit of them: when known is full it becomes older, and a word that is met again moves back."""
 
-    def __init__(self, pieces: Pieces, limit: int = 200_000, splits: dict[str, tuple[str, str]] | None = None):
+    def __init__(self, pieces: Pieces, limit: int = 300_000, splits: dict[str, tuple[str, str]] | None = None):
         self.pieces, self.limit = pieces, limit
         self.splits = last_merges(pieces) if splits is None else splits
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # words that do not come back from their identifiers
         self.stands: dict[tuple[str, str], bool] = {}
         self.alone = {p for p in pieces.ids if len(p) == 1} | set(self.splits)
         self.ends: dict[str, list[int]] = {}  # lengths of the pieces by their last three characters, or by all of a shorter one; longest first
@@ -57,7 +58,6 @@ class Codec:
                 sizes.append(len(p))
         self.byte_of = {i: b for b, i in pieces.byte_id.items()}
         self.say = pieces.text | {i: chr(b) for i, b in self.byte_of.items() if b < 128} | {pieces.unk: "\N{REPLACEMENT CHARACTER}"}
-        self.high = min((i for i, b in self.byte_of.items() if b >= 128), default=-1), max((i for i, b in self.byte_of.items() if b >= 128), default=-2)
 
     def holds(self, left: str, right: str) -> bool:
         """Whether merging the two on their own leaves them as they are: the later of their merges is undone, again and again, and none across their border may have come before it."""
@@ -114,7 +114,10 @@ class Codec:
                 else:
                     out.extend(reversed(spell(word[i - 1])))
                     i -= 1
-            self.known[word] = tuple(reversed(out))
+            out.reverse()
+            self.known[word] = array("i", out).tobytes()
+            if self.said(out) != word:
+                self.odd.add(word)
             before = word
 
     def words(self, text: str) -> list[str]:
@@ -132,33 +135,45 @@ class Codec:
                 out.extend(marked_words(stretch, begins))
         return out
 
-    def encode(self, block: list[str]) -> list[array]:
+    def encode(self, block: list[str]) -> list[np.ndarray]:
         """Identifiers of each text of a block."""
+        return [ids for ids, _ in self.encode_and_check(block)]
+
+    def encode_and_check(self, block: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+        """Of each text of a block its identifiers and whether they decode to it. Words decode apart from each other, so each word is decoded when it is learnt, and the words in their order must spell the text."""
         split = [self.words(t) for t in block]
         new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
+        if len(self.known) + len(new) > self.limit // 2:
+            self.older, self.known = self.known, {}
+            self.odd &= self.older.keys()
             new = set().union(*split)
-        self.learn(new)
-        return [array("i", chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of identifiers; bytes that are no UTF-8 become replacement characters."""
-        if len(ids) and ((ids >= self.high[0]) & (ids <= self.high[1])).any():
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        self.learn(new - again)
+        for text, words in zip(block, split, strict=True):
+            ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
+            yield ids, self.odd.isdisjoint(words) and "".join(words).replace(MARK, " ").removeprefix(" ") == text.replace(MARK, " ")
+
+    def said(self, ids: list[int]) -> str:
+        """The marked text of identifiers; bytes that are no UTF-8 become replacement characters."""
+        try:
+            return "".join([self.say[i] for i in ids])
+        except KeyError:  # bytes beyond ASCII, or unknown identifiers
             parts, run = [], bytearray()
-            for i in ids.tolist():
+            for i in ids:
                 if (b := self.byte_of.get(i)) is not None:
                     run.append(b)
                     continue
                 parts += [run.decode("utf-8", "replace"), self.say.get(i, "")]
                 run = bytearray()
-            out = "".join(parts) + run.decode("utf-8", "replace")
-        else:
-            out = "".join([self.say.get(i, "") for i in ids.tolist()])
-        return out.replace(MARK, " ").removeprefix(" ")
+            return "".join(parts) + run.decode("utf-8", "replace")
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of identifiers."""
+        return self.said(ids.tolist()).replace(MARK, " ").removeprefix(" ")
 
 
-def _blocks(values: list[str], size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+def _blocks(values: list[str], size: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """Stretches of a batch of about so many characters."""
     start, n = 0, 0
     for k, t in enumerate(values):
@@ -179,10 +194,9 @@ def encode(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id",
         codec = Codec(Pieces(model), splits=splits)
         for batch in batches:
             for start, block in _blocks(batch.column(1).to_pylist()):
-                ids = [np.frombuffer(x, np.int32) for x in codec.encode(block)]
+                ids, same = zip(*codec.encode_and_check(block), strict=True)
                 sizes = np.array([0, *map(len, ids)], np.int64).cumsum()
-                same = [codec.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, block, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids)))
                 digests = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(block)), lists, pa.array(np.diff(sizes)), pa.array(digests), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "ids_sha256", "round_trip"])
 
