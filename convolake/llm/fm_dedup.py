@@ -1,9 +1,9 @@
 """Word windows that repeat, by backward search in compressed FM-indexes.
 
-Contexts of equal anchors (see repeats) meet in a shard. The words of a shard's contexts are one sequence, of which the index holds the Burrows-Wheeler transform in a
-wavelet matrix of packed bits with counts for each 64 of them. The contexts are streamed against it, all their places at once: from each end the search goes
-back word by word, which gives the matching statistic of that end, the longest match that occurs twice, as far as the threshold. Ends that reach it end a
-repeated window; the others leave the search when their match ends.
+Contexts of equal anchors (see repeats) meet in a shard, some megabytes of distinct contexts. The words of a shard's contexts are one sequence, of which the index holds the
+Burrows-Wheeler transform in a wavelet matrix of packed bits with counts for each 64 of them. The contexts are streamed against it: from an end the search goes back word by
+word, which gives the matching statistic of that end, the longest match that occurs twice; a context that is there twice counts so. Matches of a window or more are
+intervals of repeated windows; where a match ends, the next search begins left of what is settled.
 
 Null texts have no words; texts of fewer words than a window keep all. Rows that repeat, or differ only in white space, are copies, all of which lose what they share.
 A null doc_id stays null; an empty table gives an empty result.
@@ -43,7 +43,7 @@ class Index:
 
     def __init__(self, sequence: np.ndarray, depth: int):
         n = len(sequence)
-        order = suffixes(sequence, depth)
+        self.order = order = suffixes(sequence, depth)
         moved = sequence[order - 1]
         self.levels = max(1, int(sequence.max()).bit_length()) if n else 1
         self.start = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=1 << self.levels))]).astype(np.int64)
@@ -85,26 +85,56 @@ def suffixes(sequence: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def statistics(index: Index, sequence: np.ndarray, begins: np.ndarray, ends: np.ndarray, times: np.ndarray, window: int, short: int = 8) -> np.ndarray:
+    """The places of sequence at which a window starts that occurs twice, of the stretches from begins to ends, all of which are streamed against the index at once.
+
+    times: how often each place counts. From the end of a stretch the search goes back as long as what it has read occurs twice, which may cover many windows. Where it stops, no window
+    that holds the place and all read so far occurs twice; a short search about the place then tells whether that is so of any window that holds it, and the next search begins
+    left of all windows that are settled.
+    """
+    weight = np.concatenate([[0], np.cumsum(times[index.order])])
+    change = np.zeros(len(sequence) + 1, np.int64)
+    live = np.flatnonzero(ends - begins >= window)
+    begin, end = begins[live], ends[live]
+    at, low, high = end - 1, np.zeros(len(live), np.int64), np.full(len(live), len(sequence))
+    after = np.full(len(live), -1)  # of a short search: where the next one ends if it comes through
+    while len(begin):
+        low, high = index.back(sequence[at], low, high)
+        twice = weight[high] - weight[low] > 1
+        at = at - twice
+        probe = after >= 0
+        over = np.flatnonzero(~twice | (at < begin) | probe & (end - at > short))
+        if not len(over):
+            continue
+        found = over[~probe[over]]
+        some = found[end[found] - at[found] > window]
+        np.add.at(change, at[some] + 1, 1)
+        np.add.at(change, end[some] - window + 1, -1)
+        stop, last = at[over], end[over]
+        right = np.minimum(stop, last - window - 1) + window  # windows up to here are open
+        right = np.where(probe[over], np.where(twice[over], after[over], last - 1), right)
+        test = ~probe[over] & (stop + short < right)
+        after[over] = np.where(test, right, -1)
+        end[over] = np.where(test, stop + short, right)
+        at[over], low[over], high[over] = end[over] - 1, 0, len(sequence)
+        gone = over[np.where(test, right, end[over]) - begin[over] < window]
+        if len(gone):
+            stay = np.ones(len(begin), bool)
+            stay[gone] = False
+            begin, end, at, low, high, after = (x[stay] for x in (begin, end, at, low, high, after))
+    return np.cumsum(change[:-1]) > 0
+
+
 def engine_for(window: int):
-    def engine(cuts: list[bytes], known: list[bool]) -> list[np.ndarray]:
-        """Of each context the places whose window repeats; known: it occurs twice itself."""
+    def engine(cuts: list[bytes], times: np.ndarray) -> list[np.ndarray]:
+        """Of each context the places whose window repeats."""
         split = [c.split(b" ") for c in cuts]
         number: dict[bytes, int] = {}
         sequence = np.array([x for words in split for x in (*(number.setdefault(w, len(number) + 1) for w in words), 0)], np.int64)
-        index = Index(sequence, window + 1)
         sizes = np.array([len(words) for words in split])
-        first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        starts = np.concatenate([np.arange(f, f + s - window + 1) for f, s, k in zip(first.tolist(), sizes.tolist(), known, strict=True) if not k] or [np.empty(0, np.int64)])
-        low, high, left = np.zeros(len(starts), np.int64), np.full(len(starts), len(sequence)), starts
-        for k in range(window - 1, -1, -1):
-            low, high = index.back(sequence[left + k], low, high)
-            more = high - low > 1
-            left, low, high = left[more], low[more], high[more]
-            if not len(left):
-                break
-        found = np.zeros(len(sequence) + 1, bool)
-        found[left] = True
-        return [np.ones(s - window + 1, bool) if k else found[f : f + s - window + 1] for f, s, k in zip(first.tolist(), sizes.tolist(), known, strict=True)]
+        ends = np.cumsum(sizes + 1) - 1
+        found = statistics(Index(sequence, 2 * window), sequence, ends - sizes, ends, np.repeat(times, sizes + 1), window)
+        return [found[e - s : e - window + 1] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
     return engine
 

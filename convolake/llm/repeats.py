@@ -4,7 +4,8 @@ A text is a sequence of units, bytes or words. Each window of a fixed number of
 window alone; so equal windows have equal anchors at equal places. The windows of one anchor are consecutive, and the stretch that they cover is its context.
   1. Texts are read into the hashes of their anchors. Equal texts count once, as all of their windows repeat anyway.
   2. Hashes that occur twice or more are found by counting; only texts that have one are read again, into the contexts of those anchors.
-  3. Contexts are dealt out by the hash, so that equal windows meet in one task, where the engine of the operator finds those that repeat.
+  3. Contexts are dealt out by the hash, so that equal windows meet in one task, where the engine of the operator finds those that repeat. Of equal contexts a task
+     sends two at most, and settles the others with them before the shuffle.
   4. The covered stretches go back to their texts.
 No step makes pairs; each text crosses the network only if it has a candidate, and at most twice.
 """
@@ -12,6 +13,7 @@ No step makes pairs; each text crosses the network only if it has a candidate, a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +55,12 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Bytes of contexts that an engine gets at once; those of one anchor stay together.
+SHARD = 4_000_000
+
+
 class Kind:
-    """How an operator sees a text. window, q: units. read: the units. grams: hashes of the q-grams of units. cut: the bytes of a stretch of units. engine: of such stretches the places where a repeated window starts."""
+    """How an operator sees a text. window, q: units. read: the units. grams: hashes of the q-grams of units. cut: the bytes of a stretch of units. engine: of such distinct stretches, and the times that each occurs, the places where a repeated window starts."""
 
     def __init__(self, window: int, q: int, read: Callable, grams: Callable, cut: Callable, engine: Callable):
         self.window, self.q, self.read, self.grams, self.cut, self.engine = window, q, read, grams, cut, engine
@@ -94,22 +100,34 @@ def repeated(texts: DataFrame, kind: Kind, finish: Callable[[str, list[tuple[int
     said = bitmap_filter(said, met.select("owner"), "owner").select("owner", "sha", "text")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times: dict[bytes, int] = {}  # of contexts, by digest, as far as this task has sent them; it may begin anew at any time
         for batch in batches:
             out: list[tuple] = []
             for sha, t, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 units = kind.read(t)
                 hashes, at, first, last = anchors(kind.grams(units), kind.window, kind.q)
                 of = np.flatnonzero(np.isin(hashes, np.array(wanted, np.int64).view(np.uint64)))
-                seen: dict[tuple, list[int]] = {}
-                for k in of.tolist():
-                    seen.setdefault((int(at[k] - first[k]), kind.cut(units, first[k], last[k] - 1 + kind.window)), []).append(k)
-                for (lead, cut), own in seen.items():  # a context that the text itself repeats is covered; one of it goes on
-                    if len(own) > 1:
-                        out += [(0, sha, int(first[k]), int(last[k] - 1 + kind.window), 0, None) for k in own]
-                    out.append((int(hashes[own[0]].view(np.int64)), sha, int(first[own[0]]), int(last[own[0]] - 1 + kind.window), lead, cut))
-                if len(out) > 20_000:
-                    yield _context_rows(out)
-                    out = []
+                low = high = -1  # what this task has settled of the text and not yet sent
+                for h, p, a, b in zip(*(x.tolist() for x in (hashes[of].view(np.int64), at[of], first[of], last[of] - 1 + kind.window)), strict=True):
+                    cut = kind.cut(units, a, b)
+                    key = blake2b(cut, digest_size=16, salt=(p - a).to_bytes(8, "little")).digest()
+                    seen = times.get(key, 0)
+                    if seen < 2:
+                        times[key] = seen + 1
+                        out.append((h, sha, a, b, p - a, cut))
+                    elif a <= high:
+                        high = b
+                    else:
+                        if high > 0:
+                            out.append((0, sha, low, high, 0, None))
+                        low, high = a, b
+                    if len(out) > 20_000:
+                        yield _context_rows(out)
+                        out = []
+                if high > 0:
+                    out.append((0, sha, low, high, 0, None))
+                if len(times) > 300_000:
+                    times = {}
             if out:
                 yield _context_rows(out)
 
@@ -123,7 +141,7 @@ def repeated(texts: DataFrame, kind: Kind, finish: Callable[[str, list[tuple[int
         def close() -> Iterator[pa.RecordBatch]:
             shas, lows, highs = [], [], []
             keys = list(held)
-            for (lead, cut), mask in zip(keys, kind.engine([cut for _, cut in keys], [len(held[k]) > 1 for k in keys]), strict=True):
+            for (lead, cut), mask in zip(keys, kind.engine([cut for _, cut in keys], np.array([len(held[k]) for k in keys])), strict=True):
                 starts, ends = runs(mask)
                 for (sha, low), _ in held[lead, cut].items() if len(starts) else ():
                     shas += [sha] * len(starts)
@@ -135,7 +153,7 @@ def repeated(texts: DataFrame, kind: Kind, finish: Callable[[str, list[tuple[int
         for batch in batches:
             for key, sha, low, high, lead, cut in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
-                    if size > 2_000_000:
+                    if size > SHARD:
                         yield from close()
                         held, size = {}, 0
                     now = key

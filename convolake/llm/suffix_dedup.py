@@ -51,8 +51,8 @@ def _free(flags: np.ndarray, span: int) -> np.ndarray:
     return total[end] == total[:-1]
 
 
-def refine(data: np.ndarray, alive: np.ndarray, length: int, q: int = 8) -> np.ndarray:
-    """Of the places in alive those whose string of this length is also at another of them. A string from an alive place must end inside data."""
+def refine(data: np.ndarray, alive: np.ndarray, length: int, q: int = 8, times: np.ndarray | None = None) -> np.ndarray:
+    """Of the places in alive those whose string of this length is also at another of them, or is there more than once itself. A string from an alive place must end inside data. times: how often each place is there; once if not given."""
     n = len(data)
     q = min(q, length)
     alive = alive.copy()
@@ -65,7 +65,7 @@ def refine(data: np.ndarray, alive: np.ndarray, length: int, q: int = 8) -> np.n
     while True:
         at = np.flatnonzero(need)
         _, inverse, counts = np.unique(key[at] if depth == q else key, return_inverse=True, return_counts=True)
-        bucket[at], alone[at] = inverse, counts[inverse] == 1
+        bucket[at], alone[at] = inverse, (counts[inverse] == 1) & (True if times is None else times[at] == 1)
         alive &= _free(alone & need, length - depth + 1)
         if depth == length or not alive.any():
             return alive
@@ -77,15 +77,16 @@ def refine(data: np.ndarray, alive: np.ndarray, length: int, q: int = 8) -> np.n
 
 
 def engine_for(length: int):
-    def engine(cuts: list[bytes], known: list[bool]) -> list[np.ndarray]:
-        """Of each context the places whose string repeats; known: it occurs twice itself."""
+    def engine(cuts: list[bytes], times: np.ndarray) -> list[np.ndarray]:
+        """Of each context the places whose string repeats."""
         data = np.frombuffer(b"".join(cuts), np.uint8)
-        ends = np.cumsum([len(c) for c in cuts])
+        sizes = np.array([len(c) for c in cuts])
+        ends = np.cumsum(sizes)
         alive = np.ones(len(data), bool)
         for e in ends.tolist():
             alive[e - length + 1 : e] = False
-        found = refine(data, alive, length)
-        return [np.ones(len(c) - length + 1, bool) if k else found[e - len(c) : e - length + 1] for c, k, e in zip(cuts, known, ends.tolist(), strict=True)]
+        found = refine(data, alive, length, times=np.repeat(times, sizes))
+        return [found[e - n : e - length + 1] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
     return engine
 
