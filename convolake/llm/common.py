@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ HOT_SHARE = 1 / 2000
 BUCKET_BITS = 32768
 
 _folders: dict[str, str] = {}
+_open: list[list[str]] = []
 
 
 def scratch(spark: SparkSession) -> str:
@@ -38,20 +41,37 @@ def scratch(spark: SparkSession) -> str:
 def _remove(spark: SparkSession, folder: str) -> None:
     """Best effort, as the session may have ended already."""
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
     except Exception:  # noqa: BLE001
         return
 
 
-def saved(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the scratch folder: it cuts the lineage, survives lost executors, and is read as often as needed."""
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def saved(df: DataFrame, what: str, outer: bool = False, **options: str) -> DataFrame:
+    """df as a Parquet table in the scratch folder: it cuts the lineage, survives lost executors, and is read as often as needed. It stays until the driver ends, or the released() around it (outer: the one around that)."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex[:12]}"
     df.write.options(**options).parquet(path)
+    if of := _open[: -1 if outer else None]:
+        of[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that operators have saved inside; what is needed after it must have been written elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session has them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -61,10 +81,14 @@ def parts(spark: SparkSession) -> int:
 BATCH_BYTES = 8 << 20
 
 
+#: What a session has if nobody has set the bytes of an Arrow batch: no bound. A fixed value of Spark.
+_UNSET = ("9223372036854775807b", str((1 << 63) - 1), None)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Holds the session's Arrow batches to BATCH_BYTES, as ten thousand texts may be any size."""
+    """Holds the session's Arrow batches to BATCH_BYTES, as ten thousand texts may be any size. Plans read the setting when they run, after the operator has returned, so it stays; one that the user has made is left as it is."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) != str(BATCH_BYTES):
+    if spark.conf.get(key, None) in _UNSET:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
@@ -91,16 +115,31 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, count: str, total: in
     return many.join(hot, key).select(*rest.columns).unionByName(rest)
 
 
+class KeyFilter:
+    """Which keys may be in a table: a bitmap of 16 bits or more for each key, up to max_bits, which is what is broadcast. No key of the table is missed; others may be taken for one, more of them if the bound is met. keep: it is written, to be read more than once."""
+
+    def __init__(self, keys: DataFrame, key: str, max_bits: int = 1 << 28, keep: bool = False):
+        self.bits = min(max_bits, max(1 << 20, 1 << (16 * keys.count()).bit_length()))
+        bucket, bit = self._place(key)
+        self.table = keys.select(bucket, bit).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+        if keep:
+            self.table = saved(self.table, "key-filter")
+
+    def _place(self, key: str) -> tuple[Column, Column]:
+        slot = F.pmod(F.xxhash64(key), F.lit(self.bits)) + F.lit(1)
+        return F.bitmap_bucket_number(slot).alias("__bucket"), F.bitmap_bit_position(slot).alias("__bit")
+
+    def flag(self, rows: DataFrame, key: str, flag: str) -> DataFrame:
+        """rows with whether their key may be in the table."""
+        bucket, bit = self._place(key)
+        rows = rows.withColumns({"__bucket": bucket, "__bit": bit}).join(F.broadcast(self.table), "__bucket", "left")
+        byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return rows.withColumn(flag, F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bit", "__bits")
+
+
 def bitmap_flag(rows: DataFrame, keys: DataFrame, key: str, flag: str, max_bits: int = 1 << 28) -> DataFrame:
-    """rows with whether their key may be in keys: by a bitmap that is broadcast, of at most max_bits. Of keys none is missed; others may be taken for one, more of them if the bound is met."""
-    n = keys.count()
-    bits = min(max_bits, max(1 << 20, 1 << (16 * n).bit_length()))
-    slot = F.pmod(F.xxhash64(key), F.lit(bits)) + F.lit(1)
-    bitmap = keys.select(F.bitmap_bucket_number(slot).alias("__bucket"), F.bitmap_bit_position(slot).alias("__bit"))
-    bitmap = bitmap.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-    rows = rows.withColumns({"__bucket": F.bitmap_bucket_number(slot), "__bit": F.bitmap_bit_position(slot)}).join(F.broadcast(bitmap), "__bucket", "left")
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.withColumn(flag, F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bit", "__bits")
+    """rows with whether their key may be in keys, by a KeyFilter."""
+    return KeyFilter(keys, key, max_bits).flag(rows, key, flag)
 
 
 def bitmap_filter(rows: DataFrame, keys: DataFrame, key: str, max_bits: int = 1 << 28) -> DataFrame:
@@ -109,8 +148,8 @@ def bitmap_filter(rows: DataFrame, keys: DataFrame, key: str, max_bits: int = 1
 
 
 def row_key(id_col: Column | str, text_col: Column | str) -> Column:
-    """Tells rows apart that repeat a doc_id with another text."""
-    return F.xxhash64(id_col, text_col)
+    """Tells rows apart that repeat a doc_id with another text: 128 bits, as rows are dropped by it."""
+    return F.struct(F.xxhash64(id_col, text_col).alias("a"), F.xxhash64(F.lit(1), text_col, id_col).alias("b"))
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact duplicates by a log-structured merge index of text digests, in DataFrame operations only.
 
-Level 0: each task is a memtable. It holds the digests of its documents, sorts them and flushes sorted runs, Parquet files that carry a Bloom filter of
-the digest column. Compaction merges all runs into level 1, one row for each digest with the smallest identifier. A digest of two or more documents is a
-hit; hits are then compared byte by byte. The comparison reads the texts once more and keeps only those whose digest passes a bitmap filter of the hits,
+Level 0: each task is a memtable. It holds the digests of its documents, sorts them and flushes sorted runs as Parquet files. Compaction merges the runs of level 0 into level 1,
+one row for each digest with the smallest identifier. A later batch that meets a level 1 has a filter of its digests: what of level 1 the filter excludes is passed on as
+it is, and only the rest is shuffled and merged. A digest of two or more documents is a hit; hits are then compared byte by byte. The comparison reads the texts once more and keeps only those whose digest passes a bitmap filter of the hits,
 so that texts without a copy are never shuffled; copies meet in the map-side aggregation, so that a large group sends one text from each task.
 
 Null texts count as empty, and all empty texts are one group. Rows that repeat a doc_id are rows of their own; of several with the smallest doc_id one
@@ -11,10 +11,12 @@ stays. A null doc_id stays only if its group has no other. An empty table gives
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolake.llm.common import SPACE_CLASS, bitmap_filter, row_key, saved, spread_join, texts
+from convolake.llm.common import SPACE_CLASS, KeyFilter, bitmap_filter, row_key, saved, spread_join, texts
 
 
 def normalised(text: Column) -> Column:
@@ -26,37 +28,44 @@ class DigestIndex:
     """Sorted digest runs over (doc_id, text) tables.
 
     memtable_rows: most rows of one run. digest_bytes: bytes of the SHA-256 that the index compares; fewer than 32 only to test collisions.
-    max_filter_bits: bound of the hit filter that is broadcast; beyond it the filter lets more texts through, and the result stays the same.
+    max_filter_bits: bound of a filter that is broadcast; beyond it the filter lets more rows through, and the result stays the same.
     """
 
     def __init__(self, memtable_rows: int = 1_000_000, digest_bytes: int = 32, max_filter_bits: int = 1 << 28):
         self.memtable_rows, self.digest_bytes, self.max_filter_bits = memtable_rows, digest_bytes, max_filter_bits
-        self.runs: list[DataFrame] = []
+        self.runs: list[DataFrame] = []  # of all batches
+        self.level0: list[DataFrame] = []  # those that are not yet in level 1
         self.merged: DataFrame | None = None
 
     def _digest(self, sha: Column) -> Column:
         return F.substring(sha, 1, self.digest_bytes)
 
     def _options(self) -> dict[str, str]:
-        return {"maxRecordsPerFile": str(self.memtable_rows), "parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(min(self.memtable_rows, 100_000))}
+        return {"maxRecordsPerFile": str(self.memtable_rows)}
 
     def flush(self, docs: DataFrame) -> None:
         """Writes the digests of docs as sorted runs of level 0; (run, seq) tells rows of one doc_id apart."""
         rows = docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha"), F.lit(len(self.runs)).alias("run"), row_key("doc_id", "text").alias("row_key"), F.monotonically_increasing_id().alias("seq"))
         rows = rows.withColumn("digest", self._digest(F.col("sha"))).sortWithinPartitions("digest")
         self.runs.append(saved(rows, "dedup-run", **self._options()))
+        self.level0.append(self.runs[-1])
 
     def compact(self) -> None:
-        """Merges all runs into one level: of each digest the smallest identifier and the number of rows."""
-        rows = self.all_runs()
-        merged = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "run", "seq")).alias("first"), F.count(F.lit(1)).alias("n"))
-        self.merged = saved(merged.sortWithinPartitions("digest"), "dedup-level1", **self._options())
+        """Merges level 0 into level 1: of each digest the smallest identifier and the number of rows."""
+        if not self.level0:
+            return
+        rows = reduce(DataFrame.unionByName, self.level0).select("digest", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "run", "seq").alias("first"), F.lit(1).cast("long").alias("n"))
+        apart = None
+        if self.merged is not None:
+            told = KeyFilter(rows, "digest", self.max_filter_bits, keep=True).flag(self.merged, "digest", "__may")
+            apart = told.where("NOT __may").drop("__may")
+            rows = rows.unionByName(told.where("__may").drop("__may"))
+        merged = rows.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).sortWithinPartitions("digest")
+        self.merged = saved(merged if apart is None else merged.unionByName(apart), "dedup-level1", **self._options())
+        self.level0 = []
 
     def all_runs(self) -> DataFrame:
-        out = self.runs[0]
-        for run in self.runs[1:]:
-            out = out.unionByName(run)
-        return out
+        return reduce(DataFrame.unionByName, self.runs)
 
     def hits(self) -> DataFrame:
         return self.merged.where("n > 1")

@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
             signs = [signature(s, bands, depth).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "row_key", "key", "bands"])
 
-    signed = keyed.mapInArrow(sign, f"doc_id {kind}, row_key long, key binary, bands array<long>")
+    signed = keyed.mapInArrow(sign, f"doc_id {kind}, row_key struct<a:long,b:long>, key binary, bands array<long>")
     signed = saved(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     total = signed.count()
     with_key = signed.select("row", "doc_id", "row_key", "key").where("key <> X''")

@@ -53,5 +53,32 @@ def test_runs_are_merged(spark):
     assert got == {1: 1, 3: 1, 4: 4, 2: 2}
 
 
+def test_batches_meet_older_levels(spark):
+    rows = [(i, f"t{i % 90}") for i in range(400)] + [(1000 - i, f"t{i}") for i in range(60, 140)] + ROWS
+    index, batches = DigestIndex(memtable_rows=30), [rows[k::3] for k in range(3)]
+    for b in batches:
+        index.flush(texts(docs(spark, b)))
+        index.compact()
+        index.compact()
+    got = index.resolve(texts(docs(spark, [r for b in batches for r in b]))).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows)
+    levels = {r.digest: r.n for r in index.merged.collect()}
+    assert len(levels) == index.merged.count() and sum(levels.values()) == len(rows)
+
+
 def test_empty(spark):
     assert exact_dedup(docs(spark, [(1, "x")]).where(F.lit(False))).collect() == []
+
+
+def test_tables_are_released(spark):
+    from pathlib import Path
+
+    from convolake.llm.common import released, saved, scratch
+
+    here = lambda: {p.name for p in Path(scratch(spark).removeprefix("file://")).glob("*")}
+    saved(spark.range(1), "before")
+    known = here()
+    with released(spark):
+        kept = saved(exact_dedup(docs(spark, ROWS)), "kept", outer=True)
+        assert len(here()) > len(known) + 1
+    assert len(here()) == len(known) + 1 and kept.count() == len(ROWS)
