@@ -5,7 +5,7 @@ shapes, hashed into one table of weights; a word that repeats the one before has
 score doesn't depend on length, and a score is a sparse dot product with the weights. Weights are learnt in one pass after another over a sample of the
 labelled texts, of at most max_train documents, taken by a hash of their identifiers; scores cover every whole text.
 
-A null label, or one of a document that isn't there, teaches nothing; of several labels of one document the largest counts. With no label every score is that
+A null label, or one of a document that isn't there, teaches nothing; of several labels of one document the largest counts, and of several texts of one doc_id one teaches. With no label every score is that
 of the bias, 0.5. Null and empty texts score as the bias says. Rows that repeat get equal scores; an empty table gives an empty result.
 """
 
@@ -94,7 +94,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8192, passes: int
         yield pa.RecordBatch.from_arrays([pa.array([leader.weights().astype("<f4").tobytes()])], ["weights"])
 
     rows = docs.join(F.broadcast(chosen), "doc_id").select(mixed("doc_id").alias("at"), "text", "label")
-    sample = saved(rows.mapInArrow(extract, "at long, found binary, label int"), "quality-sample")
+    said = rows.mapInArrow(extract, "at long, found binary, label int")
+    of = said.groupBy("at").agg(F.min(F.struct(F.xxhash64("found").alias("by"), "found", "label")).alias("x"))  # one text of each doc_id, or a repeated one would not be bounded
+    sample = saved(of.select("at", "x.found", "x.label"), "quality-sample")
     again = sample.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(passes))))
     ordered = again.repartition(1).sortWithinPartitions("turn", "at").select("found", "label")
     learnt = ordered.mapInArrow(learn, "weights binary").collect()  # one row of 1 MB

@@ -39,3 +39,10 @@ def test_training_is_bounded(spark):
     weights, _ = train(texts(docs), labels, max_train=50)
     assert weights[features("w1 x")].sum() > weights[features("w0 x")].sum()
     assert len(features("")) == 0 and len(features("a b")) == 6
+
+
+def test_a_repeated_document_teaches_once(spark):
+    rows = [(1, f"good words {i}", 0.0, "c") for i in range(500)] + [(2, "bad", 0.0, "c")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    weights, _ = train(texts(spark.createDataFrame(rows, SCHEMA)), labels)
+    assert 0 < np.count_nonzero(weights) <= len(features("good words 7")) + len(features("bad"))
