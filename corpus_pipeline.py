@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from convolake.llm import decontamination, exact_dedup, ngram_join, piece_codec, quality
-from convolake.llm.common import keep_rows, saved, table
+from convolake.llm.common import keep_rows, released, saved, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with released(spark):
+            docs = saved(stage(spark, docs, sf_dir), f"stage{k}", outer=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
