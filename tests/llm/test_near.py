@@ -3,7 +3,7 @@ import random
 import pytest
 
 from convolake.llm.components import components
-from convolake.llm.decontamination import contaminated
+from convolake.llm.decontamination import contaminated, without_items
 from convolake.llm.ngram_join import bands_for, near_duplicates
 
 SCHEMA = "doc_id long, text string, row int, key string"
@@ -104,8 +104,8 @@ def leaks(docs, items, threshold=0.8):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_shingles", [1_000_000, 40])
-def test_leaks(spark, block_shingles):
+@pytest.mark.parametrize("held_shingles", [1_000_000, 40])
+def test_leaks(spark, held_shingles):
     deal = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)]
     say = lambda n: " ".join(deal.choice(vocabulary) for _ in range(n))
@@ -120,6 +120,19 @@ def test_leaks(spark, block_shingles):
     docs += [(80, None), (81, ""), (None, items[20][1]), (5, docs[5][1])]
     df = spark.createDataFrame([(i, t, 0, "c") for i, t in docs], SCHEMA)
     bench = spark.createDataFrame(items, "item_id int, text string")
-    got = sorted(((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in contaminated(df, bench, block_shingles=block_shingles).collect()), key=str)
+    got = sorted(((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in contaminated(df, bench, held_shingles=held_shingles).collect()), key=str)
     assert got == leaks(docs, items) and len(got) > 50
     assert contaminated(df.limit(0), bench).collect() == [] == contaminated(df, bench.limit(0)).collect()
+    assert contaminated(df.limit(0), bench, held_shingles=0).collect() == []
+    clean = without_items(df, bench, held_shingles=held_shingles)
+    assert clean.columns == df.columns
+    held = {d for d, *_ in got}
+    assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((d for d, _ in docs if d not in held), key=str)
+
+
+@pytest.mark.parametrize("held_shingles", [1_000_000, 0])
+def test_leaks_with_clashing_columns(spark, held_shingles):
+    bench = spark.createDataFrame([(1, "a b c d e f", 5, "x", 1), (2, None, 6, "y", 2)], "item_id int, text string, doc_id int, key string, n_shared int")
+    df = spark.createDataFrame([(7, "x a b c d e f", 1, "k", 3), (8, None, 2, "k", 3)], "doc_id long, text string, item_id int, key string, row int")
+    assert [tuple(r) for r in contaminated(df, bench, held_shingles=held_shingles).collect()] == [(7, 1, 2, 2, 1.0)]
+    assert [tuple(r) for r in without_items(df, bench, held_shingles=held_shingles).collect()] == [(8, None, 2, "k", 3)]
