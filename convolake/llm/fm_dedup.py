@@ -69,20 +69,23 @@ class Index:
 
 
 def suffixes(sequence: np.ndarray, depth: int) -> np.ndarray:
-    """Places sorted by what follows them, by doubling, as far as depth symbols."""
+    """Places sorted by what follows them, as far as depth symbols: the ranks of some stretches that follow one another make the rank of a longer one."""
     n, rank, h = len(sequence), sequence.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while h < depth:
-        later = np.zeros(n, np.int64)
-        later[: n - h] = rank[h:] + 1
-        key = rank * (int(later.max(initial=0)) + 1) + later
-        order = np.argsort(key, kind="stable")
+    while True:
+        bits = int(rank.max(initial=0) + 1).bit_length()
+        key = np.zeros(n, np.int64)
+        for k in range(max(2, 62 // bits)):
+            later = rank[k * h :] + 1  # 0 is the end
+            key <<= bits
+            key[: len(later)] |= later
+        h *= max(2, 62 // bits)
+        order = np.argsort(key)
+        if h >= depth or n == 0:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-        if n == 0 or rank[order[-1]] == n - 1:
-            break
-        h *= 2
-    return order
+        if rank[order[-1]] == n - 1:
+            return order
 
 
 def statistics(index: Index, sequence: np.ndarray, begins: np.ndarray, ends: np.ndarray, times: np.ndarray, window: int, short: int = 8) -> np.ndarray:
@@ -128,11 +131,12 @@ def statistics(index: Index, sequence: np.ndarray, begins: np.ndarray, ends: np.
 def engine_for(window: int):
     def engine(cuts: list[bytes], times: np.ndarray) -> list[np.ndarray]:
         """Of each context the places whose window repeats."""
-        split = [c.split(b" ") for c in cuts]
-        number: dict[bytes, int] = {}
-        sequence = np.array([x for words in split for x in (*(number.setdefault(w, len(number) + 1) for w in words), 0)], np.int64)
-        sizes = np.array([len(words) for words in split])
-        ends = np.cumsum(sizes + 1) - 1
+        said = (b"  ".join(cuts) + b" ").split(b" ")  # an empty word parts the contexts
+        number = dict.fromkeys(said)
+        number |= zip(sorted(number), range(len(number)))
+        sequence = np.fromiter(map(number.__getitem__, said), np.int64, len(said))
+        ends = np.flatnonzero(sequence == 0)
+        sizes = np.diff(ends, prepend=-1) - 1
         found = statistics(Index(sequence, 2 * window), sequence, ends - sizes, ends, np.repeat(times, sizes + 1), window)
         return [found[e - s : e - window + 1] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
@@ -154,6 +158,6 @@ def remove_repeated_words(docs: DataFrame, window: int = 35, q: int = 8, id_col:
         return sum(b - a for a, b in covered), hashlib.sha256(b" ".join(kept + words[at:])).hexdigest()
 
     rows = texts(docs, id_col, text_col).select("doc_id", F.btrim(F.regexp_replace("text", SPACE_CLASS + "+", " ")).alias("text"))
-    kind = Kind(window, min(q, window), _read, lambda units: shingle_numbers(word_numbers(units), min(q, window)), lambda units, a, b: b" ".join(units[a:b]), engine_for(window))
+    kind = Kind(window, min(q, window), _read, lambda units: shingle_numbers(word_numbers(units), min(q, window)), lambda units, a, b: b" ".join(units[a:b]), engine_for(window), 4_000_000)
     owners, told = repeated(rows, kind, finish, "n_removed long, kept_sha256 string")
     return all_or_told(spread_join(owners, told, "sha", "copies", owners.count()), window, "n_words", [])

@@ -55,15 +55,11 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-#: Bytes of contexts that an engine gets at once; those of one anchor stay together.
-SHARD = 4_000_000
-
-
 class Kind:
-    """How an operator sees a text. window, q: units. read: the units. grams: hashes of the q-grams of units. cut: the bytes of a stretch of units. engine: of such distinct stretches, and the times that each occurs, the places where a repeated window starts."""
+    """How an operator sees a text. window, q: units. read: the units. grams: hashes of the q-grams of units. cut: the bytes of a stretch of units. engine: of such distinct stretches, and the times that each occurs, the places where a repeated window starts. shard: bytes of contexts that an engine gets at once; those of one anchor stay together."""
 
-    def __init__(self, window: int, q: int, read: Callable, grams: Callable, cut: Callable, engine: Callable):
-        self.window, self.q, self.read, self.grams, self.cut, self.engine = window, q, read, grams, cut, engine
+    def __init__(self, window: int, q: int, read: Callable, grams: Callable, cut: Callable, engine: Callable, shard: int):
+        self.window, self.q, self.read, self.grams, self.cut, self.engine, self.shard = window, q, read, grams, cut, engine, shard
 
 
 def _owners(texts: DataFrame, kind: Kind) -> DataFrame:
@@ -153,7 +149,7 @@ def repeated(texts: DataFrame, kind: Kind, finish: Callable[[str, list[tuple[int
         for batch in batches:
             for key, sha, low, high, lead, cut in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
-                    if size > SHARD:
+                    if size > kind.shard:
                         yield from close()
                         held, size = {}, 0
                     now = key

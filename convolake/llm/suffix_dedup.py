@@ -106,7 +106,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, q: int | None = No
             at = b
         return sum(b - a for a, b in covered), len(covered), hashlib.sha256(b"".join([*kept, raw[at:]])).hexdigest()
 
-    kind = Kind(length, q, _read, lambda units: byte_grams(units, q), lambda units, a, b: units[a:b].tobytes(), engine_for(length))
+    kind = Kind(length, q, _read, lambda units: byte_grams(units, q), lambda units, a, b: units[a:b].tobytes(), engine_for(length), 1_000_000)
     owners, told = repeated(texts(docs, id_col, text_col), kind, finish, "n_removed long, n_spans long, kept_sha256 string")
     rows = spread_join(owners, told, "sha", "copies", owners.count())
     return all_or_told(rows, length, "n_bytes", ["n_spans"])
