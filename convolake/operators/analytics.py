@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from convolake.operators.base import sql_operator
 
+#: Verdicts from the best to the worst. Fixed values.
+VERDICTS = ("ok", "attention", "critique")
+
 #: Totals and counts by platform of the index.
 stats = sql_operator("SELECT platform, count(*) AS n_messages, count(DISTINCT conversation_id) AS n_conversations, (SELECT count(*) FROM {messages}) AS total FROM {messages} GROUP BY platform", "messages")
 #: The eight most used models, ties by name.
@@ -41,18 +47,6 @@ heat_levels = sql_operator(
     "daily",
 )
 bars = sql_operator("SELECT platform, n, round(CAST(n AS DOUBLE) / max(n) OVER (), 4) AS share FROM (SELECT platform, count(*) AS n FROM {messages} GROUP BY platform) t", "messages")
-#: Messages of a date by conversation, conversations in the order of their first message that day.
-day_view = sql_operator(
-    """SELECT platform, conversation_id, count(*) AS n, min(msg_seq) AS first_seq, row_number() OVER (ORDER BY min(ts), min(msg_seq)) AS place, (SELECT count(*) FROM {messages} WHERE CAST(ts AS DATE) = DATE '2024-07-15') AS message_count
-    FROM {messages} WHERE CAST(ts AS DATE) = DATE '2024-07-15' GROUP BY platform, conversation_id""",
-    "messages",
-)
-#: Status of the index and the inventory, with the worst verdict of each platform.
-status = sql_operator(
-    """SELECT c.platform, count(*) AS listed, count(CASE WHEN scraped THEN 1 END) AS scraped, count(CASE WHEN unavailable THEN 1 END) AS unavailable, CAST(max(last_message_at) AS VARCHAR(40)) AS last_message,
-    CASE max(CASE WHEN unavailable AND scraped THEN 2 WHEN unavailable THEN 1 ELSE 0 END) WHEN 2 THEN 'critique' WHEN 1 THEN 'attention' ELSE 'ok' END AS verdict FROM {conv} c GROUP BY c.platform""",
-    "conv",
-)
 tool_stats = sql_operator(
     """SELECT c.platform, c.listed, c.scraped, c.unavailable, coalesce(m.n_messages, 0) AS n_messages, coalesce(m.n_conversations, 0) AS n_indexed
     FROM (SELECT platform, count(*) AS listed, count(CASE WHEN scraped THEN 1 END) AS scraped, count(CASE WHEN unavailable THEN 1 END) AS unavailable FROM {conv} GROUP BY platform) c
@@ -66,11 +60,43 @@ run_summary = sql_operator(
     count(CASE WHEN NOT scraped AND NOT unavailable THEN 1 END) AS failed, count(CASE WHEN unavailable THEN 1 END) AS skipped FROM {conv} GROUP BY platform""",
     "conv",
 )
-#: Latency and score of fetches.
-bench_summary = sql_operator("SELECT event_type, count(*) AS n, count(CASE WHEN value > 10 THEN 1 END) AS fetched, round(CAST(avg(value) AS DOUBLE), 6) AS mean_value, min(value) AS min_value, max(value) AS max_value FROM {events} GROUP BY event_type", "events")
-api_health = sql_operator("SELECT event_type, count(*) AS n, count(CASE WHEN value >= 50 THEN 1 END) AS matches, round(CAST(count(CASE WHEN value >= 50 THEN 1 END) AS DOUBLE) / count(*) * 100, 1) AS rate FROM {events} GROUP BY event_type", "events")
 majority = sql_operator("SELECT platform, value AS model FROM (SELECT platform, model AS value, row_number() OVER (PARTITION BY platform ORDER BY count(*) DESC, model) AS k FROM {messages} WHERE model <> '' GROUP BY platform, model) t WHERE k = 1", "messages")
 media_stats = sql_operator("SELECT kind, count(*) AS n, (SELECT count(*) FROM {media}) AS total FROM {media} GROUP BY kind", "media")
 event_days = sql_operator("SELECT CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM {events} GROUP BY CAST(ts AS DATE), event_type", "events")
-#: Last months of a series and the change of the last complete one.
-recent_days = sql_operator("SELECT user_id, CAST(max(ts) AS VARCHAR(40)) AS last_seen, count(*) AS n FROM {events} GROUP BY user_id", "events")
+
+
+def day_view(messages: DataFrame, day: str) -> DataFrame:
+    """Messages of a date (yyyy-MM-dd) by conversation, conversations in the order of their first message that day (place, from 1), with the total of the day. One row for each conversation of one day is what the order is taken over."""
+    rows = messages.where(F.col("ts").cast("date") == F.lit(day).cast("date"))
+    by = rows.groupBy("platform", "conversation_id").agg(F.count(F.lit(1)).alias("n"), F.min("msg_seq").alias("first_seq"), F.min("ts").alias("first_ts"))
+    told = by.agg(F.sort_array(F.collect_list(F.struct("first_ts", "first_seq", "platform", "conversation_id", "n"))).alias("c"), F.sum("n").alias("message_count"))
+    return told.select(F.posexplode("c").alias("k", "c"), "message_count").select("c.platform", "c.conversation_id", "c.n", "c.first_seq", (F.col("k") + 1).alias("place"), "message_count")
+
+
+def status(inventory: DataFrame, reports: DataFrame) -> DataFrame:
+    """Counts of the inventory by platform, with the worst verdict of its reports (platform, verdict); inconnu without any that is known."""
+    ranks = F.create_map(*(x for k, v in enumerate(VERDICTS) for x in (F.lit(v), F.lit(k))))
+    worst = reports.groupBy("platform").agg(F.max(F.element_at(ranks, F.col("verdict"))).alias("rank"))
+    flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c)
+    counts = inventory.groupBy("platform").agg(F.count(F.lit(1)).alias("listed"), flag("scraped"), flag("unavailable"), F.max("last_message_at").alias("last_message_at"))
+    return counts.join(worst, "platform", "left").withColumn("verdict", F.coalesce(F.get(F.array(*map(F.lit, VERDICTS)), F.col("rank")), F.lit("inconnu"))).drop("rank")
+
+
+def bench_summary(fetches: DataFrame) -> DataFrame:
+    """Fetches (service, seconds, bytes, messages, score; a null seconds is a failure) by service: n, fetched, failed, sums, and mean, least and greatest seconds of those fetched, to 3 decimals."""
+    ok = F.col("seconds").isNotNull()
+    of = lambda f, c: F.round(f(F.col(c)), 3)
+    return fetches.groupBy("service").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("fetched"), F.count_if(~ok).alias("failed"), F.sum("bytes").alias("bytes"), F.sum("messages").alias("messages"),
+        of(F.avg, "seconds").alias("mean_s"), of(F.min, "seconds").alias("min_s"), of(F.max, "seconds").alias("max_s"), F.round(F.avg("score"), 1).alias("mean_score"),
+    )
+
+
+def api_health(reports: DataFrame) -> DataFrame:
+    """Health reports (service, n, matches, and more) with rate, the share of matches in percent to 1 decimal; null without any reading."""
+    return reports.withColumn("rate", F.when(F.col("n") > 0, F.round(F.col("matches") / F.col("n") * 100, 1)))
+
+
+def first_months(events: DataFrame, key: str, time: str = "ts") -> DataFrame:
+    """Of each key its first and last time and its number of rows, and the month of the first."""
+    return events.groupBy(key).agg(F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.count(F.lit(1)).alias("n")).withColumn("month", F.date_format("first_seen", "yyyy-MM"))

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from convolake.functions import text as T
 from convolake.operators.base import sql_operator
 
+#: What names a conversation.
+ID = ["platform", "conversation_id"]
+
 #: Identity of a message: its id, else its role and text.
 KEY = "CASE WHEN message_id <> '' THEN 'id:' || message_id ELSE 'text:' || role || ':' || texte END"
 #: Keys of old and new by place, and whether they agree from the start or from the end. A side that lacks a conversation has no rows.
@@ -32,12 +41,6 @@ inventory_upsert = sql_operator(f"WITH {_ALIGNED} SELECT platform, conversation_
 inventory_order = sql_operator("SELECT platform, conversation_id, title, row_number() OVER (PARTITION BY platform ORDER BY last_message_at DESC, title DESC, conversation_id) AS place, count(*) OVER (PARTITION BY platform) AS n FROM {conv}", "conv")
 #: Of entries with one id the last wins.
 inventory_load = sql_operator("SELECT conversation_id, title, ord FROM (SELECT conversation_id, title, ord, row_number() OVER (PARTITION BY conversation_id ORDER BY ord DESC) AS k FROM {entries} WHERE conversation_id IS NOT NULL AND conversation_id <> '') t WHERE k = 1", "entries")
-#: Unknown conversations come in; title and date change only while never scraped.
-inventory_refresh = sql_operator(
-    """SELECT coalesce(i.conversation_id, r.conversation_id) AS conversation_id, CASE WHEN i.conversation_id IS NULL OR NOT i.scraped THEN coalesce(r.title, i.title) ELSE i.title END AS title, coalesce(i.scraped, FALSE) AS scraped, i.conversation_id IS NULL AS added
-    FROM (SELECT * FROM {conv} WHERE conv_id % 5 <> 0) i FULL OUTER JOIN (SELECT conversation_id, 'new ' || title AS title FROM {conv} WHERE conv_id % 4 <> 0) r ON r.conversation_id = i.conversation_id""",
-    "conv",
-)
 #: Conversations of an index are replaced whole; others stay, and an address is never lost.
 replace_conversations = sql_operator(
     """SELECT platform, conversation_id, message_id, 'old' AS origin FROM {old} o WHERE NOT EXISTS (SELECT 1 FROM {new} n WHERE n.platform = o.platform AND n.conversation_id = o.conversation_id)
@@ -45,17 +48,6 @@ replace_conversations = sql_operator(
     "old",
     "new",
 )
-delete_conversation = sql_operator("SELECT m.platform, m.conversation_id, count(*) AS n FROM {messages} m WHERE NOT EXISTS (SELECT 1 FROM {conv} c WHERE c.unavailable AND c.platform = m.platform AND c.conversation_id = m.conversation_id) GROUP BY m.platform, m.conversation_id", "messages", "conv")
-#: Purge of unavailable conversations: what goes, and media that stay because another conversation names their content.
-purge_cascade = sql_operator(
-    """WITH gone AS (SELECT platform, conversation_id FROM {conv} WHERE unavailable)
-    SELECT 'messages' AS what, 'delete' AS action, count(*) AS n FROM {messages} m WHERE EXISTS (SELECT 1 FROM gone g WHERE g.platform = m.platform AND g.conversation_id = m.conversation_id)
-    UNION ALL SELECT 'conversations', 'delete', count(*) FROM gone
-    UNION ALL SELECT 'media', action, count(*) FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM {media} o WHERE o.content_key = m.content_key AND o.conversation_id <> m.conversation_id) THEN 'detach' ELSE 'delete' END AS action FROM {media} m WHERE m.conversation_id IN ('c11', 'c22', 'c33')) x GROUP BY action""",
-    "messages",
-    "conv",
-    "media",
-)
 #: Media without a message: linked to the message of a twin by content, of the same platform first, or deleted.
 media_prune = sql_operator(
     """WITH linked AS (SELECT content_key, platform, message_id, media_id FROM {media} WHERE message_id IS NOT NULL),
@@ -64,37 +56,153 @@ media_prune = sql_operator(
     FROM {media} m LEFT JOIN same s ON s.content_key = m.content_key AND s.platform = m.platform LEFT JOIN anywhere a ON a.content_key = m.content_key WHERE m.message_id IS NULL""",
     "media",
 )
-#: Ranked media once for each content; media whose content can't be read all stay.
-media_dedupe = sql_operator("SELECT media_id, content_key FROM (SELECT media_id, message_id AS content_key, row_number() OVER (PARTITION BY message_id ORDER BY media_id) AS k FROM {media}) t WHERE k = 1 OR content_key IS NULL", "media")
-media_upsert = sql_operator("SELECT media_id, kind, 'old' AS origin FROM {media} WHERE media_id % 3 <> 1 UNION ALL SELECT media_id, 'new' || kind, 'new' FROM {media} WHERE media_id % 3 = 1", "media")
-gallery_page = sql_operator("SELECT media_id, kind, place, total FROM (SELECT media_id, kind, row_number() OVER (ORDER BY media_id DESC) AS place, count(*) OVER () AS total FROM {media} WHERE kind IN ('image', 'video')) t WHERE place > 20 AND place <= 40", "media")
 file_referenced = sql_operator("SELECT content_key, max(CASE WHEN message_id IS NOT NULL THEN 1 ELSE 0 END) = 1 AS referenced, count(*) AS n FROM {media} GROUP BY content_key", "media")
-#: Newest keep of each stem.
-retention = sql_operator("SELECT name, stem FROM (SELECT conversation_id AS name, platform AS stem, row_number() OVER (PARTITION BY platform ORDER BY conversation_id DESC) AS k FROM {conv}) t WHERE k > greatest(1, 3)", "conv")
-#: Daily targets: never scraped or among the first twenty, without those that are unavailable, in order.
-daily_targets = sql_operator("SELECT platform, conversation_id, place FROM (SELECT platform, conversation_id, scraped, unavailable, row_number() OVER (PARTITION BY platform ORDER BY last_message_at DESC, conversation_id) AS place FROM {conv}) t WHERE (place <= 20 OR NOT scraped) AND NOT unavailable", "conv")
-incremental_skip = sql_operator("SELECT c.platform, c.conversation_id FROM {conv} c WHERE NOT EXISTS (SELECT 1 FROM {conv} i WHERE i.platform = c.platform AND i.conversation_id = c.conversation_id AND i.conv_id % 4 <> 0 AND i.last_message_at = c.last_message_at)", "conv")
-seeded_sample = sql_operator("SELECT platform, conversation_id FROM (SELECT platform, conversation_id, row_number() OVER (PARTITION BY platform ORDER BY md5(conversation_id || '-42'), conversation_id) AS k FROM {conv} WHERE message_count >= 4) t WHERE k <= 3", "conv")
-union_first_wins = sql_operator("SELECT conversation_id, pass, title FROM (SELECT conversation_id, pass, title, row_number() OVER (PARTITION BY conversation_id ORDER BY pass) AS k FROM (SELECT conversation_id, 1 AS pass, title FROM {conv} WHERE conv_id % 2 = 0 UNION ALL SELECT conversation_id, 2, 'later ' || title FROM {conv}) u) t WHERE k = 1", "conv")
-unknown_or_recent = sql_operator("SELECT conversation_id FROM {conv} WHERE NOT scraped UNION SELECT conversation_id FROM {conv} WHERE last_message_at >= TIMESTAMP '2024-10-01 00:00:00'", "conv")
-lost = sql_operator("SELECT conversation_id FROM {conv} EXCEPT SELECT conversation_id FROM {conv} WHERE scraped", "conv")
-common = sql_operator("SELECT conversation_id FROM {conv} WHERE scraped INTERSECT SELECT conversation_id FROM {conv} WHERE conv_id % 2 = 0", "conv")
-#: Addresses that are missing, from the template.
-url_backfill = sql_operator("SELECT platform, conversation_id, coalesce(CASE WHEN conv_id % 3 = 0 THEN 'https://known.example/' || conversation_id END, CASE platform WHEN 'chatgpt' THEN 'https://chatgpt.com/c/' || conversation_id WHEN 'claude' THEN 'https://claude.ai/chat/' || conversation_id END, '') AS url FROM {conv}", "conv")
-#: Messages of the old form in the new: other names, and a model for assistants only.
-legacy = sql_operator("SELECT service AS platform, id AS conversation_id, coalesce(content, '') AS texte, role, CASE WHEN role = 'assistant' THEN model END AS model FROM (SELECT platform AS service, conversation_id AS id, texte AS content, role, 'm-1' AS model FROM {messages}) t", "messages")
-legacy_union = sql_operator("SELECT conversation_id, origin FROM (SELECT conversation_id, origin, row_number() OVER (PARTITION BY conversation_id ORDER BY rank) AS k FROM (SELECT conversation_id, 'disk' AS origin, 1 AS rank FROM {conv} WHERE scraped UNION ALL SELECT conversation_id, 'state', 2 FROM {conv}) u) t WHERE k = 1", "conv")
-#: Metadata that a new parse lacks, by id or else by place.
-metadata_fallback = sql_operator(
-    """SELECT n.platform, n.conversation_id, n.pos, coalesce(n.model, a.role, b.role) AS model, CASE WHEN a.message_id IS NOT NULL THEN 'id' WHEN b.message_id IS NOT NULL THEN 'place' ELSE 'none' END AS matched
-    FROM (SELECT platform, conversation_id, pos, CASE WHEN pos % 2 = 0 THEN message_id ELSE '' END AS message_id, CAST(NULL AS VARCHAR(20)) AS model FROM {new}) n
-    LEFT JOIN {old} a ON a.conversation_id = n.conversation_id AND a.message_id = n.message_id LEFT JOIN {old} b ON b.conversation_id = n.conversation_id AND b.pos = n.pos""",
-    "old",
-    "new",
-)
-list_conversations = sql_operator("SELECT platform, conversation_id, title, message_count FROM {conv} ORDER BY last_message_at DESC, conversation_id LIMIT 50", "conv")
-list_by_messages = sql_operator("SELECT platform, conversation_id, message_count, total > 30 AS truncated FROM (SELECT platform, conversation_id, message_count, count(*) OVER () AS total, row_number() OVER (ORDER BY message_count DESC, conversation_id) AS k FROM {conv}) t WHERE k <= 30", "conv")
 platforms = sql_operator("SELECT DISTINCT platform FROM {conv} ORDER BY platform", "conv")
-retry_unavailable = sql_operator("SELECT conversation_id, FALSE AS unavailable, scraped FROM {conv} WHERE unavailable", "conv")
-#: Names of files by title; a second conversation of a title gets the start of its id.
-unique_names = sql_operator("SELECT conversation_id, CASE WHEN k = 1 THEN base ELSE base || '-' || substr(conversation_id, 1, 8) END AS name FROM (SELECT conversation_id, lower(replace(title, ' ', '-')) AS base, row_number() OVER (PARTITION BY platform, title ORDER BY conversation_id) AS k FROM {conv}) t", "conv")
+
+
+def _first(rows: DataFrame, key: list[str], *order: Column | str) -> DataFrame:
+    """The first row of each key."""
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__k = 1").drop("__k")
+
+
+def inventory_refresh(inventory: DataFrame, refs: DataFrame) -> DataFrame:
+    """Inventory (platform, conversation_id, title, last_message_at, scraped) after a listing refs (platform, conversation_id, title, last_message_at): unknown conversations come in (added); title and date change only while never scraped, and never to nothing."""
+    i, r = inventory.alias("i"), refs.alias("r")
+    own = lambda c: F.when(F.coalesce(F.col("i.scraped"), F.lit(False)), F.col(f"i.{c}")).otherwise(F.coalesce(F.nullif(F.col(f"r.{c}"), F.lit("")) if c == "title" else F.col(f"r.{c}"), F.col(f"i.{c}"))).alias(c)
+    rows = i.join(r, [F.col(f"i.{c}") == F.col(f"r.{c}") for c in ID], "full")
+    return rows.select(*(F.coalesce(f"i.{c}", f"r.{c}").alias(c) for c in ID), own("title"), own("last_message_at"), F.coalesce("i.scraped", F.lit(False)).alias("scraped"), F.col("i.conversation_id").isNull().alias("added"))
+
+
+def delete_conversations(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """An index (messages, vectors or media) without the conversations gone (platform, conversation_id)."""
+    return rows.join(gone.select(*ID), ID, "left_anti")
+
+
+def purge_cascade(messages: DataFrame, media: DataFrame, gone: DataFrame) -> DataFrame:
+    """What a purge of the conversations gone does: (what, action, n). Media whose content another conversation has as well are detached, others deleted."""
+    gone = gone.select(*ID).distinct()
+    both = media.join(gone.withColumn("__gone", F.lit(True)), ID, "left").withColumn("__gone", F.coalesce("__gone", F.lit(False)))
+    stays = both.where(~F.col("__gone") & F.col("content_key").isNotNull()).select("content_key").distinct().withColumn("__stays", F.lit(True))
+    told = both.where("__gone").join(stays, "content_key", "left").groupBy(F.when(F.col("__stays"), "detach").otherwise("delete").alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    counted = lambda rows, what: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), F.lit("delete").alias("action"), "n")
+    return counted(messages.join(gone, ID, "left_semi"), "messages").unionByName(counted(gone, "conversations")).unionByName(told.select(F.lit("media").alias("what"), "action", "n"))
+
+
+def media_dedupe(media: DataFrame, key: Column | str = "content_key", rank: Column | str = "media_id") -> DataFrame:
+    """Ranked media once for each content, the first of them; media whose content can't be read (a null key) all stay."""
+    keyed = media.withColumn("__key", F.col(key) if isinstance(key, str) else key)
+    return keyed.withColumn("__k", F.row_number().over(Window.partitionBy("__key").orderBy(rank))).where("__k = 1 OR __key IS NULL").drop("__k", "__key")
+
+
+def media_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Media after an ingest: one row for each media_id, the new one if there is any."""
+    return old.join(new, "media_id", "left_anti").unionByName(new).dropDuplicates(["media_id"])
+
+
+def gallery_page(media: DataFrame, kinds: list[str], offset: int, limit: int) -> DataFrame:
+    """A page of the media of some kinds, newest first, with the total; a page beyond the end is empty."""
+    rows = media.where(F.col("kind").isin(*kinds))
+    return rows.orderBy(F.col("media_id").desc()).offset(offset).limit(limit).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))  # one row
+
+
+def retention(files: DataFrame, keep: int) -> DataFrame:
+    """Backups (stem, name) to remove: all but the newest keep of each stem, by name; one stays at least."""
+    return files.withColumn("__k", F.row_number().over(Window.partitionBy("stem").orderBy(F.col("name").desc()))).where(F.col("__k") > max(1, keep)).drop("__k")
+
+
+def daily_targets(inventory: DataFrame, recent: int) -> DataFrame:
+    """What a daily run reads: never scraped, or among the recent newest of its platform; not what is unavailable."""
+    at = F.row_number().over(Window.partitionBy("platform").orderBy(F.col("last_message_at").desc_nulls_last(), "conversation_id"))
+    return inventory.withColumn("place", at).where((F.col("place") <= recent) | ~F.col("scraped")).where(~F.col("unavailable"))
+
+
+def incremental_skip(conversations: DataFrame, indexed: DataFrame, stamp: str = "exported_at") -> DataFrame:
+    """The conversations that an index must take in: those that it lacks, or has with another stamp."""
+    return conversations.join(indexed.select(*ID, stamp), [*ID, stamp], "left_anti")
+
+
+def seeded_sample(inventory: DataFrame, least: int, per_platform: int, seed: int) -> DataFrame:
+    """Some conversations of each platform with at least so many messages, the same for the same seed."""
+    told = F.md5(F.concat(F.col("conversation_id"), F.lit(f"-{seed}")))
+    return inventory.where(F.col("message_count") >= least).withColumn("__k", F.row_number().over(Window.partitionBy("platform").orderBy(told, "conversation_id"))).where(F.col("__k") <= per_platform).drop("__k")
+
+
+def union_first_wins(*passes: DataFrame) -> DataFrame:
+    """Conversations of several passes of discovery, each as the first pass saw it, with that pass (from 1). A pass whose conversations are all known ends the discovery: later ones don't count."""
+    every = reduce(DataFrame.unionByName, [p.withColumn("pass", F.lit(k)) for k, p in enumerate(passes, 1)])
+    first = _first(every, ID, "pass")
+    new = [r["pass"] for r in first.select("pass").distinct().collect()]  # at most one row for each pass
+    last = next((k for k in range(1, len(passes) + 1) if k not in new), len(passes) + 1)
+    return first.where(F.col("pass") < last)
+
+
+def unknown_or_recent(inventory: DataFrame, since: str) -> DataFrame:
+    """Conversations never scraped, or with a message since a time."""
+    return inventory.where(~F.col("scraped") | (F.col("last_message_at") >= F.to_timestamp(F.lit(since))))
+
+
+def lost(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of before that are not in after, once each."""
+    return before.subtract(after.select(*before.columns))
+
+
+def common(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both, once each."""
+    return a.intersect(b.select(*a.columns))
+
+
+def url_backfill(conversations: DataFrame, known: str = "url") -> DataFrame:
+    """Addresses that are missing or empty, from the template of the platform; known ones in their current form."""
+    return conversations.withColumn("url", F.coalesce(T.current_url(F.nullif(F.col(known), F.lit(""))), T.conversation_url(F.col("platform"), F.col("conversation_id"))))
+
+
+def legacy(old: DataFrame) -> DataFrame:
+    """Messages of the old form (service, id, content, role, model) in the new: other names, and a model for assistants only."""
+    return old.select(F.col("service").alias("platform"), F.col("id").alias("conversation_id"), F.coalesce("content", F.lit("")).alias("texte"), "role", F.when(F.col("role") == "assistant", F.col("model")).alias("model"))
+
+
+def legacy_union(disk: DataFrame, state: DataFrame) -> DataFrame:
+    """Conversations of the files and of the state, each once; what is on disk wins."""
+    return _first(disk.withColumns({"origin": F.lit("disk"), "__rank": F.lit(1)}).unionByName(state.withColumns({"origin": F.lit("state"), "__rank": F.lit(2)})), ID, "__rank").drop("__rank")
+
+
+def metadata_fallback(new: DataFrame, old: DataFrame, fields: tuple[str, ...] = ("ts", "model", "message_id")) -> DataFrame:
+    """A new parse with what it lacks of the archived one: of the archived message of the same message_id, or else of the one at the same place. matched says which: id, place or none.
+
+    Of archived messages that repeat an id the last one counts. Fields that are null or empty in the new parse are filled, others stay.
+    """
+    empty = lambda c: c.isNull() | (c.cast("string") == "")
+    ids = old.where(~empty(F.col("message_id"))).groupBy(*ID, "message_id").agg(F.max_by(F.struct(*fields), "pos").alias("by_id"))
+    places = old.groupBy(*ID, "pos").agg(F.first(F.struct(*fields)).alias("by_place"))
+    rows = new.join(ids, [*ID, "message_id"], "left").join(places, [*ID, "pos"], "left")
+    ref = F.coalesce("by_id", "by_place")
+    filled = {c: F.when(empty(F.col(c)), F.coalesce(ref.getField(c), F.col(c))).otherwise(F.col(c)) for c in fields}
+    matched = F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_place").isNotNull(), "place").otherwise("none")
+    return rows.withColumn("matched", matched).withColumns(filled).select(*new.columns, "matched")
+
+
+def list_conversations(inventory: DataFrame, limit: int) -> DataFrame:
+    """The newest conversations; a limit of 0 is none."""
+    rows = inventory.orderBy(F.col("last_message_at").desc_nulls_last(), "conversation_id")
+    return rows.limit(limit) if limit else rows
+
+
+def list_by_messages(inventory: DataFrame, limit: int) -> DataFrame:
+    """The conversations of most messages, and whether there are more than the limit; a limit of 0 is none."""
+    rows = inventory.orderBy(F.col("message_count").desc_nulls_last(), "conversation_id")
+    rows = rows.limit(limit) if limit else rows
+    return rows.crossJoin(F.broadcast(inventory.agg((F.count(F.lit(1)) > (limit or float("inf"))).alias("truncated"))))  # one row
+
+
+def unique_names(inventory: DataFrame) -> DataFrame:
+    """Names of files by title: the slug, for others of the same slug with the first 8 characters of the id, and for others of that with the place among them."""
+    rows = inventory.withColumn("__base", T.slug(F.col("title")))
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("platform", "__base").orderBy("conversation_id")))
+    rows = rows.withColumn("__name", F.when(F.col("__k") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), T.safe_id(F.substring("conversation_id", 1, 8)))))
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("platform", "__name").orderBy("conversation_id")))
+    return rows.withColumn("name", F.when(F.col("__k") == 1, F.col("__name")).otherwise(F.concat_ws("-", "__name", F.col("__k").cast("string")))).drop("__base", "__k", "__name")
+
+
+def retry_unavailable(inventory: DataFrame) -> DataFrame:
+    """Inventory in which nothing is unavailable any more; reset says what was."""
+    return inventory.withColumn("reset", F.coalesce("unavailable", F.lit(False))).withColumn("unavailable", F.lit(False))

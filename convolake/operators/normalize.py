@@ -1,9 +1,12 @@
-"""Order within conversations: runs of roles, places, attachments between turns, the best of several readings, and version graphs."""
+"""Order within conversations: runs of roles, places, attachments between turns, the best of several readings, and version graphs.
+
+Operators take messages with a conversation_id, a place and what else they name; where the input knows its own keys, they are parameters, names or Column expressions.
+"""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolake.functions.text import strip
@@ -11,55 +14,95 @@ from convolake.operators.base import over, sql_operator
 
 consecutive_roles = sql_operator("SELECT conversation_id, count(CASE WHEN role = before THEN 1 END) AS n FROM (SELECT conversation_id, role, lag(role) OVER (PARTITION BY conversation_id ORDER BY pos) AS before FROM {messages}) t GROUP BY conversation_id", "messages")
 message_index = sql_operator("SELECT platform, conversation_id, msg_seq, row_number() OVER (PARTITION BY platform, conversation_id ORDER BY msg_seq) AS message_index FROM {messages}", "messages")
-nth_message = sql_operator("SELECT conversation_id, message_id FROM (SELECT conversation_id, message_id, row_number() OVER (PARTITION BY conversation_id ORDER BY msg_seq) AS k FROM {messages}) t WHERE k = 3", "messages")
 first_message = sql_operator("SELECT conversation_id, CAST(min(ts) AS VARCHAR(40)) AS first_ts, min(CASE WHEN role = 'assistant' THEN msg_seq END) AS first_answer FROM {messages} GROUP BY conversation_id", "messages")
-first_n = sql_operator("SELECT conversation_id, message_id, pos, n > 4 AS truncated FROM (SELECT conversation_id, message_id, pos, count(*) OVER (PARTITION BY conversation_id) AS n FROM {messages}) t WHERE pos < 4", "messages")
 #: Runs of one role as one message each.
 _RUNS = "SELECT *, sum(CASE WHEN before = role THEN 0 ELSE 1 END) OVER (PARTITION BY conversation_id ORDER BY pos) AS run FROM (SELECT *, lag(role) OVER (PARTITION BY conversation_id ORDER BY pos) AS before FROM {messages}) t"
 role_runs = sql_operator(f"SELECT conversation_id, CAST(run AS BIGINT) AS run, min(role) AS role, count(*) AS n, min(pos) AS first_pos FROM ({_RUNS}) r GROUP BY conversation_id, run", "messages")
-#: What stands between turns goes to the next visible message: segments by the count of visible messages that follow.
-attach_pending = sql_operator(
-    """SELECT conversation_id, segment, count(CASE WHEN NOT visible THEN 1 END) AS attached, max(CASE WHEN visible THEN message_id END) AS owner
-    FROM (SELECT conversation_id, message_id, visible, CAST(sum(CASE WHEN visible THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS segment
-    FROM (SELECT *, role <> 'system' AND msg_seq % 5 <> 0 AS visible FROM {messages}) v) t GROUP BY conversation_id, segment""",
-    "messages",
-)
-#: Times that are missing, from the neighbour before or after, then in order of time.
-fill_times = sql_operator(
-    """SELECT conversation_id, message_id, row_number() OVER (PARTITION BY conversation_id ORDER BY coalesce(t, before, later), pos) AS place, CASE WHEN t IS NOT NULL THEN 'own' WHEN before IS NOT NULL THEN 'before' WHEN later IS NOT NULL THEN 'after' ELSE 'none' END AS origin
-    FROM (SELECT *, max(t) OVER (PARTITION BY conversation_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(t) OVER (PARTITION BY conversation_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later
-    FROM (SELECT *, CASE WHEN msg_seq % 3 <> 0 THEN ts END AS t FROM {messages}) m) x""",
-    "messages",
-)
-#: The longest rendering of each row; the first of equally long ones.
-longest_row = sql_operator("SELECT conversation_id, slot, message_id FROM (SELECT conversation_id, pos % 3 AS slot, message_id, row_number() OVER (PARTITION BY conversation_id, pos % 3 ORDER BY length(texte) DESC, pos) AS k FROM {messages}) t WHERE k = 1", "messages")
-#: The best reading of a turn: with an answer first, later ones before earlier.
-best_turn = sql_operator("SELECT conversation_id, turn_key, message_id FROM (SELECT conversation_id, pos % 4 AS turn_key, message_id, row_number() OVER (PARTITION BY conversation_id, pos % 4 ORDER BY CASE WHEN role = 'assistant' THEN 0 ELSE 1 END, pos DESC) AS k FROM {messages}) t WHERE k = 1", "messages")
-last_per_key = sql_operator("SELECT conversation_id, key, message_id, row_number() OVER (PARTITION BY conversation_id ORDER BY pos, key) AS place FROM (SELECT conversation_id, role AS key, pos, message_id, row_number() OVER (PARTITION BY conversation_id, role ORDER BY pos DESC) AS k FROM {messages}) t WHERE k = 1", "messages")
-nearest_heading = sql_operator("SELECT conversation_id, message_id, max(CASE WHEN role = 'user' THEN msg_seq END) OVER (PARTITION BY conversation_id ORDER BY pos) AS heading FROM {messages}", "messages")
-dedupe_keep_first = sql_operator("SELECT conversation_id, first_seq, row_number() OVER (PARTITION BY conversation_id ORDER BY first_seq) AS place FROM (SELECT conversation_id, substr(lower(texte), 1, 1) AS key, min(msg_seq) AS first_seq FROM {messages} GROUP BY conversation_id, substr(lower(texte), 1, 1)) t", "messages")
-#: Versions of one message: siblings of a parent and sender.
-siblings = sql_operator("SELECT conversation_id, parent, role, count(*) AS n, min(msg_seq) AS first_seq, max(msg_seq) AS active_seq FROM (SELECT *, CAST(floor(pos / 2.0) AS INT) - 1 AS parent FROM {messages}) t GROUP BY conversation_id, parent, role", "messages")
-#: active_branch for another engine, up to a guard.
-_BRANCH = sql_operator(
-    """WITH RECURSIVE tree AS (SELECT conversation_id, pos, CASE WHEN pos % 4 = 3 THEN pos - 2 ELSE pos - 1 END AS parent FROM {messages}),
-    leaf AS (SELECT conversation_id, max(pos) AS pos FROM tree GROUP BY conversation_id),
-    walk AS (SELECT t.conversation_id, t.pos, t.parent, 0 AS depth FROM tree t JOIN leaf l ON l.conversation_id = t.conversation_id AND l.pos = t.pos
-    UNION ALL SELECT t.conversation_id, t.pos, t.parent, w.depth + 1 FROM walk w JOIN tree t ON t.conversation_id = w.conversation_id AND t.pos = w.parent WHERE w.depth < 80)
-    SELECT conversation_id, pos, depth FROM walk""",
-    "messages",
-)
-#: window_chain for another engine, up to a guard.
-_CHAIN = sql_operator(
-    """WITH RECURSIVE edges AS (SELECT conversation_id, a, min(b) AS b FROM (SELECT conversation_id, msg_seq AS a, lead(msg_seq) OVER (PARTITION BY conversation_id ORDER BY pos) AS b FROM {messages} WHERE pos % 7 <> 5
-        UNION ALL SELECT conversation_id, msg_seq, lead(msg_seq) OVER (PARTITION BY conversation_id ORDER BY pos) FROM {messages}) x WHERE b IS NOT NULL GROUP BY conversation_id, a),
-    heads AS (SELECT DISTINCT e.conversation_id, e.a FROM edges e LEFT JOIN edges p ON p.conversation_id = e.conversation_id AND p.b = e.a WHERE p.b IS NULL),
-    walk AS (SELECT conversation_id, a AS msg_seq, 0 AS depth FROM heads UNION ALL SELECT w.conversation_id, e.b, w.depth + 1 FROM walk w JOIN edges e ON e.conversation_id = w.conversation_id AND e.a = w.msg_seq WHERE w.depth < 80)
-    SELECT conversation_id, msg_seq, depth FROM walk""",
-    "messages",
-)
-#: The answer that follows the first message of a kind.
-suite_answer = sql_operator("SELECT conversation_id, min(answer) AS answer_seq FROM (SELECT conversation_id, role, lead(role) OVER (PARTITION BY conversation_id ORDER BY pos) AS next_role, lead(msg_seq) OVER (PARTITION BY conversation_id ORDER BY pos) AS answer FROM {messages}) t WHERE role = 'user' AND next_role = 'assistant' GROUP BY conversation_id", "messages")
+
+
+def _by(*order: Column | str) -> Window:
+    return Window.partitionBy("conversation_id").orderBy(*order)
+
+
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def nth_message(messages: DataFrame, n: int, order: str = "msg_seq") -> DataFrame:
+    """The n-th message of each conversation, counted from 1; conversations with fewer have no row."""
+    return messages.withColumn("__k", F.row_number().over(_by(order))).where(F.col("__k") == n).drop("__k")
+
+
+def first_n(messages: DataFrame, n: int, order: str = "pos") -> DataFrame:
+    """The first n messages of each conversation, and whether it has more."""
+    rows = messages.withColumns({"__k": F.row_number().over(_by(order)), "truncated": F.count(F.lit(1)).over(Window.partitionBy("conversation_id")) > n})
+    return rows.where(F.col("__k") <= n).drop("__k")
+
+
+def attach_pending(messages: DataFrame, visible: Column | str, order: str = "pos") -> DataFrame:
+    """What stands between turns goes to the next visible message: messages with owner, its message_id, null after the last one; a visible message owns itself."""
+    ahead = _by(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return messages.withColumn("owner", F.first(F.when(_col(visible), F.col("message_id")), ignorenulls=True).over(ahead))
+
+
+def fill_times(messages: DataFrame, time: Column | str = "ts", order: str = "pos") -> DataFrame:
+    """Times that are missing, from the nearest message before or else after, then in order of time: messages with filled, origin (own, before, after, none) and place from 1."""
+    before = F.last(_col(time), ignorenulls=True).over(_by(order).rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(_col(time), ignorenulls=True).over(_by(order).rowsBetween(1, Window.unboundedFollowing))
+    told = messages.withColumns({"__own": _col(time), "__before": before, "__after": after})
+    origin = F.when(F.col("__own").isNotNull(), "own").when(F.col("__before").isNotNull(), "before").when(F.col("__after").isNotNull(), "after").otherwise("none")
+    told = told.select(*messages.columns, F.coalesce("__own", "__before", "__after").alias("filled"), origin.alias("origin"))
+    return told.withColumn("place", F.row_number().over(_by(F.col("filled").asc_nulls_last(), order)))
+
+
+def best_of(messages: DataFrame, key: Column | str, *order: Column) -> DataFrame:
+    """Of the messages of a conversation that share a key the first in the given order, with the key."""
+    keyed = messages.withColumn("key", _col(key))
+    return keyed.withColumn("__k", F.row_number().over(Window.partitionBy("conversation_id", "key").orderBy(*order))).where("__k = 1").drop("__k")
+
+
+def longest_row(messages: DataFrame, key: Column | str) -> DataFrame:
+    """Of the renderings of one row the longest, the first of equally long ones."""
+    return best_of(messages, key, F.length("texte").desc_nulls_last(), F.col("pos"))
+
+
+def best_turn(messages: DataFrame, key: Column | str, answered: Column | str) -> DataFrame:
+    """Of the readings of a turn one with an answer, later ones before earlier; turns in the order in which they were first seen (place, from 1)."""
+    seen = messages.withColumns({"__key": _col(key), "__first": F.min("pos").over(Window.partitionBy("conversation_id", _col(key)))})
+    best = best_of(seen, "__key", F.when(_col(answered), 0).otherwise(1), F.col("pos").desc())
+    return best.withColumn("place", F.row_number().over(_by("__first"))).drop("__first", "__key")
+
+
+def last_per_key(messages: DataFrame, key: Column | str) -> DataFrame:
+    """The last message of each key, by place and key (place, from 1)."""
+    return best_of(messages, key, F.col("pos").desc()).withColumn("place", F.row_number().over(_by("pos", "key")))
+
+
+def nearest_heading(messages: DataFrame, heading: Column | str, order: str = "pos") -> DataFrame:
+    """messages with heading: the value of the nearest one at or before each, where heading isn't null."""
+    return messages.withColumn("heading", F.last(_col(heading), ignorenulls=True).over(_by(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def dedupe_keep_first(messages: DataFrame, key: Column | str, order: str = "msg_seq") -> DataFrame:
+    """The first message of each key, numbered anew (place, from 1); messages without a key all stay."""
+    keyed = messages.withColumn("key", _col(key))
+    first = F.row_number().over(Window.partitionBy("conversation_id", "key").orderBy(order))
+    return keyed.withColumn("__k", first).where("__k = 1 OR key IS NULL").drop("__k").withColumn("place", F.row_number().over(_by(order)))
+
+
+def siblings(messages: DataFrame, group: list[str], order: str = "msg_seq") -> DataFrame:
+    """Versions of one message: messages with the same values of group, as parent and role; with n of them, version from 0 and whether it is the active (last) one."""
+    same = Window.partitionBy("conversation_id", *group)
+    at = F.row_number().over(same.orderBy(order))
+    return messages.withColumns({"n": F.count(F.lit(1)).over(same), "version": at - 1, "active": at == F.count(F.lit(1)).over(same)})
+
+
+def suite_answer(messages: DataFrame, asked: Column | str, order: str = "pos") -> DataFrame:
+    """The answer that follows the first message that asks: conversation_id, asked_seq, answer_seq; only messages of users ask, and only an assistant's next message answers."""
+    at = _by(order)
+    told = messages.withColumns({"__role": F.lead("role").over(at), "__seq": F.lead("msg_seq").over(at)})
+    found = told.where(_col(asked) & (F.col("role") == "user") & (F.col("__role") == "assistant"))
+    return found.groupBy("conversation_id").agg(F.min_by("msg_seq", order).alias("asked_seq"), F.min_by("__seq", order).alias("answer_seq"))
 
 
 def follow(steps: DataFrame, node: str) -> DataFrame:
@@ -82,24 +125,49 @@ def follow(steps: DataFrame, node: str) -> DataFrame:
     return steps.select("conversation_id", node, "next", "start").groupBy("conversation_id").applyInArrow(run, f"conversation_id {kinds['conversation_id']}, {node} {kinds[node]}, depth int")
 
 
-def active_branch(messages: DataFrame) -> DataFrame:
-    """Path from the last leaf to the root of a tree of messages."""
-    return follow(over("SELECT conversation_id, pos, CASE WHEN pos % 4 = 3 THEN pos - 2 ELSE pos - 1 END AS next, pos = max(pos) OVER (PARTITION BY conversation_id) AS start FROM {messages}", messages=messages), "pos")
+def active_branch(messages: DataFrame, node: str = "pos", parent: str = "parent", leaf: Column | str = "leaf") -> DataFrame:
+    """Path from the leaf of each conversation to its root, along parent: (conversation_id, node, depth). leaf says which messages are one."""
+    return follow(messages.select("conversation_id", node, F.col(parent).alias("next"), _col(leaf).alias("start")), node)
+
+
+def chain(keys: DataFrame, edges: DataFrame) -> DataFrame:
+    """Order of keys from edges between them: (conversation_id, key, place).
+
+    keys: conversation_id, key, seen (its place in the order of discovery). edges: conversation_id, key, next, seen; edges to or from a key that isn't there, or to itself, don't count. From each key
+    that none precedes, and then from those left over, by the order of discovery, the first successor that has not been placed is followed. The keys of a conversation are one group.
+    """
 
+    def run(keys_of: pa.Table, edges_of: pa.Table) -> pa.Table:
+        order = sorted(zip(keys_of.column("seen").to_pylist(), keys_of.column("key").to_pylist(), strict=True), key=lambda x: x[0])
+        known = dict.fromkeys(k for _, k in order)
+        after: dict = {}
+        preceded = set()
+        for _, a, b in sorted(zip(*(edges_of.column(c).to_pylist() for c in ("seen", "key", "next")), strict=True), key=lambda x: x[0]):
+            if a in known and b in known and a != b:
+                after.setdefault(a, {})[b] = None
+                preceded.add(b)
+        placed: dict = {}
+        for start in [*(k for k in known if k not in preceded), *known]:
+            at = start
+            while at is not None and at not in placed:
+                placed[at] = len(placed)
+                at = next((n for n in after.get(at, ()) if n not in placed), None)
+        of = keys_of.column("conversation_id")[:1].to_pylist()
+        return pa.table({"conversation_id": pa.array(of * len(placed), keys_of.schema.field("conversation_id").type), "key": pa.array(list(placed), keys_of.schema.field("key").type), "place": pa.array(list(placed.values()), pa.int32())})
 
-def window_chain(messages: DataFrame) -> DataFrame:
-    """Order of keys from overlapping windows: each key's first successor, followed from the keys that none precedes."""
-    steps = over(
-        """WITH edges AS (SELECT conversation_id, msg_seq, min(b) AS next FROM (SELECT conversation_id, msg_seq, lead(msg_seq) OVER (PARTITION BY conversation_id ORDER BY pos) AS b FROM {messages} WHERE pos % 7 <> 5
-        UNION ALL SELECT conversation_id, msg_seq, lead(msg_seq) OVER (PARTITION BY conversation_id ORDER BY pos) FROM {messages}) x GROUP BY conversation_id, msg_seq)
-        SELECT e.*, e.next IS NOT NULL AND p.b IS NULL AS start FROM edges e LEFT JOIN (SELECT DISTINCT conversation_id, next AS b FROM edges) p ON p.conversation_id = e.conversation_id AND p.b = e.msg_seq""",
-        messages=messages,
-    )
-    return follow(steps, "msg_seq")
+    kinds = dict(keys.dtypes)
+    rows = keys.select("conversation_id", "key", "seen").groupBy("conversation_id").cogroup(edges.select("conversation_id", "key", "next", "seen").groupBy("conversation_id"))
+    return rows.applyInArrow(run, f"conversation_id {kinds['conversation_id']}, key {kinds['key']}, place int")
 
 
-for _whole, _guarded in ((active_branch, _BRANCH), (window_chain, _CHAIN)):
-    _whole.tables, _whole.sql = _guarded.tables, _guarded.sql
+def window_chain(windows: DataFrame) -> DataFrame:
+    """Order of keys from overlapping windows (conversation_id, window, pos, key), of which each shows some keys in order: chain() over the pairs of neighbours; keys and edges count from the first window that has them."""
+    seen = F.struct("window", "pos")
+    told = windows.withColumn("next", F.lead("key").over(Window.partitionBy("conversation_id", "window").orderBy("pos")))
+    keys = windows.groupBy("conversation_id", "key").agg(F.min(seen).alias("at"))
+    keys = keys.select("conversation_id", "key", F.row_number().over(_by("at")).alias("seen"))
+    edges = told.where("next IS NOT NULL").select("conversation_id", "key", "next", F.row_number().over(_by("window", "pos")).alias("seen"))
+    return chain(keys, edges)
 
 
 def fold_runs(messages: DataFrame) -> DataFrame:
@@ -113,4 +181,4 @@ def fold_runs(messages: DataFrame) -> DataFrame:
 
     first = lambda c: F.min_by(F.nullif(F.col(c).cast("string"), F.lit("")), F.when(F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull(), F.col("pos"))).alias(c)
     out = runs.groupBy("platform", "conversation_id", "run").agg(F.min("role").alias("role"), said.alias("said"), first("message_id"), first("model"), first("ts"))
-    return out.withColumn("texte", F.aggregate(F.slice("said", 2, 1_000_000), F.get("said", 0), step)).drop("said").withColumn("run", F.col("run").cast("long"))
+    return out.withColumn("texte", F.aggregate(F.slice("said", 2, F.size("said")), F.get("said", 0), step)).drop("said").withColumn("run", F.col("run").cast("long"))

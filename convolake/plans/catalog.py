@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convolake.functions import text as T
@@ -81,19 +81,16 @@ def _query(name: str, tables: str, sql: str | None):
 
 
 _sql(
-    g1_stats=analytics.stats, g2_top_models=analytics.top_models, g3_activity_daily=analytics.daily, g4_timeline_platform=analytics.timeline_platform, g4_timeline_model=analytics.timeline_model, g5_day_view=analytics.day_view,
-    g6_distinct_models=analytics.distinct_models, g7_date_bounds=analytics.date_bounds, g9_facets=analytics.facets, g10_status=analytics.status, g11_tool_stats=analytics.tool_stats, g15_majority=analytics.majority,
-    g17_bench_summary=analytics.bench_summary, g18_media_stats=analytics.media_stats, g19_run_summary=analytics.run_summary, g20_inventory_counters=analytics.inventory_counters, g21_heat_levels=analytics.heat_levels, g22_bars=analytics.bars,
-    a18_api_health=analytics.api_health, k6_event_days=analytics.event_days, w5_recent=analytics.recent_days,
+    g1_stats=analytics.stats, g2_top_models=analytics.top_models, g3_activity_daily=analytics.daily, g4_timeline_platform=analytics.timeline_platform, g4_timeline_model=analytics.timeline_model, 
+    g6_distinct_models=analytics.distinct_models, g7_date_bounds=analytics.date_bounds, g9_facets=analytics.facets, g11_tool_stats=analytics.tool_stats, g15_majority=analytics.majority,
+    g18_media_stats=analytics.media_stats, g19_run_summary=analytics.run_summary, g20_inventory_counters=analytics.inventory_counters, g21_heat_levels=analytics.heat_levels, g22_bars=analytics.bars,
+    k6_event_days=analytics.event_days, 
     o1_merge_status=archive.merge_status, o1_merge_payload=archive.merge_payload, o2_content_equal=archive.content_equal, o4_inventory_upsert=archive.inventory_upsert, b3_inventory_order=archive.inventory_order, a6_inventory_load=archive.inventory_load,
-    j20_inventory_refresh=archive.inventory_refresh, b5_replace=archive.replace_conversations, b6_delete=archive.delete_conversation, b15_purge_cascade=archive.purge_cascade, b16_media_prune=archive.media_prune, w17_content_dedupe=archive.media_dedupe,
-    b7_media_upsert=archive.media_upsert, t5_gallery_page=archive.gallery_page, j16_file_referenced=archive.file_referenced, b11_retention=archive.retention, p10_daily_targets=archive.daily_targets, p9_incremental_skip=archive.incremental_skip,
-    p14_seeded_sample=archive.seeded_sample, u1_union_first_wins=archive.union_first_wins, u2_unknown_or_recent=archive.unknown_or_recent, u4_set_difference=archive.lost, u5_set_intersection=archive.common, b17_url_backfill=archive.url_backfill,
-    b19_legacy=archive.legacy, a14_legacy_union=archive.legacy_union, j10_metadata_fallback=archive.metadata_fallback, t4_list_conversations=archive.list_conversations, t3_list_by_messages=archive.list_by_messages, a15_platforms=archive.platforms,
-    o6_retry_unavailable=archive.retry_unavailable, c15_unique_filename=archive.unique_names,
-    w1_consecutive_roles=normalize.consecutive_roles, w3_message_index=normalize.message_index, w4_nth_message=normalize.nth_message, w5_first_message=normalize.first_message, p21_first_n=normalize.first_n, w2_alternation_runs=normalize.role_runs,
-    w7_attach_pending=normalize.attach_pending, w8_fill_times=normalize.fill_times, w9_longest_row=normalize.longest_row, w10_best_turn=normalize.best_turn, w11_last_per_key=normalize.last_per_key, w14_nearest_heading=normalize.nearest_heading,
-    w16_dedupe_keep_first=normalize.dedupe_keep_first, j11_siblings=normalize.siblings, j13_active_branch=normalize.active_branch, w12_window_chain=normalize.window_chain, q8_suite_answer=normalize.suite_answer,
+    b5_replace=archive.replace_conversations, b16_media_prune=archive.media_prune, 
+    j16_file_referenced=archive.file_referenced, 
+    a15_platforms=archive.platforms,
+    w1_consecutive_roles=normalize.consecutive_roles, w3_message_index=normalize.message_index, w5_first_message=normalize.first_message, w2_alternation_runs=normalize.role_runs,
+    
     g16_shape_monitor=shapes.monitor, g23_canary_coverage=quality.canary_coverage,
 )
 
@@ -164,13 +161,117 @@ _query("j4_vector_cache", "messages vectors", "SELECT md5(texte) AS fingerprint,
 _query("j5_meta_left", "messages conv", "SELECT m.msg_seq, c.title FROM messages m LEFT JOIN (SELECT * FROM conv WHERE conv_id % 2 = 0) c ON c.conversation_id = m.conversation_id WHERE m.pos = 0")(
     lambda m, c: m.where("pos = 0").join(c.where("conv_id % 2 = 0").select("conversation_id", "title"), "conversation_id", "left").select("msg_seq", "title")
 )
-_query("j8_media_full_outer", "messages media", "SELECT coalesce(t.conversation_id, h.conversation_id) AS conversation_id, coalesce(hit_count, 0) AS hit_count, coalesce(media_hits, 0) AS media_hits FROM (SELECT conversation_id, count(*) AS hit_count FROM messages WHERE pos < 3 GROUP BY 1) t FULL OUTER JOIN (SELECT conversation_id, count(*) AS media_hits FROM media GROUP BY 1) h ON h.conversation_id = t.conversation_id")(
-    lambda m, d: search.media_groups(m.where("pos < 3").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("hit_count")), d)
-)
-_query("j8_media_full_outer_all", "messages media", "SELECT coalesce(t.conversation_id, h.conversation_id) AS conversation_id, coalesce(hit_count, 0) AS hit_count, coalesce(media_hits, 0) AS media_hits FROM (SELECT conversation_id, count(*) AS hit_count FROM messages GROUP BY 1) t FULL OUTER JOIN (SELECT conversation_id, count(*) AS media_hits FROM media GROUP BY 1) h ON h.conversation_id = t.conversation_id")(
+_query("j8_media_full_outer", "messages media", "SELECT coalesce(t.conversation_id, h.conversation_id) AS conversation_id, coalesce(hit_count, 0) AS hit_count, coalesce(media_hits, 0) AS media_hits FROM (SELECT conversation_id, count(*) AS hit_count FROM messages GROUP BY 1) t FULL OUTER JOIN (SELECT conversation_id, count(*) AS media_hits FROM media GROUP BY 1) h ON h.conversation_id = t.conversation_id")(
     lambda m, d: search.media_groups(m.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("hit_count")), d)
 )
 
+# The archive, order within conversations and counts. The fixtures cut or change the bound tables; the SQL says the same by other means.
+_KEY = ["platform", "conversation_id"]
+_KNOWN = "k AS (SELECT * FROM conv WHERE conv_id % 5 <> 0), r AS (SELECT *, CASE WHEN conv_id % 9 = 0 THEN '' ELSE 'new ' || title END AS told FROM conv WHERE conv_id % 4 <> 0)"
+_query("j20_inventory_refresh", "conv", f"""WITH {_KNOWN} SELECT platform, conversation_id, title, scraped, FALSE AS added FROM k WHERE scraped
+    UNION ALL SELECT k.platform, k.conversation_id, CASE WHEN r.told <> '' THEN r.told ELSE k.title END, FALSE, FALSE FROM k LEFT JOIN r USING (platform, conversation_id) WHERE NOT k.scraped
+    UNION ALL SELECT platform, conversation_id, nullif(told, ''), FALSE, TRUE FROM r WHERE (platform, conversation_id) NOT IN (SELECT platform, conversation_id FROM k)""")(
+    lambda c: archive.inventory_refresh(c.where("conv_id % 5 <> 0"), c.where("conv_id % 4 <> 0").withColumn("title", F.when(F.col("conv_id") % 9 == 0, "").otherwise(F.concat(F.lit("new "), "title")))).drop("last_message_at")
+)
+_query("b6_delete", "messages conv", "SELECT m.message_id FROM messages m JOIN conv c USING (platform, conversation_id) WHERE NOT c.unavailable")(lambda m, c: archive.delete_conversations(m, c.where("unavailable")).select("message_id"))
+_OWNED = "owned AS (SELECT media_id, content_key, c.platform, c.conversation_id, c.unavailable FROM media m JOIN conv c ON c.conv_id = m.media_id % 97)"
+_query("b15_purge_cascade", "messages conv media", f"""WITH {_OWNED}, away AS (SELECT content_key, count(*) AS n FROM owned WHERE unavailable GROUP BY content_key), home AS (SELECT DISTINCT content_key FROM owned WHERE NOT unavailable),
+    m AS (SELECT CASE WHEN content_key IN (SELECT content_key FROM home) THEN 'detach' ELSE 'delete' END AS action, CAST(sum(n) AS BIGINT) AS n FROM away GROUP BY 1)
+    SELECT 'media' AS what, action, n FROM m UNION ALL SELECT 'messages', 'delete', count(*) FROM messages WHERE conv_id % 11 = 0 UNION ALL SELECT 'conversations', 'delete', count(*) FROM conv WHERE conv_id % 11 = 0""")(
+    lambda m, c, d: archive.purge_cascade(m, d.drop("platform", "conversation_id").join(c.select(*_KEY, "conv_id"), F.col("media_id") % 97 == F.col("conv_id")), c.where("unavailable"))
+)
+_query("w17_content_dedupe", "media", "SELECT min(media_id) AS media_id FROM media WHERE media_id % 13 <> 0 GROUP BY content_key UNION ALL SELECT media_id FROM media WHERE media_id % 13 = 0")(
+    lambda d: archive.media_dedupe(d.withColumn("content_key", F.when(F.col("media_id") % 13 != 0, F.col("content_key")))).select("media_id")
+)
+_query("b7_media_upsert", "media", "SELECT media_id, CASE WHEN media_id % 3 = 1 THEN 'new' ELSE kind END AS kind FROM media")(
+    lambda d: archive.media_upsert(d.where("media_id % 5 <> 1 OR media_id % 3 <> 1"), d.where("media_id % 3 = 1").withColumn("kind", F.lit("new"))).select("media_id", "kind")
+)
+_query("t5_gallery_page", "media", "SELECT media_id, kind, (SELECT count(*) FROM media WHERE kind <> 'audio') AS total FROM media WHERE kind <> 'audio' ORDER BY media_id DESC LIMIT 20 OFFSET 20")(
+    lambda d: archive.gallery_page(d, ["image", "video"], 20, 20).select("media_id", "kind", "total")
+)
+_query("b11_retention", "conv", "SELECT conversation_id AS name, platform AS stem FROM conv c WHERE (SELECT count(*) FROM conv n WHERE n.platform = c.platform AND n.conversation_id > c.conversation_id) >= 3")(
+    lambda c: archive.retention(c.select(F.col("conversation_id").alias("name"), F.col("platform").alias("stem")), 3)
+)
+_query("p10_daily_targets", "conv", "SELECT platform, conversation_id FROM conv c WHERE NOT unavailable AND (NOT scraped OR (SELECT count(*) FROM conv n WHERE n.platform = c.platform AND (n.last_message_at > c.last_message_at OR n.last_message_at = c.last_message_at AND n.conversation_id < c.conversation_id)) < 20)")(
+    lambda c: archive.daily_targets(c, 20).select(*_KEY)
+)
+_query("p9_incremental_skip", "conv", "SELECT platform, conversation_id FROM conv WHERE conv_id % 4 = 0 OR conv_id % 6 = 1")(
+    lambda c: archive.incremental_skip(c.withColumn("exported_at", F.col("last_message_at").cast("string")), c.where("conv_id % 4 <> 0").withColumn("exported_at", F.when(F.col("conv_id") % 6 == 1, "older").otherwise(F.col("last_message_at").cast("string")))).select(*_KEY)
+)
+_query("p14_seeded_sample", "conv", "SELECT platform, unnest(list_transform(list_sort(list(md5(conversation_id || '-42') || ' ' || conversation_id))[1:3], lambda x: split_part(x, ' ', 2))) AS conversation_id FROM conv WHERE message_count >= 4 GROUP BY platform")(
+    lambda c: archive.seeded_sample(c, 4, 3, 42).select(*_KEY)
+)
+_query("u1_union_first_wins", "conv", "SELECT conversation_id, 1 AS pass, title FROM conv WHERE conv_id % 2 = 0 UNION ALL SELECT conversation_id, 2, 'later ' || title FROM conv WHERE conv_id % 2 = 1 AND conv_id % 3 > 0")(
+    lambda c: archive.union_first_wins(c.where("conv_id % 2 = 0"), *(c.where(x).withColumn("title", F.concat(F.lit("later "), "title")) for x in ("conv_id % 3 > 0", "conv_id % 6 = 2", "TRUE"))).select("conversation_id", "pass", "title")
+)
+_query("u2_unknown_or_recent", "conv", "SELECT conversation_id FROM conv WHERE conv_id % 3 = 0 UNION SELECT DISTINCT conversation_id FROM messages WHERE ts >= TIMESTAMP '2024-10-01 00:00:00'")(lambda c: archive.unknown_or_recent(c, "2024-10-01 00:00:00").select("conversation_id"))
+_query("u4_set_difference", "conv", "SELECT conversation_id FROM conv WHERE conv_id % 3 = 0")(lambda c: archive.lost(c.select("conversation_id"), c.where("scraped").select("conversation_id")))
+_query("u5_set_intersection", "conv", "SELECT conversation_id FROM conv WHERE conv_id % 3 <> 0 AND conv_id % 2 = 0")(lambda c: archive.common(c.where("scraped").select("conversation_id"), c.where("conv_id % 2 = 0").select("conversation_id")))
+_query("b17_url_backfill", "conv", "SELECT conversation_id, CASE WHEN conv_id % 7 = 0 THEN 'https://known.example/' || conversation_id WHEN conv_id % 6 = 4 AND conv_id % 7 = 1 THEN 'https://chat.mistral.ai/work/x' ELSE ['https://chatgpt.com/c/', 'https://claude.ai/chat/', 'https://gemini.google.com/app/', 'https://grok.com/chat/', 'https://chat.mistral.ai/work/', 'https://www.perplexity.ai/search/'][conv_id % 6 + 1] || conversation_id END AS url FROM conv")(
+    lambda c: archive.url_backfill(c.withColumn("url", F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("https://known.example/"), "conversation_id")).when((F.col("conv_id") % 6 == 4) & (F.col("conv_id") % 7 == 1), "https://chat.mistral.ai/chat/x").when(F.col("conv_id") % 2 == 0, ""))).select("conversation_id", "url")
+)
+_query("b19_legacy", "messages", "SELECT platform, conversation_id, texte, role, if(role = 'assistant', 'm-1', NULL) AS model FROM messages")(
+    lambda m: archive.legacy(m.select(F.col("platform").alias("service"), F.col("conversation_id").alias("id"), F.col("texte").alias("content"), "role", F.lit("m-1").alias("model")))
+)
+_query("a14_legacy_union", "conv", "SELECT conversation_id, CASE WHEN conv_id % 3 <> 0 THEN 'disk' ELSE 'state' END AS origin FROM conv WHERE conv_id % 3 <> 0 OR conv_id % 2 = 0")(lambda c: archive.legacy_union(c.where("scraped"), c.where("conv_id % 2 = 0")).select("conversation_id", "origin"))
+_query("j10_metadata_fallback", "messages", """SELECT conversation_id, pos, CASE WHEN pos = 0 AND conv_id % 2 = 0 THEN 'own' ELSE (SELECT o.model FROM messages o WHERE o.conversation_id = m.conversation_id AND o.pos = CASE WHEN m.pos % 2 = 0 THEN m.pos ELSE m.pos + 1 END) END AS model,
+    CASE WHEN pos % 2 = 0 OR (SELECT max(pos) FROM messages o WHERE o.conversation_id = m.conversation_id) > pos THEN if(pos % 2 = 0, 'id', 'place') ELSE 'none' END AS matched FROM messages m""")(
+    lambda m: archive.metadata_fallback(m.withColumns({"message_id": F.when(F.col("pos") % 2 == 0, F.col("message_id")).otherwise(""), "model": F.when((F.col("pos") == 0) & (F.col("conv_id") % 2 == 0), "own")}), m.withColumn("pos", F.when(F.col("pos") % 2 == 0, F.when(F.col("pos") > 0, F.col("pos") - 1).otherwise(0)).otherwise(F.col("pos") + 100_000))).select("conversation_id", "pos", "model", "matched")
+)
+_query("t4_list_conversations", "conv", "SELECT platform, conversation_id, message_count FROM conv ORDER BY last_message_at DESC, conversation_id LIMIT 50")(lambda c: archive.list_conversations(c, 50).select(*_KEY, "message_count"))
+_query("t3_list_by_messages", "conv", "SELECT platform, conversation_id, message_count, (SELECT count(*) FROM conv) > 30 AS truncated FROM conv ORDER BY message_count DESC, conversation_id LIMIT 30")(lambda c: archive.list_by_messages(c, 30).select(*_KEY, "message_count", "truncated"))
+_query("o6_retry_unavailable", "conv", "SELECT conversation_id, FALSE AS unavailable, conv_id % 11 = 0 AS reset FROM conv")(lambda c: archive.retry_unavailable(c).select("conversation_id", "unavailable", "reset"))
+_query("c15_unique_filename", "conv", "SELECT conversation_id, 'title-' || CAST(conv_id % 7 AS VARCHAR) || CASE WHEN conversation_id = min(conversation_id) OVER (PARTITION BY platform, conv_id % 7) THEN '' ELSE '-' || conversation_id END AS name FROM conv")(lambda c: archive.unique_names(c).select("conversation_id", "name"))
+
+_query("w4_nth_message", "messages", "SELECT conversation_id, list(message_id ORDER BY msg_seq)[3] AS message_id FROM messages GROUP BY conversation_id HAVING count(*) > 2")(lambda m: normalize.nth_message(m, 3).select("conversation_id", "message_id"))
+_query("p21_first_n", "messages", "SELECT conversation_id, message_id, len(a) > 4 AS truncated FROM (SELECT conversation_id, list(message_id ORDER BY pos) AS a FROM messages GROUP BY conversation_id) t, unnest(a[:4]) u(message_id)")(lambda m: normalize.first_n(m, 4).select("conversation_id", "message_id", "truncated"))
+_query("w7_attach_pending", "messages", "SELECT m.message_id, (SELECT o.message_id FROM messages o WHERE o.conversation_id = m.conversation_id AND o.pos >= m.pos AND o.role <> 'system' AND o.msg_seq % 5 <> 0 ORDER BY o.pos LIMIT 1) AS owner FROM messages m")(
+    lambda m: normalize.attach_pending(m, (F.col("role") != "system") & (F.col("msg_seq") % 5 != 0)).select("message_id", "owner")
+)
+_NEAR = "(SELECT o.ts FROM messages o WHERE o.conversation_id = m.conversation_id AND o.msg_seq % 3 <> 0 AND o.pos {} m.pos ORDER BY o.pos {} LIMIT 1)"
+_query("w8_fill_times", "messages", f"WITH x AS (SELECT *, CASE WHEN msg_seq % 3 <> 0 THEN ts END AS own, {_NEAR.format('<', 'DESC')} AS before, {_NEAR.format('>', '')} AS later FROM messages m) SELECT message_id, strftime(coalesce(own, before, later), '%Y-%m-%d %H:%M:%S') AS filled, if(own IS NOT NULL, 'own', if(before IS NOT NULL, 'before', if(later IS NOT NULL, 'after', 'none'))) AS origin, row_number() OVER (PARTITION BY conversation_id ORDER BY coalesce(own, before, later) NULLS LAST, pos) AS place FROM x")(
+    lambda m: normalize.fill_times(m, F.when(F.col("msg_seq") % 3 != 0, F.col("ts"))).select("message_id", F.date_format("filled", "yyyy-MM-dd HH:mm:ss").alias("filled"), "origin", "place")
+)
+_query("w9_longest_row", "messages", "SELECT conversation_id, pos % 3 AS key, arg_max(message_id, (length(texte), -pos)) AS message_id FROM messages GROUP BY ALL")(lambda m: normalize.longest_row(m, F.col("pos") % 3).select("conversation_id", "key", "message_id"))
+_query("w10_best_turn", "messages", "SELECT conversation_id, pos % 4 AS key, arg_max(message_id, (if(role = 'assistant', 1, 0), pos)) AS message_id, row_number() OVER (PARTITION BY conversation_id ORDER BY min(pos)) AS place FROM messages GROUP BY conversation_id, pos % 4")(
+    lambda m: normalize.best_turn(m, F.col("pos") % 4, F.col("role") == "assistant").select("conversation_id", (F.col("pos") % 4).alias("key"), "message_id", "place")
+)
+_query("w11_last_per_key", "messages", "SELECT conversation_id, key, message_id, rank() OVER (PARTITION BY conversation_id ORDER BY p, key) AS place FROM (SELECT conversation_id, role AS key, arg_max(message_id, pos) AS message_id, max(pos) AS p FROM messages GROUP BY ALL) t")(lambda m: normalize.last_per_key(m, "role").select("conversation_id", "key", "message_id", "place"))
+_query("w14_nearest_heading", "messages", "SELECT m.message_id, h.msg_seq AS heading FROM messages m ASOF LEFT JOIN (SELECT * FROM messages WHERE role = 'user') h ON h.conversation_id = m.conversation_id AND h.pos <= m.pos")(lambda m: normalize.nearest_heading(m, F.when(F.col("role") == "user", F.col("msg_seq"))).select("message_id", "heading"))
+_query("w16_dedupe_keep_first", "messages", "WITH x AS (SELECT conversation_id, min(msg_seq) AS msg_seq FROM messages WHERE pos % 5 <> 4 GROUP BY conversation_id, lower(texte)[1] UNION ALL SELECT conversation_id, msg_seq FROM messages WHERE pos % 5 = 4) SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY msg_seq) AS place FROM x")(
+    lambda m: normalize.dedupe_keep_first(m, F.when(F.col("pos") % 5 != 4, F.substring(F.lower("texte"), 1, 1))).select("conversation_id", "msg_seq", "place")
+)
+_query("j11_siblings", "messages", "SELECT message_id, len(a) AS n, CAST(list_position(a, msg_seq) - 1 AS INTEGER) AS version, msg_seq = list_max(a) AS active FROM messages JOIN (SELECT conversation_id, CAST(floor(pos / 2.0) AS INTEGER) AS parent, role, list_sort(list(msg_seq)) AS a FROM messages GROUP BY ALL) s USING (conversation_id, role) WHERE CAST(floor(pos / 2.0) AS INTEGER) = s.parent")(
+    lambda m: normalize.siblings(m.withColumn("parent", F.floor(F.col("pos") / 2)), ["parent", "role"]).select("message_id", "n", "version", "active")
+)
+_query("j13_active_branch", "messages", """SELECT conversation_id, pos, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY pos DESC) - 1 AS INTEGER) AS depth FROM messages WHERE pos % 4 <> 2 OR pos = (SELECT max(o.pos) FROM messages o WHERE o.conversation_id = messages.conversation_id)""")(
+    lambda m: normalize.active_branch(m.withColumns({"parent": F.when(F.col("pos") % 4 == 3, F.col("pos") - 2).otherwise(F.col("pos") - 1), "leaf": F.col("pos") == F.max("pos").over(Window.partitionBy("conversation_id"))}))
+)
+_query("w12_window_chain", "messages", "SELECT conversation_id, msg_seq AS key, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1 AS INTEGER) AS place FROM messages")(
+    lambda m: normalize.window_chain(m.select("conversation_id", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col("pos") / 3) - 1), F.floor(F.col("pos") / 3))).alias("window"), "pos", F.col("msg_seq").alias("key")).withColumn("window", -F.col("window")))
+)
+_query("w13_edge_chain", "messages", "SELECT conversation_id, msg_seq AS key, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY CASE WHEN pos % 6 < 3 THEN 0 ELSE 1 END, pos) - 1 AS INTEGER) AS place FROM messages")(
+    lambda m: normalize.chain(
+        m.select("conversation_id", F.col("msg_seq").alias("key"), (F.col("pos") + F.when(F.col("pos") % 6 >= 3, 1000).otherwise(0)).alias("seen")),
+        m.where("pos % 3 <> 2").select("conversation_id", F.col("msg_seq").alias("key"), (F.col("msg_seq") + 1).alias("next"), F.col("pos").alias("seen")),
+    )
+)
+_query("q8_suite_answer", "messages", "SELECT a.conversation_id, min(b.msg_seq) AS answer_seq FROM messages a JOIN messages b ON b.conversation_id = a.conversation_id AND b.pos = a.pos + 1 WHERE a.role = 'user' AND b.role = 'assistant' AND contains(a.texte, 'the') GROUP BY 1")(
+    lambda m: normalize.suite_answer(m, F.contains("texte", F.lit("the"))).select("conversation_id", "answer_seq")
+)
+
+_query("g5_day_view", "messages", "SELECT platform, conversation_id, n, first_seq, row_number() OVER (ORDER BY first_ts, first_seq) AS place, CAST(sum(n) OVER () AS BIGINT) AS message_count FROM (SELECT platform, conversation_id, count(*) AS n, min(msg_seq) AS first_seq, min(ts) AS first_ts FROM messages WHERE strftime(ts, '%Y%m%d') = '20240715' GROUP BY ALL) t")(lambda m: analytics.day_view(m, "2024-07-15"))
+_query("g10_status", "conv events", "SELECT platform, count(*) AS listed, sum(if(conv_id % 3 <> 0, 1, 0))::BIGINT AS scraped, sum(if(conv_id % 11 = 0, 1, 0))::BIGINT AS unavailable, CASE platform WHEN 'claude' THEN 'attention' WHEN 'grok' THEN 'critique' WHEN 'gemini' THEN 'ok' ELSE 'inconnu' END AS verdict FROM conv GROUP BY platform")(
+    lambda c, e: analytics.status(c, e.sparkSession.createDataFrame([("claude", "ok"), ("claude", "attention"), ("grok", "critique"), ("grok", "ok"), ("gemini", "ok"), ("mistral", "odd"), ("mistral", None)], "platform string, verdict string")).drop("last_message_at")
+)
+_query("g17_bench_summary", "events", "SELECT event_type AS service, count(*) AS n, count(*) FILTER (value > 10) AS fetched, count(*) FILTER (NOT coalesce(value > 10, FALSE)) AS failed, CAST(sum(user_id) AS BIGINT) AS bytes, round(avg(value) FILTER (value > 10), 3) AS mean_s, round(min(value) FILTER (value > 10), 3) AS min_s, round(max(value) FILTER (value > 10), 3) AS max_s FROM events GROUP BY event_type")(
+    lambda e: analytics.bench_summary(e.select(F.col("event_type").alias("service"), F.when(F.col("value") > 10, F.col("value")).alias("seconds"), F.col("user_id").alias("bytes"), F.lit(1).alias("messages"), F.lit(1.0).alias("score"))).drop("messages", "mean_score")
+)
+_query("a18_api_health", "events", "SELECT event_type AS service, round(100.0 * sum(if(value >= 50, 1, 0)) / count(*), 1) AS rate FROM events GROUP BY 1 UNION ALL SELECT 'none', NULL")(
+    lambda e: analytics.api_health(e.groupBy(F.col("event_type").alias("service")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") >= 50).alias("matches")).unionByName(e.sparkSession.createDataFrame([("none", 0, 0)], "service string, n long, matches long"))).select("service", "rate")
+)
+_query("w5_recent", "events", "SELECT user_id, strftime(min(ts), '%Y-%m') AS month, count(*) AS n FROM events GROUP BY user_id")(lambda e: analytics.first_months(e, "user_id").select("user_id", "month", "n"))
+
 # Text operations, over messages, documents and pages.
 _SAID = "'# Head\n\n' || texte || '\n```py\nprint(1)\n```\n\n- see https://a.example/x.png?q=1, ![i](https://b.example/i.jpg) and [f](https://c.example/f.pdf)\n\n\n'"
 _made = lambda: F.concat(F.lit("# Head\n\n"), F.col("texte"), F.lit("\n```py\nprint(1)\n```\n\n- see https://a.example/x.png?q=1, ![i](https://b.example/i.jpg) and [f](https://c.example/f.pdf)\n\n\n"))
@@ -187,7 +288,6 @@ _text("c9_index_text", lambda: F.md5(T.index_text(F.col("texte"), F.lit("why"),
 _text("c10_fingerprint", lambda: T.fingerprint("model", F.col("texte")), "sha256('model' || chr(10) || texte)")
 _text("c11_media_fingerprint", lambda: T.fingerprint("model", F.col("content_key"), F.col("media_id").cast("string")), "sha256('model' || chr(10) || content_key || chr(10) || CAST(media_id AS VARCHAR))", "media_id", "media")
 _text("c13_slug", lambda: T.slug(F.col("text")), r"""coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), '-{2,}', '-', 'g'), 1, 80), '[-.]+$', ''), ''), 'untitled')""", "doc_id", "documents")
-_text("c14_safe_id", lambda: T.safe_id(F.substring("text", 1, 40)), r"coalesce(nullif(regexp_replace(trim(substr(text, 1, 40), ' ' || chr(10) || chr(9)), '[^A-Za-z0-9._-]', '_', 'g'), ''), 'unknown')", "doc_id", "documents")
 _text("c16_urls", lambda: T.conversation_url(F.col("platform"), F.col("conversation_id")), "CASE platform WHEN 'chatgpt' THEN 'https://chatgpt.com/c/' WHEN 'claude' THEN 'https://claude.ai/chat/' WHEN 'gemini' THEN 'https://gemini.google.com/app/' WHEN 'perplexity' THEN 'https://www.perplexity.ai/search/' WHEN 'grok' THEN 'https://grok.com/chat/' ELSE 'https://chat.mistral.ai/work/' END || conversation_id")
 _text("c16_current_url", lambda: T.current_url(F.concat(F.lit("https://chat.mistral.ai/chat/"), F.col("message_id"))), "'https://chat.mistral.ai/work/' || message_id")
 _text("c19_clean", lambda: F.md5(T.clean_vendor_text(F.concat(F.lit("<grok:render x>y\n</grok:render>a<br/>b  \n\n\n\n"), F.col("texte"), F.lit("<xaiArtifact id=1> ")))), r"md5('a' || chr(10) || 'b' || chr(10) || chr(10) || regexp_replace(regexp_replace(regexp_replace(texte, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'))")
@@ -214,11 +314,9 @@ _text("c47_buckets", lambda: T.bucket(F.length("texte") % 150), "CASE WHEN lengt
 _text("c48_masked_key", lambda: T.masked_key(F.concat(F.lit("k:"), F.md5("texte"))), "'k:<hash>'")
 _text("c51_relative_dates", lambda: T.iso_z(T.relative_date(F.get(F.array(F.lit("25 sept., 19:01"), F.lit("hier, 08:05"), F.lit("31 avr., 10:00"), F.lit("1 janv., 00:30"), F.lit("soon")), F.col("pos") % 5), F.lit("2024-07-10 12:00:00").cast("timestamp"))), "CASE pos % 5 WHEN 0 THEN '2023-09-25T19:01:00Z' WHEN 1 THEN '2024-07-09T08:05:00Z' WHEN 3 THEN '2024-01-01T00:30:00Z' END")
 _text("c57_source_entry", lambda: T.source_entry(F.when(F.col("pos") % 2 == 0, F.lit(" T ")), F.concat(F.lit("u"), F.col("message_id"))), "CASE WHEN pos % 2 = 0 THEN 'T — u' || message_id ELSE 'u' || message_id END")
-_text("u6_ordered_distinct", lambda: F.array_join(F.array_distinct(F.split(F.regexp_replace("texte", r"\s+", " "), " ")), " ").substr(1, 20), r"substr(array_to_string(list_transform(list_filter(list_zip(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), range(len(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' ')))), lambda x: list_position(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), x[1]) = x[2] + 1), lambda x: x[1]), ' '), 1, 20)")
-# Of whole texts, which the SQL of the queries without "whole" or "pages" does not ask for.
-_text("c14_safe_id_whole", lambda: F.md5(T.safe_id(F.col("text"))), r"md5(coalesce(nullif(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9._-]', '_', 'g'), ''), 'unknown'))", "doc_id", "documents")
+_text("c14_safe_id", lambda: F.md5(T.safe_id(F.col("text"))), r"md5(coalesce(nullif(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9._-]', '_', 'g'), ''), 'unknown'))", "doc_id", "documents")
 _query("c43_html_text_pages", "pages", None)(lambda p: p.select("page_id", T.html_text(F.col("html")).alias("value")))
-_text("u6_ordered_distinct_whole", lambda: F.md5(F.array_join(F.array_distinct(F.split(F.regexp_replace("texte", r"\s+", " "), " ")), " ")), r"md5(array_to_string(list_transform(list_filter(list_zip(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), range(len(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' ')))), lambda x: list_position(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), x[1]) = x[2] + 1), lambda x: x[1]), ' '))")
+_text("u6_ordered_distinct", lambda: F.md5(F.array_join(F.array_distinct(F.split(F.regexp_replace("texte", r"\s+", " "), " ")), " ")), r"md5(array_to_string(list_transform(list_filter(list_zip(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), range(len(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' ')))), lambda x: list_position(string_split(regexp_replace(texte, '\s+', ' ', 'g'), ' '), x[1]) = x[2] + 1), lambda x: x[1]), ' '))")
 
 # Quality, sanitising, shapes.
 _METRICS = r"SELECT platform, conversation_id, count(*) AS messages, CAST(0 AS BIGINT) AS consecutive_roles, count(*) AS images, CAST(0 AS BIGINT) AS tables, CAST(count(*) AS BIGINT) AS lists, CAST(0 AS BIGINT) AS code_langs, CAST(sum(length(texte) - length(replace(texte, '$', ''))) AS BIGINT) AS latex FROM messages GROUP BY platform, conversation_id"
@@ -321,8 +419,7 @@ def _found(m: DataFrame) -> DataFrame:
     return _tagged(m).select("place", F.array_join("capabilities", ",").alias("found"))
 
 
-_query("q4_tag_tests", "messages", "SELECT msg_seq AS place, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN contains(strip_accents(lower(substr(texte, 1, 200))), '{k}') THEN '{i}' END" for i, k in _TAXONOMY) + "], lambda x: x IS NOT NULL)), ',') AS found FROM messages WHERE pos < 6")(lambda m: _found(m.where("pos < 6").withColumn("texte", F.substring("texte", 1, 200))))  # as far as its SQL goes
-_query("q4_tag_tests_whole", "messages", "SELECT msg_seq AS place, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN contains(strip_accents(lower(texte)), '{k}') THEN '{i}' END" for i, k in _TAXONOMY) + "], lambda x: x IS NOT NULL)), ',') AS found FROM messages")(lambda m: _found(m))
+_query("q4_tag_tests", "messages", "SELECT msg_seq AS place, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN contains(strip_accents(lower(texte)), '{k}') THEN '{i}' END" for i, k in _TAXONOMY) + "], lambda x: x IS NOT NULL)), ',') AS found FROM messages")(lambda m: _found(m))
 _query("q5_min_cover", "messages", None)(lambda m: calibration.minimum_cover(_tagged(m), "platform"))
 _query("q7_payload", "messages", None)(lambda m: calibration.payload(_tagged(m), m.sparkSession.createDataFrame(_TAXONOMY, "id string, keyword string"), "platform"))
 

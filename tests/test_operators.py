@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import html
 import json
@@ -125,10 +126,10 @@ def test_text_of_whole_pages(spark, sf_dir):
 
 
 def test_whole_ids_and_words(spark, sf_dir):
-    ids = {r.doc_id: r.value for r in catalog.queries()["c14_safe_id_whole"](spark, sf_dir).collect()}
+    ids = {r.doc_id: r.value for r in catalog.queries()["c14_safe_id"](spark, sf_dir).collect()}
     for r in catalog._table(spark, sf_dir, "documents").collect():
         assert ids[r.doc_id] == hashlib.md5((re.sub(r"[^A-Za-z0-9._-]", "_", r.text.strip()) or "unknown").encode()).hexdigest()
-    words = {r.msg_seq: r.value for r in catalog.queries()["u6_ordered_distinct_whole"](spark, sf_dir).collect()}
+    words = {r.msg_seq: r.value for r in catalog.queries()["u6_ordered_distinct"](spark, sf_dir).collect()}
     for r in catalog._table(spark, sf_dir, "messages").collect():
         assert words[r.msg_seq] == hashlib.md5(" ".join(dict.fromkeys(re.sub(r"\s+", " ", r.texte).split(" "))).encode()).hexdigest()
 
@@ -157,13 +158,34 @@ def test_walks_of_long_chains(spark):
         branch.append(("c", at, len(branch)))
         at -= 2 if at % 4 == 3 else 1
     branch += [("d", 0, 0), ("e", 1, 0), ("e", 0, 1)]
-    assert sorted(map(tuple, normalize.active_branch(df).collect())) == sorted(branch)
-    chain = [("c", 10 * k, k) for k in range(700)] + [("e", 1, 0), ("e", 2, 1)]
-    assert sorted(map(tuple, normalize.window_chain(df).collect())) == chain
+    tree = df.withColumns({"parent": F.when(F.col("pos") % 4 == 3, F.col("pos") - 2).otherwise(F.col("pos") - 1), "leaf": F.expr("(conversation_id = 'c' AND pos = 699) OR (conversation_id = 'd') OR (conversation_id = 'e' AND pos = 1)")})
+    assert sorted(map(tuple, normalize.active_branch(tree).collect())) == sorted(branch)
+    windows = df.select("conversation_id", F.explode(F.array(F.floor(F.col("pos") / 5), F.floor((F.col("pos") + 2) / 5))).alias("window"), "pos", F.col("msg_seq").alias("key")).distinct()
+    want = [("c", 10 * k, k) for k in range(700)] + [("d", 7, 0), ("e", 1, 0), ("e", 2, 1)]
+    assert sorted(map(tuple, normalize.window_chain(windows).collect())) == want
     steps = spark.createDataFrame([("c", "a", "b", True), ("c", "b", "c", False), ("c", "c", "b", False), ("d", "a", "z", True), ("d", "b", None, True)], "conversation_id string, id string, next string, start boolean")
     assert sorted(map(tuple, normalize.follow(steps, "id").collect())) == [("c", "a", 0), ("c", "b", 1), ("c", "c", 2), ("d", "a", 0), ("d", "b", 0)]
 
 
+def test_chain_of_edges(spark):
+    keys = spark.createDataFrame([("c", k, i) for i, k in enumerate("dabcexy")], "conversation_id string, key string, seen int")
+    edges = spark.createDataFrame([("c", *e, i) for i, e in enumerate(["ab", "ac", "bc", "zd", "cc", "xy", "yx", "cd"])], "conversation_id string, key string, next string, seen int")
+    edges = edges.select("conversation_id", "key", "next", "seen")
+    place = lambda e: "".join(r.key for r in sorted(normalize.chain(keys, e).collect(), key=lambda r: r.place))
+    assert place(edges) == "abcdexy"  # x and y follow each other: a cycle starts where it was discovered
+    assert place(edges.limit(0)) == "dabcexy"
+    assert normalize.chain(keys.limit(0), edges).collect() == []
+
+
+def test_metadata_of_the_archive(spark):
+    schema = "platform string, conversation_id string, pos int, message_id string, ts timestamp, model string, texte string"
+    at = datetime.datetime(2024, 1, 2)
+    new = spark.createDataFrame([("p", "c", 0, "a", None, "", "x"), ("p", "c", 1, "", None, None, "y"), ("p", "c", 2, "z", None, "own", "w"), ("p", "d", 0, "a", None, None, "v")], schema)
+    old = spark.createDataFrame([("p", "c", 5, "a", at, "m", "x"), ("p", "c", 1, "b", at, "n", "y"), ("p", "c", 2, "q", at, "o", "w")], schema)
+    got = {(r.conversation_id, r.pos): (r.message_id, r.ts, r.model, r.matched) for r in archive.metadata_fallback(new, old).collect()}
+    assert got == {("c", 0): ("a", at, "m", "id"), ("c", 1): ("b", at, "n", "place"), ("c", 2): ("z", at, "own", "place"), ("d", 0): ("a", None, None, "none")}
+
+
 def test_branches_of_long_trees(spark):
     ids = [f"m{k}" for k in range(6000)]
     tree = [{"uuid": i, "parent_message_uuid": p, "sender": "human", "index": k, "content": [{"type": "text", "text": i}]} for k, (i, p) in enumerate(zip(ids, [None, *ids]))]
