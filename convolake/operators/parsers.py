@@ -1,7 +1,7 @@
 """Vendor payloads and pages as messages of one schema.
 
 Payloads with a fixed schema are read by from_json and reshaped by column functions; pages, and payloads of untyped nested lists, need a parser and run as vectorised functions.
-Every mapper takes rows (conversation_id, payload) and returns messages: conversation_id, pos, message_id, role, model, ts, texte, reasoning, tools, sources, artifacts.
+Every mapper takes rows (conversation_id, payload) and returns messages: conversation_id, pos, message_id, role, model, ts, texte, reasoning, tools, sources, artifacts, variants.
 """
 
 from __future__ import annotations
@@ -17,19 +17,28 @@ from pyspark.sql import functions as F
 from convolake.functions import text as T
 from convolake.operators.normalize import follow
 
-COLUMNS = ("conversation_id", "pos", "message_id", "role", "model", "ts", "texte", "reasoning", "tools", "sources", "artifacts")
+COLUMNS = ("conversation_id", "pos", "message_id", "role", "model", "ts", "texte", "reasoning", "tools", "sources", "artifacts", "variants")
+#: Other versions of a message: edits of a question, regenerations of an answer, in order, with the one that is shown.
+VARIANTS = "array<struct<kind:string,texte:string,ts:timestamp,message_id:string,active:boolean>>"
 _NONE = "CAST(array() AS array<string>)"
 
 
-def _finish(rows: DataFrame, order: list, **columns: Column) -> DataFrame:
-    """All columns of the schema; messages without any content leave, and places count from 0."""
-    full = {"model": F.lit(None).cast("string"), "reasoning": F.lit(""), "tools": F.expr(_NONE), "sources": F.expr(_NONE), "artifacts": F.expr(_NONE)} | columns
+def finish(rows: DataFrame, order: list, keep_empty: bool = False, **columns: Column) -> DataFrame:
+    """All columns of the schema; messages without any content leave if they aren't kept, and places count from 0."""
+    full = {"model": F.lit(None).cast("string"), "reasoning": F.lit(""), "tools": F.expr(_NONE), "sources": F.expr(_NONE), "artifacts": F.expr(_NONE), "variants": F.expr(f"CAST(array() AS {VARIANTS})")} | columns
     rows = rows.select("conversation_id", *(c.alias(f"__o{i}") for i, c in enumerate(order)), *(full[c].alias(c) for c in COLUMNS[2:]))
-    rows = rows.where("texte <> '' OR reasoning <> '' OR size(tools) > 0 OR size(sources) > 0 OR size(artifacts) > 0")
+    rows = rows if keep_empty else rows.where("texte <> '' OR reasoning <> '' OR size(tools) > 0 OR size(sources) > 0 OR size(artifacts) > 0")
     at = Window.partitionBy("conversation_id").orderBy(*(f"__o{i}" for i in range(len(order))))
     return rows.withColumn("pos", (F.row_number().over(at) - 1).cast("int")).select(*COLUMNS)
 
 
+def _variants(same: Window, order: Column, kind: Column, texte: Column, ts: Column, shown: Column, own: Column, message_id: Column) -> Column:
+    """The versions of a message, which are the rows of a window, where there are two or more. shown names a version, own that of the row."""
+    every = F.sort_array(F.collect_list(F.struct(order.alias("order"), shown.alias("shown"), texte.alias("texte"), ts.alias("ts"), message_id.alias("message_id"))).over(same))
+    made = F.transform(every, lambda v: F.struct(kind.alias("kind"), v["texte"].alias("texte"), v["ts"].alias("ts"), v["message_id"].alias("message_id"), (v["shown"] == own).alias("active")))
+    return F.when(F.size(every) > 1, made).otherwise(F.expr(f"CAST(array() AS {VARIANTS})"))
+
+
 def _read(payloads: DataFrame, schema: str) -> DataFrame:
     return payloads.select("conversation_id", F.from_json("payload", schema).alias("p"))
 
@@ -50,6 +59,10 @@ def claude(payloads: DataFrame) -> DataFrame:
     p = _read(payloads, CLAUDE)
     rows = p.select("conversation_id", F.col("p.model").alias("model"), F.col("p.current_leaf_message_uuid").alias("leaf"), F.explode("p.chat_messages").alias("m"))
     flat = rows.select("conversation_id", "model", F.col("m.uuid").alias("id"), F.col("m.parent_message_uuid").alias("parent"), "m", F.row_number().over(Window.partitionBy("conversation_id").orderBy((F.col("m.uuid") == F.col("leaf")).desc_nulls_last(), F.col("m.index").desc_nulls_last())).alias("k"))
+    blocks = lambda kind, f: F.transform(F.filter(F.col("m.content"), lambda b: b["type"] == kind), f)
+    same = Window.partitionBy("conversation_id", F.coalesce("parent", F.lit("")), "m.sender")
+    kind = F.when(F.col("m.sender") == "human", "edit").otherwise("regeneration")
+    flat = flat.withColumn("variants", _variants(same, F.coalesce("m.index", F.lit(0)), kind, T.autolink(_joined(blocks("text", lambda b: b["text"]), "\n")), T.parse_iso(F.col("m.created_at")), F.col("id"), F.col("id"), F.col("id")))
     walk = follow(flat.withColumns({"next": F.col("parent"), "start": F.col("k") == 1}), "id")
     on = flat.join(walk, ["conversation_id", "id"])
     content, answer = F.coalesce(F.col("m.content"), F.array()), F.col("m.sender") != "human"
@@ -57,8 +70,8 @@ def claude(payloads: DataFrame) -> DataFrame:
     files = F.transform("m.files", lambda f: F.when(f["file_kind"] == "image", F.concat(F.lit("!["), f["file_name"], F.lit("]("), f["preview_url"], F.lit(")"))).otherwise(f["file_name"]))
     made = F.filter(F.col("m.content"), lambda b: (b["type"] == "tool_use") & b["name"].isin("present_files", "Artifact"))
     only = lambda c, none: F.when(answer, c).otherwise(none)
-    return _finish(
-        on.where(content.isNotNull() | F.col("m.files").isNotNull()), [-F.col("depth")], message_id=F.col("id"), role=F.when(answer, "assistant").otherwise("user"), model=only(F.col("model"), F.lit(None)), ts=T.parse_iso(F.col("m.created_at")),
+    return finish(
+        on.where(content.isNotNull() | F.col("m.files").isNotNull()), [-F.col("depth")], variants=F.col("variants"), message_id=F.col("id"), role=F.when(answer, "assistant").otherwise("user"), model=only(F.col("model"), F.lit(None)), ts=T.parse_iso(F.col("m.created_at")),
         texte=_joined(F.array(T.autolink(_joined(of("text", lambda b: b["text"]), "\n")), _joined(files))), reasoning=only(_joined(of("thinking", lambda b: b["thinking"])), F.lit("")),
         tools=only(_distinct(of("tool_use", lambda b: b["name"])), F.expr(_NONE)), sources=only(F.slice(_distinct(F.filter(F.flatten(of("text", lambda b: F.coalesce(F.transform(b["citations"], lambda c: c["url"]), F.expr(_NONE)))), lambda u: u.rlike("^https?://"))), 1, 25), F.expr(_NONE)),
         artifacts=only(_distinct(F.flatten(F.transform(made, lambda b: F.coalesce(b["input"]["filepaths"], F.array(F.coalesce(b["input"]["title"], b["input"]["file_path"])))))), F.expr(_NONE)),
@@ -94,7 +107,7 @@ def chatgpt(payloads: DataFrame) -> DataFrame:
     made = F.array(F.struct(F.lit(1).alias("half"), F.coalesce(F.lower("v.m.author.role"), F.lit("assistant")).alias("role"), F.when(user, F.lit("")).otherwise(reasoning).alias("reasoning"), F.col("v.m").alias("m")))
     lone = F.array(F.struct(F.lit(0).alias("half"), F.lit("assistant").alias("role"), reasoning.alias("reasoning"), F.lit(None).cast("struct<" + CHATGPT.split("array<struct<", 1)[1][:-1]).alias("m")))
     turns = own.select("conversation_id", F.col("last").alias("at"), F.explode(F.when(F.coalesce(user, F.lit(False)) & (reasoning != ""), F.concat(lone, made)).otherwise(made)).alias("t"))
-    return _finish(
+    return finish(
         turns, [F.col("at"), F.col("t.half")], message_id=F.coalesce(F.col("t.m.id"), F.lit("")), role=F.col("t.role"), model=F.when(F.col("t.role") == "assistant", F.col("t.m.metadata.model_slug")), ts=F.timestamp_seconds(F.col("t.m.create_time")),
         texte=T.math(_joined(F.col("t.m.content.parts"))), reasoning=F.col("t.reasoning"), sources=_distinct(F.transform("t.m.metadata.content_references", lambda r: T.source_entry(r["title"], r["url"]))),
     )
@@ -107,7 +120,7 @@ def grok(payloads: DataFrame) -> DataFrame:
     """A list of responses, whose texts lose the vendor's tags."""
     rows = _read(payloads, GROK).select("conversation_id", F.posexplode("p.responses").alias("at", "r"))
     role = F.when(F.lower("r.sender").isin("human", "user"), "user").otherwise("assistant")
-    return _finish(
+    return finish(
         rows, [F.col("at")], message_id=F.coalesce(F.col("r.responseId"), F.lit("")), role=role, model=F.col("r.model"), ts=T.parse_iso(F.col("r.createTime")), texte=T.clean_vendor_text(F.coalesce(F.col("r.message"), F.lit(""))),
         tools=_distinct(F.transform("r.steps", lambda s: s["toolName"])), sources=_distinct(F.transform("r.webSearchResults", lambda s: s["url"])),
     )
@@ -124,22 +137,26 @@ def perplexity(payloads: DataFrame) -> DataFrame:
     half = lambda k, role, said, when, src: F.struct(F.lit(k).alias("half"), F.lit(role).alias("role"), T.math(F.coalesce(said, F.lit(""))).alias("said"), when.alias("at"), src.alias("sources"))
     both = F.array(half(0, "user", F.trim("e.query_str"), F.col("e.entry_created_datetime"), F.expr(_NONE)), half(1, "assistant", answer, F.col("e.entry_updated_datetime"), sources))
     turns = rows.select("conversation_id", "at", "e", F.explode(both).alias("t"))
-    return _finish(turns, [F.col("at"), F.col("t.half")], message_id=F.col("e.uuid"), role=F.col("t.role"), model=F.col("e.display_model"), ts=T.parse_iso(F.col("t.at")), texte=F.col("t.said"), sources=F.col("t.sources"))
+    return finish(turns, [F.col("at"), F.col("t.half")], message_id=F.col("e.uuid"), role=F.col("t.role"), model=F.col("e.display_model"), ts=T.parse_iso(F.col("t.at")), texte=F.col("t.said"), sources=F.col("t.sources"))
 
 
 MISTRAL = "messages struct<items:array<struct<id:string,version:int,parentId:string,parentVersion:int,role:string,createdAt:string,contentChunks:array<struct<type:string,text:string>>,files:array<struct<name:string,url:string>>>>>, chat struct<id:string,model:string>"
 
 
 def mistral(payloads: DataFrame) -> DataFrame:
-    """Versioned items: the newest version of each, along the parents of the newest one; a missing parent's version is 0."""
+    """Versioned items, along the parents of the newest one, with the other versions of each as variants; a missing parent's version is 0."""
     p = _read(payloads, MISTRAL)
     rows = p.select("conversation_id", F.explode("p.messages.items").alias("m"))
     flat = rows.select("conversation_id", F.concat_ws("@", "m.id", F.coalesce("m.version", F.lit(0)).cast("string")).alias("id"), F.when(F.col("m.parentId").isNotNull(), F.concat_ws("@", "m.parentId", F.coalesce("m.parentVersion", F.lit(0)).cast("string"))).alias("parent"), "m")
     flat = flat.withColumn("k", F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.col("m.createdAt").desc_nulls_last(), F.col("id").desc())))
-    walk = follow(flat.withColumns({"next": F.col("parent"), "start": F.col("k") == 1}), "id")
     said = lambda thinking: _joined(F.transform(F.filter("m.contentChunks", lambda c: (c["type"] == "reasoning") if thinking else (c["type"] == "text")), lambda c: c["text"]), "")
     files = F.transform("m.files", lambda f: F.concat(F.lit("["), f["name"], F.lit("]("), f["url"], F.lit(")")))
-    return _finish(flat.join(walk, ["conversation_id", "id"]), [-F.col("depth")], message_id=F.col("m.id"), role=F.col("m.role"), ts=T.parse_iso(F.col("m.createdAt")), texte=_joined(F.array(T.math(said(False)), _joined(files))), reasoning=said(True))
+    answer = F.col("m.role") == "assistant"
+    same = Window.partitionBy("conversation_id", F.when(answer, F.concat_ws("@", F.lit("p"), F.coalesce("parent", F.lit("")))).otherwise(F.concat_ws("@", F.lit("i"), "m.id")))
+    kind = F.when(answer, "regeneration").otherwise("edit")
+    flat = flat.withColumn("variants", _variants(same, F.coalesce("m.version", F.lit(0)), kind, T.math(said(False)), T.parse_iso(F.col("m.createdAt")), F.col("id"), F.col("id"), F.col("m.id")))
+    walk = follow(flat.withColumns({"next": F.col("parent"), "start": F.col("k") == 1}), "id")
+    return finish(flat.join(walk, ["conversation_id", "id"]), [-F.col("depth")], variants=F.col("variants"), message_id=F.col("m.id"), role=F.col("m.role"), ts=T.parse_iso(F.col("m.createdAt")), texte=_joined(F.array(T.math(said(False)), _joined(files))), reasoning=said(True))
 
 
 def _texts(node) -> list[str]:
@@ -172,7 +189,7 @@ def gemini(payloads: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["conversation_id", "at", "role", "said"])
 
     rows = payloads.select("conversation_id", "payload").mapInPandas(run, "conversation_id string, at long, role string, said string")
-    return _finish(rows, [F.col("at")], message_id=F.lit(""), role=F.col("role"), ts=F.lit(None).cast("timestamp"), texte=T.math(T.strip(F.col("said"))))
+    return finish(rows, [F.col("at")], message_id=F.lit(""), role=F.col("role"), ts=F.lit(None).cast("timestamp"), texte=T.math(T.strip(F.col("said"))))
 
 
 MAPPERS = {"chatgpt": chatgpt, "claude": claude, "gemini": gemini, "grok": grok, "mistral": mistral, "perplexity": perplexity}

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from convolake.functions import markdown as MD
 from convolake.functions import text as T
-from convolake.operators import analytics, archive, calibration, normalize, parsers, quality, sanitize, search, shapes
+from convolake.operators import analytics, archive, calibration, lookup, media, normalize, pages, parsers, quality, reparse, reports, sanitize, search, shapes, wire
 from convolake.sources import archive as archives
 from convolake.sources import bindings as B
 from convolake.streaming import incremental
@@ -438,6 +439,115 @@ _query("k1_merged_messages", "old new", archive.merge_payload.sql.replace("SELEC
 )
 
 
+# Look-ups, reports, wire formats, pages of vendors, media and the archive parsed anew.
+_query("a12_lookup", "conv", "SELECT platform, conversation_id FROM conv WHERE starts_with(conversation_id, 'c00001')")(lambda c: lookup.candidates(c, "c00001").select(*_KEY))
+_query("a11_locate", "conv", "SELECT platform, conversation_id FROM conv WHERE conv_id = 7")(lambda c: lookup.locate(c, "claude", "c000007").select(*_KEY))
+_query("p11_by_title", "conv", "SELECT conversation_id FROM conv WHERE conv_id % 7 = 3 OR conversation_id LIKE '%itle 3%'")(lambda c: lookup.by_title(c, "ÍTLE 3").select("conversation_id"))
+_query("r5_indexed_file", "messages", "SELECT platform, conversation_id, message_id || '.json' AS file FROM messages WHERE pos = 1")(
+    lambda m: lookup.indexed_file(m.withColumn("file", F.when(F.col("pos") > 0, F.concat("message_id", F.lit(".json"))).otherwise(""))).select(*_KEY, "file")
+)
+_query("r10_view", "messages conv", "SELECT pos, message_id, coalesce(texte, '') AS texte, 'Title ' || CAST(conv_id % 7 AS VARCHAR) AS title, 'https://claude.ai/chat/c000007' AS url FROM messages WHERE conv_id = 7")(lambda m, c: lookup.view(m, c, "claude", "c000007").select("pos", "message_id", "texte", "title", "url"))
+
+
+def _reports(c: DataFrame) -> DataFrame:
+    status = F.when(F.col("conv_id") % 5 == 0, "degrade").when(F.col("conv_id") % 7 == 0, "echec").otherwise("ok")
+    rows = c.select("platform", "conversation_id", "title", status.alias("status"), F.when(F.col("conv_id") % 7 == 0, "lost").alias("error"), F.expr("array('images', 'links')").alias("lost"), F.lit(0.75).alias("retention"), F.col("message_count").alias("old_messages"), F.lit("x").alias("new_messages"))
+    return reports.write_recheck(rows)
+
+
+_query("a17_recheck_report", "conv", "WITH t AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'degrade' WHEN conv_id % 7 = 0 THEN 'echec' ELSE 'ok' END AS s FROM conv) SELECT platform, if(count(*) FILTER (s <> 'ok') = 0, 'ok', 'attention') AS verdict, count(*) AS checked, count(*) FILTER (s <> 'echec') AS compared, count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'degrade') AS degraded, count(*) FILTER (s = 'echec') AS failed, 0.75 AS retention FROM t GROUP BY platform")(
+    lambda c: reports.read_recheck(_reports(c)).drop("ignored", "checked_at", "seed", "issues")
+)
+_query("r13_report_issues", "conv", "SELECT platform, conversation_id, if(conv_id % 5 = 0 AND conv_id % 7 <> 0, 'images, links', 'lost') AS reason, message_count AS old_messages, CAST(NULL AS BIGINT) AS new_messages FROM conv WHERE conv_id % 5 = 0 OR conv_id % 7 = 0")(
+    lambda c: reports.read_recheck(_reports(c)).select("platform", F.explode("issues").alias("i")).select("platform", "i.conversation_id", "i.reason", "i.old_messages", "i.new_messages")
+)
+_query("b14_health_report", "events", "SELECT event_type AS service, count(*) AS n, count(*) FILTER (value >= 95) AS matches FROM events GROUP BY 1")(
+    lambda e: reports.write_health(e.groupBy(F.col("event_type").alias("service")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") >= 95).alias("matches"), F.lit(0).alias("drifts"), F.lit(0).alias("breaks"), F.min("value").alias("least"))).select("service", F.from_json("report", "n long, matches long").alias("r")).select("service", "r.*")
+)
+_query("o5_outcomes", "conv", "SELECT conversation_id, ['exported', 'blocked', 'skipped', 'failed', 'failed'][conv_id % 5 + 1] AS status, conv_id % 5 = 1 AS stop, conv_id % 5 = 2 AS unavailable FROM conv")(
+    lambda c: reports.outcomes(c.select("conversation_id", F.get(F.array(F.lit(None), F.lit("blocked"), F.lit("unavailable"), F.lit("schema"), F.lit("other")), (F.col("conv_id") % 5).cast("int")).alias("error"))).drop("error")
+)
+_query("a21_wire_payload", "messages", "SELECT msg_seq, md5(texte) AS value FROM messages WHERE pos % 4 <> 3 UNION ALL SELECT msg_seq, NULL FROM messages WHERE pos % 4 = 3")(
+    lambda m: m.select("msg_seq", F.concat(F.lit(")]}'\n\n123\n"), F.to_json(F.array(F.array(F.lit("di"), F.lit("59")), F.array(F.lit("wrb.fr"), F.when(F.col("pos") % 4 == 3, "other").otherwise("call"), F.to_json(F.array("texte")), F.lit("generic")))), F.lit("\n25\n[[\"e\",4]]\n")).alias("said"))
+    .select("msg_seq", F.md5(F.get(F.from_json(wire.batch_payload(F.col("said"), "call"), "array<string>"), 0)).alias("value"))
+)
+_query("a23_page_payload", "messages", "SELECT msg_seq, md5(texte || texte) AS value FROM messages")(
+    lambda m: m.select("msg_seq", F.md5(wire.page_payload(F.concat(F.lit("<script>self.__next_f.push([1,"), *(x for _ in range(2) for x in (F.regexp_extract(F.to_json(F.array("texte")), r"(?s)^\[(.*)\]$", 1), F.lit("])</script><script>self.__next_f.push([1,"))), F.lit("1])</script>")))).alias("value"))
+)
+_query("a24_page_objects", "messages", "SELECT conversation_id, message_id AS object_id, md5(texte) AS value FROM messages WHERE role IN ('user', 'assistant')")(
+    lambda m: wire.objects(m.where("role IN ('user', 'assistant')").groupBy("conversation_id").agg(F.concat(F.lit("0:["), F.array_join(F.collect_list(F.concat(F.lit("x,"), F.to_json(F.struct("role", F.col("message_id").alias("id"), F.struct("texte").alias("c"))))), " "), F.lit('{"role":"user","id":"open')).alias("payload")), id_col="conversation_id")
+    .select("conversation_id", "object_id", F.md5(F.get_json_object("object", "$.c.texte")).alias("value"))
+)
+_PLAIN_DUCK = r"trim(regexp_replace(texte, '\s+', ' ', 'g'))"
+_text("c30_normalise_text", lambda: F.md5(T.collapse(MD.normalise_text(F.concat(F.lit(" x\u00a0\u200b  y\t\n\n\n\n```py\n  a  =  1  \n```  \n"), F.col("texte"))))), f"md5(trim('x y ```py a = 1 ``` ' || {_PLAIN_DUCK}))")
+_text("c32_tidy_blank_lines", lambda: F.md5(MD.tidy_blank_lines(F.concat(F.lit("a\n\n \n\nb\n```\n\n\n\nx\n```\n\n\n"), F.col("message_id")))), "md5('a' || repeat(chr(10), 2) || 'b' || chr(10) || '```' || repeat(chr(10), 4) || 'x' || chr(10) || '```' || repeat(chr(10), 2) || message_id)")
+_text("c33_normalise_markdown", lambda: MD.normalise_markdown(F.concat(F.lit("* a [cite: 3]\n[file-tag: f1] https://googleusercontent.com/image_generation_content/7\n```py?code_x\nz\n\n```\n"), F.col("message_id")), F.create_map(F.lit("[file-tag: f1]"), F.lit("[f](u)"))), "'- a ' || chr(10) || '[f](u) ' || chr(10) || '```py' || chr(10) || 'z' || chr(10) || '```' || chr(10) || message_id")
+_text("j18_citations", lambda: MD.render_citations(F.concat(F.lit("a <grok:render card_id=\"k1\" x><argument name=\"citation_id\">7</argument></grok:render> <grok:render card_id=\"k2\"></grok:render> "), F.col("message_id")), F.create_map(F.lit("k1"), F.concat(F.lit("https://x/("), "message_id"))), "'a [7](https://x/(' || message_id || ') <grok:render card_id=\"k2\"></grok:render> ' || message_id")
+
+
+def _page(m: DataFrame, platform: str) -> DataFrame:
+    said = F.concat(F.lit("<p>"), *[F.replace(F.replace(F.replace(F.col("texte"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br>"))], F.lit("</p>"))
+    user = F.col("role") != "assistant"
+    made = {
+        "chatgpt": F.concat(F.lit('<div data-message-id="'), "message_id", F.lit('" data-message-author-role="'), F.when(user, "user").otherwise("assistant"), F.lit('"><span>no</span><div class="markdown prose">'), said, F.lit("</div><button>Copy</button></div>")),
+        "claude": F.concat(F.when(user, '<div data-testid="user-message">').otherwise('<div class="font-claude-message"><details>x</details><div data-test="collapsible-text"><div data-testid="thinking-block">why</div>'), said, F.when(user, "</div>").otherwise("</div></div>")),
+        "gemini": F.when(user, F.concat(F.lit('<user-query><div class="query-text">'), said, F.lit("</div></user-query>"))).otherwise(F.concat(F.lit('<model-response><message-content><div class="model-response-text">'), said, F.lit("</div></message-content><message-actions>Share</message-actions></model-response>"))),
+        "mistral": F.concat(F.lit('<div data-message-author-role="'), F.when(user, "user").otherwise("assistant"), F.lit('" data-message-id="'), "message_id", F.lit('"><div class="text-hint text-sm">hier 10:00</div>'), said, F.lit("</div>")),
+        "perplexity": F.concat(F.when(user, '<div class="group/user-bubble">').otherwise('<div data-workflow-final-text="1"><span class="citation">a+1</span>'), said, F.lit("</div>")),
+    }[platform]
+    own = m.where(F.col("platform") == platform).groupBy("platform", "conversation_id").agg(F.sort_array(F.collect_list(F.struct("pos", made.alias("said")))).alias("a"))
+    return own.select("platform", "conversation_id", F.concat(F.lit("<!DOCTYPE html><html><head><title>t</title></head><body><nav>menu</nav>"), F.array_join(F.transform("a", lambda x: x["said"]), "<hr>\n"), F.lit("</body>")).alias("html"))
+
+
+for _platform in pages.PAGES:
+    _id, _why = "message_id" if _platform in ("chatgpt", "mistral") else "''", "if(role = 'assistant', 'why', '')" if _platform == "claude" else "''"
+    _query(f"m7_{_platform}_page", "messages", f"SELECT conversation_id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1 AS INTEGER) AS pos, if(role = 'assistant', 'assistant', 'user') AS role, {_id} AS message_id, md5({_PLAIN_DUCK}) AS texte, {_why} AS why FROM messages WHERE platform = '{_platform}'")(
+        lambda m, p=_platform: pages.read_pages(_page(m, p), p).select("conversation_id", "pos", "role", "message_id", F.md5(T.collapse(F.col("texte"))).alias("texte"), F.col("reasoning").alias("why"))
+    )
+
+
+def _reparsed(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    payloads = _payloads(m.where("conv_id % 12 = 1 OR pos < 2"), "claude").withColumn("platform", F.lit("claude"))
+    own = m.select("platform", "conversation_id", "pos", "message_id", "role", "model", "ts", "texte")
+    return reparse.reparse(own, payloads, _page(m, "mistral").unionByName(_page(m, "claude")))
+
+
+_query("b18_reparse", "messages", "SELECT platform, conversation_id, CASE platform WHEN 'claude' THEN 'remapped' WHEN 'mistral' THEN 'reparsed' ELSE 'cleaned' END AS origin, platform = 'claude' AND conv_id % 12 <> 1 AND count(*) > 2 AS kept, count(*) AS messages FROM messages GROUP BY platform, conversation_id, conv_id")(lambda m: _reparsed(m)[1].drop("status"))
+_query("r15_reparsed_messages", "messages", "SELECT conversation_id, message_id, model FROM messages")(lambda m: _reparsed(m)[0].select("conversation_id", "message_id", "model"))
+_query("g26_reparse_counters", "messages", "WITH c AS (SELECT platform, conv_id, count(*) AS n FROM messages GROUP BY ALL) SELECT platform, CASE platform WHEN 'claude' THEN 'remapped' WHEN 'mistral' THEN 'reparsed' ELSE 'cleaned' END AS what, count(*) AS n FROM c GROUP BY platform UNION ALL SELECT platform, 'kept', count(*) FROM c WHERE platform = 'claude' AND conv_id % 12 <> 1 AND n > 2 GROUP BY platform")(lambda m: reparse.counters(_reparsed(m)[1]))
+_query("c7_derived_times", "messages conv", "SELECT c.conversation_id, strftime(CASE WHEN c.conv_id % 2 = 0 THEN c.started_at ELSE min(m.ts) END, '%Y%m%d%H%M%S') AS started_at FROM conv c JOIN messages m USING (conversation_id) GROUP BY c.conversation_id, c.conv_id, c.started_at")(
+    lambda m, c: reparse.derive_times(c.withColumn("started_at", F.when(F.col("conv_id") % 2 == 0, F.col("started_at"))), m).select("conversation_id", F.date_format("started_at", "yyyyMMddHHmmss").alias("started_at"))
+)
+_query("m8_checked", "messages", "WITH r AS (SELECT *, lag(role) OVER (PARTITION BY conversation_id ORDER BY pos) IS DISTINCT FROM role AS head FROM messages) SELECT conversation_id, count(*) FILTER (head) AS messages, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, TRUE AS valid FROM r GROUP BY conversation_id")(
+    lambda m: reparse.checked(m)[1].select("conversation_id", "messages", F.col("started_at").cast("string").alias("started_at"), "valid")
+)
+_NEAR_MEDIA = f"SELECT m.*, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST({_OWN} AS DOUBLE[])) AS s FROM media m JOIN embeddings v ON v.vec_id = m.media_id"
+_vectors_of = lambda e: e.select(F.col("vec_id").alias("media_id"), "embedding")
+_query("j6_media_nearest", "media embeddings", f"SELECT media_id, round(s, 4) AS score FROM ({_NEAR_MEDIA}) t WHERE kind = 'image' ORDER BY s DESC, media_id LIMIT 10")(lambda d, e: media.nearest(d, _vectors_of(e), _vector(e), 10, "image").select("media_id", F.round("score", 4).alias("score")))
+_query("t8_media_for_query", "media embeddings", f"WITH n AS (SELECT * FROM ({_NEAR_MEDIA}) t ORDER BY s DESC, media_id LIMIT 64), o AS (SELECT *, row_number() OVER (PARTITION BY content_key ORDER BY s DESC, media_id) AS k FROM n WHERE platform IN ('en', 'de', 'fr')) SELECT media_id, round(s, 4) AS score FROM o WHERE k = 1 ORDER BY s DESC, media_id LIMIT 8")(
+    lambda d, e: media.for_query(d, _vectors_of(e), _vector(e), 8, ["en", "de", "fr", "xx"], ["en", "de", "fr"]).select("media_id", "score")
+)
+_query("j7_media_referenced", "messages", "SELECT 'i' || CAST(pos AS VARCHAR) || '.png' AS name, platform, if(pos % 2 = 0, min(conversation_id), '') AS conversation_id FROM messages GROUP BY platform, pos")(
+    lambda m: media.referenced(
+        m.select("platform", F.lit("images").alias("folder"), F.concat(F.lit("i"), F.col("pos").cast("string"), F.lit(".png")).alias("name")).distinct(),
+        archives.media_references(m.where("pos % 2 = 0").withColumn("texte", F.concat(F.lit("![x](images/i"), F.col("pos").cast("string"), F.lit(".png)")))),
+    ).select("name", "platform", "conversation_id")
+)
+
+
+def _media_index(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    files = d.select("media_id", "platform", "kind", F.col("media_id").alias("size"), F.lit(5).alias("mtime"))
+    told = files.withColumn("fingerprint", T.fingerprint("model", F.col("media_id"), F.col("size").cast("string"), F.lit("5")))
+    index = told.where("media_id % 3 <> 0").select("media_id", "platform", "kind", F.when(F.col("media_id") % 2 == 0, F.col("fingerprint")).otherwise("old").alias("fingerprint"), F.array(F.lit(0.5)).alias("embedding"))
+    return media.index_step(files, index, lambda f: f.withColumn("embedding", F.when(F.col("media_id") % 7 != 0, F.array(F.lit(1.0)))), "model")
+
+
+_query("g25_media_counters", "media", "SELECT kind, count(*) AS scanned, count(*) FILTER (media_id % 6 IN (2, 4)) AS skipped, count(*) FILTER (media_id % 6 NOT IN (2, 4) AND media_id % 7 <> 0) AS indexed, count(*) FILTER (media_id % 6 NOT IN (2, 4) AND media_id % 7 = 0) AS failed FROM media GROUP BY kind")(lambda d: _media_index(d)[1])
+_query("v10_media_index", "media", "SELECT media_id, if(media_id % 6 IN (2, 4) OR media_id % 7 = 0, 0.5, 1.0) AS value FROM media WHERE media_id % 3 <> 0 OR media_id % 7 <> 0")(lambda d: _media_index(d)[0].select("media_id", F.get("embedding", 0).cast("double").alias("value")))
+_query("v8_backfill", "messages", "SELECT msg_seq, if(pos % 2 = 0, sha256('m' || chr(10) || texte), 'known') AS fingerprint FROM messages")(lambda m: media.backfill_fingerprints(m.withColumn("fingerprint", F.when(F.col("pos") % 2 == 1, "known").when(F.col("pos") % 4 == 0, "")), "m").select("msg_seq", "fingerprint"))
+_query("r29_media_delete", "media", "SELECT media_id FROM media WHERE media_id % 3 <> 0")(lambda d: media.delete(d, d.where("media_id % 3 = 0")).select("media_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in Q.items()}
 
