@@ -2,8 +2,8 @@
 
 Texts with the same set of shingles are one representative with a number of copies. Bands and rows follow from the threshold and the recall asked for. A shuffle
 on band hashes ties the representatives of each bucket to the least of them, so a bucket of k gives k - 1 rows; connected components of these ties are what can
-hold links. Every pair inside a component is then compared on the whole sets: components of more than block members are dealt into blocks, and each pair of
-blocks is one group, so that no task holds more than two blocks. Groups return counts of links and a forest of them, never the pairs. Components of the forests
+hold links. Every pair inside a component is then compared on the whole sets: components of more than block members, or block_shingles shingles, are dealt into blocks, and each pair
+of blocks is one group, so that no task holds more than about two blocks. Groups return counts of links and a forest of them, never the pairs. Components of the forests
 are the classes.
 
 Null and empty texts have no shingle and no link; a text of fewer words than a shingle has one of all its words. Rows that repeat, with one doc_id or several,
@@ -52,53 +52,68 @@ def signature(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((least * (np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(axis=1) + np.arange(bands, dtype=np.uint64))
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections; only shingles of two sets or more take part in the product."""
-    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    values, at, counts = np.unique(every, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(counts > 1)
-    column = np.full(len(values), -1)
-    column[shared] = np.arange(len(shared))
-    row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column[at]
-    row, col = row[col >= 0], col[col >= 0]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for start in range(0, len(shared), 8192):
-        a, b = np.searchsorted(col, [start, start + 8192])
-        if a < b:
-            table = np.zeros((len(sets), min(8192, len(shared) - start)), np.float32)
-            table[row[a:b], col[a:b] - start] = 1
-            out += table @ table.T
+#: Shingles of one stripe of a product.
+STRIPE = 4096
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of left with each of right; only shingles of both sides take part in the product."""
+    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        every = np.concatenate(sets)
+        at = np.searchsorted(both, every)
+        met = np.flatnonzero((at < len(both)) & (both[np.minimum(at, len(both) - 1)] == every)) if len(both) else np.empty(0, np.int64)
+        row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[met], at[met]
+        order = np.argsort(col, kind="stable")
+        return row[order], col[order]
+
+    def table(of: tuple[np.ndarray, np.ndarray], start: int, n: int) -> np.ndarray:
+        a, b = np.searchsorted(of[1], [start, start + STRIPE])
+        out = np.zeros((n, min(STRIPE, len(both) - start)), np.float32)
+        out[of[0][a:b], of[1][a:b] - start] = 1
+        return out
+
+    out = np.zeros((len(left), len(right)), np.float32)
+    mine = places(left)
+    theirs = mine if right is left else places(right)
+    for start in range(0, len(both), STRIPE):
+        x = table(mine, start, len(left))
+        out += x @ (x if right is left else table(theirs, start, len(right))).T
     return out
 
 
 def compare(left: list[tuple], right: list[tuple], threshold: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """Members are (row, copies, set). Of the pairs inside left, or between left and right if there are any: (row, linked copies, linked sets) and a forest of the links."""
-    members = left + right
-    sizes = np.array([len(m[2]) for m in members], np.float32)
-    both = overlaps([m[2] for m in members])
-    linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-4
-    np.fill_diagonal(linked, False)
-    if right:
-        linked[: len(left), : len(left)] = False
-        linked[len(left) :, len(left) :] = False
-    copies = np.array([m[1] for m in members], np.int64)
-    links = [(m[0], int(copies[x].sum()), int(x.sum())) for m, x in zip(members, linked, strict=True) if x.any()]
-    forest, todo = [], set(range(len(members)))
-    while todo:
-        reach = [todo.pop()]
-        while reach:
-            k = reach.pop()
-            for j in np.flatnonzero(linked[k]).tolist():
-                if j in todo:
-                    todo.discard(j)
-                    reach.append(j)
-                    forest.append((members[k][0], members[j][0]))
+    other = right or left
+    sizes = [np.array([len(m[2]) for m in x], np.float32) for x in (left, other)]
+    sets = [m[2] for m in left]
+    both = overlaps(sets, [m[2] for m in right] if right else sets)
+    linked = both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-4
+    if not right:
+        np.fill_diagonal(linked, False)
+    links = []
+    for members, of, x in ((left, other, linked), (right, left, linked.T)):
+        copies, counts = x @ np.array([m[1] for m in of], np.float64), x.sum(axis=1)  # sums of whole numbers, exact as doubles
+        links += [(members[k][0], int(copies[k]), int(counts[k])) for k in (np.flatnonzero(counts).tolist() if members else ())]
+    forest = []
+    names = [[m[0] for m in x] for x in ((left, right) if right else (left,))]
+    todo = [np.ones(len(x), bool) for x in names]
+    for side, own in enumerate(todo):
+        while own.any():
+            reach = [(side, int(np.argmax(own)))]
+            own[reach[0][1]] = False
+            while reach:
+                here, k = reach.pop()
+                there = 1 - here if right else 0
+                new = np.flatnonzero((linked[:, k] if here else linked[k]) & todo[there]).tolist()
+                todo[there][new] = False
+                reach += [(there, j) for j in new]
+                forest += [(names[here][k], names[there][j]) for j in new]
     return links, forest
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 1024, block_shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, class_id (least doc_id of its class), class_size, n_links (documents of similarity threshold or more, copies too), kept (one row of each class, of the least doc_id), row_key."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
@@ -110,13 +125,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
         for batch in batches:
             sets = [shingle_set(word_numbers(words(t)), shingle) for t in batch.column(1).to_pylist()]
             signs = [signature(s, bands, depth).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "row_key", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "row_key", "key", "size", "bands"])
 
-    signed = keyed.mapInArrow(sign, f"doc_id {kind}, row_key struct<a:long,b:long>, key binary, bands array<long>")
+    signed = keyed.mapInArrow(sign, f"doc_id {kind}, row_key struct<a:long,b:long>, key binary, size long, bands array<long>")
     signed = saved(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     total = signed.count()
-    with_key = signed.select("row", "doc_id", "row_key", "key").where("key <> X''")
-    reps = saved(with_key.groupBy("key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives")
+    with_key = signed.select("row", "doc_id", "row_key", "key", "size").where("key <> X''")
+    reps = saved(with_key.groupBy("key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")), "representatives")
 
     # Ties inside buckets, and the components that they make.
     own = bitmap_filter(signed.select("row", "bands"), reps.select(F.col("rep").alias("row")), "row")  # a copy that passes has the ties of its representative
@@ -129,9 +144,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
     groups = saved(components(ties), "candidates")
 
     # The texts of the candidates: only those of representatives are shuffled, as texts pack better than sets of numbers.
-    sized = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    members = spread_join(groups, sized, "root", "members", total).withColumnRenamed("node", "rep")
-    members = saved(members.join(reps, "rep").select("key", "rep", "copies", "root", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "members")
+    groups = groups.withColumnRenamed("node", "rep").join(reps, "rep")
+    sized = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / block_shingles)).cast("int")
+    members = saved(spread_join(groups, sized, "root", "members", total).select("key", "rep", "copies", "root", blocks.alias("blocks")), "members")
     wanted = signed.select("row", "doc_id").join(members.select(F.col("rep").alias("row")), "row").select("doc_id")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
     links = checked.where("to IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     told = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
     told = saved(told.select("key", "copies", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "told")
-    of = saved(spread_join(with_key, told, "key", "copies", total), "of-class")
+    of = saved(spread_join(with_key.drop("size"), told, "key", "copies", total), "of-class")
     named = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))
     out = spread_join(of, saved(named, "named"), "root", "class_size", total)
     out = out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"), "row_key")
