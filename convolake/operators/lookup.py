@@ -61,8 +61,8 @@ def locate(conversations: DataFrame, platform: str, conversation_id: str) -> Dat
     found = [r.conversation_id for r in rows.select("conversation_id").distinct().orderBy("conversation_id").limit(6).collect()]
     if len(found) != 1:
         raise NotFound(f"{conversation_id!r} on {platform}: " + (f"ambiguous, {', '.join(found[:5])}" if found else "not found"))
-    order = ["file"] if "file" in conversations.columns else []
-    return rows.where(F.col("conversation_id") == found[0]).orderBy(*order).limit(1).drop("exact")
+    one = rows.where(F.col("conversation_id") == found[0]).drop("exact")
+    return (one.orderBy("file") if "file" in one.columns else one).limit(1)
 
 
 def by_title(conversations: DataFrame, query: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convolake.functions import text as T
 from convolake.operators import archive, normalize, pages, parsers
+from convolake.scratch import saved
 from convolake.streaming.incremental import merged_messages
 
 KEYS = ["platform", "conversation_id"]
@@ -37,17 +38,17 @@ def reparse(messages: DataFrame, payloads: DataFrame, page_rows: DataFrame) -> t
     parse had fewer messages, so that the archive stays), status of the merge and messages. Conversations that the archive doesn't have are left out.
     """
     have = messages.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_old"))
-    parsed = parse(payloads.join(have.select(*KEYS), KEYS, "left_semi"), page_rows.join(have.select(*KEYS), KEYS, "left_semi"))
+    parsed = saved(parse(payloads.join(have.select(*KEYS), KEYS, "left_semi"), page_rows.join(have.select(*KEYS), KEYS, "left_semi")), "parsed")  # it is read several times
     named = payloads.select(*KEYS).unionByName(page_rows.select(*KEYS)).distinct().withColumn("artefact", F.lit(True))
     counts = parsed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_new"), F.first("origin").alias("origin"))
     told = have.join(counts, KEYS, "left").join(named, KEYS, "left")
     origin = F.when(F.col("origin").isNotNull(), F.col("origin")).when(F.col("artefact"), "failed").otherwise("cleaned")
-    told = told.select(*KEYS, "n_old", F.coalesce("n_new", "n_old").alias("n_new"), origin.alias("origin")).withColumn("kept", F.col("n_new") < F.col("n_old"))
+    told = saved(told.select(*KEYS, "n_old", F.coalesce("n_new", "n_old").alias("n_new"), origin.alias("origin")).withColumn("kept", F.col("n_new") < F.col("n_old")), "reparse-plan")
     columns = messages.columns
     again = parsed.join(told.where("NOT kept").select(*KEYS), KEYS, "left_semi").select(*columns)
     again = archive.metadata_fallback(again, messages, FILLED).drop("matched")
     own = messages.join(told.where("origin = 'cleaned'").select(*KEYS), KEYS, "left_semi")
-    new = again.unionByName(cleaned(own).select(*columns))
+    new = saved(again.unionByName(cleaned(own).select(*columns)), "reparse-new")
     merged = archive.merge_status(messages, new).select(*KEYS, "status")
     final = merged_messages(messages, new)
     return final, told.join(merged, KEYS, "left").select(*KEYS, "origin", "kept", "status", F.when(F.col("kept"), F.col("n_old")).otherwise(F.col("n_new")).alias("messages"))
