@@ -46,7 +46,10 @@ def tidy_blank_lines(c: Column) -> Column:
 
 def trim_fences(c: Column) -> Column:
     """Code without blank lines at its end; a fence of nothing else stays."""
-    return F.regexp_replace(c, r"(?dms)^```([^\n`]*)\n((?:(?!^```[ \t]*$).)*\S)\s*?\n^```[ \t]*$", "```$1\n$2\n```")
+    block = r"(?dms)^```[^\n`]*\n.*?^```[ \t]*$"
+    trimmed = lambda x: F.when(x.rlike(r"(?Uds)\A```[^\n`]*\n\s*```[ \t]*\z"), x).otherwise(F.regexp_replace(x, r"(?Uds)\s+```[ \t]*\z", "\n```"))
+    stretches, blocks = F.split(c, block, -1), F.transform(F.regexp_extract_all(c, F.lit(block), F.lit(0)), trimmed)
+    return F.array_join(F.flatten(F.zip_with(stretches, blocks, lambda s, x: F.array(s, F.coalesce(x, F.lit(""))))), "")
 
 
 def normalise_markdown(c: Column, marks: Column | None = None) -> Column:

@@ -25,16 +25,26 @@ def extract_tests(suites: DataFrame, id_col: str = "suite_id", text_col: str = "
     return rows.where("test").select(id_col, "place", capability.alias("capability"), "section", prompt.alias("prompt")).where("prompt <> ''")
 
 
+#: Most keywords of a taxonomy, which is broadcast.
+MOST_KEYWORDS = 10_000
+
+
+def _bounded(taxonomy: DataFrame) -> DataFrame:
+    if taxonomy.limit(MOST_KEYWORDS + 1).count() > MOST_KEYWORDS:
+        raise ValueError(f"a taxonomy has at most {MOST_KEYWORDS} keywords")
+    return taxonomy
+
+
 def tag_tests(tests: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Tests with the ids of the capabilities of which a keyword occurs; taxonomy (id, keyword) is a fixed list of some hundreds."""
+    """Tests with the ids of the capabilities of which a keyword occurs; taxonomy (id, keyword) has at most MOST_KEYWORDS rows."""
     said = T.fold(F.concat_ws(" ", "capability", "prompt"))
-    known = taxonomy.select("id", T.fold(F.col("keyword")).alias("folded"))
+    known = _bounded(taxonomy).select("id", T.fold(F.col("keyword")).alias("folded"))
     rows = tests.withColumn("said", said).join(F.broadcast(known), F.contains(F.col("said"), F.col("folded")), "left")
     return rows.groupBy(*tests.columns).agg(F.sort_array(F.collect_set("id")).alias("capabilities"))
 
 
 def minimum_cover(tests: DataFrame, key: str, place: str = "place", found: str = "capabilities") -> DataFrame:
-    """For each key the greedy least set of tests that covers all that its tests can: the first of the largest gain each time. A suite is one group."""
+    """For each key the greedy least set of tests that covers all that its tests can: the first of the largest gain each time. Of tests with the same capabilities only the first can be chosen, so a group has a row for each distinct set."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(place)
@@ -47,7 +57,8 @@ def minimum_cover(tests: DataFrame, key: str, place: str = "place", found: str =
         return frame[frame[place].isin(chosen)][[key, place]]
 
     kinds = dict(tests.dtypes)
-    return tests.select(key, place, found).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {place} {kinds[place]}")
+    distinct = tests.withColumn(found, F.array_sort(found)).groupBy(key, found).agg(F.min(place).alias(place))
+    return distinct.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {place} {kinds[place]}")
 
 
 def queue_coverage(queue: DataFrame, exported: DataFrame, key: str = "platform", place: str = "place", text_col: str = "texte") -> DataFrame:
@@ -100,4 +111,4 @@ def payload(tests: DataFrame, taxonomy: DataFrame, key: str) -> DataFrame:
     """By key: capabilities that a test covers and those that none does."""
     every = F.array_sort(F.collect_set("id"))
     own = tests.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("capabilities")))).alias("covered"))
-    return own.join(F.broadcast(taxonomy.agg(every.alias("every"))), F.lit(True)).select(key, "covered", F.array_except("every", "covered").alias("missing"))
+    return own.join(F.broadcast(_bounded(taxonomy).agg(every.alias("every"))), F.lit(True)).select(key, "covered", F.array_except("every", "covered").alias("missing"))

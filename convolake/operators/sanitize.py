@@ -15,7 +15,8 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 SAFE_EMAIL = r"(?i)@(?:example\.(?:com|work|invalid)|group\.(?:v\.)?calendar\.google\.com)\b"
 LOCAL_PATH = r"/(?:home|Users)/[^/\"'\s*]+/Documents/code"
 SENTRY_KEY = r"[A-Za-z0-9]{20,}@o\d+\.ingest\.[A-Za-z0-9.]+\.sentry\.io"
-HEX_ID = r"(?:(?<=gemini\.google\.com/app/)|(?<=\"conversation_id\"\s{0,8}:\s{0,8}\"))[0-9a-f]{16}\b"
+HEX_ID = r"gemini\.google\.com/app/[0-9a-f]{16}\b|\"conversation_id\"\s*:\s*\"[0-9a-f]{16}\""
+HEX = r"[0-9a-f]{16}"
 #: What stands in their place. Fixed values.
 FAKE_JWT = "eyJhbGciOiJIUzI1NiJ9.eyJmYWtlIjp0cnVlfQ"
 FAKE_UUID, FAKE_HEX = "f0000000-0000-4000-8000-", "feed"
@@ -41,12 +42,14 @@ def sanitize(c: Column, emails: dict[str, str] | None = None, paths: dict[str, s
     c = F.regexp_replace(_replaced(c, emails), CALENDAR, "calendar@example.com")
     c = F.regexp_replace(F.regexp_replace(c, SENTRY_KEY, "key@example.invalid"), SENTRY, "$1REDACTED")
 
-    def stood_in(c: Column, pattern: str, start: str) -> Column:
+    def stood_in(c: Column, pattern: str, of: str, start: str) -> Column:
+        """What of matches in each match of pattern, replaced there."""
+        own = lambda x: F.regexp_extract(x, of, 0)
         fake = lambda u: F.when(F.lower(u).startswith(start), u).otherwise(F.concat(F.lit(start), F.substring(F.sha1(F.concat(F.lit(namespace), F.lower(u))), 1, 12)))
-        return F.aggregate(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))), c, lambda t, u: F.replace(t, u, fake(u)))
+        return F.aggregate(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))), c, lambda t, x: F.replace(t, x, F.replace(x, own(x), fake(own(x)))))
 
-    c = stood_in(c, HEX_ID, FAKE_HEX)
-    c = stood_in(_replaced(_replaced(c, paths), names), UUID, FAKE_UUID)
+    c = stood_in(c, HEX_ID, HEX, FAKE_HEX)
+    c = stood_in(_replaced(_replaced(c, paths), names), UUID, UUID, FAKE_UUID)
     return F.replace(c, F.lit(SENTINEL), F.lit(protected[0])) if protected else c
 
 

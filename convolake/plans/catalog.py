@@ -365,7 +365,7 @@ _query("n4_shape_score", "messages", None)(lambda m: shapes.score(shapes.compare
 _query("n9_signature", "messages", None)(lambda m: shapes.signature(_two_shapes(m)[0]))
 _query("n1_shape_rows", "events", None)(lambda e: shapes.shape_rows(e, "event_id", "props"))
 _query("w2_alternation_fold", "messages", None)(lambda m: normalize.fold_runs(m.withColumn("role", F.when(F.col("pos") % 3 == 2, F.lit("user")).otherwise(F.col("role")))).select("conversation_id", "run", "role", "message_id", F.md5("texte").alias("texte")))
-_query("c34_autolink", "messages", None)(lambda m: m.select("msg_seq", F.md5(T.autolink(_made())).alias("value")))
+_query("c34_autolink", "messages", f"SELECT msg_seq, md5(replace({_SAID}, 'see https://a.example/x.png?q=1', 'see <https://a.example/x.png?q=1>')) AS value FROM messages WHERE NOT contains(texte, 'http') UNION ALL SELECT msg_seq, 'http' FROM messages WHERE contains(texte, 'http')")(lambda m: m.select("msg_seq", F.when(F.contains("texte", F.lit("http")), "http").otherwise(F.md5(T.autolink(_made()))).alias("value")))
 _query("c44_markdown_text", "messages", None)(lambda m: m.select("msg_seq", F.md5(T.markdown_text(_made())).alias("value")))
 _query("t6_random", "conv", None)(lambda c: search.random_conversations(c, 8, 42).select("conversation_id"))
 
@@ -402,8 +402,10 @@ for _name, _platform in (("m3", "gemini"), ("m6", "perplexity")):
 _query("html_to_markdown", "pages", None)(lambda p: parsers.html_to_markdown(p))
 _query("a22_page_links", "pages", None)(lambda p: parsers.page_links(p, "^https?://|^/"))
 _query("a16_canonical_url", "pages", "SELECT page_id, url AS canonical FROM pages")(lambda p: p.select("page_id", T.canonical_url(F.concat(F.lit("<LINK href='"), F.col("url"), F.lit("' rel=\"canonical\">"), F.col("html"))).alias("canonical")))
-_query("b13_markdown", "messages", None)(lambda m: archives.render_markdown(m))
-_query("b12_html", "messages", None)(lambda m: archives.render_html(m))
+_NL = "chr(10)"
+_query("b13_markdown", "messages", f"SELECT platform, conversation_id, md5('# ' || conversation_id || {_NL} || {_NL} || '- Messages : ' || count(*) || {_NL} || {_NL} || string_agg('## ' || role || coalesce(' (' || model || ')', '') || ' — ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || {_NL} || {_NL} || texte || {_NL}, {_NL} ORDER BY pos)) AS markdown FROM messages GROUP BY platform, conversation_id")(lambda m: archives.render_markdown(m).withColumn("markdown", F.md5("markdown")))
+_ESCAPED = "replace(replace(replace(replace(replace(texte, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+_query("b12_html", "messages", f"SELECT platform, conversation_id, md5('<!DOCTYPE html>' || {_NL} || '<html><head><meta charset=\"utf-8\"><title>' || conversation_id || '</title></head><body>' || {_NL} || string_agg('<div class=\"msg ' || role || '\"><pre class=\"texte\">' || {_ESCAPED} || '</pre></div>', {_NL} ORDER BY pos) || {_NL} || '</body></html>' || {_NL}) AS html FROM messages GROUP BY platform, conversation_id")(lambda m: archives.render_html(m).withColumn("html", F.md5("html")))
 _query("a10_media_references", "messages", "SELECT platform, 'images' AS folder, 'i' || CAST(pos % 3 AS VARCHAR) || '.png' AS name, arg_min(message_id, (conversation_id, pos)) AS message_id FROM messages GROUP BY ALL")(
     lambda m: archives.media_references(m.withColumn("texte", F.concat(F.lit("![x](images/i"), (F.col("pos") % 3).cast("string"), F.lit(".png)")))).select("platform", "folder", "name", "message_id")
 )
@@ -422,7 +424,8 @@ def _found(m: DataFrame) -> DataFrame:
 
 _query("q4_tag_tests", "messages", "SELECT msg_seq AS place, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN contains(strip_accents(lower(texte)), '{k}') THEN '{i}' END" for i, k in _TAXONOMY) + "], lambda x: x IS NOT NULL)), ',') AS found FROM messages")(lambda m: _found(m))
 _query("q5_min_cover", "messages", None)(lambda m: calibration.minimum_cover(_tagged(m), "platform"))
-_query("q7_payload", "messages", None)(lambda m: calibration.payload(_tagged(m), m.sparkSession.createDataFrame(_TAXONOMY, "id string, keyword string"), "platform"))
+_SAYS = "[" + ", ".join(f"CASE WHEN {{}} bool_or(contains(strip_accents(lower(texte)), '{k}')) THEN '{i}' END" for i, k in sorted(_TAXONOMY)) + "]"
+_query("q7_payload", "messages", f"SELECT platform, array_to_string(list_filter({_SAYS.replace('{}', '')}, lambda x: x IS NOT NULL), ',') AS covered, array_to_string(list_filter({_SAYS.replace('{}', 'NOT')}, lambda x: x IS NOT NULL), ',') AS missing FROM messages GROUP BY platform")(lambda m: calibration.payload(_tagged(m), m.sparkSession.createDataFrame(_TAXONOMY, "id string, keyword string"), "platform").select("platform", F.array_join("covered", ",").alias("covered"), F.array_join("missing", ",").alias("missing")))
 
 
 def _indexed(m: DataFrame) -> DataFrame:
@@ -433,7 +436,7 @@ def _indexed(m: DataFrame) -> DataFrame:
 
 
 _query("v9_incremental_index", "messages", "SELECT message_id, sha256('hash' || chr(10) || texte) AS fingerprint FROM messages WHERE conv_id % 3 = 0 OR trim(texte) <> ''")(lambda m: _indexed(m).select("message_id", "fingerprint"))
-_query("v1_hashing_encoder", "messages", None)(lambda m: incremental.hashing_encoder(m, 16).select("msg_seq", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 3).alias("norm")))
+_query("v1_hashing_encoder", "messages", r"SELECT msg_seq, if(regexp_matches(texte, '[\p{L}\p{N}_\-]'), 1.0, 0.0) AS norm FROM messages")(lambda m: incremental.hashing_encoder(m, 16).select("msg_seq", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 3).alias("norm")))
 _query("k1_merged_messages", "old new", archive.merge_payload.sql.replace("SELECT t.platform, t.conversation_id, t.status, o.i AS pos, o.k AS identity FROM", "SELECT t.conversation_id, o.k AS identity FROM").replace("SELECT t.platform, t.conversation_id, t.status, w.i, w.k FROM", "SELECT t.conversation_id, w.k FROM"))(
     lambda o, n: incremental.merged_messages(o, n).select("conversation_id", F.concat(F.lit("id:"), F.col("message_id")).alias("identity"))
 )
