@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolake.operators.base import sql_operator
@@ -92,6 +92,11 @@ def bench_summary(fetches: DataFrame) -> DataFrame:
     )
 
 
+def month_axis(spark: SparkSession, last: str, n: int) -> DataFrame:
+    """The n months (month, yyyy-MM) that end with that of a day."""
+    return spark.range(n).select(F.date_format(F.add_months(F.trunc(F.lit(last).cast("date"), "month"), F.col("id").cast("int") - (n - 1)), "yyyy-MM").alias("month"))
+
+
 def api_health(reports: DataFrame) -> DataFrame:
     """Health reports (service, n, matches, and more) with rate, the share of matches in percent to 1 decimal; null without any reading."""
     return reports.withColumn("rate", F.when(F.col("n") > 0, F.round(F.col("matches") / F.col("n") * 100, 1)))

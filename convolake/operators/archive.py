@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -206,3 +207,13 @@ def unique_names(inventory: DataFrame) -> DataFrame:
 def retry_unavailable(inventory: DataFrame) -> DataFrame:
     """Inventory in which nothing is unavailable any more; reset says what was."""
     return inventory.withColumn("reset", F.coalesce("unavailable", F.lit(False))).withColumn("unavailable", F.lit(False))
+
+
+def backups(files: DataFrame, prefix: str) -> DataFrame:
+    """Backups (name) of a stem, the newest first by name."""
+    return files.where(F.col("name").startswith(prefix)).orderBy(F.col("name").desc())
+
+
+def frozen(messages: DataFrame, canaries: DataFrame, make: Callable[[Column], Column]) -> DataFrame:
+    """A copy of the canaries' messages for fixtures, with their texts as make makes them: what is personal replaced."""
+    return messages.join(canaries.select(*ID).distinct(), ID, "left_semi").withColumn("texte", make(F.col("texte")))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolake.functions import text as T
+from convolake.functions.markdown import render_citations
 from convolake.operators.normalize import follow
 
 COLUMNS = ("conversation_id", "pos", "message_id", "role", "model", "ts", "texte", "reasoning", "tools", "sources", "artifacts", "variants")
@@ -73,7 +74,7 @@ def claude(payloads: DataFrame) -> DataFrame:
     return finish(
         on.where(content.isNotNull() | F.col("m.files").isNotNull()), [-F.col("depth")], variants=F.col("variants"), message_id=F.col("id"), role=F.when(answer, "assistant").otherwise("user"), model=only(F.col("model"), F.lit(None)), ts=T.parse_iso(F.col("m.created_at")),
         texte=_joined(F.array(T.autolink(_joined(of("text", lambda b: b["text"]), "\n")), _joined(files))), reasoning=only(_joined(of("thinking", lambda b: b["thinking"])), F.lit("")),
-        tools=only(_distinct(of("tool_use", lambda b: b["name"])), F.expr(_NONE)), sources=only(F.slice(_distinct(F.filter(F.flatten(of("text", lambda b: F.coalesce(F.transform(b["citations"], lambda c: c["url"]), F.expr(_NONE)))), lambda u: u.rlike("^https?://"))), 1, 25), F.expr(_NONE)),
+        tools=only(_distinct(of("tool_use", lambda b: tool_label(b["name"], CLAUDE_TOOLS))), F.expr(_NONE)), sources=only(F.slice(_distinct(F.filter(F.flatten(of("text", lambda b: F.coalesce(F.transform(b["citations"], lambda c: c["url"]), F.expr(_NONE)))), lambda u: u.rlike("^https?://"))), 1, 25), F.expr(_NONE)),
         artifacts=only(_distinct(F.flatten(F.transform(made, lambda b: F.coalesce(b["input"]["filepaths"], F.array(F.coalesce(b["input"]["title"], b["input"]["file_path"])))))), F.expr(_NONE)),
     )
 
@@ -113,16 +114,53 @@ def chatgpt(payloads: DataFrame) -> DataFrame:
     )
 
 
-GROK = "conversation struct<conversationId:string,title:string>, responses array<struct<responseId:string,sender:string,message:string,createTime:string,model:string,webSearchResults:array<struct<url:string>>,steps:array<struct<toolName:string>>>>"
+#: Names of a vendor's tools, in lower case without separators, and what they are called. Fixed values.
+GROK_TOOLS = {
+    "websearch": "Recherche web", "websearchwithsnippets": "Recherche web (extraits)", "browsepage": "Navigation web", "browsertab": "Navigation web", "openpage": "Ouverture de page", "openpagewithfind": "Recherche dans une page",
+    "xkeywordsearch": "Recherche X", "xsearch": "Recherche X", "xsemanticsearch": "Recherche X (sémantique)", "xthreadfetch": "Lecture de fil X", "xusersearch": "Recherche d'utilisateur X", "viewxvideo": "Consultation de vidéo X",
+    "readfile": "Lecture de fichier", "writefile": "Écriture de fichier", "viewimage": "Analyse d'image", "bash": "Exécution de commandes", "initterminalsession": "Initialisation du terminal", "codeexecution": "Exécution de code",
+    "mcp": "Connecteurs MCP", "chatroomsend": "Envoi au chat",
+}
+#: The same of another vendor, by exact name. Fixed values.
+CLAUDE_TOOLS = {
+    "web_search": "Recherche web", "web_fetch": "Lecture de page", "bash_tool": "Exécution de code", "create_file": "Création de fichier", "present_files": "Fichiers présentés", "memory_read": "Mémoire lue", "memory_write": "Mémoire enregistrée",
+    "memory_str_replace": "Mémoire mise à jour", "Artifact": "Artefact publié",
+}
+#: Results of a response that tell a tool which no step names: (fields, tool). Fixed values.
+GROK_RESULTS = ((("webSearchResults", "citedWebSearchResults"), "Recherche web"), (("xposts", "citedXposts"), "Recherche X"))
+
+
+def tool_label(name: Column, labels: dict[str, str], loose: bool = False) -> Column:
+    """What a tool is called; an unknown one keeps its name. loose: case and separators don't count."""
+    own = F.trim(F.coalesce(name, F.lit("")))
+    key = F.regexp_replace(F.lower(own), "[^a-z0-9]", "") if loose else own
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)), key), own)
+
+
+_RESULT, _POST = "array<struct<url:string>>", "array<struct<url:string,username:string,postId:string>>"
+_RESULTS = f"webSearchResults:{_RESULT},citedWebSearchResults:{_RESULT},xposts:{_POST},citedXposts:{_POST}"
+GROK = f"conversation struct<conversationId:string,title:string>, responses array<struct<responseId:string,sender:string,message:string,createTime:string,model:string,{_RESULTS},cardAttachmentsJson:array<string>,steps:array<struct<tags:array<string>,text:array<string>,toolName:string,{_RESULTS}>>>>"
 
 
 def grok(payloads: DataFrame) -> DataFrame:
-    """A list of responses, whose texts lose the vendor's tags."""
+    """A list of responses, whose texts lose the vendor's tags and get links for its citations. Sources are those cited, or else all that were found."""
     rows = _read(payloads, GROK).select("conversation_id", F.posexplode("p.responses").alias("at", "r"))
     role = F.when(F.lower("r.sender").isin("human", "user"), "user").otherwise("assistant")
+    steps = F.coalesce("r.steps", F.array().cast(dict(rows.select("r.steps").dtypes)["steps"]))
+    none = F.expr(_NONE)
+    every = lambda field: F.concat(F.coalesce(F.col(f"r.{field}"), F.array().cast(dict(rows.select(f"r.{field}").dtypes)[field])), F.flatten(F.transform(steps, lambda s: F.coalesce(s[field], F.array().cast(dict(rows.select(f"r.{field}").dtypes)[field])))))
+    urls = lambda field: F.transform(every(field), lambda x: F.trim(x["url"]))
+    posts = lambda field: F.transform(every(field), lambda x: F.coalesce(F.nullif(F.trim(x["url"]), F.lit("")), F.when((x["username"] != "") & (x["postId"] != ""), F.concat(F.lit("https://x.com/"), x["username"], F.lit("/status/"), x["postId"]))))
+    cards = F.filter(F.transform(F.coalesce("r.cardAttachmentsJson", none), lambda c: F.from_json(c, "id string, url string, cardType string, type string")), lambda c: (c["cardType"] == "citation_card") | (c["type"] == "render_inline_citation"))
+    cards = F.filter(cards, lambda c: (c["id"] != "") & (c["url"] != ""))
+    cited = _distinct(F.concat(urls("citedWebSearchResults"), F.transform(cards, lambda c: c["url"])))
+    found = _distinct(F.concat(urls("webSearchResults"), posts("xposts"), posts("citedXposts")))
+    named = F.flatten(F.transform(steps, lambda s: F.concat(F.array(s["toolName"]), F.regexp_extract_all(F.array_join(F.coalesce(s["text"], none), "\n"), F.lit(r"(?is)<xai:tool_name>(.*?)</xai:tool_name>"), F.lit(1)))))
+    told = [F.when(F.size(every(a)) + F.size(every(b)) > 0, label) for (a, b), label in GROK_RESULTS]
+    by_card = F.map_from_entries(F.transform(F.array_distinct(F.transform(cards, lambda c: c["id"])), lambda i: F.struct(i, F.get(F.filter(cards, lambda c: c["id"] == i), -1 + F.size(F.filter(cards, lambda c: c["id"] == i)))["url"])))
     return finish(
-        rows, [F.col("at")], message_id=F.coalesce(F.col("r.responseId"), F.lit("")), role=role, model=F.col("r.model"), ts=T.parse_iso(F.col("r.createTime")), texte=T.clean_vendor_text(F.coalesce(F.col("r.message"), F.lit(""))),
-        tools=_distinct(F.transform("r.steps", lambda s: s["toolName"])), sources=_distinct(F.transform("r.webSearchResults", lambda s: s["url"])),
+        rows, [F.col("at")], message_id=F.coalesce(F.col("r.responseId"), F.lit("")), role=role, model=F.col("r.model"), ts=T.parse_iso(F.col("r.createTime")), texte=T.clean_vendor_text(render_citations(F.coalesce(F.col("r.message"), F.lit("")), by_card)),
+        tools=_distinct(F.concat(F.transform(named, lambda n: tool_label(n, GROK_TOOLS, True)), F.array(*told))), sources=F.when(F.size(cited) > 0, cited).otherwise(found),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolake.operators.analytics import VERDICTS
+from convolake.operators.quality import verdicts
 
 #: A report as JSON; counts may be anything, so they are read as text.
 RECHECK = "verdict string, checked string, compared string, ignored string, ok string, degraded string, failed string, retention string, checked_at string, seed string, conversations array<struct<conversation_id:string,title:string,status:string,error:string,lost:array<string>,retention:string,old_messages:string,new_messages:string>>"
@@ -56,11 +57,13 @@ def failures(targets: DataFrame, status: str, error: str) -> DataFrame:
 def write_recheck(conversations: DataFrame) -> DataFrame:
     """Reports (platform, report as JSON) from rows (platform, conversation_id, title, status, error, old_messages, new_messages, retention, lost)."""
     entry = F.struct("conversation_id", "title", "status", "error", "lost", "retention", "old_messages", "new_messages")
-    of = lambda *s: F.count_if(F.col("status").isin(*s))
-    rows = conversations.groupBy("platform").agg(F.sort_array(F.collect_list(entry)).alias("conversations"), F.count(F.lit(1)).alias("checked"), of("ok").alias("ok"), of("degrade").alias("degraded"), of("echec").alias("failed"), of("ignore").alias("ignored"), F.round(F.avg("retention"), 3).alias("retention"))
-    rows = rows.withColumn("compared", F.col("ok") + F.col("degraded"))
-    verdict = F.when(F.col("compared") == 0, "inconnu").when(F.col("failed") + F.col("degraded") == 0, "ok").when(F.coalesce(F.col("retention") < 0.5, F.lit(False)), "critique").otherwise("attention")
-    return rows.select("platform", F.to_json(F.struct(verdict.alias("verdict"), "checked", "compared", "ignored", "ok", "degraded", "failed", "retention", "conversations")).alias("report"))
+    rows = conversations.groupBy("platform").agg(F.sort_array(F.collect_list(entry)).alias("conversations"), F.count(F.lit(1)).alias("checked")).join(verdicts(conversations), "platform")
+    return rows.select("platform", F.to_json(F.struct("verdict", "checked", "compared", "ignored", "ok", "degraded", "failed", "retention", "conversations")).alias("report"))
+
+
+def flag(c: Column) -> Column:
+    """A boolean read from text; anything but true, 1 and yes is false."""
+    return F.coalesce(F.lower(F.trim(c)).isin("true", "1", "yes"), F.lit(False))
 
 
 def write_health(monitor: DataFrame) -> DataFrame:

@@ -118,6 +118,14 @@ def lookup(messages: DataFrame, conversation_id: str, key: str) -> DataFrame:
     return own.where("rank = best AND n = 1").drop("rank", "n", "best")
 
 
+def known_platforms(wanted: list[str] | None, known: list[str]) -> list[str]:
+    """The wanted platforms that are known, once each in order; nothing wanted means all. An error if none is left."""
+    found = [p for p in dict.fromkeys(wanted or known) if p in known]
+    if not found:
+        raise ValueError(f"no known platform among {wanted!r}")
+    return found
+
+
 def criteria_only(messages: DataFrame, limit: int = 200, **criteria) -> DataFrame:
     """Newest messages that meet the criteria, without scores."""
     return filters(messages, **criteria).orderBy(F.col("ts").desc(), F.col("msg_seq").desc()).limit(limit)
@@ -128,6 +136,12 @@ def random_conversations(conversations: DataFrame, n: int, seed: int) -> DataFra
     return conversations.orderBy(F.xxhash64("conversation_id", F.lit(seed))).limit(min(n, 8))
 
 
+def random_indexed(messages: DataFrame, n: int, seed: int) -> DataFrame:
+    """random_conversations() of an index, with the number of messages and the last time of each."""
+    own = messages.groupBy("platform", "conversation_id").agg(F.count(F.lit(1)).alias("message_count"), F.max("ts").alias("last_message_at"))
+    return random_conversations(own, n, seed)
+
+
 def media_groups(groups: DataFrame, hits: DataFrame) -> DataFrame:
     """Text groups with the media hits of their conversation; media of other conversations come as groups of their own."""
     own = hits.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("media_hits"))

@@ -6,6 +6,7 @@ have SQL of their own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from convolake.functions import markdown as MD
 from convolake.functions import text as T
 from convolake.operators import analytics, archive, calibration, lookup, media, normalize, pages, parsers, quality, reparse, reports, sanitize, search, shapes, wire
+from convolake.scratch import scratch
 from convolake.sources import archive as archives
 from convolake.sources import bindings as B
 from convolake.streaming import incremental
@@ -458,7 +460,7 @@ def _reports(c: DataFrame) -> DataFrame:
     return reports.write_recheck(rows)
 
 
-_query("a17_recheck_report", "conv", "WITH t AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'degrade' WHEN conv_id % 7 = 0 THEN 'echec' ELSE 'ok' END AS s FROM conv) SELECT platform, if(count(*) FILTER (s <> 'ok') = 0, 'ok', 'attention') AS verdict, count(*) AS checked, count(*) FILTER (s <> 'echec') AS compared, count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'degrade') AS degraded, count(*) FILTER (s = 'echec') AS failed, 0.75 AS retention FROM t GROUP BY platform")(
+_query("a17_recheck_report", "conv", "WITH t AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'degrade' WHEN conv_id % 7 = 0 THEN 'echec' ELSE 'ok' END AS s FROM conv) SELECT platform, if(2 * count(*) FILTER (s = 'echec') >= count(*), 'critique', if(count(*) FILTER (s <> 'ok') = 0, 'ok', 'attention')) AS verdict, count(*) AS checked, count(*) AS compared, count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'degrade') AS degraded, count(*) FILTER (s = 'echec') AS failed, 0.75 AS retention FROM t GROUP BY platform")(
     lambda c: reports.read_recheck(_reports(c)).drop("ignored", "checked_at", "seed", "issues")
 )
 _query("r13_report_issues", "conv", "SELECT platform, conversation_id, if(conv_id % 5 = 0 AND conv_id % 7 <> 0, 'images, links', 'lost') AS reason, message_count AS old_messages, CAST(NULL AS BIGINT) AS new_messages FROM conv WHERE conv_id % 5 = 0 OR conv_id % 7 = 0")(
@@ -551,6 +553,40 @@ _query("v8_backfill", "messages", "SELECT msg_seq, if(pos % 2 = 0, sha256('m' ||
 _query("r29_media_delete", "media", "SELECT media_id FROM media WHERE media_id % 3 <> 0")(lambda d: media.delete(d, d.where("media_id % 3 = 0")).select("media_id"))
 
 
+# What is read from files and untrusted values, suites, labels and picks.
+def _exports(m: DataFrame) -> DataFrame:
+    """Conversations as older archives write them: other names, nulls, and in some what the schema forbids."""
+    said = F.struct("pos", F.struct(F.when(F.col("pos") % 2 == 0, F.col("message_id")).alias("message_id"), F.when((F.col("conv_id") % 9 == 4) & (F.col("pos") == 0), "robot").otherwise(F.col("role")).alias("role"), F.when(F.col("pos") % 3 == 0, F.col("texte")).alias("texte"), F.when(F.col("pos") % 3 == 1, F.col("texte")).alias("content"), F.array(F.lit("s"), F.lit(None)).alias("sources")).alias("m"))
+    own = m.groupBy(F.col("platform").alias("service"), "conversation_id", "conv_id").agg(F.sort_array(F.collect_list(said)).alias("a"))
+    return own.select("service", "conversation_id", "conv_id", F.when(F.col("conv_id") % 5 != 2, "T").alias("title"), F.when(F.col("conv_id") % 7 == 3, "soon").alias("started_at"), F.transform("a", lambda x: x["m"]).alias("messages"))
+
+
+def _read_exports(m: DataFrame) -> DataFrame:
+    root = f"{scratch(m.sparkSession)}/exports-{uuid.uuid4().hex[:12]}"
+    _exports(m).withColumn("platform", F.col("service")).drop("conv_id").repartition(8).write.option("maxRecordsPerFile", 1).partitionBy("platform").json(root)
+    return archives.read_conversations(m.sparkSession, root)
+
+
+_query("a1_export_scan", "messages", "SELECT platform, conversation_id, count(*) AS n FROM messages GROUP BY ALL")(lambda m: _read_exports(m).select("platform", "conversation_id", F.size("messages").cast("long").alias("n")))
+_query("c4_message_coercion", "messages", "SELECT conversation_id, pos, if(pos % 2 = 0, message_id, '') AS message_id, md5(if(pos % 3 < 2, texte, '')) AS texte, 1 AS n_sources FROM messages")(lambda m: archives.messages(_read_exports(m)).select("conversation_id", "pos", "message_id", F.md5("texte").alias("texte"), F.size("sources").alias("n_sources")))
+_query("c6_violations", "messages", "SELECT conversation_id, trim(if(conv_id % 5 = 2, 'title ', '') || if(conv_id % 9 = 4, 'role ', '') || if(conv_id % 7 = 3, 'started_at', '')) AS violations FROM messages GROUP BY conversation_id, conv_id")(lambda m: archives.violations(_read_exports(m)).select("conversation_id", F.array_join("violations", " ").alias("violations")))
+_query("c52_coercions", "messages", "SELECT msg_seq, [pos, -2, 0, 0, 0][pos % 5 + 1] AS whole, CASE pos % 5 WHEN 0 THEN pos WHEN 1 THEN -2.5 END AS finite, pos % 5 = 4 AS flag FROM messages")(
+    lambda m: m.withColumn("x", F.get(F.array(F.col("pos").cast("string"), F.lit("-2.5"), F.lit("inf"), F.lit("x"), F.lit("True")), F.col("pos") % 5)).select("msg_seq", reports.whole(F.col("x")).alias("whole"), reports.finite(F.col("x")).alias("finite"), reports.flag(F.when(F.col("pos") % 5 == 4, F.col("x"))).alias("flag"))
+)
+_query("c56_tool_labels", "messages", "SELECT msg_seq, ['Recherche web', 'Exécution de commandes', 'other tool', ''][pos % 4 + 1] AS label FROM messages")(
+    lambda m: m.select("msg_seq", parsers.tool_label(F.get(F.array(F.lit("Web_Search"), F.lit(" bash"), F.lit("other tool"), F.lit(None)), F.col("pos") % 4), parsers.GROK_TOOLS, True).alias("label"))
+)
+_query("c49_month_axis", "events", "SELECT strftime(m, '%Y-%m') AS month FROM generate_series(DATE '2023-03-01', DATE '2024-02-01', INTERVAL 1 MONTH) t(m)")(lambda e: analytics.month_axis(e.sparkSession, "2024-02-29", 12))
+_query("j9_random_indexed", "messages", None)(lambda m: search.random_indexed(m, 5, 7))
+_query("q3_suite_tests", "messages", "SELECT msg_seq AS suite_id, 'Liens' AS capability, 'Partie ' || message_id AS section, 'ask ' || message_id AS prompt FROM messages")(
+    lambda m: calibration.extract_tests(m.select(F.col("msg_seq").alias("suite_id"), F.concat(F.lit("# Partie "), "message_id", F.lit("\n\n## Test 3 — Liens\nsee\n```\nask "), "message_id", F.lit("\n```\n## Notes\n```\nno\n```\n## Test 4: none\n")).alias("text"))).drop("place")
+)
+_query("r11_backups", "conv", "SELECT platform || '-' || conversation_id AS name FROM conv WHERE platform = 'grok'")(lambda c: archive.backups(c.select(F.concat_ws("-", "platform", "conversation_id").alias("name")), "grok-"))
+_query("b20_frozen_canaries", "messages conv", "SELECT c.conversation_id, md5(string_agg(replace(texte, 'the', 'THE'), chr(10) ORDER BY pos)) AS value FROM conv c JOIN messages m USING (conversation_id) WHERE c.conv_id % 6 = 1 GROUP BY c.conversation_id")(
+    lambda m, c: archive.frozen(m, c.where("conv_id % 6 = 1"), lambda x: sanitize.sanitize(x, names={"the": "THE"})).groupBy("conversation_id").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "texte"))), lambda x: x["texte"]), "\n")).alias("value"))
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in Q.items()}
 

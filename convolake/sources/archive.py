@@ -26,7 +26,7 @@ def read_conversations(spark: SparkSession, root: str, platforms: list[str] | No
     rows = rows.where(~F.col("name").isin(*RESERVED) & (F.col("size") <= MAX_BYTES) & F.col("messages").isNotNull())
     if platforms:
         rows = rows.where(F.col("folder").isin(*platforms))
-    return rows.withColumn("platform", F.coalesce("platform", "service", "folder")).drop("service", "size", "folder", *([] if strict else ["_corrupt_record"]))
+    return rows.withColumn("platform", F.coalesce("platform", "service", F.regexp_replace("folder", "^platform=", ""))).drop("service", "size", "folder", *([] if strict else ["_corrupt_record"]))
 
 
 def messages(conversations: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ SQL = {
     "messages": """messages AS (SELECT CASE conv_id % 6 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude' WHEN 2 THEN 'gemini' WHEN 3 THEN 'grok' WHEN 4 THEN 'mistral' ELSE 'perplexity' END AS platform,
         'c' || lpad(CAST(conv_id AS VARCHAR), 6, '0') AS conversation_id, conv_id, CAST(turn AS INTEGER) AS pos, conv_id * 1000 + turn AS msg_seq, 'm' || CAST(conv_id * 1000 + turn AS VARCHAR) AS message_id, role,
         CASE WHEN role = 'assistant' THEN 'model-' || CAST(conv_id % 5 AS VARCHAR) END AS model, make_timestamp((1719792000 + (conv_id * 7 % 180) * 86400 + turn * 90) * 1000000) AS ts, text AS texte FROM conversations)""",
-    "vectors": """vectors AS (SELECT m.msg_seq, e.embedding FROM (SELECT msg_seq, (row_number() OVER (ORDER BY msg_seq) - 1) % (SELECT count(*) FROM embeddings) AS k FROM messages) m JOIN embeddings e ON e.vec_id = m.k)""",
+    "vectors": """vectors AS (SELECT m.msg_seq, e.embedding FROM (SELECT msg_seq, (7 * conv_id + pos) % (SELECT count(*) FROM embeddings) AS k FROM messages) m JOIN embeddings e ON e.vec_id = m.k)""",
     "conv": """conv AS (SELECT platform, conversation_id, conv_id, 'Title ' || CAST(conv_id % 7 AS VARCHAR) AS title, min(ts) AS started_at, max(ts) AS last_message_at, count(*) AS message_count, conv_id % 3 <> 0 AS scraped, conv_id % 11 = 0 AS unavailable FROM messages GROUP BY ALL)""",
     "media": """media AS (SELECT doc_id AS media_id, lang AS platform, 'c' || CAST(doc_id % 50 AS VARCHAR) AS conversation_id, CASE doc_id % 4 WHEN 0 THEN NULL ELSE 'm' || CAST(doc_id % 90 AS VARCHAR) END AS message_id, CASE doc_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' ELSE 'video' END AS kind, 'f' || CAST(doc_id % 40 AS VARCHAR) AS content_key FROM documents)""",
 }
@@ -46,10 +46,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector for each message. Only the fixture numbers messages one after another; a real index stores the vector with its message."""
-    m = messages(spark, sf_dir).select("msg_seq")
+    """A vector for each message, dealt by the numbers of conversation and turn."""
+    m = messages(spark, sf_dir).select("msg_seq", "conv_id", "pos")
     e = read(spark, sf_dir, "embeddings")
-    return spark.sql("SELECT m.msg_seq, e.embedding FROM (SELECT msg_seq, (row_number() OVER (ORDER BY msg_seq) - 1) % c AS k FROM {m} CROSS JOIN (SELECT count(*) AS c FROM {e})) m JOIN {e} e ON e.vec_id = m.k", m=m, e=e)
+    n = e.count()
+    return m.select("msg_seq", ((7 * F.col("conv_id") + F.col("pos")) % max(n, 1)).alias("vec_id")).join(e.select("vec_id", "embedding"), "vec_id").select("msg_seq", "embedding")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,3 +242,11 @@ def test_times_are_utc(spark):
     convs = spark.createDataFrame([("p", "c", None, None), ("p", "d", None, None)], "platform string, conversation_id string, started_at timestamp, last_message_at timestamp")
     got = {r.conversation_id: (r.started_at, r.last_message_at) for r in reparse.derive_times(convs, rows).collect()}
     assert got == {"c": (datetime.datetime(2023, 1, 1), datetime.datetime(2024, 1, 1)), "d": (None, None)}
+
+
+def test_cited_sources_and_tools(spark):
+    said = 'a<grok:render card_id="k" x><argument name="citation_id">2</argument></grok:render> b'
+    one = {"responseId": "r", "sender": "ASSISTANT", "message": said, "webSearchResults": [{"url": "https://w"}], "cardAttachmentsJson": [json.dumps({"id": "k", "cardType": "citation_card", "url": "https://c"}), "x"], "steps": [{"tags": ["tool_usage_card"], "text": ["<xai:tool_name>browse_page</xai:tool_name>"], "citedWebSearchResults": [{"url": "https://d"}]}]}
+    two = {"responseId": "s", "sender": "human", "message": "q", "xposts": [{"username": "u", "postId": "5"}, {"url": "https://p"}]}
+    got = parsers.grok(spark.createDataFrame([("c", json.dumps({"responses": [one, two]}))], "conversation_id string, payload string")).orderBy("pos").collect()
+    assert [(r.texte, list(r.sources), list(r.tools)) for r in got] == [("a[2](https://c) b", ["https://d", "https://c"], ["Navigation web", "Recherche web"]), ("q", ["https://x.com/u/status/5", "https://p"], ["Recherche X"])]
