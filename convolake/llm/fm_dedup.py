@@ -147,7 +147,7 @@ def _read(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b" ") if text else []
 
 
-def remove_repeated_words(docs: DataFrame, window: int = 35, q: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_words(docs: DataFrame, window: int = 35, q: int = 8, hot_rows: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, after removing each word of a window of so many words that also starts elsewhere."""
 
     def finish(text: str, covered: list[tuple[int, int]]) -> tuple[int, str]:
@@ -159,5 +159,5 @@ def remove_repeated_words(docs: DataFrame, window: int = 35, q: int = 8, id_col:
 
     rows = texts(docs, id_col, text_col).select("doc_id", F.btrim(F.regexp_replace("text", SPACE_CLASS + "+", " ")).alias("text"))
     kind = Kind(window, min(q, window), _read, lambda units: shingle_numbers(word_numbers(units), min(q, window)), lambda units, a, b: b" ".join(units[a:b]), engine_for(window), 4_000_000)
-    owners, told = repeated(rows, kind, finish, "n_removed long, kept_sha256 string")
+    owners, told = repeated(rows, kind, finish, "n_removed long, kept_sha256 string", hot_rows)
     return all_or_told(spread_join(owners, told, "sha", "copies", owners.count()), window, "n_words", [])

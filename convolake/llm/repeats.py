@@ -5,7 +5,8 @@ window alone; so equal windows have equal anchors at equal places. The windows o
   1. Texts are read into the hashes of their anchors. Equal texts count once, as all of their windows repeat anyway.
   2. Hashes that occur twice or more are found by counting; only texts that have one are read again, into the contexts of those anchors.
   3. Contexts are dealt out by the hash, so that equal windows meet in one task, where the engine of the operator finds those that repeat. Of equal contexts a task
-     sends two at most, and settles the others with them before the shuffle.
+     sends two at most, and settles the others with them before the shuffle. A hot anchor, which a frequent passage has where it meets what stands around it, may have as many
+     different contexts as there are texts; of these each window is dealt out by itself, as a bucket at full depth that is named by 128 bits, and buckets of two or more repeat.
   4. The covered stretches go back to their texts.
 No step makes pairs; each text crosses the network only if it has a candidate, and at most twice.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convolake.llm.common import bitmap_filter, parts, saved, spread_join
+from convolake.llm.common import HOT_SHARE, bitmap_filter, parts, saved, spread_join
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -79,7 +80,11 @@ def _owners(texts: DataFrame, kind: Kind) -> DataFrame:
     return saved(rows.withColumn("row", F.monotonically_increasing_id()), "anchored")
 
 
-def repeated(texts: DataFrame, kind: Kind, finish: Callable[[str, list[tuple[int, int]]], tuple], finished: str) -> tuple[DataFrame, DataFrame]:
+#: Bytes that name a window or a context.
+NAME = 16
+
+
+def repeated(texts: DataFrame, kind: Kind, finish: Callable[[str, list[tuple[int, int]]], tuple], finished: str, hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """(owners, results): each row of texts (doc_id, text) with sha, n and copies; and by sha what finish makes of the text and its covered stretches of units, where there are any. Equal texts of a window or more have no result: all of them is covered."""
     owners = _owners(texts, kind)
     total = owners.count()
@@ -89,8 +94,9 @@ def repeated(texts: DataFrame, kind: Kind, finish: Callable[[str, list[tuple[int
     # Hashes that occur twice, and the texts that have them.
     places = saved(once.select("row", F.explode("hashes").alias("hash")), "places")
     twice = saved(places.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "twice")
-    met = spread_join(places, twice, "hash", "times", total).groupBy("row").agg(F.collect_set("hash").alias("wanted"))
-    met = saved(met.join(once.select("row", "doc_id", "sha"), "row").withColumn("owner", F.xxhash64("doc_id", "sha")).select("owner", "sha", "wanted"), "candidates")
+    hot = F.col("times") > max(hot_rows, int(total * HOT_SHARE))
+    met = spread_join(places, twice, "hash", "times", total).groupBy("row").agg(F.collect_set("hash").alias("wanted"), F.collect_set(F.when(hot, F.col("hash"))).alias("hot"))
+    met = saved(met.join(once.select("row", "doc_id", "sha"), "row").withColumn("owner", F.xxhash64("doc_id", "sha")).select("owner", "sha", "wanted", "hot"), "candidates")
 
     said = texts.withColumn("sha", F.unhex(F.sha2("text", 256))).withColumn("owner", F.xxhash64("doc_id", "sha"))
     said = bitmap_filter(said, met.select("owner"), "owner").select("owner", "sha", "text")
@@ -99,18 +105,22 @@ def repeated(texts: DataFrame, kind: Kind, finish: Callable[[str, list[tuple[int
         times: dict[bytes, int] = {}  # of contexts, by digest, as far as this task has sent them; it may begin anew at any time
         for batch in batches:
             out: list[tuple] = []
-            for sha, t, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for sha, t, wanted, hot in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                hot = set(hot)
                 units = kind.read(t)
                 hashes, at, first, last = anchors(kind.grams(units), kind.window, kind.q)
                 of = np.flatnonzero(np.isin(hashes, np.array(wanted, np.int64).view(np.uint64)))
                 low = high = -1  # what this task has settled of the text and not yet sent
                 for h, p, a, b in zip(*(x.tolist() for x in (hashes[of].view(np.int64), at[of], first[of], last[of] - 1 + kind.window)), strict=True):
                     cut = kind.cut(units, a, b)
-                    key = blake2b(cut, digest_size=16, salt=(p - a).to_bytes(8, "little")).digest()
+                    key = blake2b(cut, digest_size=NAME, salt=(p - a).to_bytes(8, "little")).digest()
                     seen = times.get(key, 0)
                     if seen < 2:
                         times[key] = seen + 1
-                        out.append((h, sha, a, b, p - a, cut))
+                        if h in hot:
+                            out.append((h, sha, a, b, -1, b"".join([blake2b(kind.cut(units, i, i + kind.window), digest_size=NAME).digest() for i in range(a, b - kind.window + 1)])))
+                        else:
+                            out.append((h, sha, a, b, p - a, cut))
                     elif a <= high:
                         high = b
                     else:
@@ -127,7 +137,7 @@ def repeated(texts: DataFrame, kind: Kind, finish: Callable[[str, list[tuple[int
             if out:
                 yield _context_rows(out)
 
-    pairs = said.join(met.select("owner", "sha", "wanted"), ["owner", "sha"]).select("sha", "text", "wanted")
+    pairs = said.join(met, ["owner", "sha"]).select("sha", "text", "wanted", "hot")
     found = saved(pairs.mapInArrow(contexts, "hash long, sha binary, low long, high long, lead long, cut binary"), "contexts")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +170,8 @@ def repeated(texts: DataFrame, kind: Kind, finish: Callable[[str, list[tuple[int
         if held:
             yield from close()
 
-    dealt = found.where("cut IS NOT NULL").repartition(parts(texts.sparkSession), "hash").sortWithinPartitions("hash").mapInArrow(search, "sha binary, low long, high long")
-    covered = dealt.unionByName(found.where("cut IS NULL").select("sha", "low", "high"))
+    dealt = found.where("lead >= 0 AND cut IS NOT NULL").repartition(parts(texts.sparkSession), "hash").sortWithinPartitions("hash").mapInArrow(search, "sha binary, low long, high long")
+    covered = dealt.unionByName(found.where("cut IS NULL").select("sha", "low", "high")).unionByName(_windows(found.where("lead = -1"), kind.window, total))
     covered = saved(covered.groupBy("sha").agg(F.collect_set(F.struct("low", "high")).alias("covered")), "covered")
 
     # Back to the texts; of those with copies all is covered.
@@ -180,6 +190,15 @@ def repeated(texts: DataFrame, kind: Kind, finish: Callable[[str, list[tuple[int
     return owners.select("doc_id", "sha", "n"), told
 
 
+def _windows(found: DataFrame, window: int, total: int) -> DataFrame:
+    """(sha, low, high) of the windows that repeat, of contexts whose cut is the names of their windows."""
+    names = F.transform(F.sequence(F.lit(0), F.col("high") - F.col("low") - window), lambda i: F.substring("cut", (i * NAME + 1).cast("int"), F.lit(NAME)))
+    rows = saved(found.select("sha", "low", F.posexplode(names).alias("at", "name")).select("sha", (F.col("low") + F.col("at")).alias("low"), "name"), "hot-windows")
+    twice = saved(rows.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "hot-twice")
+    met = spread_join(bitmap_filter(rows, twice, "name"), twice, "name", "times", total)
+    return met.select("sha", "low", (F.col("low") + window).alias("high"))
+
+
 def _context_rows(out: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["hash", "sha", "low", "high", "lead", "cut"])

@@ -95,7 +95,7 @@ def _read(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 400, q: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 400, q: int | None = None, hot_rows: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, after removing each byte of a string of this length that also starts elsewhere."""
     q = q or max(1, length // 4)
 
@@ -107,7 +107,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, q: int | None = No
         return sum(b - a for a, b in covered), len(covered), hashlib.sha256(b"".join([*kept, raw[at:]])).hexdigest()
 
     kind = Kind(length, q, _read, lambda units: byte_grams(units, q), lambda units, a, b: units[a:b].tobytes(), engine_for(length), 1_000_000)
-    owners, told = repeated(texts(docs, id_col, text_col), kind, finish, "n_removed long, n_spans long, kept_sha256 string")
+    owners, told = repeated(texts(docs, id_col, text_col), kind, finish, "n_removed long, n_spans long, kept_sha256 string", hot_rows)
     rows = spread_join(owners, told, "sha", "copies", owners.count())
     return all_or_told(rows, length, "n_bytes", ["n_spans"])
 

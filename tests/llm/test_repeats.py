@@ -44,21 +44,21 @@ def corpus(seed, deal_word, join, passage):
     return rows
 
 
-@pytest.mark.parametrize("length", [40, 3])
-def test_bytes(spark, length):
+@pytest.mark.parametrize("length, hot_rows", [(40, 500), (3, 500), (40, 3)])
+def test_bytes(spark, length, hot_rows):
     rows = corpus(1, lambda d: d.choice("abcdé\n") if length > 3 else d.choice("abcdefghijklmnopqrstuvwxyz") * 3, "".join, length)
     df = spark.createDataFrame([(i, t, "s", 1, 1) for i, t in rows], SCHEMA).repartition(3)
-    got = sorted((tuple(r) for r in remove_repeated_bytes(df, length=length).collect()), key=str)
+    got = sorted((tuple(r) for r in remove_repeated_bytes(df, length=length, hot_rows=hot_rows).collect()), key=str)
     want = brute([(t or "").encode() for _, t in rows], length, bytes)
     assert got == sorted(((i, n, gone, spans, sha) for (i, _), (n, gone, spans, sha) in zip(rows, want)), key=str)
     assert sum(r[2] for r in got) > 500
 
 
-@pytest.mark.parametrize("window", [12, 35])
-def test_words(spark, window):
+@pytest.mark.parametrize("window, hot_rows", [(12, 500), (35, 500), (12, 3)])
+def test_words(spark, window, hot_rows):
     rows = corpus(2, lambda d: d.choice(["a", "b", "the", "é", "word"]), " \n".join, window)
     df = spark.createDataFrame([(i, t, "s", 1, 1) for i, t in rows], SCHEMA).repartition(3)
-    got = sorted((tuple(r) for r in remove_repeated_words(df, window=window).collect()), key=str)
+    got = sorted((tuple(r) for r in remove_repeated_words(df, window=window, hot_rows=hot_rows).collect()), key=str)
     units = [[w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for _, t in rows]
     want = brute(units, window, lambda x: " ".join(x).encode())
     assert got == sorted(((i, n, gone, sha) for (i, _), (n, gone, _, sha) in zip(rows, want)), key=str)
@@ -88,3 +88,20 @@ def test_refinement_and_index():
         for s in pattern[::-1]:
             low, high = index.back(np.array([int(s) + 1]), low, high)
         assert int(high[0] - low[0]) == sum(data[k : k + len(pattern)].tobytes() == pattern.tobytes() for k in range(len(data)))
+
+
+def test_hot_passage(spark):
+    deal = random.Random(9)
+    say = lambda n: " ".join(f"w{deal.randrange(5000)}" for _ in range(n))
+    passage = say(60)
+    rows = [(i, f"{say(40)} {passage} {say(40)}") for i in range(900)]
+    df = spark.createDataFrame([(i, t, "s", 1, 1) for i, t in rows], SCHEMA).repartition(5)
+    for rep, units, window in ((remove_repeated_words(df, window=20, hot_rows=100), [t.encode().split() for _, t in rows], 20), (remove_repeated_bytes(df, length=100, hot_rows=100), [t.encode() for _, t in rows], 100)):
+        want = {i: x[1] for (i, _), x in zip(rows, brute(units, window, lambda x: b" ".join(x) if window == 20 else bytes(x)))}
+        assert {r.doc_id: r.n_removed for r in rep.collect()} == want and min(want.values()) > 50
+
+
+def test_one_text_of_equal_units(spark):
+    df = spark.createDataFrame([(1, "a" * 200_000, "s", 1, 1), (2, "b " * 100_000, "s", 1, 1)], SCHEMA)
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeated_bytes(df).collect()} == {1: (200_000, 1), 2: (200_000, 1)}
+    assert {r.doc_id: r.n_removed for r in remove_repeated_words(df).collect()} == {1: 0, 2: 100_000}
