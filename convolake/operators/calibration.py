@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolake.functions import text as T
@@ -35,6 +35,25 @@ def _bounded(taxonomy: DataFrame) -> DataFrame:
     return taxonomy
 
 
+#: Extensions that a suite names and those of the files that stand for them; names of files in a prompt. Fixed values.
+EXTENSIONS = {"jpg": "png", "jpeg": "png", "wav": "mp3", "mov": "mp4", "m4a": "mp3"}
+FILE_NAME = r"(?iU)\b[\w\-]+\.(?:txt|md|csv|json|pdf|png|jpg|jpeg|mp3|wav|mp4|mov|m4a|docx|xlsx|pptx|zip)\b"
+
+
+def align_filenames(prompt: Column, attachments: Column) -> Column:
+    """File names in a prompt as those of its attachments: of one extension in order, the last one again when they run out; names without such a file stay."""
+    ext = lambda name: F.lower(F.element_at(F.split(name, r"\."), -1))
+    known = F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv))
+    names = F.regexp_extract_all(prompt, F.lit(FILE_NAME), F.lit(0))
+    kinds = F.transform(names, lambda n: F.coalesce(F.try_element_at(known, ext(n)), ext(n)))
+    pool = lambda kind: F.filter(attachments, lambda a: ext(a) == kind)
+    nth = lambda i: F.size(F.filter(F.slice(kinds, 1, i), lambda k: k == F.get(kinds, i)))
+    given = F.transform(names, lambda n, i: F.coalesce(F.get(pool(F.get(kinds, i)), F.least(nth(i), F.size(pool(F.get(kinds, i))) - 1)), n))
+    stretches = F.split(prompt, FILE_NAME, -1)
+    made = F.array_join(F.flatten(F.zip_with(stretches, given, lambda s, n: F.array(s, F.coalesce(n, F.lit(""))))), "")
+    return F.when(F.coalesce(F.size(attachments), F.lit(0)) > 0, made).otherwise(prompt)
+
+
 def tag_tests(tests: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Tests with the ids of the capabilities of which a keyword occurs; taxonomy (id, keyword) has at most MOST_KEYWORDS rows."""
     said = T.fold(F.concat_ws(" ", "capability", "prompt"))

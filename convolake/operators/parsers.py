@@ -197,6 +197,34 @@ def mistral(payloads: DataFrame) -> DataFrame:
     return finish(flat.join(walk, ["conversation_id", "id"]), [-F.col("depth")], variants=F.col("variants"), message_id=F.col("m.id"), role=F.col("m.role"), ts=T.parse_iso(F.col("m.createdAt")), texte=_joined(F.array(T.math(said(False)), _joined(files))), reasoning=said(True))
 
 
+def attach_thread_sources(messages: DataFrame, thread: DataFrame) -> DataFrame:
+    """Messages (conversation_id, pos, role, sources, source_count) with the sources of their thread (conversation_id, place, title, url), which don't say whose they are.
+
+    A source goes to the first answer that has its address, else to the last one with sources; if none has any, to the last whose count is that of the thread's sources, else to the last answer.
+    """
+    answers = messages.where("role = 'assistant'")
+    count = thread.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"))
+    of = answers.join(count, "conversation_id").groupBy("conversation_id").agg(F.max(F.when(F.size("sources") > 0, F.col("pos"))).alias("inline"), F.max(F.when(F.col("source_count") == F.col("n"), F.col("pos"))).alias("counted"), F.max("pos").alias("last"))
+    url = F.regexp_replace("entry", r"^(?s:.*) — (?=\S+$)", "")
+    first = answers.select("conversation_id", "pos", F.explode("sources").alias("entry")).groupBy("conversation_id", url.alias("url")).agg(F.min("pos").alias("own"))
+    dealt = thread.join(of, "conversation_id").join(first, ["conversation_id", "url"], "left")
+    target = F.when(F.col("inline").isNotNull(), F.coalesce("own", "inline")).otherwise(F.coalesce("counted", "last"))
+    has, entry = F.coalesce(F.col("own") == target, F.lit(False)), F.struct("place", "url", T.source_entry(F.col("title"), F.col("url")).alias("entry"))
+    more = dealt.groupBy("conversation_id", target.alias("pos")).agg(F.sort_array(F.collect_list(F.when(~has, entry))).alias("more"), F.collect_list(F.when(has, entry)).alias("known"))
+    rows = messages.join(more, ["conversation_id", "pos"], "left")
+    titled = F.transform("sources", lambda s: F.coalesce(F.get(F.filter("known", lambda k: k["url"] == s), 0)["entry"], s))  # an address that a message has already only gains its title
+    return rows.withColumn("sources", F.array_distinct(F.concat(titled, F.coalesce(F.transform("more", lambda x: x["entry"]), F.expr(_NONE))))).drop("more", "known").select(*messages.columns)
+
+
+#: Kinds of variants. Fixed values.
+KINDS = ("edit", "regeneration")
+
+
+def valid_variants(variants: Column) -> Column:
+    """Whether all variants of a message are of a known kind and have a text."""
+    return F.coalesce(F.forall(variants, lambda v: F.coalesce(v["kind"].isin(*KINDS), F.lit(False)) & v["texte"].isNotNull()), F.lit(True))
+
+
 def _texts(node) -> list[str]:
     """Strings of a nested list, in order."""
     out, todo = [], [node]

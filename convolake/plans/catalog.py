@@ -577,6 +577,39 @@ _query("c56_tool_labels", "messages", "SELECT msg_seq, ['Recherche web', 'Exécu
     lambda m: m.select("msg_seq", parsers.tool_label(F.get(F.array(F.lit("Web_Search"), F.lit(" bash"), F.lit("other tool"), F.lit(None)), F.col("pos") % 4), parsers.GROK_TOOLS, True).alias("label"))
 )
 _query("c49_month_axis", "events", "SELECT strftime(m, '%Y-%m') AS month FROM generate_series(DATE '2023-03-01', DATE '2024-02-01', INTERVAL 1 MONTH) t(m)")(lambda e: analytics.month_axis(e.sparkSession, "2024-02-29", 12))
+
+
+def _thread_sources(m: DataFrame) -> DataFrame:
+    """Sources of threads: u and the place of the first answer, and v; in even conversations each answer has a source of its own."""
+    first = m.where("role = 'assistant'").groupBy("conversation_id").agg(F.min("pos").alias("lo"), F.count(F.lit(1)).alias("n"))
+    thread = first.select("conversation_id", F.explode(F.array(F.struct(F.lit(1).alias("place"), F.lit("T").alias("title"), F.concat(F.lit("u"), F.col("lo").cast("string")).alias("url")), F.struct(F.lit(2).alias("place"), F.lit("T").alias("title"), F.lit("v").alias("url")))).alias("x")).select("conversation_id", "x.*")
+    rows = m.join(first, "conversation_id", "left").select("conversation_id", "pos", "role", F.when((F.col("role") == "assistant") & (F.col("conv_id") % 2 == 0), F.array(F.concat(F.lit("x — u"), F.col("pos").cast("string")))).otherwise(F.expr("CAST(array() AS array<string>)")).alias("sources"), F.when((F.col("conv_id") % 3 == 0) & (F.col("pos") == F.col("lo")), 2).alias("source_count"))
+    even = rows.join(thread.select("conversation_id").distinct(), "conversation_id", "left_semi")
+    return parsers.attach_thread_sources(even, thread).unionByName(rows.join(thread.select("conversation_id").distinct(), "conversation_id", "left_anti").drop("x"))
+
+
+_query("j21_thread_sources", "messages", """WITH a AS (SELECT conversation_id, pos, conv_id FROM messages WHERE role = 'assistant'), l AS (SELECT conversation_id, min(pos) AS lo, max(pos) AS hi, count(*) AS n FROM a GROUP BY 1)
+    SELECT m.conversation_id, m.pos, CASE WHEN m.role = 'assistant' AND m.conv_id % 2 = 0 THEN 'x — u' || m.pos || CASE WHEN m.pos = hi THEN ',T — v' ELSE '' END WHEN m.role = 'assistant' AND m.conv_id % 2 = 1 AND m.pos = CASE WHEN m.conv_id % 3 = 0 THEN lo ELSE hi END THEN 'T — u' || lo || ',T — v' ELSE '' END AS sources FROM messages m LEFT JOIN l USING (conversation_id)""")(
+    lambda m: _thread_sources(m).select("conversation_id", "pos", F.array_join("sources", ",").alias("sources"))
+)
+_query("c55_align_filenames", "messages", "SELECT msg_seq, 'see a' || pos || '.pdf, b.png and b.png; no x.zip ' || message_id AS value FROM messages")(
+    lambda m: m.select("msg_seq", calibration.align_filenames(F.concat(F.lit("see test.PDF, one.jpg and two.png; no x.zip "), "message_id"), F.array(F.concat(F.lit("a"), F.col("pos").cast("string"), F.lit(".pdf")), F.lit("b.png"))).alias("value"))
+)
+_query("r4_has_code", "messages", "SELECT conversation_id, bool_or(pos % 4 = 1) AS has_code FROM messages GROUP BY conversation_id")(
+    lambda m: m.withColumn("texte", F.when(F.col("pos") % 4 == 1, _made()).otherwise(F.lit("plain"))).groupBy("conversation_id").agg(F.bool_or(T.has_code(F.col("texte"))).alias("has_code"))
+)
+_query("r3_valid_variants", "messages", "SELECT msg_seq, pos % 3 <> 1 AS valid FROM messages")(
+    lambda m: m.select("msg_seq", parsers.valid_variants(F.when(F.col("pos") % 3 != 2, F.array(F.struct(F.when(F.col("pos") % 3 == 0, "edit").otherwise("other").alias("kind"), "texte")))).alias("valid"))
+)
+_query("r20_image_bytes", "messages", "SELECT msg_seq, pos % 4 IN (0, 1) AS value FROM messages")(
+    lambda m: m.select("msg_seq", T.looks_like_image(F.when(F.col("pos") % 4 == 0, F.unhex(F.lit("89504E470D0A1A0A0000"))).otherwise(F.col("texte").cast("binary")), F.get(F.array(F.lit(None), F.lit("image/png; q=1"), F.lit("text/html"), F.lit("")), F.col("pos") % 4)).alias("value"))
+)
+_query("q6_supplements", "messages", "SELECT message_id AS capability, 'own' AS prompt, 'suite' AS origin FROM messages WHERE pos % 2 = 0 UNION ALL SELECT message_id, min(m), 'supplement' FROM (SELECT message_id, unnest(['b', 'a']) AS m FROM messages WHERE pos % 2 = 1) t GROUP BY message_id")(
+    lambda m: reports.apply_supplements(m.where("pos % 2 = 0").select(F.col("message_id").alias("capability"), F.lit("own").alias("prompt")), m.select(F.col("message_id").alias("capability"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("prompt")))
+)
+_query("a20_canaries", "conv", "SELECT platform, max(conversation_id) AS conversation_id, 2 AS n FROM conv GROUP BY platform")(
+    lambda c: reports.read_canaries(c.groupBy("platform").agg(F.max("conversation_id").alias("conversation_id")).select(F.to_json(F.create_map("platform", F.struct("conversation_id", F.array(F.lit("x"), F.lit("y")).alias("expected")))).alias("config"))).select("platform", "conversation_id", F.size("expected").alias("n"))
+)
 _query("j9_random_indexed", "messages", None)(lambda m: search.random_indexed(m, 5, 7))
 _query("q3_suite_tests", "messages", "SELECT msg_seq AS suite_id, 'Liens' AS capability, 'Partie ' || message_id AS section, 'ask ' || message_id AS prompt FROM messages")(
     lambda m: calibration.extract_tests(m.select(F.col("msg_seq").alias("suite_id"), F.concat(F.lit("# Partie "), "message_id", F.lit("\n\n## Test 3 — Liens\nsee\n```\nask "), "message_id", F.lit("\n```\n## Notes\n```\nno\n```\n## Test 4: none\n")).alias("text"))).drop("place")

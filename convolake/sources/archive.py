@@ -18,12 +18,12 @@ RESERVED = ("conversation_list.json", "api_health.json", "recheck.json")
 MAX_BYTES = 64 * 1024 * 1024
 
 
-def read_conversations(spark: SparkSession, root: str, platforms: list[str] | None = None, strict: bool = False) -> DataFrame:
+def read_conversations(spark: SparkSession, root: str, platforms: list[str] | None = None, strict: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Conversations of an export tree root/platform/file.json. Broken files are left out, or fail if strict; reserved names and files beyond the bound are left out."""
     rows = spark.read.schema(CONVERSATION + ("" if strict else ", _corrupt_record string")).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("pathGlobFilter", "*.json").json(f"{root}/*/")
     rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
     rows = rows.withColumn("name", F.element_at(F.split("file", "/"), -1)).withColumn("folder", F.element_at(F.split("file", "/"), -2))
-    rows = rows.where(~F.col("name").isin(*RESERVED) & (F.col("size") <= MAX_BYTES) & F.col("messages").isNotNull())
+    rows = rows.where(~F.col("name").isin(*RESERVED) & (F.col("size") <= max_bytes) & F.col("messages").isNotNull())
     if platforms:
         rows = rows.where(F.col("folder").isin(*platforms))
     return rows.withColumn("platform", F.coalesce("platform", "service", F.regexp_replace("folder", "^platform=", ""))).drop("service", "size", "folder", *([] if strict else ["_corrupt_record"]))
@@ -72,7 +72,7 @@ def read_payloads(spark: SparkSession, root: str) -> DataFrame:
 
 def read_media(spark: SparkSession, root: str) -> DataFrame:
     """Media files of an export: images under images, audio and video under files, with a key of their content (size, first and last 256 KiB)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("folder", F.element_at(F.split("path", "/"), -2)).withColumn("kind", T.media_kind(F.col("path")))
+    files = spark.read.format("binaryFile").load(f"{root}/*/{{images,files}}/*").withColumn("folder", F.element_at(F.split("path", "/"), -2)).withColumn("kind", T.media_kind(F.col("path")))
     files = files.where(((F.col("folder") == "images") & (F.col("kind") == "image")) | ((F.col("folder") == "files") & F.col("kind").isin("audio", "video")))
     part = 256 * 1024
     head, tail = F.substring("content", 1, part), F.when(F.col("length") > 2 * part, F.expr(f"substring(content, length(content) - {part - 1}, {part})")).otherwise(F.expr("X''"))
