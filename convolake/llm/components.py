@@ -21,7 +21,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b), root being the least node of its component. Each round is written, so that lost executors cost one round at most."""
+    """(node, root) of every node of edges (a, b), root being the least node of its component; edges from a node to itself, or with a null end, don't count, and no edges give no rows. Each round is written, so that lost executors cost one round at most."""
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     known = None
     while True:

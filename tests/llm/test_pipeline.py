@@ -62,6 +62,7 @@ def test_run_is_all_stages(spark, sf_dir, stages):
 
 
 def test_odd_rows_in_each_stage(spark, sf_dir):
+    library = sentencepiece.SentencePieceProcessor(model_proto=model_bytes())
     text = " ".join(f"the word{i} and" for i in range(40))
     near = text.replace("word7 ", "other ")
     rows = [(1, text), (1, text), (1, near), (2, text), (3, None), (4, ""), (None, None), (5, "a b"), (5, "c d"), (6, "THE!! " * 50_000), (None, "e f")]
@@ -77,5 +78,8 @@ def test_odd_rows_in_each_stage(spark, sf_dir):
     assert seen(clean) == sorted(rows, key=str)
     good = seen(corpus_pipeline.quality_filter(spark, docs, sf_dir))
     assert (6, rows[9][1]) not in good and good.count((1, text)) == 2
+    tokens = corpus_pipeline.encoded(spark, docs, sf_dir).collect()
+    assert len(tokens) == len(rows) and all(r.round_trip and r.n_tokens == len(r.ids) for r in tokens)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in tokens) == sorted((str(i), len(library.encode(t or ""))) for i, t in rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).collect() == []
