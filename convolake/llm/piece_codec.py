@@ -41,30 +41,54 @@ def last_merges(pieces: Pieces) -> dict[str, tuple[str, str]]:
     return out
 
 
+#: Begins the key of a word without a mark; no text has it.
+HEAD = "\udfff"
+
+
+def key_of(word: str) -> str:
+    """A marked word as a key: without its mark if that is one that a space gives, as most have; a run of marks, or a lone one, stays, and a word without a mark has a sign in its place."""
+    if not word.startswith(MARK):
+        return HEAD + word
+    return word if len(word) == 1 or word[1] == MARK else word[1:]
+
+
+def word_of(key: str) -> str:
+    """The marked word of a key."""
+    return key[1:] if key[0] == HEAD else key if key[0] == MARK else MARK + key
+
+
+def spelled(keys: list[str]) -> str:
+    """The text of keys."""
+    text = " ".join(keys).replace(" " + HEAD, "").replace(" " + MARK, MARK).replace(MARK, " ")
+    return text[1:] if keys and keys[0][0] == MARK else text
+
+
 class Codec:
-    """Encodes and decodes whole texts. known and older hold the identifiers of words as little-endian 32-bit integers, at most limit of them: when known is full it becomes older, and a word that is met again moves back."""
+    """Encodes and decodes whole texts. known and older hold the identifiers of words by their keys as little-endian 32-bit integers, at most limit of them: when known is full it becomes older, and a word that is met again moves back."""
 
-    def __init__(self, pieces: Pieces, limit: int = 300_000, splits: dict[str, tuple[str, str]] | None = None):
+    def __init__(self, pieces: Pieces, limit: int = 400_000, splits: dict[str, tuple[str, str]] | None = None):
         self.pieces, self.limit = pieces, limit
         self.splits = last_merges(pieces) if splits is None else splits
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.odd: set[str] = set()  # words that do not come back from their identifiers
-        self.stands: dict[tuple[str, str], bool] = {}
-        self.alone = {p for p in pieces.ids if len(p) == 1} | set(self.splits)
-        self.ends: dict[str, list[int]] = {}  # lengths of the pieces by their last three characters, or by all of a shorter one; longest first
+        self.stands: dict[int, bool] = {}  # by the identifiers of two tokens
+        self.alone = {p: pieces.ids[p] for p in pieces.ids if len(p) == 1 or p in self.splits}
+        self.ends: dict[str, list[int]] = {}  # lengths of the pieces that a text may end with, by its last three characters, or fewer; longest first
         for p in sorted(self.alone, key=len, reverse=True):
             if len(p) not in (sizes := self.ends.setdefault(p[-3:], [])):
                 sizes.append(len(p))
+        for key in sorted(self.ends, key=len):
+            if len(key) > 1 and (shorter := self.ends.get(key[1:])):
+                self.ends[key] = self.ends[key] + [n for n in shorter if n < len(key)]
         self.byte_of = {i: b for b, i in pieces.byte_id.items()}
         self.say = pieces.text | {i: chr(b) for i, b in self.byte_of.items() if b < 128} | {pieces.unk: "\N{REPLACEMENT CHARACTER}"}
 
-    def holds(self, left: str, right: str) -> bool:
+    def holds(self, pair: int, left: str, right: str) -> bool:
         """Whether merging the two on their own leaves them as they are: the later of their merges is undone, again and again, and none across their border may have come before it."""
-        if (known := self.stands.get((left, right))) is None:
-            if len(self.stands) > 2_000_000:
-                self.stands.clear()
-            known = self.stands[left, right] = self._holds(left, right)
+        if len(self.stands) > 2_000_000:
+            self.stands.clear()
+        known = self.stands[pair] = self._holds(left, right)
         return known
 
     def _holds(self, left: str, right: str) -> bool:
@@ -80,59 +104,64 @@ class Codec:
             else:
                 return True
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Adds the identifiers of marked words to the table, walking them as a trie."""
-        last = [0]  # length of the last token of each prefix of the word before; 0 for a character outside the vocabulary
+    def learn(self, keys: Iterable[str]) -> None:
+        """Adds the identifiers of words to the table, walking the marked words as a trie."""
+        words = {word_of(k): k for k in keys}
+        sizes, tokens = [0], [0]  # of each prefix of the word before its last token: length and identifier; no length for a character outside the vocabulary
         before = ""
-        alone, ends, stands, ids, spell = self.alone, self.ends, self.stands, self.pieces.ids, self.pieces.spell
+        alone, ends, stands, spell, none = self.alone, self.ends, self.stands, self.pieces.spell, ()
         for word in sorted(words):
             n = 0
             for a, b in zip(word, before, strict=False):
                 if a != b:
                     break
                 n += 1
-            del last[n + 1 :]
+            del sizes[n + 1 :], tokens[n + 1 :]
             for i in range(n + 1, len(word) + 1):
-                found = 0
-                for tail in (3, 2, 1) if i > 2 else (2, 1) if i > 1 else (1,):
-                    for size in ends.get(word[i - tail : i], ()):
-                        j = i - size
-                        if j < 0 or (piece := word[j:i]) not in alone:
-                            continue
-                        if j == 0 or not (k := last[j]) or ((known := stands.get((left := word[j - k : j], piece))) is None and self.holds(left, piece)) or known:
-                            found = size
-                            break
-                    if found:
+                found = token = 0
+                near = ends.get(word[i - 3 : i]) if i > 2 else None
+                if near is None and (near := ends.get(word[i - 2 : i]) if i > 1 else None) is None:
+                    near = ends.get(word[i - 1], none)
+                for size in near:
+                    j = i - size
+                    if j < 0 or (token := alone.get(word[j:i])) is None:
+                        continue
+                    if not (k := sizes[j]) or ((known := stands.get(pair := tokens[j] << 32 | token)) is None and self.holds(pair, word[j - k : j], word[j:i])) or known:
+                        found = size
                         break
-                last.append(found)
+                sizes.append(found)
+                tokens.append(token)
             out: list[int] = []
             i = len(word)
             while i:
-                if size := last[i]:
-                    out.append(ids[word[i - size : i]])
+                if size := sizes[i]:
+                    out.append(tokens[i])
                     i -= size
                 else:
                     out.extend(reversed(spell(word[i - 1])))
                     i -= 1
             out.reverse()
-            self.known[word] = array("i", out).tobytes()
+            self.known[words[word]] = array("i", out).tobytes()
             if self.said(out) != word:
-                self.odd.add(word)
+                self.odd.add(words[word])
             before = word
 
-    def words(self, text: str) -> list[str]:
-        """The marked words of a text in order, and the cut characters between its stretches."""
+    def keys(self, text: str) -> list[str]:
+        """Keys of the marked words of a text in order, and of the cut characters between its stretches."""
         if not text:
             return []
-        text = text.replace(MARK, " ")
         out: list[str] = []
-        for k, (begins, stretch) in enumerate(chunks(text, self.pieces.cuts)):
+        for k, (begins, stretch) in enumerate(chunks(text.replace(MARK, " "), self.pieces.cuts)):
             if k:
-                out.append(self.pieces.cuts[0])
-            if begins and stretch and stretch[0] != " " and stretch[-1] != " " and "  " not in stretch:
-                out.extend(map(MARK.__add__, stretch.split(" ")))
+                out.append(HEAD + self.pieces.cuts[0])
+            if not stretch or stretch[-1] == " " or "  " in stretch or begins and stretch[0] == " ":
+                out.extend(map(key_of, marked_words(stretch, begins)))
+            elif begins:
+                out.extend(stretch.split(" "))
+            elif stretch[0] == " ":
+                out.extend(stretch[1:].split(" "))
             else:
-                out.extend(marked_words(stretch, begins))
+                out.extend((HEAD + stretch).split(" "))
         return out
 
     def encode(self, block: list[str]) -> list[np.ndarray]:
@@ -141,7 +170,7 @@ class Codec:
 
     def encode_and_check(self, block: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
         """Of each text of a block its identifiers and whether they decode to it. Words decode apart from each other, so each word is decoded when it is learnt, and the words in their order must spell the text."""
-        split = [self.words(t) for t in block]
+        split = [self.keys(t) for t in block]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > self.limit // 2:
             self.older, self.known = self.known, {}
@@ -152,7 +181,7 @@ class Codec:
         self.learn(new - again)
         for text, words in zip(block, split, strict=True):
             ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
-            yield ids, self.odd.isdisjoint(words) and "".join(words).replace(MARK, " ").removeprefix(" ") == text.replace(MARK, " ")
+            yield ids, (not self.odd or self.odd.isdisjoint(words)) and spelled(words) == text.replace(MARK, " ")
 
     def said(self, ids: list[int]) -> str:
         """The marked text of identifiers; bytes that are no UTF-8 become replacement characters."""
