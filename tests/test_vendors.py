@@ -250,3 +250,32 @@ def test_cited_sources_and_tools(spark):
     two = {"responseId": "s", "sender": "human", "message": "q", "xposts": [{"username": "u", "postId": "5"}, {"url": "https://p"}]}
     got = parsers.grok(spark.createDataFrame([("c", json.dumps({"responses": [one, two]}))], "conversation_id string, payload string")).orderBy("pos").collect()
     assert [(r.texte, list(r.sources), list(r.tools)) for r in got] == [("a[2](https://c) b", ["https://d", "https://c"], ["Navigation web", "Recherche web"]), ("q", ["https://x.com/u/status/5", "https://p"], ["Recherche X"])]
+
+
+def test_media_files_and_their_content(spark, tmp_path):
+    from hashlib import md5
+
+    from convolake.sources import archive as archives
+
+    part = 256 * 1024
+    files = {"chatgpt/images/a.png": b"x" * 10, "chatgpt/images/b.png": b"x" * 10, "claude/files/c.mp3": bytes(range(256)) * 4096, "claude/files/d.txt": b"no", "claude/raw/e.png": b"no", "claude/f.json": b"{}"}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    key = lambda b: f"{len(b)}:" + md5(b[:part] + (b[-part:] if len(b) > 2 * part else b"")).hexdigest()
+    got = {r.path.split(str(tmp_path))[1][1:]: (r.folder, r.kind, r.content_key) for r in archives.read_media(spark, str(tmp_path)).collect()}
+    assert got == {n: (n.split("/")[1], "audio" if n.endswith("mp3") else "image", key(files[n])) for n in ("chatgpt/images/a.png", "chatgpt/images/b.png", "claude/files/c.mp3")}
+
+
+def test_thread_sources_gain_titles(spark):
+    rows = spark.createDataFrame([("c", 0, "user", [], None), ("c", 1, "assistant", ["https://a", "B — https://b"], None), ("c", 3, "assistant", ["https://c"], None)], "conversation_id string, pos int, role string, sources array<string>, source_count int")
+    thread = spark.createDataFrame([("c", 1, "A", "https://a"), ("c", 2, "X", "https://b"), ("c", 3, None, "https://new")], "conversation_id string, place int, title string, url string")
+    got = {r.pos: list(r.sources) for r in parsers.attach_thread_sources(rows, thread).collect()}
+    assert got == {0: [], 1: ["A — https://a", "B — https://b"], 3: ["https://c", "https://new"]}
+
+
+def test_files_of_prompts(spark):
+    of = F.when(F.col("k") < 2, F.array(F.lit("photo.png"), F.lit("notes.txt"), F.lit("more.txt")))
+    rows = spark.createDataFrame([(0, "open a.jpg, b.txt, c.txt, d.TXT, e.pdf and f.png."), (1, ""), (2, "a.txt")], "k int, x string")
+    got = [r.y for r in rows.orderBy("k").select("k", calibration.align_filenames(F.col("x"), of).alias("y")).collect()]
+    assert got == ["open photo.png, notes.txt, more.txt, more.txt, e.pdf and photo.png.", "", "a.txt"]
