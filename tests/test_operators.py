@@ -223,7 +223,10 @@ def test_tags_of_whole_texts(spark, sf_dir):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in cover.items()}
     every = {i for i, _ in catalog._TAXONOMY}
     want = {k: (sorted(set().union(*v.values())), sorted(every - set().union(*v.values()))) for k, v in own.items()}
-    assert {r.platform: (r.covered, r.missing) for r in catalog.queries()["q7_payload"](spark, sf_dir).collect()} == want
+    m = catalog._table(spark, sf_dir, "messages")
+    told = calibration.payload(catalog._tagged(m), spark.createDataFrame(catalog._TAXONOMY, "id string, keyword string"), "platform")
+    assert {r.platform: (r.covered, r.missing) for r in told.collect()} == want
+    assert {r.platform: (r.covered, r.missing) for r in catalog.queries()["q7_payload"](spark, sf_dir).collect()} == {k: tuple(map(",".join, v)) for k, v in want.items()}
 
 
 def greedy_coverage(queue, seen):
