@@ -88,3 +88,20 @@ def test_refinement_and_index():
         for s in pattern[::-1]:
             low, high = index.back(np.array([int(s) + 1]), low, high)
         assert int(high[0] - low[0]) == sum(data[k : k + len(pattern)].tobytes() == pattern.tobytes() for k in range(len(data)))
+
+
+def test_frequent_passage(spark):
+    deal = random.Random(9)
+    say = lambda n: " ".join(f"w{deal.randrange(5000)}" for _ in range(n))
+    passage = say(60)
+    rows = [(i, f"{say(40)} {passage} {say(40)}") for i in range(900)]
+    df = spark.createDataFrame([(i, t, "s", 1, 1) for i, t in rows], SCHEMA).repartition(5)
+    for rep, units, window in ((remove_repeated_words(df, window=20), [t.encode().split() for _, t in rows], 20), (remove_repeated_bytes(df, length=100), [t.encode() for _, t in rows], 100)):
+        want = {i: x[1] for (i, _), x in zip(rows, brute(units, window, lambda x: b" ".join(x) if window == 20 else bytes(x)))}
+        assert {r.doc_id: r.n_removed for r in rep.collect()} == want and min(want.values()) > 50
+
+
+def test_one_text_of_equal_units(spark):
+    df = spark.createDataFrame([(1, "a" * 200_000, "s", 1, 1), (2, "b " * 100_000, "s", 1, 1)], SCHEMA)
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeated_bytes(df).collect()} == {1: (200_000, 1), 2: (200_000, 1)}
+    assert {r.doc_id: r.n_removed for r in remove_repeated_words(df).collect()} == {1: 0, 2: 100_000}
