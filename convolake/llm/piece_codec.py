@@ -78,9 +78,8 @@ class Codec:
         for p in sorted(self.alone, key=len, reverse=True):
             if len(p) not in (sizes := self.ends.setdefault(p[-3:], [])):
                 sizes.append(len(p))
-        for key in sorted(self.ends, key=len):
-            if len(key) > 1 and (shorter := self.ends.get(key[1:])):
-                self.ends[key] = self.ends[key] + [n for n in shorter if n < len(key)]
+        for key, sizes in self.ends.items():  # every shorter ending of a key, be that ending a key or not
+            sizes.extend(n for n in range(len(key) - 1, 0, -1) if key[-n:] in self.alone)
         self.byte_of = {i: b for b, i in pieces.byte_id.items()}
         self.say = pieces.text | {i: chr(b) for i, b in self.byte_of.items() if b < 128} | {pieces.unk: "\N{REPLACEMENT CHARACTER}"}
 

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -42,6 +43,29 @@ def test_identifiers_equal_the_library_and_come_back(library):
         assert codec.decode(np.array(got, np.int32)) == t.replace(MARK, " ")
 
 
+def test_every_ending_is_tried(library):
+    pieces = Pieces(model_bytes())
+    codec = piece_codec.Codec(pieces)
+    for key, sizes in codec.ends.items():
+        assert sizes == sorted(set(sizes), reverse=True)
+        assert {n for n in sizes if n < len(key)} == {n for n in range(1, len(key)) if key[-n:] in codec.alone}
+        assert all(n >= len(key) or key[-n:] in codec.alone for n in sizes)
+
+
+def test_identifiers_of_pieces_and_their_pairs(library):
+    pieces = Pieces(model_bytes())
+    codec, deal = piece_codec.Codec(pieces), random.Random(3)
+    every = sorted(p for p in pieces.ids if MARK not in p)
+    endings = {}
+    for p in every:
+        endings.setdefault(p[-2:], []).append(p)
+    words = every + [a + b for a in deal.sample(every, 4000) for b in deal.sample(endings[a[-2:]], min(3, len(endings[a[-2:]])))]
+    words += [deal.choice(every) + deal.choice(every) + deal.choice(every) for _ in range(20000)]
+    blocks = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)]
+    for t, got in zip(blocks, codec.encode(blocks), strict=True):
+        assert list(got) == library.encode(t), t
+
+
 def test_queries_over_texts(spark, library):
     rows = [(i, t, "c", 0) for i, t in enumerate(ODD)] + [(None, None, "c", 0), (1, " ", "c", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -56,8 +80,9 @@ def test_queries_over_texts(spark, library):
     assert token_counts.token_counts(df.limit(0)).collect() == [] == piece_codec.encode(df.limit(0)).collect()
 
 
-def test_whole_table_equals_the_library(spark, sf_dir, library):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    want = {r.doc_id: len(library.encode(r.text)) for r in docs.collect()}
-    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == want
-    assert {r.doc_id: r.n_tokens for r in piece_codec.encode(docs).collect()} == want
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_whole_table_equals_the_library(spark, sf_dir, library, size):
+    docs = spark.read.parquet(f"{os.path.dirname(sf_dir)}/{size}/documents.parquet")
+    want = {r.doc_id: library.encode(r.text) for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == {k: len(v) for k, v in want.items()}
+    assert {r.doc_id: r.ids for r in piece_codec.encode(docs).collect()} == want
