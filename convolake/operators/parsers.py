@@ -1,12 +1,11 @@
 """Vendor payloads and pages as messages of one schema.
 
-Payloads with a fixed schema are read by from_json and reshaped by column functions; pages, and payloads of untyped nested lists, need a parser and run as vectorised functions.
+Payloads with a fixed schema are read by from_json and reshaped by column functions; payloads of untyped nested lists are walked once (positional), and pages need a parser that runs as a vectorised function.
 Every mapper takes rows (conversation_id, payload) and returns messages: conversation_id, pos, message_id, role, model, ts, texte, reasoning, tools, sources, artifacts, variants.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from convolake.functions import text as T
 from convolake.functions.markdown import render_citations
+from convolake.operators import positional
 from convolake.operators.normalize import follow
 
 COLUMNS = ("conversation_id", "pos", "message_id", "role", "model", "ts", "texte", "reasoning", "tools", "sources", "artifacts", "variants")
@@ -79,7 +79,12 @@ def claude(payloads: DataFrame) -> DataFrame:
     )
 
 
-CHATGPT = "conversation_id string, messages array<struct<id:string,author:struct<role:string>,recipient:string,create_time:double,content:struct<content_type:string,parts:array<string>,thoughts:array<struct<summary:string,content:string>>,content:string>,metadata:struct<model_slug:string,is_visually_hidden_from_conversation:boolean,content_references:array<struct<url:string,title:string>>>>>"
+CHATGPT = (
+    "conversation_id string, messages array<struct<id:string,author:struct<role:string>,recipient:string,create_time:double,content:struct<content_type:string,parts:array<variant>,thoughts:array<struct<summary:string,content:string>>,content:string>,"
+    "metadata:struct<model_slug:string,is_visually_hidden_from_conversation:boolean,reasoning_recap_type:string,image_gen_title:string,attachments:array<struct<id:string,name:string>>,"
+    "content_references:array<struct<type:string,title:string,url:string,matched_text:string,alt:string,sources:array<struct<title:string,url:string>>>>,citations:array<struct<title:string,url:string,metadata:struct<title:string,url:string>>>,"
+    "genui_components:array<struct<type:string,safe_urls:array<struct<url:string>>>>>>>"
+)
 #: Kinds of content that are no message. Fixed values.
 CHATGPT_CONTEXT, CHATGPT_INTERNAL = ("model_editable_context", "user_editable_context"), ("code", "execution_output", "system_error")
 
@@ -93,24 +98,110 @@ def message_kind(m: Column) -> Column:
     )
 
 
+#: Where an uploaded or a made file is had; the kind of a part that is an image; kinds of components with images and what a full size one's address holds; kinds of references that are sources. Fixed values.
+CHATGPT_FILE, CHATGPT_IMAGE, CHATGPT_CARDS, FULL_SIZE, CHATGPT_SOURCES = "https://chatgpt.com/backend-api/files/", "image_asset_pointer", ("async_image", "image", "generated_image"), "purpose=fullsize", ("url", "source", "file")
+
+
+def _each(c: Column, f) -> Column:
+    """f of each element, as text, in order and once; nulls and empty texts leave."""
+    return _distinct(F.transform(c, f))
+
+
+def replace_first(c: Column, what: Column, by: Column) -> Column:
+    """c with the first what as by; null if there is none, or what is empty."""
+    at = F.position(what, c)
+    return F.when((F.coalesce(what, F.lit("")) != "") & (at > 0), F.concat(F.substring(c, F.lit(1), at - 1), by, F.substring(c, at + F.length(what), F.length(c))))
+
+
+def splice_references(c: Column, references: Column) -> Column:
+    """c with the Markdown of each reference to a group of images in place of its mark, the first left; one whose mark isn't in the text comes at its end, once. Marks are replaced in the order of the references, so that of two marks that overlap the first counts."""
+
+    def put(text: Column, ref: Column) -> Column:
+        said = T.strip(F.coalesce(ref["alt"], F.lit("")))
+        end = F.when(F.contains(text, said), text).otherwise(T.strip(F.concat_ws("\n\n", F.nullif(text, F.lit("")), said)))
+        return F.when(said == "", text).otherwise(F.coalesce(replace_first(text, ref["matched_text"], said), end))
+
+    return F.aggregate(F.filter(references, lambda r: r["type"] == "image_group"), c, put)
+
+
+def _image(part: Column, m: Column, made: bool) -> Column:
+    """An image part as Markdown; empty without an identifier."""
+    pointer = T.strip(F.coalesce(F.try_variant_get(part, "$.asset_pointer", "string"), F.lit("")))
+    fid = F.when(F.contains(pointer, F.lit("://")), F.regexp_replace(pointer, r"(?s)^.*?://", "")).otherwise(pointer)
+    if made:
+        title = T.strip(F.coalesce(m["metadata"]["image_gen_title"], F.lit("")))
+        alt = F.when(title == "", "Generated image").otherwise(F.concat(F.lit("Generated image: "), title))
+    else:
+        names = F.filter(F.transform(m["metadata"]["attachments"], lambda a: F.when(a["id"] == fid, T.strip(a["name"]))), lambda n: F.coalesce(n, F.lit("")) != "")
+        alt = F.coalesce(F.get(names, 0), F.lit("image"))
+    alt = F.translate(alt, "[]\n", "() ")
+    return F.when(fid == "", "").otherwise(F.concat(F.lit("!["), alt, F.lit(f"]({CHATGPT_FILE}"), fid, F.lit("/download)")))
+
+
+def chatgpt_text(m: Column) -> Column:
+    """Text of a message: its texts and transcripts, then images, those that its references and cards show included. Parts that can't be had, such as sound, have no text."""
+    kind = lambda p: F.coalesce(F.try_variant_get(p, "$.content_type", "string"), F.lit(""))
+    said = lambda p: F.coalesce(F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")).otherwise(F.when(kind(p) != CHATGPT_IMAGE, T.strip(F.try_variant_get(p, "$.text", "string")))), F.lit(""))
+    parts = F.filter(m["content"]["parts"], lambda p: p.isNotNull())
+    texts = F.filter(F.transform(parts, said), lambda x: T.strip(x) != "")
+    images = F.filter(F.transform(F.filter(parts, lambda p: kind(p) == CHATGPT_IMAGE), lambda p: _image(p, m, False)), lambda x: x != "")
+    text = T.strip(F.concat_ws("\n\n", F.nullif(F.regexp_replace(F.array_join(texts, "\n"), r"\s+$", ""), F.lit("")), F.nullif(F.array_join(images, "\n\n"), F.lit(""))))
+    text = splice_references(T.math(F.coalesce(text, F.lit(""))), F.coalesce(m["metadata"]["content_references"], F.expr("CAST(array() AS array<struct<type:string,title:string,url:string,matched_text:string,alt:string,sources:array<struct<title:string,url:string>>>>)")))
+
+    def card(c: Column) -> Column:
+        urls = F.filter(F.transform(c["safe_urls"], lambda u: T.strip(u["url"])), lambda u: u.rlike("^https?://"))
+        url = F.coalesce(F.get(F.filter(urls, lambda u: u.contains(FULL_SIZE)), 0), F.get(urls, 0))
+        return F.concat(F.lit("![image]("), url, F.lit(")"))
+
+    cards = F.array_join(_each(F.filter(m["metadata"]["genui_components"], lambda c: c["type"].isin(*CHATGPT_CARDS)), card), "\n\n")
+    return F.when(cards == "", text).otherwise(T.strip(F.concat_ws("\n\n", F.nullif(text, F.lit("")), cards)))
+
+
+def chatgpt_sources(m: Column) -> Column:
+    """Sources of a message: those of its references, each with its own after the ones it lists, then its citations."""
+    none = F.expr(_NONE)
+    entry = lambda title, url: F.when(T.strip(F.coalesce(url, F.lit(""))) != "", T.source_entry(T.strip(title), T.strip(url)))
+    of = lambda r: F.concat(F.coalesce(F.transform(r["sources"], lambda s: entry(s["title"], s["url"])), none), F.array(F.when(r["type"].isin(*CHATGPT_SOURCES), entry(r["title"], r["url"]))))
+    first = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b)
+    cited = F.transform(m["metadata"]["citations"], lambda c: entry(first(c["metadata"]["title"], c["title"]), first(c["metadata"]["url"], c["url"])))
+    return _distinct(F.concat(F.coalesce(F.flatten(F.transform(m["metadata"]["content_references"], of)), none), F.coalesce(cited, none)))
+
+
 def chatgpt(payloads: DataFrame) -> DataFrame:
-    """A flat list of messages: reasoning between turns goes to the next visible answer before the next question, or makes an empty answer of its own."""
-    rows = _read(payloads, CHATGPT).select("conversation_id", F.posexplode("p.messages").alias("at", "m")).withColumn("kind", message_kind(F.col("m"))).where("kind IN ('text', 'reasoning')")
-    role = F.lower("m.author.role")
-    rows = rows.withColumn("visible", (F.col("kind") == "text") & ((role == "user") | (role == "assistant") & (F.coalesce("m.recipient", F.lit("all")) == "all"))).where("visible OR kind = 'reasoning'")
+    """A flat list of messages. What comes between the visible ones (reasoning, steps of tools, made images) goes to the next answer before the next question. Made images before a question, or at the end, go back to the answer before them, with what came along, or make an answer of their own;
+    reasoning and steps alone do that only at the end and after a question, and are left out before another question."""
+    rows = _read(payloads, CHATGPT).select("conversation_id", F.posexplode("p.messages").alias("at", "m")).where("m IS NOT NULL").withColumn("kind", message_kind(F.col("m")))
+    role, content, none = F.lower("m.author.role"), F.col("m.content"), F.expr(_NONE)
+    visible = (F.col("kind") == "text") & ((role == "user") | (role == "assistant") & (F.coalesce("m.recipient", F.lit("all")) == "all"))
+    made = F.filter(content["parts"], lambda p: F.try_variant_get(p, "$.content_type", "string") == CHATGPT_IMAGE)
+    recap = F.when(content["content_type"] == "reasoning_recap", F.array(F.when(F.col("m.metadata.reasoning_recap_type") == "collapse", T.strip(content["content"])))).otherwise(F.transform(content["thoughts"], lambda t: T.strip(t["content"])))
+    thoughts, inner = content["content_type"] == "thoughts", F.col("kind") == "reasoning"
+    rows = rows.select(
+        "conversation_id", "at", F.coalesce(visible, F.lit(False)).alias("visible"), F.when(visible, F.struct("at", role.alias("role"), F.col("m.id").alias("id"), F.col("m.metadata.model_slug").alias("model"), F.col("m.create_time").alias("time"), chatgpt_text(F.col("m")).alias("texte"), chatgpt_sources(F.col("m")).alias("sources"))).alias("v"),
+        F.coalesce(F.when(inner, recap), none).alias("reasoning"), F.coalesce(F.when(inner & thoughts, F.transform(content["thoughts"], lambda t: T.strip(t["summary"]))), none).alias("tools"),
+        F.coalesce(F.when((F.col("kind") == "tool") & (content["content_type"] == "multimodal_text"), F.transform(made, lambda p: _image(p, F.col("m"), True))), none).alias("images"),
+    ).where("visible OR size(reasoning) + size(tools) + size(images) > 0")
     ahead = Window.partitionBy("conversation_id").orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rows = rows.withColumn("segment", F.sum(F.col("visible").cast("int")).over(ahead))
-    thought = F.array_join(F.transform(F.coalesce("m.content.thoughts", F.array()), lambda t: F.concat_ws("\n", t["summary"], t["content"])), "\n\n")
-    said = F.struct("at", _joined(F.array(thought, F.col("m.content.content"))).alias("said"))
-    own = rows.groupBy("conversation_id", "segment").agg(F.max(F.when(F.col("visible"), F.struct("at", "m"))).alias("v"), F.sort_array(F.collect_list(F.when(~F.col("visible"), said))).alias("inner"), F.max("at").alias("last"))
-    reasoning = _joined(F.transform("inner", lambda x: x["said"]))
-    user = F.lower(F.col("v.m.author.role")) == "user"
-    made = F.array(F.struct(F.lit(1).alias("half"), F.coalesce(F.lower("v.m.author.role"), F.lit("assistant")).alias("role"), F.when(user, F.lit("")).otherwise(reasoning).alias("reasoning"), F.col("v.m").alias("m")))
-    lone = F.array(F.struct(F.lit(0).alias("half"), F.lit("assistant").alias("role"), reasoning.alias("reasoning"), F.lit(None).cast("struct<" + CHATGPT.split("array<struct<", 1)[1][:-1]).alias("m")))
-    turns = own.select("conversation_id", F.col("last").alias("at"), F.explode(F.when(F.coalesce(user, F.lit(False)) & (reasoning != ""), F.concat(lone, made)).otherwise(made)).alias("t"))
+    more = F.sort_array(F.collect_list(F.when(~F.col("visible"), F.struct("at", "reasoning", "tools", "images"))))
+    own = rows.groupBy("conversation_id", "segment").agg(F.max("v").alias("v"), more.alias("more"), F.max("at").alias("at"))
+    all_of = lambda field: _distinct(F.flatten(F.transform("more", lambda x: x[field])))
+    own = own.select("conversation_id", "at", "v", F.col("v.role").alias("role"), F.struct(F.array_join(all_of("images"), "\n\n").alias("images"), F.array_join(all_of("reasoning"), "\n\n").alias("reasoning"), all_of("tools").alias("tools")).alias("x"))
+    order = Window.partitionBy("conversation_id").orderBy("at")
+    own = own.withColumns({"before": F.lag("role").over(order), "next": F.lead(F.struct("role", "x")).over(order)})
+    x, answer = F.col("x"), F.col("role") == "assistant"
+    back = F.when(answer & F.coalesce(F.col("next.role") != "assistant", F.col("next").isNotNull()) & (F.col("next.x.images") != ""), F.col("next.x"))
+    texte = T.strip(F.concat_ws("\n\n", *(F.nullif(c, F.lit("")) for c in (F.col("v.texte"), F.when(answer, x["images"]), back["images"]))))
+    shown = F.struct(
+        F.lit(1).alias("half"), F.col("role").alias("role"), F.coalesce("v.id", F.lit("")).alias("id"), F.col("v.model").alias("model"), F.col("v.time").alias("time"), texte.alias("texte"),
+        F.when(answer, F.coalesce(F.nullif(x["reasoning"], F.lit("")), back["reasoning"], F.lit(""))).otherwise("").alias("reasoning"), F.when(answer, F.array_distinct(F.concat(x["tools"], F.coalesce(back["tools"], none)))).otherwise(none).alias("tools"), F.when(answer, F.col("v.sources")).otherwise(none).alias("sources"),
+    )
+    alone = F.coalesce(F.col("before") != "assistant", F.col("role").isNotNull()) & ~F.coalesce(answer, F.lit(False)) & ((x["images"] != "") | F.col("role").isNull() & ((x["reasoning"] != "") | (F.size(x["tools"]) > 0)))
+    lone = F.struct(F.lit(0).alias("half"), F.lit("assistant").alias("role"), F.lit("").alias("id"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("double").alias("time"), x["images"].alias("texte"), x["reasoning"].alias("reasoning"), x["tools"].alias("tools"), none.alias("sources"))
+    turns = own.select("conversation_id", "at", F.explode(F.filter(F.array(F.when(alone, lone), F.when(F.col("role").isNotNull(), shown)), lambda t: t.isNotNull())).alias("t"))
     return finish(
-        turns, [F.col("at"), F.col("t.half")], message_id=F.coalesce(F.col("t.m.id"), F.lit("")), role=F.col("t.role"), model=F.when(F.col("t.role") == "assistant", F.col("t.m.metadata.model_slug")), ts=F.timestamp_seconds(F.col("t.m.create_time")),
-        texte=T.math(_joined(F.col("t.m.content.parts"))), reasoning=F.col("t.reasoning"), sources=_distinct(F.transform("t.m.metadata.content_references", lambda r: T.source_entry(r["title"], r["url"]))),
+        turns, [F.col("at"), F.col("t.half")], keep_empty=True, message_id=F.col("t.id"), role=F.col("t.role"), model=F.when(F.col("t.role") == "assistant", F.nullif(F.col("t.model"), F.lit(""))), ts=F.timestamp_seconds(F.col("t.time")),
+        texte=F.col("t.texte"), reasoning=F.col("t.reasoning"), tools=F.col("t.tools"), sources=F.col("t.sources"),
     )
 
 
@@ -164,18 +255,87 @@ def grok(payloads: DataFrame) -> DataFrame:
     )
 
 
-PERPLEXITY = "entries array<struct<uuid:string,query_str:string,display_model:string,entry_created_datetime:string,entry_updated_datetime:string,blocks:array<struct<intended_usage:string,markdown_block:struct<answer:string>,web_result_block:struct<web_results:array<struct<name:string,url:string>>>>>>>"
+_FOUND, _MEDIA = "array<struct<name:string,url:string,is_attachment:boolean,is_image:boolean>>", "array<struct<name:string,caption:string,medium:string,url:string,image:string,original_image_url:string,thumbnail:string>>"
+_SHOWN = f"struct<media_items:{_MEDIA},generated_media_items:{_MEDIA}>"
+PERPLEXITY = (
+    "entries array<struct<uuid:string,query_str:string,display_model:string,user_selected_model:string,entry_created_datetime:string,entry_updated_datetime:string,sources:struct<sources:array<string>>,blocks:array<struct<intended_usage:string,"
+    f"markdown_block:struct<answer:string,chunks:array<string>,chunk_starting_offset:string>,web_result_block:struct<web_results:{_FOUND}>,sources_mode_block:struct<web_results:{_FOUND}>,"
+    f"workflow_block:struct<steps:array<struct<title:string,items:array<struct<type:string,payload:struct<text_payload:struct<variant:string,text:string>,sources_payload:struct<sources:{_FOUND}>>>>>>>,"
+    "unified_assets_block:struct<assets:array<struct<asset_type:string,code_file:struct<filename:string,name:string>,image:struct<url:string,name:string>,url:string,name:string>>>,"
+    f"media_block:{_SHOWN},image_mode_block:{_SHOWN},video_mode_block:{_SHOWN},inline_entity_block:struct<media_block:struct<media_items:{_MEDIA}>>>>>>"
+)
+#: Segments of an answer that was sent in pieces, and the block that holds all of it; kinds of steps; extensions of images; most sources of an answer. Fixed values.
+SEGMENT, WHOLE, STEP_TEXT, STEP_SOURCES, IMAGE_NAME, MOST_SOURCES = r"^ask_text_(\d+)_markdown$", "ask_text", "WORKFLOW_ITEM_TEXT", "WORKFLOW_ITEM_SOURCES", r"(?i)\.(png|jpe?g|gif|webp|bmp|svg|avif|heic|heif)$", 40
+
+
+def first_by(c: Column, key) -> Column:
+    """Of the elements of an array with one key the first; those without a key leave. c must be a column, as it is read again for each."""
+    keys = F.transform(c, key)
+    return F.filter(c, lambda x, i: (F.coalesce(key(x), F.lit("")) != "") & (F.array_position(keys, key(x)) == i + 1))
+
+
+def _first_of(*cols: Column) -> Column:
+    """The first text that isn't blank, stripped."""
+    return F.coalesce(*(F.nullif(T.strip(c), F.lit("")) for c in cols), F.lit(""))
+
+
+def assembled_answer(blocks: Column) -> Column:
+    """The answer of an entry's blocks: what its steps say is one; else the last whole block that has a text; else the segments by offset, then number. A block whose text was never fixed has that of its chunks."""
+    text = lambda b: F.when(T.strip(F.coalesce(b["answer"], F.lit(""))) != "", b["answer"]).otherwise(T.strip(F.array_join(F.coalesce(b["chunks"], F.expr(_NONE)), "")))
+    whole = F.try_element_at(F.filter(blocks, lambda b: (b["intended_usage"] == WHOLE) & b["markdown_block"].isNotNull()), F.lit(-1))
+    parts = F.filter(blocks, lambda b: b["intended_usage"].rlike(SEGMENT) & b["markdown_block"].isNotNull())
+    placed = F.transform(parts, lambda b: F.struct(F.coalesce(b["markdown_block"]["chunk_starting_offset"].try_cast("long"), F.lit(0)).alias("offset"), F.regexp_extract(b["intended_usage"], SEGMENT, 1).try_cast("long").alias("number"), text(b["markdown_block"]).alias("text")))
+    segments = F.array_join(F.transform(F.array_sort(F.filter(placed, lambda x: x["text"] != "")), lambda x: x["text"]), "\n")
+    steps = F.flatten(F.transform(F.filter(blocks, lambda b: b["workflow_block"]["steps"].isNotNull()), lambda b: b["workflow_block"]["steps"]))
+    items = F.filter(F.flatten(F.filter(F.transform(steps, lambda s: s["items"]), lambda x: x.isNotNull())), lambda i: (i["type"] == STEP_TEXT) & (i["payload"]["text_payload"]["variant"] == "answer"))
+    said = F.array_join(F.filter(F.transform(items, lambda i: T.strip(i["payload"]["text_payload"]["text"])), lambda x: x != ""), "\n\n")
+    return F.coalesce(F.nullif(said, F.lit("")), F.nullif(text(whole["markdown_block"]), F.lit("")), segments, F.lit(""))
 
 
 def perplexity(payloads: DataFrame) -> DataFrame:
-    """Entries, each a question and its answer."""
-    rows = _read(payloads, PERPLEXITY).select("conversation_id", F.posexplode("p.entries").alias("at", "e"))
-    answer = _joined(F.transform(F.filter("e.blocks", lambda b: b["intended_usage"].startswith("ask_text")), lambda b: b["markdown_block"]["answer"]))
-    sources = _distinct(F.transform(F.flatten(F.transform("e.blocks", lambda b: F.coalesce(b["web_result_block"]["web_results"], F.array().cast("array<struct<name:string,url:string>>")))), lambda r: T.source_entry(r["name"], r["url"])))
-    half = lambda k, role, said, when, src: F.struct(F.lit(k).alias("half"), F.lit(role).alias("role"), T.math(F.coalesce(said, F.lit(""))).alias("said"), when.alias("at"), src.alias("sources"))
-    both = F.array(half(0, "user", F.trim("e.query_str"), F.col("e.entry_created_datetime"), F.expr(_NONE)), half(1, "assistant", answer, F.col("e.entry_updated_datetime"), sources))
-    turns = rows.select("conversation_id", "at", "e", F.explode(both).alias("t"))
-    return finish(turns, [F.col("at"), F.col("t.half")], message_id=F.col("e.uuid"), role=F.col("t.role"), model=F.col("e.display_model"), ts=T.parse_iso(F.col("t.at")), texte=F.col("t.said"), sources=F.col("t.sources"))
+    """Entries, each a question with its attached files and an answer, with what its blocks show. Files of the thread that a later entry only lists aren't attached to it; an answer that used tools and nothing else is left out."""
+    rows = _read(payloads, PERPLEXITY).select("conversation_id", F.posexplode("p.entries").alias("at", "e")).where("e IS NOT NULL")
+    some = lambda c, kind: F.coalesce(c, F.expr(f"CAST(array() AS {kind})"))
+    every = lambda c, kind, f: F.flatten(F.transform(c, lambda x: some(f(x), kind)))
+    blocks = F.filter(F.coalesce("e.blocks", F.expr("CAST(array() AS " + PERPLEXITY.split("blocks:", 1)[1][:-2] + ")")), lambda b: b.isNotNull())
+    steps_kind = PERPLEXITY.split("workflow_block:struct<steps:", 1)[1].split(">,unified_assets_block", 1)[0]
+    rows = rows.select("conversation_id", "at", "e", blocks.alias("b"), every(blocks, steps_kind, lambda b: b["workflow_block"]["steps"]).alias("steps"))
+    items_kind = steps_kind.split("items:", 1)[1][:-2]
+    shown = lambda b: F.concat(*(some(b[k][f], _MEDIA) for k in ("media_block", "image_mode_block", "video_mode_block") for f in ("media_items", "generated_media_items")), some(b["inline_entity_block"]["media_block"]["media_items"], _MEDIA))
+    context = every(F.filter(every(F.col("steps"), items_kind, lambda s: s["items"]), lambda i: i["type"] == STEP_SOURCES), _FOUND, lambda i: i["payload"]["sources_payload"]["sources"])
+    asset_kind = PERPLEXITY.split("assets:", 1)[1].split(">,media_block", 1)[0]
+    video = lambda m: F.coalesce(m["medium"], F.lit("image")) == "video"
+    media = F.transform(every(F.col("b"), _MEDIA, shown), lambda m: F.struct(video(m).alias("video"), F.when(video(m), _first_of(m["url"])).otherwise(_first_of(m["image"], m["original_image_url"], m["thumbnail"])).alias("url"), _first_of(m["name"], m["caption"]).alias("name")))
+    rows = rows.select(
+        "conversation_id", "at", "e", "b", "steps", every(F.col("b"), _FOUND, lambda b: F.concat(some(b["web_result_block"]["web_results"], _FOUND), some(b["sources_mode_block"]["web_results"], _FOUND))).alias("own"), context.alias("context"),
+        F.filter(every(F.col("b"), asset_kind, lambda b: b["unified_assets_block"]["assets"]), lambda a: a.isNotNull()).alias("assets"), F.filter(media, lambda m: m["url"].rlike("^https?://")).alias("media"),
+    )
+    key = lambda r: _first_of(r["url"], r["name"])
+    rows = rows.withColumn("own", first_by(F.col("own"), key)).withColumn("found", F.concat("own", first_by(F.col("context"), key))).withColumn("found", first_by(F.col("found"), key)).withColumn("media", first_by(F.col("media"), lambda m: m["url"]))
+    attached = lambda r: F.coalesce(r["is_attachment"], F.lit(False))
+    name = lambda r: F.coalesce(F.nullif(T.strip(r["name"]), F.lit("")), F.lit("fichier"))
+    picture = lambda r: F.coalesce(r["is_image"], F.lit(False)) | name(r).rlike(IMAGE_NAME) | F.split(T.strip(r["url"]), r"\?", 2)[0].rlike(IMAGE_NAME)
+    file = lambda r: F.when(T.strip(F.coalesce(r["url"], F.lit(""))) == "", name(r)).otherwise(F.concat(F.when(picture(r), "![").otherwise("["), name(r), F.lit("]("), T.strip(r["url"]), F.lit(")")))
+    files = F.array_join(_each(F.filter("own", attached), file), "\n\n")
+    kind = lambda a: F.coalesce(a["asset_type"], F.lit(""))
+    made = F.transform(F.filter("assets", lambda a: kind(a).contains("IMAGE") & _first_of(a["image"]["url"], a["url"]).rlike("^https?://")), lambda a: F.concat(F.lit("!["), F.coalesce(F.nullif(_first_of(a["image"]["name"], a["name"]), F.lit("")), F.lit("image")), F.lit("]("), _first_of(a["image"]["url"], a["url"]), F.lit(")")))
+    media = lambda moving: F.transform(F.filter("media", lambda m: m["video"] == moving), lambda m: F.concat(F.lit("[" if moving else "!["), F.coalesce(F.nullif(m["name"], F.lit("")), m["url"] if moving else F.lit("image")), F.lit("]("), m["url"], F.lit(")")))
+    images = F.array_join(_distinct(F.concat(made, media(False), media(True))), "\n\n")
+    pages = F.filter("found", lambda r: ~attached(r))
+    sources = F.slice(_distinct(F.transform(F.filter(pages, lambda r: T.strip(r["url"]).rlike("^https?://")), lambda r: T.source_entry(T.strip(r["name"]), T.strip(r["url"])))), 1, MOST_SOURCES)
+    searched = F.coalesce(F.exists(some(F.col("e.sources.sources"), "array<string>"), lambda s: F.lower(s) == "web"), F.lit(False)) | (F.size(pages) > 0)
+    tools = _distinct(F.concat(F.array(F.when(searched, "Recherche")), F.transform("assets", lambda a: F.when(kind(a) == "CODE_ASSET", "Code").when(kind(a).contains("IMAGE"), "Génération d'image"))))
+    both = lambda *cols: T.strip(F.concat_ws("\n\n", *(F.nullif(c, F.lit("")) for c in cols)))
+    none = F.expr(_NONE)
+    half = lambda k, role, said, when, reasoning, tools, src, art: F.struct(F.lit(k).alias("half"), F.lit(role).alias("role"), said.alias("said"), when.alias("at"), reasoning.alias("reasoning"), tools.alias("tools"), src.alias("sources"), art.alias("artifacts"))
+    rows = rows.withColumns({
+        "asked": both(T.math(T.strip(F.coalesce("e.query_str", F.lit("")))), files), "answer": both(T.math(assembled_answer(F.col("b"))), images), "reasoning": F.array_join(_each(F.col("steps"), lambda s: T.strip(s["title"])), "\n\n"),
+        "artifacts": _each(F.col("assets"), lambda a: _first_of(a["code_file"]["filename"], a["code_file"]["name"])), "sources": sources, "tools": tools,
+    })
+    halves = F.array(half(0, "user", F.col("asked"), F.col("e.entry_created_datetime"), F.lit(""), none, none, none), half(1, "assistant", F.col("answer"), F.col("e.entry_updated_datetime"), F.col("reasoning"), F.col("tools"), F.col("sources"), F.col("artifacts")))
+    turns = rows.select("conversation_id", "at", F.col("e.uuid").alias("uuid"), F.nullif(_first_of(F.col("e.display_model"), F.col("e.user_selected_model")), F.lit("")).alias("model"), F.explode(halves).alias("t"))
+    turns = turns.where("t.said <> '' OR t.reasoning <> '' OR size(t.sources) > 0 OR size(t.artifacts) > 0")
+    return finish(turns, [F.col("at"), F.col("t.half")], keep_empty=True, message_id=F.coalesce("uuid", F.lit("")), role=F.col("t.role"), model=F.col("model"), ts=T.parse_iso(F.col("t.at")), texte=F.col("t.said"), reasoning=F.col("t.reasoning"), tools=F.col("t.tools"), sources=F.col("t.sources"), artifacts=F.col("t.artifacts"))
 
 
 MISTRAL = "messages struct<items:array<struct<id:string,version:int,parentId:string,parentVersion:int,role:string,createdAt:string,contentChunks:array<struct<type:string,text:string>>,files:array<struct<name:string,url:string>>>>>, chat struct<id:string,model:string>"
@@ -225,37 +385,11 @@ def valid_variants(variants: Column) -> Column:
     return F.coalesce(F.forall(variants, lambda v: F.coalesce(v["kind"].isin(*KINDS), F.lit(False)) & v["texte"].isNotNull()), F.lit(True))
 
 
-def _texts(node) -> list[str]:
-    """Strings of a nested list, in order."""
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif isinstance(x, list):
-            todo.extend(reversed(x))
-    return out
-
-
 def gemini(payloads: DataFrame) -> DataFrame:
-    """Turns of positional lists, [question, answer]: the first text of each half, so the payload is walked by a vectorised function."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for cid, said in zip(frame["conversation_id"], frame["payload"], strict=True):
-                try:
-                    turns = json.loads(said).get("turns") or []
-                except (TypeError, ValueError, AttributeError):
-                    continue
-                for k, turn in enumerate(t for t in turns if isinstance(t, list)):
-                    for half, node in enumerate(turn[:2]):
-                        found = _texts(node)
-                        rows.append((cid, 2 * k + half, ("user", "assistant")[half], found[0] if found else ""))
-            yield pd.DataFrame(rows, columns=["conversation_id", "at", "role", "said"])
-
-    rows = payloads.select("conversation_id", "payload").mapInPandas(run, "conversation_id string, at long, role string, said string")
-    return finish(rows, [F.col("at")], message_id=F.lit(""), role=F.col("role"), ts=F.lit(None).cast("timestamp"), texte=T.math(T.strip(F.col("said"))))
+    """Turns of untyped nested lists: questions with their files, answers with what their marks stand for. An answer without anything stays, so that two questions don't become one."""
+    rows = positional.messages(payloads)
+    said = {c: F.col(c) for c in ("message_id", "role", "model", "ts", "tools", "sources", "artifacts")}
+    return finish(rows, [F.col("at"), F.col("half")], keep_empty=True, texte=F.col("texte"), **said)
 
 
 MAPPERS = {"chatgpt": chatgpt, "claude": claude, "gemini": gemini, "grok": grok, "mistral": mistral, "perplexity": perplexity}

@@ -6,6 +6,7 @@ have SQL of their own.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -386,9 +387,27 @@ def _payloads(m: DataFrame, platform: str) -> DataFrame:
         "grok": lambda: F.struct(each(lambda x: F.struct(x["message_id"].alias("responseId"), F.when(x["role"] == "user", "human").otherwise("assistant").alias("sender"), x["texte"].alias("message"), iso(x).alias("createTime"), x["model"].alias("model"))).alias("responses")),
         "perplexity": lambda: F.struct(each(lambda x: F.struct(x["message_id"].alias("uuid"), x["texte"].alias("query_str"), iso(x).alias("entry_created_datetime"), F.array(F.struct(F.lit("ask_text").alias("intended_usage"), F.struct(F.concat(F.lit("re "), x["texte"]).alias("answer")).alias("markdown_block"))).alias("blocks"))).alias("entries")),
         "mistral": lambda: F.struct(F.struct(F.transform("a", lambda x, i: F.struct(x["message_id"].alias("id"), F.lit(0).alias("version"), F.when(i > 0, F.get(F.col("a"), i - 1)["message_id"]).alias("parentId"), x["role"].alias("role"), iso(x).alias("createdAt"), F.array(F.struct(F.lit("text").alias("type"), x["texte"].alias("text"))).alias("contentChunks"))).alias("items")).alias("messages")),
-        "gemini": lambda: F.struct(each(lambda x: F.array(F.array(x["texte"]), F.array(F.concat(F.lit("re "), x["texte"])))).alias("turns")),
     }
-    return own.select("conversation_id", F.to_json(made[platform]()).alias("payload"))
+    return own.select("conversation_id", (_positional(F.col("a")) if platform == "gemini" else F.to_json(made[platform]())).alias("payload"))
+
+
+#: A turn of lists: the question has an image, or a video at odd places; the answer cites a file, holds a file's tag and a made image's address, and has two steps.
+_TURN = """[["c", "r_%(id)s"], ["c", "r_2", "rc_%(id)s"], [%(text)s, null, null, null, [[null, null, null, [%(file)s], [[null, 1, "other.png", null]]]]],
+ [[["rc_%(id)s", [%(answer)s], null, [2], "fr", [{"9": 1, "44": [[["[cite: 5]", 0], [[null, [[null, 0, "donnees.json", null, "application/json"]]]]]]}, {"44": [], "59": [[["[file-tag: f1]"], [[null, 2, "out[1].csv", null, null, "text/csv", null, ["https://contribution.usercontent.google.com/download?c=%(id)s"]]]]]}],
+   [7, [["http://googleusercontent.com/image_generation_content/1"], [[null, 1, "made.png", "https://lh3.googleusercontent.com/gg/a-long-name-that-no-kind-of-file-has-%(id)s", "image/png"]]]]]], null, null, "x", [[1, ["google", ["Search"]]], [2, ["data_analysis_tool", ["%(label)s"]]]], null, "gemini-test"], [%(epoch)s, 500000000]]"""
+_IMAGE = '[null, 1, "image.png", "https://lh3.googleusercontent.com/gg/a-long-name-that-no-kind-of-file-has-in", null, null, null, null, null, null, null, "image/png"]'
+_VIDEO = '[null, 3, "video.mp4", null, null, "video/mp4", null, ["https://lh3.googleusercontent.com/gg/v", "https://contribution.usercontent.google.com/download?v"]]'
+_MARKS = "* un[cite: 5]\n[file-tag: f1]\nhttp://googleusercontent.com/image_generation_content/1\n\n```python?code_reference\nx\n\n```\nre "
+
+
+def _positional(messages):
+    """Payload of nested lists, as text, since no column type has them."""
+    said = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    odd = lambda x: x["pos"] % 2 == 1
+    by = {"id": lambda x: x["message_id"], "text": lambda x: said(x["texte"]), "answer": lambda x: said(F.concat(F.lit(_MARKS), x["texte"])), "file": lambda x: F.when(odd(x), _VIDEO).otherwise(_IMAGE), "label": lambda x: F.when(odd(x), "Imagen").otherwise("Code"), "epoch": lambda x: F.unix_timestamp(x["ts"]).cast("string")}
+    parts = re.split(r"%\((\w+)\)s", _TURN)
+    turn = lambda x: F.concat(*(by[p](x) if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+    return F.concat(F.lit('{"turns": [null, 3, '), F.array_join(F.transform(messages, turn), ", "), F.lit("]}"))
 
 
 _LINE = r"regexp_replace(texte, '^\s+|\s+$', '', 'g')"
@@ -397,7 +416,16 @@ for _name, _platform, _role in (("m1", "chatgpt", None), ("m2", "claude", "CASE
     _query(f"{_name}_{_platform}", "messages", _ALL.format(role=_role or "role", text=_LINE, p=_platform) + (" AND role <> 'system'" if _platform == "chatgpt" else ""))(
         lambda m, p=_platform: parsers.MAPPERS[p](_payloads(m, p)).select("conversation_id", "pos", "message_id", "role", F.md5("texte").alias("texte"))
     )
-for _name, _platform in (("m3", "gemini"), ("m6", "perplexity")):
+_NL = "chr(10)"
+_query("m3_gemini", "messages", f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1 AS k, {_LINE} AS said FROM messages WHERE platform = 'gemini')
+    SELECT conversation_id, CAST(2 * k AS INTEGER) + h AS pos, CASE h WHEN 0 THEN 'user' ELSE 'assistant' END AS role, CASE h WHEN 0 THEN 'r_' ELSE 'rc_' END || message_id AS message_id, CASE h WHEN 1 THEN 'gemini-test' END AS model, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts,
+           md5(CASE h WHEN 0 THEN said || {_NL} || {_NL} || CASE WHEN pos % 2 = 0 THEN '![image.png](https://lh3.googleusercontent.com/gg/a-long-name-that-no-kind-of-file-has-in)' ELSE '![video.mp4](https://lh3.googleusercontent.com/gg/v)' || {_NL} || {_NL} || '[video.mp4](https://contribution.usercontent.google.com/download?v)' END
+               ELSE '- un' || {_NL} || '[out\\[1\\].csv](https://contribution.usercontent.google.com/download?c=' || message_id || ')' || {_NL} || '![made.png](https://lh3.googleusercontent.com/gg/a-long-name-that-no-kind-of-file-has-' || message_id || ')' || {_NL} || {_NL} || '```python' || {_NL} || 'x' || {_NL} || '```' || {_NL} || 're ' || regexp_replace(texte, '\\s+$', '') END) AS texte,
+           CASE h WHEN 0 THEN '' ELSE 'Recherche web|' || CASE WHEN pos % 2 = 0 THEN 'Exécution de code' ELSE 'Génération d''images|Analyse vidéo' END END AS tools, CASE h WHEN 0 THEN '' ELSE 'JSON: donnees.json' END AS sources
+    FROM t CROSS JOIN (SELECT 0 AS h UNION ALL SELECT 1) x""")(
+    lambda m: parsers.gemini(_payloads(m, "gemini")).select("conversation_id", "pos", "role", "message_id", "model", T.iso_z(F.col("ts")).alias("ts"), F.md5("texte").alias("texte"), *(F.array_join(c, "|").alias(c) for c in ("tools", "sources")))
+)
+for _name, _platform in (("m6", "perplexity"),):
     _query(f"{_name}_{_platform}", "messages", f"SELECT conversation_id, CAST(2 * (row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1) AS INTEGER) + h AS pos, CASE h WHEN 0 THEN 'user' ELSE 'assistant' END AS role, md5(CASE h WHEN 0 THEN {_LINE} ELSE 're ' || regexp_replace(texte, '\\s+$', '') END) AS texte FROM messages CROSS JOIN (SELECT 0 AS h UNION ALL SELECT 1) t WHERE platform = '{_platform}'".replace("PARTITION BY conversation_id", "PARTITION BY conversation_id, h"))(
         lambda m, p=_platform: parsers.MAPPERS[p](_payloads(m, p)).select("conversation_id", "pos", "role", F.md5("texte").alias("texte"))
     )
