@@ -374,6 +374,36 @@ _query("t6_random", "conv", None)(lambda c: search.random_conversations(c, 8, 42
 
 
 # Payloads, pages, calibration and indexing; their inputs are made from the bound tables.
+def _flat(x, kind: str):
+    """A message of a flat list: a thought, a tool's image, an answer with a mark that a reference fills, or a question with an image and a transcript."""
+    part = lambda kind, **more: F.parse_json(F.to_json(F.struct(F.lit(kind).alias("content_type"), *(v.alias(k) for k, v in more.items()))))
+    image = lambda sign: part(parsers.CHATGPT_IMAGE, asset_pointer=F.concat(F.lit(f"sediment://{sign}-"), x["message_id"]))
+    parts = {
+        "thoughts": F.array().cast("array<variant>"), "tool": F.array(image("g")), "text": F.array(F.concat(x["texte"], F.lit(" <MARK>")).cast("variant")),
+        "multimodal_text": F.array(x["texte"].cast("variant"), image("f"), part("audio_transcription", text=F.lit(" heard "))),
+    }[kind]
+    references = F.array(*(F.struct(F.lit(t).alias("type"), F.lit("T").alias("title"), F.concat(F.lit("https://s/"), x["message_id"]).alias("url"), F.lit("<MARK>").alias("matched_text"), F.concat(F.lit("![a](https://i/"), x["message_id"], F.lit(")")).alias("alt")) for t in ("image_group", "url")))
+    return F.struct(
+        x["message_id"].alias("id"), F.struct((F.lit("tool") if kind == "tool" else x["role"]).alias("role")).alias("author"), F.unix_timestamp(x["ts"]).cast("double").alias("create_time"),
+        F.struct(F.lit("multimodal_text" if kind == "tool" else kind).alias("content_type"), parts.alias("parts"), F.array(F.struct(F.lit("Look").alias("summary"), F.lit(" why ").alias("content"))).alias("thoughts")).alias("content"),
+        F.struct(x["model"].alias("model_slug"), F.lit("G").alias("image_gen_title"), F.array(F.struct(F.concat(F.lit("f-"), x["message_id"]).alias("id"), F.lit("p.png").alias("name"))).alias("attachments"), references.alias("content_references")).alias("metadata"),
+    )
+
+
+#: Blocks of an entry besides its text: results with an attached file, a step, an asset and a picture.
+_BLOCKS = """[{"web_result_block": {"web_results": [{"name": "A", "url": "https://a/ID"}, {"name": "n.txt", "url": "https://n/ID?x", "is_attachment": true}]}},
+ {"sources_mode_block": {"web_results": [{"name": "again", "url": "https://a/ID"}]}}, {"workflow_block": {"steps": [{"title": "Step", "items": [{"type": "WORKFLOW_ITEM_SOURCES", "payload": {"sources_payload": {"sources": [{"url": "https://b/ID"}]}}}]}]}},
+ {"unified_assets_block": {"assets": [{"asset_type": "CODE_ASSET", "code_file": {"filename": "ID.py"}}]}}, {"media_block": {"media_items": [{"medium": "image", "image": "https://p/ID", "name": "P"}, {"medium": "video", "url": "https://v/ID"}]}}]"""
+
+
+def _segments(x):
+    """The answer of an entry: a whole block after a stale segment at even places, else segments out of order, one of them in chunks."""
+    block = lambda usage, answer, chunks, offset: F.parse_json(F.to_json(F.struct(F.lit(usage).alias("intended_usage"), F.struct(answer.alias("answer"), chunks.alias("chunks"), F.lit(offset).alias("chunk_starting_offset")).alias("markdown_block"))))
+    none, said = F.array().cast("array<string>"), F.concat(F.lit("re "), x["texte"])
+    whole = F.array(block("ask_text_0_markdown", F.lit("stale"), none, 0), block("ask_text", said, none, 0))
+    return F.when(x["pos"] % 2 == 0, whole).otherwise(F.array(block("ask_text_10_markdown", said, none, 5), block("ask_text_2_markdown", F.lit(""), F.array(F.lit("one "), F.lit("two")), 5), block("ask_text", F.lit(" "), none, 0)))
+
+
 def _payloads(m: DataFrame, platform: str) -> DataFrame:
     own = m.where(F.col("platform") == platform).groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("pos", "message_id", "role", "texte", "model", "ts"))).alias("a"))
     iso = lambda x: T.iso_z(x["ts"])
@@ -383,9 +413,9 @@ def _payloads(m: DataFrame, platform: str) -> DataFrame:
             F.get(F.col("a"), F.size("a") - 1)["message_id"].alias("current_leaf_message_uuid"),
             F.transform("a", lambda x, i: F.struct(x["message_id"].alias("uuid"), F.when(i > 0, F.get(F.col("a"), i - 1)["message_id"]).alias("parent_message_uuid"), F.when(x["role"] == "assistant", "assistant").otherwise("human").alias("sender"), i.alias("index"), iso(x).alias("created_at"), F.array(F.struct(F.lit("text").alias("type"), x["texte"].alias("text"))).alias("content"))).alias("chat_messages"),
         ),
-        "chatgpt": lambda: F.struct(each(lambda x: F.struct(x["message_id"].alias("id"), F.struct(x["role"].alias("role")).alias("author"), F.struct(F.lit("text").alias("content_type"), F.array(x["texte"]).alias("parts")).alias("content"), F.unix_timestamp(x["ts"]).cast("double").alias("create_time"), F.struct(x["model"].alias("model_slug")).alias("metadata"))).alias("messages")),
+        "chatgpt": lambda: F.struct(F.flatten(F.transform("a", lambda x: F.when(x["role"] == "assistant", F.array(_flat(x, "thoughts"), _flat(x, "tool"), _flat(x, "text"))).otherwise(F.array(_flat(x, "multimodal_text"))))).alias("messages")),
         "grok": lambda: F.struct(each(lambda x: F.struct(x["message_id"].alias("responseId"), F.when(x["role"] == "user", "human").otherwise("assistant").alias("sender"), x["texte"].alias("message"), iso(x).alias("createTime"), x["model"].alias("model"))).alias("responses")),
-        "perplexity": lambda: F.struct(each(lambda x: F.struct(x["message_id"].alias("uuid"), x["texte"].alias("query_str"), iso(x).alias("entry_created_datetime"), F.array(F.struct(F.lit("ask_text").alias("intended_usage"), F.struct(F.concat(F.lit("re "), x["texte"]).alias("answer")).alias("markdown_block"))).alias("blocks"))).alias("entries")),
+        "perplexity": lambda: F.struct(each(lambda x: F.struct(x["message_id"].alias("uuid"), x["texte"].alias("query_str"), F.lit("turbo").alias("display_model"), iso(x).alias("entry_created_datetime"), F.concat(_segments(x), F.from_json(F.replace(F.lit(_BLOCKS), F.lit("ID"), x["message_id"]), "array<variant>")).alias("blocks"))).alias("entries")),
         "mistral": lambda: F.struct(F.struct(F.transform("a", lambda x, i: F.struct(x["message_id"].alias("id"), F.lit(0).alias("version"), F.when(i > 0, F.get(F.col("a"), i - 1)["message_id"]).alias("parentId"), x["role"].alias("role"), iso(x).alias("createdAt"), F.array(F.struct(F.lit("text").alias("type"), x["texte"].alias("text"))).alias("contentChunks"))).alias("items")).alias("messages")),
     }
     return own.select("conversation_id", (_positional(F.col("a")) if platform == "gemini" else F.to_json(made[platform]())).alias("payload"))
@@ -412,8 +442,8 @@ def _positional(messages):
 
 _LINE = r"regexp_replace(texte, '^\s+|\s+$', '', 'g')"
 _ALL = "SELECT conversation_id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1 AS INTEGER) AS pos, message_id, {role} AS role, md5({text}) AS texte FROM messages WHERE platform = '{p}'"
-for _name, _platform, _role in (("m1", "chatgpt", None), ("m2", "claude", "CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END"), ("m4", "grok", "CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END"), ("m5", "mistral", "role")):
-    _query(f"{_name}_{_platform}", "messages", _ALL.format(role=_role or "role", text=_LINE, p=_platform) + (" AND role <> 'system'" if _platform == "chatgpt" else ""))(
+for _name, _platform, _role in (("m2", "claude", "CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END"), ("m4", "grok", "CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END"), ("m5", "mistral", "role")):
+    _query(f"{_name}_{_platform}", "messages", _ALL.format(role=_role or "role", text=_LINE, p=_platform) )(
         lambda m, p=_platform: parsers.MAPPERS[p](_payloads(m, p)).select("conversation_id", "pos", "message_id", "role", F.md5("texte").alias("texte"))
     )
 _NL = "chr(10)"
@@ -425,10 +455,19 @@ _query("m3_gemini", "messages", f"""WITH t AS (SELECT *, row_number() OVER (PART
     FROM t CROSS JOIN (SELECT 0 AS h UNION ALL SELECT 1) x""")(
     lambda m: parsers.gemini(_payloads(m, "gemini")).select("conversation_id", "pos", "role", "message_id", "model", T.iso_z(F.col("ts")).alias("ts"), F.md5("texte").alias("texte"), *(F.array_join(c, "|").alias(c) for c in ("tools", "sources")))
 )
-for _name, _platform in (("m6", "perplexity"),):
-    _query(f"{_name}_{_platform}", "messages", f"SELECT conversation_id, CAST(2 * (row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1) AS INTEGER) + h AS pos, CASE h WHEN 0 THEN 'user' ELSE 'assistant' END AS role, md5(CASE h WHEN 0 THEN {_LINE} ELSE 're ' || regexp_replace(texte, '\\s+$', '') END) AS texte FROM messages CROSS JOIN (SELECT 0 AS h UNION ALL SELECT 1) t WHERE platform = '{_platform}'".replace("PARTITION BY conversation_id", "PARTITION BY conversation_id, h"))(
-        lambda m, p=_platform: parsers.MAPPERS[p](_payloads(m, p)).select("conversation_id", "pos", "role", F.md5("texte").alias("texte"))
-    )
+_GOT = (F.md5("texte").alias("texte"), "reasoning", *(F.array_join(c, "|").alias(c) for c in ("tools", "sources", "artifacts")))
+_HEAD = r"regexp_replace(texte, '^\s+', '')"
+_query("m1_chatgpt", "messages", f"""SELECT conversation_id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1 AS INTEGER) AS pos, message_id, role, CASE role WHEN 'assistant' THEN 'why' ELSE '' END AS reasoning, CASE role WHEN 'assistant' THEN 'Look' ELSE '' END AS tools, CASE role WHEN 'assistant' THEN 'T — https://s/' || message_id ELSE '' END AS sources, '' AS artifacts,
+    md5(CASE role WHEN 'assistant' THEN {_HEAD} || ' ![a](https://i/' || message_id || ')' || {_NL} || {_NL} || '![Generated image: G](https://chatgpt.com/backend-api/files/g-' || message_id || '/download)'
+        ELSE {_HEAD} || {_NL} || 'heard' || {_NL} || {_NL} || '![p.png](https://chatgpt.com/backend-api/files/f-' || message_id || '/download)' || {_NL} || {_NL} || '![a](https://i/' || message_id || ')' END) AS texte FROM messages WHERE platform = 'chatgpt' AND role <> 'system'""")(
+    lambda m: parsers.chatgpt(_payloads(m, "chatgpt")).select("conversation_id", "pos", "message_id", "role", *_GOT)
+)
+_query("m6_perplexity", "messages", f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1 AS k FROM messages WHERE platform = 'perplexity')
+    SELECT conversation_id, CAST(2 * k AS INTEGER) + h AS pos, CASE h WHEN 0 THEN 'user' ELSE 'assistant' END AS role, CASE h WHEN 0 THEN '' ELSE 'Step' END AS reasoning, CASE h WHEN 0 THEN '' ELSE 'Recherche|Code' END AS tools, CASE h WHEN 0 THEN '' ELSE 'A — https://a/' || message_id || '|https://b/' || message_id END AS sources, CASE h WHEN 0 THEN '' ELSE message_id || '.py' END AS artifacts,
+           md5(CASE h WHEN 0 THEN {_LINE} || {_NL} || {_NL} || '[n.txt](https://n/' || message_id || '?x)' ELSE CASE WHEN pos % 2 = 1 THEN 'one two' || {_NL} ELSE '' END || 're ' || texte || {_NL} || {_NL} || '![P](https://p/' || message_id || ')' || {_NL} || {_NL} || '[https://v/' || message_id || '](https://v/' || message_id || ')' END) AS texte
+    FROM t CROSS JOIN (SELECT 0 AS h UNION ALL SELECT 1) x""")(
+    lambda m: parsers.perplexity(_payloads(m, "perplexity")).select("conversation_id", "pos", "role", *_GOT)
+)
 _query("html_to_markdown", "pages", None)(lambda p: parsers.html_to_markdown(p))
 _query("a22_page_links", "pages", None)(lambda p: parsers.page_links(p, "^https?://|^/"))
 _query("a16_canonical_url", "pages", "SELECT page_id, url AS canonical FROM pages")(lambda p: p.select("page_id", T.canonical_url(F.concat(F.lit("<LINK href='"), F.col("url"), F.lit("' rel=\"canonical\">"), F.col("html"))).alias("canonical")))
