@@ -428,7 +428,7 @@ class Markdown(HTMLParser):
             self.put("\n\n---\n\n")
         elif tag == "pre":
             self.fence += 1
-            self.put("\n\n```\n")
+            self.put(f"\n\n```{at.get('data-language') or ''}\n")
         elif tag == "code" and not self.fence:
             self.put("`")
         elif tag in EMPHASIS and not self.fence:
@@ -438,7 +438,7 @@ class Markdown(HTMLParser):
             self.lists.append([tag, int(start) if start.lstrip("-").isdigit() else 1])
         elif tag == "li":
             kind = self.lists[-1] if self.lists else ["ul", 1]
-            self.put("\n" + "  " * max(0, len(self.lists) - 1) + (f"{kind[1]}. " if kind[0] == "ol" else "- "))
+            self.put("\n" + "  " * max(0, len(self.lists) - 1) + (at.get("data-mark") or (f"{kind[1]}. " if kind[0] == "ol" else "- ")))
             kind[1] += 1
         elif tag == "a":
             href = at.get("href") or ""
@@ -494,6 +494,11 @@ class Markdown(HTMLParser):
         elif tag in BLOCKS and tag != "li":
             self.put("\n\n")
 
+    def raw(self, markdown: str) -> None:
+        """Markdown as it is."""
+        if not self.skip:
+            self.put(markdown)
+
     def handle_data(self, data):
         if self.in_title:
             self.title += data

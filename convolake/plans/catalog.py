@@ -455,18 +455,18 @@ _query("m3_gemini", "messages", f"""WITH t AS (SELECT *, row_number() OVER (PART
     FROM t CROSS JOIN (SELECT 0 AS h UNION ALL SELECT 1) x""")(
     lambda m: parsers.gemini(_payloads(m, "gemini")).select("conversation_id", "pos", "role", "message_id", "model", T.iso_z(F.col("ts")).alias("ts"), F.md5("texte").alias("texte"), *(F.array_join(c, "|").alias(c) for c in ("tools", "sources")))
 )
-_GOT = (F.md5("texte").alias("texte"), "reasoning", *(F.array_join(c, "|").alias(c) for c in ("tools", "sources", "artifacts")))
+_got = lambda: (F.md5("texte").alias("texte"), "reasoning", *(F.array_join(c, "|").alias(c) for c in ("tools", "sources", "artifacts")))
 _HEAD = r"regexp_replace(texte, '^\s+', '')"
 _query("m1_chatgpt", "messages", f"""SELECT conversation_id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1 AS INTEGER) AS pos, message_id, role, CASE role WHEN 'assistant' THEN 'why' ELSE '' END AS reasoning, CASE role WHEN 'assistant' THEN 'Look' ELSE '' END AS tools, CASE role WHEN 'assistant' THEN 'T — https://s/' || message_id ELSE '' END AS sources, '' AS artifacts,
     md5(CASE role WHEN 'assistant' THEN {_HEAD} || ' ![a](https://i/' || message_id || ')' || {_NL} || {_NL} || '![Generated image: G](https://chatgpt.com/backend-api/files/g-' || message_id || '/download)'
         ELSE {_HEAD} || {_NL} || 'heard' || {_NL} || {_NL} || '![p.png](https://chatgpt.com/backend-api/files/f-' || message_id || '/download)' || {_NL} || {_NL} || '![a](https://i/' || message_id || ')' END) AS texte FROM messages WHERE platform = 'chatgpt' AND role <> 'system'""")(
-    lambda m: parsers.chatgpt(_payloads(m, "chatgpt")).select("conversation_id", "pos", "message_id", "role", *_GOT)
+    lambda m: parsers.chatgpt(_payloads(m, "chatgpt")).select("conversation_id", "pos", "message_id", "role", *_got())
 )
 _query("m6_perplexity", "messages", f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1 AS k FROM messages WHERE platform = 'perplexity')
     SELECT conversation_id, CAST(2 * k AS INTEGER) + h AS pos, CASE h WHEN 0 THEN 'user' ELSE 'assistant' END AS role, CASE h WHEN 0 THEN '' ELSE 'Step' END AS reasoning, CASE h WHEN 0 THEN '' ELSE 'Recherche|Code' END AS tools, CASE h WHEN 0 THEN '' ELSE 'A — https://a/' || message_id || '|https://b/' || message_id END AS sources, CASE h WHEN 0 THEN '' ELSE message_id || '.py' END AS artifacts,
            md5(CASE h WHEN 0 THEN {_LINE} || {_NL} || {_NL} || '[n.txt](https://n/' || message_id || '?x)' ELSE CASE WHEN pos % 2 = 1 THEN 'one two' || {_NL} ELSE '' END || 're ' || texte || {_NL} || {_NL} || '![P](https://p/' || message_id || ')' || {_NL} || {_NL} || '[https://v/' || message_id || '](https://v/' || message_id || ')' END) AS texte
     FROM t CROSS JOIN (SELECT 0 AS h UNION ALL SELECT 1) x""")(
-    lambda m: parsers.perplexity(_payloads(m, "perplexity")).select("conversation_id", "pos", "role", *_GOT)
+    lambda m: parsers.perplexity(_payloads(m, "perplexity")).select("conversation_id", "pos", "role", *_got())
 )
 _query("html_to_markdown", "pages", None)(lambda p: parsers.html_to_markdown(p))
 _query("a22_page_links", "pages", None)(lambda p: parsers.page_links(p, "^https?://|^/"))
