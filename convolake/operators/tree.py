@@ -49,7 +49,10 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.now.below.append(data)
+        below = self.now.below
+        if below and isinstance(below[-1], str):  # an end tag that was passed over parted them
+            data = below.pop() + data
+        below.append(data)
 
 
 def parse(html: str | None) -> Node:

@@ -557,6 +557,36 @@ _text("c33_normalise_markdown", lambda: MD.normalise_markdown(F.concat(F.lit("*
 _text("j18_citations", lambda: MD.render_citations(F.concat(F.lit("a <grok:render card_id=\"k1\" x><argument name=\"citation_id\">7</argument></grok:render> <grok:render card_id=\"k2\"></grok:render> "), F.col("message_id")), F.create_map(F.lit("k1"), F.concat(F.lit("https://x/("), "message_id"))), "'a [7](https://x/(' || message_id || ') <grok:render card_id=\"k2\"></grok:render> ' || message_id")
 
 
+#: What answers of pages have beside their text, before and after it: a formula, code, citations, a step, an artifact, a file. ID stands for the message's.
+_BESIDE = {
+    "chatgpt": ('<article data-testid="conversation-turn-1"><button>Worked for 2s</button><div class="activity"><div class="activity-header"><span class="truncate">Step ID</span></div></div>',
+                '<span data-testid="webpage-citation-pill"><a href="https://p/ID"><span class="truncate">Site</span><span>+2</span></a></span><div id="textdoc-message-1"><b class="font-semibold">Doc ID</b><div contenteditable="true">canvas ID</div></div></article>'),
+    "gemini": ('<div class="conversation-container">', '<source-inline-chip><span class="source-title">Site</span><a href="https://p/ID">x</a></source-inline-chip><generated-image></generated-image></div>'),
+    "perplexity": ("<div>", '<div data-testid="sources"><a href="https://p/ID" title="Site">s</a></div></div>'),
+}
+_INSIDE = {
+    "chatgpt": '<p>so <span class="katex"><annotation encoding="application/x-tex">x_ID</annotation>x</span></p><pre><div class="font-sans"><div>C++</div></div><code>int ID;</code></pre>',
+    "gemini": '<p>so <span data-math="x_ID">x</span></p><code-block><div class="code-block-decoration">C++</div><pre><code>int ID;</code></pre></code-block>',
+    "perplexity": '<p>so <span data-math-source="x_ID">x</span></p><pre><figcaption><span>C++</span></figcaption><code>int ID;</code></pre>',
+}
+
+
+def _with_id(said: str):
+    return F.replace(F.lit(said), F.lit("ID"), F.col("message_id"))
+
+
+def _around(platform: str, made):
+    """An answer of a page with what is beside it and at the end of its text."""
+    if platform not in _BESIDE:
+        return made
+    end = {"chatgpt": "</div><button>Copy</button></div>", "gemini": "</div></message-content>", "perplexity": "</div>"}[platform]
+    inside = F.concat(F.regexp_replace(made, f"(?s){re.escape(end)}.*?$" if platform != "perplexity" else "</div>$", ""), _with_id(_INSIDE[platform]))
+    rest = {"chatgpt": end, "gemini": "</div></message-content><message-actions>Share</message-actions></model-response>", "perplexity": end}[platform]
+    before, after = map(_with_id, _BESIDE[platform])
+    whole = F.concat(inside, F.lit(rest))
+    return F.concat(before, F.regexp_replace(whole, "</model-response>$", ""), after) if platform != "gemini" else F.concat(before, F.regexp_replace(whole, "</model-response>$", ""), F.replace(after, F.lit("</div>"), F.lit("</model-response></div>")))
+
+
 def _page(m: DataFrame, platform: str) -> DataFrame:
     said = F.concat(F.lit("<p>"), *[F.replace(F.replace(F.replace(F.col("texte"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br>"))], F.lit("</p>"))
     user = F.col("role") != "assistant"
@@ -567,14 +597,20 @@ def _page(m: DataFrame, platform: str) -> DataFrame:
         "mistral": F.concat(F.lit('<div data-message-author-role="'), F.when(user, "user").otherwise("assistant"), F.lit('" data-message-id="'), "message_id", F.lit('"><div class="text-hint text-sm">hier 10:00</div>'), said, F.lit("</div>")),
         "perplexity": F.concat(F.when(user, '<div class="group/user-bubble">').otherwise('<div data-workflow-final-text="1"><span class="citation">a+1</span>'), said, F.lit("</div>")),
     }[platform]
+    made = F.when(user, made).otherwise(_around(platform, made))
     own = m.where(F.col("platform") == platform).groupBy("platform", "conversation_id").agg(F.sort_array(F.collect_list(F.struct("pos", made.alias("said")))).alias("a"))
     return own.select("platform", "conversation_id", F.concat(F.lit("<!DOCTYPE html><html><head><title>t</title></head><body><nav>menu</nav>"), F.array_join(F.transform("a", lambda x: x["said"]), "<hr>\n"), F.lit("</body>")).alias("html"))
 
 
+_FORMULA = " || ' so $x_' || message_id || '$ ```cpp int ' || message_id || '; ```'"
 for _platform in pages.PAGES:
-    _id, _why = "message_id" if _platform in ("chatgpt", "mistral") else "''", "if(role = 'assistant', 'why', '')" if _platform == "claude" else "''"
-    _query(f"m7_{_platform}_page", "messages", f"SELECT conversation_id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1 AS INTEGER) AS pos, if(role = 'assistant', 'assistant', 'user') AS role, {_id} AS message_id, md5({_PLAIN_DUCK}) AS texte, {_why} AS why FROM messages WHERE platform = '{_platform}'")(
-        lambda m, p=_platform: pages.read_pages(_page(m, p), p).select("conversation_id", "pos", "role", "message_id", F.md5(T.collapse(F.col("texte"))).alias("texte"), F.col("reasoning").alias("why"))
+    _id, _rich, _gpt = "message_id" if _platform in ("chatgpt", "mistral") else "''", _platform in _BESIDE, _platform == "chatgpt"
+    _answer = lambda c: f"if(role = 'assistant', {c}, '')"
+    _why = _answer("'why'") if _platform == "claude" else _answer("'Step ' || message_id") if _gpt else "''"
+    _said = f"{_PLAIN_DUCK}{_FORMULA}" + (" || ' canvas ' || message_id" if _gpt else "") if _rich else _PLAIN_DUCK
+    _query(f"m7_{_platform}_page", "messages", f"""SELECT conversation_id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1 AS INTEGER) AS pos, if(role = 'assistant', 'assistant', 'user') AS role, {_id} AS message_id, md5(if(role = 'assistant', {_said}, {_PLAIN_DUCK})) AS texte, {_why} AS why,
+        {_answer("'Step ' || message_id" if _gpt else "'Génération d''images'" if _platform == 'gemini' else "''")} AS tools, {_answer("'Site — https://p/' || message_id" if _rich else "''")} AS sources, {_answer("'Doc ' || message_id" if _gpt else "''")} AS artifacts FROM messages WHERE platform = '{_platform}'""")(
+        lambda m, p=_platform: pages.read_pages(_page(m, p), p).select("conversation_id", "pos", "role", "message_id", F.md5(T.collapse(F.col("texte"))).alias("texte"), F.col("reasoning").alias("why"), *(F.array_join(c, "|").alias(c) for c in ("tools", "sources", "artifacts")))
     )
 
 
