@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from convolake.functions import text as T
 from convolake.operators import archive
+from convolake.streaming.store import Log, Store
 
 KEYS = ["platform", "conversation_id"]
 
@@ -23,35 +24,26 @@ def merged_messages(old: DataFrame, new: DataFrame) -> DataFrame:
     return keep.unionByName(come)
 
 
-#: Parts of an archive that grows by batches; a batch writes only those that it touches.
-BUCKETS = 64
-
-
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).cast("int")
+def archive_store(spark: SparkSession, path: str, **settings) -> Store:
+    """The table that follow_archive() writes."""
+    return Store(f"{path}/messages", Log(spark, f"{path}/log"), **settings)
 
 
 def read_archive(spark: SparkSession, path: str, schema: StructType | None = None, before: int | None = None) -> DataFrame:
-    """The archive that follow_archive() has written: of each bucket the last version (before a batch); empty if there is none yet and a schema is given."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if schema is not None and not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.parquet(path)
-    rows = rows if before is None else rows.where(F.col("version") < before)
-    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # partition columns only; at most a row for each bucket
-    return rows.join(F.broadcast(last), ["bucket", "version"]).drop("bucket", "version")
+    """The archive that follow_archive() has written (before a batch); empty if there is none yet and a schema is given."""
+    rows = archive_store(spark, path).read(before)
+    if rows is None and schema is None:
+        raise ValueError(f"no archive at {path}")
+    return spark.createDataFrame([], schema) if rows is None else rows
 
 
-def follow_archive(readings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merges each micro-batch of messages into the table at path, in buckets of conversations: only buckets that the batch touches are read and written, as a new version of each. A batch that is run again writes its versions again from those before it."""
-    schema = readings.schema
+def follow_archive(readings: DataFrame, path: str, checkpoint: str, **settings) -> StreamingQuery:
+    """Merges each micro-batch of messages into the table at path: only buckets of conversations that the batch touches are read and written. A batch that is run again starts from what was there before it."""
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        touched = [r.bucket for r in batch.select(_bucket().alias("bucket")).distinct().collect()]  # at most BUCKETS
-        old = read_archive(spark, path, schema, number).where(_bucket().isin(*touched)) if touched else spark.createDataFrame([], schema)
-        merged = merged_messages(old, batch).withColumns({"bucket": _bucket(), "version": F.lit(number)})
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
+        store = archive_store(batch.sparkSession, path, **settings)
+        store.write(batch, number, merged_messages)
+        store.log.commit(number)
 
     return readings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
