@@ -59,3 +59,49 @@ def backfill_fingerprints(index: DataFrame, model: str, text_col: str = "texte")
 def delete(index: DataFrame, media_ids: DataFrame) -> DataFrame:
     """An index of media without some of them."""
     return index.join(media_ids.select("media_id"), "media_id", "left_anti")
+
+
+#: Columns of a cache of fetched addresses. name is the local one; null if what came was no file.
+CACHE = "address_key string, url string, folder string, name string, kind string"
+
+
+def addresses(messages: DataFrame) -> DataFrame:
+    """The distinct addresses of images and attached files in texts: address_key (SHA-1 of the address), url, folder (images, files)."""
+    shown = messages.select(F.explode(T.image_urls(F.col("texte"))).alias("url"), F.lit("images").alias("folder"))
+    links = messages.select(F.explode(T.media_urls(F.col("texte"))).alias("x")).where("x.context = 'md-link'").select("x.url", F.lit("files").alias("folder"))
+    rows = shown.unionByName(links.where(T.is_attachment(F.col("url"), F.col("url")))).where(F.col("url").rlike("^https?://"))
+    return rows.groupBy("url").agg(F.max("folder").alias("folder")).select(F.sha1("url").alias("address_key"), "url", "folder")  # an image that is linked too is an image
+
+
+def refresh_cache(wanted: DataFrame, cache: DataFrame, fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new rows of the cache, counts of cached, new and failed) of addresses, with what was fetched for them (url, content_type, content); nothing is fetched here. An address that is cached takes no row, what is no file of its folder's kind fails, and of several
+    contents of one address the smallest by hash counts."""
+    known = cache.where("name IS NOT NULL").select("address_key").distinct().withColumn("known", F.lit(True))
+    got = fetched.groupBy("url").agg(F.min_by(F.struct("content_type", "content"), F.coalesce(F.sha1("content"), F.lit("~"))).alias("x")).select("url", "x.*")
+    rows = wanted.join(known, "address_key", "left").join(got, "url", "left")
+    kind = F.trim(F.lower(F.element_at(F.split(F.coalesce("content_type", F.lit("")), ";"), 1)))
+    head = F.lower(F.ltrim(F.decode(F.substring("content", 1, 256), "ISO-8859-1")))
+    page = kind.isin("text/html", "application/xhtml+xml") | head.startswith("<!doctype html") | head.startswith("<html")
+    usable = F.coalesce(F.length("content"), F.lit(0)) > 0
+    usable = usable & F.when(F.col("folder") == "images", T.looks_like_image(F.col("content"), F.col("content_type"))).otherwise(~page)
+    path = F.regexp_extract(F.lower(F.regexp_replace("url", r"[?#].*$", "")), r"(\.[a-z0-9]{1,5})$", 1)
+    said = F.regexp_extract(kind, r"^(?:image|audio|video|text|application)/([a-z0-9]+)", 1)
+    end = F.when(path != "", path).when(said.isin(*ENDS), F.element_at(F.create_map(*(F.lit(x) for kv in ENDS.items() for x in kv)), said)).when(said != "", F.concat(F.lit("."), said)).otherwise(".bin")
+    rows = rows.withColumn("state", F.when(F.col("known"), "cached").when(F.coalesce(usable, F.lit(False)), "new").otherwise("failed"))
+    made = rows.where("state = 'new'").select("address_key", "url", "folder", F.concat(F.substring("address_key", 1, 20), end).alias("name"), kind.alias("kind"))
+    return made, rows.groupBy("state").count()
+
+
+#: Kinds of content whose files end otherwise. Fixed values.
+ENDS = {"jpeg": ".jpg", "svg": ".svg", "mpeg": ".mp3", "quicktime": ".mov", "plain": ".txt", "markdown": ".md", "json": ".json"}
+
+
+def localised(messages: DataFrame, cache: DataFrame) -> DataFrame:
+    """Messages whose texts name the local files of all cached addresses, each text rewritten in one pass; other addresses stay."""
+    keyed = messages.select("*", F.monotonically_increasing_id().alias("__row"))
+    found = F.array_distinct(F.concat(T.image_urls(F.col("texte")), F.transform(T.media_urls(F.col("texte")), lambda x: x["url"])))
+    local = cache.where("name IS NOT NULL").select("address_key", F.concat_ws("/", "folder", "name").alias("path"))
+    pairs = messages.select(F.explode(found).alias("url")).distinct().withColumn("address_key", F.sha1("url")).join(local, "address_key").select("url", "path")
+    own = keyed.select("__row", F.explode(found).alias("url")).join(pairs, "url").groupBy("__row").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("url", "path")), asc=False)).alias("__local"))
+    whole = keyed.join(own, "__row", "left")  # longer addresses come before those that they begin with
+    return whole.withColumn("texte", F.when(F.col("__local").isNotNull(), T.rewrite_links(F.col("texte"), F.col("__local"))).otherwise(F.col("texte"))).select(*messages.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolake.functions.text import strip_fences
+from convolake.functions.text import code_blocks, strip_fences
 from convolake.operators.base import sql_operator
 
 #: Metrics in their order. Fixed values.
@@ -30,6 +30,18 @@ DETECTORS = {
     "emoji_unicode": r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]|[\x{0600}-\x{06FF}]|[\x{4E00}-\x{9FFF}]",
     "refusal_error": r"(?iu)\b(je ne peux pas|impossible|désolé|refus|je ne suis pas en mesure)\b",
 }
+#: Files that a text attaches, by capability; words in labels of tools; what pages have for sound and film. Fixed values.
+FILES = {
+    "upload_pdf": r"document[^ \n]*\.pdf|\]\(files/[^)\s]*\.pdf\)",
+    "upload_csv": r"donnees[^ \n]*\.csv|\]\(files/[^)\s]*\.csv\)",
+    "upload_json": r"donnees[^ \n]*\.json|\]\(files/[^)\s]*\.json\)",
+    "upload_text": r"notes[^ \n]*\.(?:txt|md)|\]\(files/[^)\s]*\.(?:txt|md)\)",
+    "audio": r"audio[^ \n]*\.(?:mp3|wav|m4a|ogg)|\]\(files/[^)\s]*\.(?:mp3|wav|m4a|ogg)\)",
+    "video": r"video[^ \n]*\.(?:mp4|mov|webm)|\]\(files/[^)\s]*\.(?:mp4|mov|webm)\)",
+    "upload_image": r"image[^ \n]*\.(?:png|jpe?g|webp|gif)|\]\(images/|\]\(files/[^)\s]*\.(?:png|jpe?g|webp|gif|svg)\)",
+}
+TOOL_WORDS = {"code_execution": "exécution de code|code|terminal|commande|python", "connectors": "connecteur|mcp", "image_generation": "génération d['’]image", "thread_memory": "mémoire"}
+SOUND = {"audio": r"audio\.mp3|<audio", "video": r"video\.mp4|<video"}
 #: Links, images, remains of HTML and fences that an audit counts. Fixed values.
 LINK = r"\[[^\]]+\]\((?:https?://|/)[^)]*\)|https?://[^\s)>]+"
 IMAGE = r"!\[[^\]]*\]\([^)]+\)|data:image/"
@@ -61,12 +73,28 @@ def metrics(messages: DataFrame) -> DataFrame:
     return rows.groupBy("platform", "conversation_id").agg(*(v.cast("long").alias(k) for k, v in made.items()))
 
 
-def capabilities(messages: DataFrame) -> DataFrame:
-    """Names of the capabilities that each conversation shows, sorted."""
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "texte"))), lambda x: x["texte"]), "\n")
-    whole = messages.groupBy("platform", "conversation_id").agg(joined.alias("said"), F.max(F.length("texte")).alias("longest"))
-    found = F.array(*(F.when(F.col("said").rlike(p), F.lit(name)) for name, p in DETECTORS.items()), F.when(F.col("longest") >= 1200, F.lit("long_message")))
-    return whole.select("platform", "conversation_id", F.sort_array(F.array_compact(found)).alias("capabilities"))
+def capabilities(messages: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Names of the capabilities that each conversation shows, sorted. Columns code_blocks, reasoning, artifacts, sources and tools count where messages have them; without code_blocks those of the text do. pages: (platform, conversation_id, html), of which one of several counts."""
+    has = messages.columns
+    order = F.sort_array(F.collect_list(F.struct("pos", "texte")))
+    blocks = F.col("code_blocks") if "code_blocks" in has else code_blocks(F.col("texte"))
+    any_of = lambda c: F.coalesce(F.max(c), F.lit(False))
+    filled = lambda name: any_of(F.size(name) > 0) if name in has else F.lit(False)
+    labels = F.array_join(F.flatten(F.collect_list(F.transform(F.coalesce("tools", F.array()), F.lower))), " ") if "tools" in has else F.lit("")
+    whole = messages.withColumn("blocks", F.coalesce(blocks, code_blocks(F.lit("")))).groupBy("platform", "conversation_id").agg(
+        F.array_join(F.transform(order, lambda x: x["texte"]), "\n").alias("said"), F.max(F.length("texte")).alias("longest"), any_of(F.size("blocks") > 0).alias("code_block"), any_of(F.exists("blocks", lambda b: F.coalesce(b["language"], F.lit("")) != "")).alias("code_languages"),
+        any_of(F.exists("blocks", lambda b: F.regexp_count(F.coalesce(b["code"], F.lit("")), F.lit("\n")) >= 8)).alias("code_long"), (any_of(F.trim(F.coalesce("reasoning", F.lit(""))) != "") if "reasoning" in has else F.lit(False)).alias("reasoning"),
+        filled("artifacts").alias("artifact_canvas"), filled("sources").alias("web_search_citations"), labels.alias("labels"),
+    )
+    page = F.lit("")
+    if pages is not None:
+        whole, page = whole.join(pages.groupBy("platform", "conversation_id").agg(F.min(F.lower("html")).alias("page")), ["platform", "conversation_id"], "left"), F.coalesce("page", F.lit(""))
+    low = F.lower("said")
+    told = {name: F.col(name) for name in ("code_block", "code_languages", "code_long", "reasoning", "artifact_canvas", "web_search_citations")} | {"long_message": F.col("longest") >= 1200}
+    told |= {name: F.col("said").rlike(p) for name, p in DETECTORS.items()} | {name: low.rlike(p) for name, p in FILES.items()} | {name: F.col("labels").rlike(p) for name, p in TOOL_WORDS.items()}
+    for name in ("audio", "video"):
+        told[name] = told[name] | page.rlike(SOUND[name])
+    return whole.select("platform", "conversation_id", F.sort_array(F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in told.items())))).alias("capabilities"))
 
 
 def regressions(current: DataFrame, baseline: DataFrame, floor: float = 0.6) -> DataFrame:
@@ -92,14 +120,21 @@ def verdicts(checked: DataFrame) -> DataFrame:
     return out.withColumn("verdict", verdict).drop("least")
 
 
-def audit(messages: DataFrame) -> DataFrame:
-    """Links, images, fences and what is wrong, by platform."""
+def audit(messages: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
+    """Links, images, fences, code blocks and what is wrong, by platform; with conversations (platform, started_at, model) also how many lack a time or a model. A platform without messages has zeros."""
     t = F.col("texte")
-    total = lambda p: F.sum(F.regexp_count(t, F.lit(p))).cast("long")
-    return messages.groupBy("platform").agg(
-        F.count_distinct("conversation_id").alias("conv"), F.count(F.lit(1)).alias("msgs"), total(LINK).alias("links"), total(FENCE).alias("fences"), total(IMAGE).alias("images"),
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    count = lambda p: total(F.regexp_count(t, F.lit(p)))
+    blocks = F.col("code_blocks") if "code_blocks" in messages.columns else code_blocks(t)
+    own = messages.groupBy("platform").agg(
+        F.count_distinct("conversation_id").alias("conv"), F.count(F.lit(1)).alias("msgs"), count(LINK).alias("links"), count(FENCE).alias("fences"), count(IMAGE).alias("images"), total(F.size(blocks)).alias("code_blocks"),
         F.count_if(strip_fences(t).rlike(HTML)).alias("residual_html"), F.count_if((F.length(t) < 4) & (F.col("role") == "assistant")).alias("near_empty"),
     )
+    if conversations is None:
+        return own
+    lacks = conversations.groupBy("platform").agg(F.count(F.lit(1)).alias("listed"), F.count_if(F.col("started_at").isNull()).alias("without_time"), F.count_if(F.col("model").isNull()).alias("without_model"))
+    both = lacks.join(own, "platform", "full_outer")
+    return both.select("platform", F.coalesce("listed", "conv").alias("conv"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("msgs", "links", "fences", "images", "code_blocks", "residual_html", "near_empty", "without_time", "without_model")))
 
 
 #: Expected, detected and lost capabilities of canaries, from (canary, capability, expected, detected).

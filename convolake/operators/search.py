@@ -110,6 +110,87 @@ def field_stack(messages: DataFrame) -> DataFrame:
     return out
 
 
+#: Fields of a message that are searched, in order; a conversation's come before them. Fixed values.
+FIELDS, LISTS, OF_CONVERSATION = ("texte", "reasoning", "message_id", "model", "timestamp"), ("sources", "tools", "artifacts"), ("title", "url", "conversation_id", "model")
+#: Signs that part a match from what is around it; those of a text become others.
+_OPEN, _CLOSE = "\x00", "\x01"
+
+
+def occurrences(c: Column, pattern: str) -> Column:
+    """Places (start, end), from 0, of the matches of a Java pattern in a text, left to right, none over another; empty matches don't count."""
+    marked = F.regexp_replace(F.translate(c, _OPEN + _CLOSE, "\ufffd\ufffd"), f"(?:{pattern})", f"{_OPEN}$0{_CLOSE}")
+    pieces = F.split(F.replace(marked, F.lit(_OPEN + _CLOSE), F.lit("")), _OPEN, -1)
+    sizes = F.transform(pieces, lambda p: F.struct(F.length(F.replace(p, F.lit(_CLOSE), F.lit(""))).alias("all"), (F.position(F.lit(_CLOSE), p) - 1).alias("own")))
+    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int>>)").alias("spans"))
+    step = lambda s, x: F.struct((s["at"] + x["all"]).alias("at"), F.when(x["own"] > 0, F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), (s["at"] + x["own"]).alias("end"))))).otherwise(s["spans"]).alias("spans"))
+    return F.when(F.contains(marked, F.lit(_OPEN)), F.aggregate(sizes, start, step, lambda s: s["spans"]))
+
+
+def _fields(messages: DataFrame) -> Column:
+    """The fields of a message as an array of (field, value) in order; those that messages lack are passed over, empty ones left out."""
+    none = F.expr("CAST(array() AS array<struct<field:string,value:string>>)")
+    entry = lambda f, v: F.struct(f.alias("field"), v.alias("value"))
+    listed = lambda c, name, of: F.coalesce(F.transform(c, lambda v, i: entry(F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]" + of)), v["texte"] if of else v)), none)
+    parts = [F.array(*(entry(F.lit(f), F.col(f).cast("string")) for f in FIELDS if f in messages.columns))]
+    parts += [listed(F.col(f), f, "") for f in LISTS if f in messages.columns]
+    parts += [listed(F.col("variants"), "variants", ".texte")] if "variants" in messages.columns else []
+    return F.filter(F.concat(*parts), lambda x: F.coalesce(x["value"], F.lit("")) != "")
+
+
+def grep_archive(conversations: DataFrame, messages: DataFrame, pattern: str, regex: bool = False, limit: int = 50, inventory: DataFrame | None = None, platforms: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """(matches, truncated): up to limit occurrences over all fields, in order of platform, file, field and place: those of conversations (platform, conversation_id, file, title, url, model), then of messages (pos and any of the fields), then of inventory
+    entries that were never read. Case doesn't count. truncated: the limit was met and files are left.
+
+    One platform after the other is scanned, until the limit is met. Of a platform each file's matches are counted where it lies, and only files that come first with limit matches between them, limit of them at most, have their matches made out.
+    """
+    import re
+
+    if not pattern:
+        raise ValueError("an empty pattern")
+    limit, java = max(1, min(limit, 200)), f"(?iu){pattern}" if regex else r"(?iu)\Q" + pattern.replace(r"\E", r"\E\\E\Q") + r"\E"
+    if regex:
+        re.compile(re.sub(r"\\[QEpPhHRXGzZ]|\(\?<[a-zA-Z]|[+*?}]\+", "", pattern))
+    found, left, truncated = None, limit, False
+    names = sorted(r.platform for r in conversations.select("platform").distinct().collect()) if platforms is None else platforms
+    own_fields = [f for f in OF_CONVERSATION if f in conversations.columns]
+    for k, name in enumerate(names):
+        files = conversations.where(F.col("platform") == name)
+        head = files.select("conversation_id", F.lit(0).alias("pos"), F.posexplode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in own_fields))).alias("k", "x"))
+        body = messages.where(F.col("platform") == name).select("conversation_id", (F.col("pos") + 1).alias("pos"), F.posexplode(_fields(messages)).alias("k", "x"))
+        every = head.unionByName(body).select("conversation_id", "pos", "k", "x.field", "x.value")
+        hits = every.where(F.col("value").rlike(java)).withColumn("spans", occurrences(F.col("value"), java)).where("size(spans) > 0")
+        counts = hits.groupBy("conversation_id").agg(F.sum(F.size("spans")).alias("n")).join(files.select("conversation_id", "file"), "conversation_id")
+        first = counts.orderBy("file", "conversation_id").limit(left).collect()  # as many as the limit at most
+        wanted, room = [], left
+        for r in first:
+            if room <= 0:
+                break
+            wanted.append((r.conversation_id, len(wanted)))
+            room -= r.n
+        if wanted:
+            chosen = conversations.sparkSession.createDataFrame(wanted, "conversation_id string, place int")
+            rows = hits.join(F.broadcast(chosen), "conversation_id").select(F.lit(k).alias("source"), "place", "pos", "k", "conversation_id", "field", "value", F.explode("spans").alias("s"))
+            rows = rows.select("source", "place", "pos", "k", F.col("s.start").alias("start"), F.lit(name).alias("platform"), "conversation_id", "field", T.window(F.col("value"), F.col("s.start"), F.col("s.end")).alias("snippet"))
+            rows = rows.orderBy("place", "pos", "k", "start").limit(left)
+            found = rows if found is None else found.unionByName(rows)
+        left = max(0, room)
+        if left == 0:
+            last = files.agg(F.max(F.struct("file", "conversation_id")).alias("x")).first().x
+            at = next(r for r in first if r.conversation_id == wanted[-1][0])
+            truncated = (last.file, last.conversation_id) != (at.file, at.conversation_id) or any(not conversations.where(F.col("platform") == p).isEmpty() for p in names[k + 1 :])
+            break
+    if left and inventory is not None:
+        rows = inventory.where("NOT coalesce(scraped, FALSE)").where(F.col("platform").isin(names) if platforms else F.lit(True))
+        rows = rows.select("platform", "conversation_id", F.posexplode(F.array(*(F.struct(F.lit(f"list.{f}").alias("field"), F.col(f).cast("string").alias("value")) for f in ("title", "url", "conversation_id") if f in inventory.columns))).alias("k", "x"))
+        rows = rows.where(F.col("x.value").rlike(java)).select("platform", "conversation_id", "k", "x.*", F.explode(occurrences(F.col("x.value"), java)).alias("s"))
+        rows = rows.select(F.lit(len(names)).alias("source"), F.lit(0).alias("place"), F.lit(0).alias("pos"), "k", F.col("s.start").alias("start"), "platform", "conversation_id", "field", T.window(F.col("value"), F.col("s.start"), F.col("s.end")).alias("snippet"))
+        rows = rows.orderBy("platform", "conversation_id", "k", "start").limit(left)
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        found = conversations.sparkSession.createDataFrame([], "source int, place int, pos int, k int, start int, platform string, conversation_id string, field string, snippet string")
+    return found, truncated
+
+
 def lookup(messages: DataFrame, conversation_id: str, key: str) -> DataFrame:
     """A message by exact id, place from 1 on, or unique start of its id, in this order; an ambiguous start finds nothing."""
     own = messages.where(F.col("conversation_id") == conversation_id)

@@ -19,7 +19,7 @@ from convolake.operators import analytics, archive, calibration, lookup, media,
 from convolake.scratch import scratch
 from convolake.sources import archive as archives
 from convolake.sources import bindings as B
-from convolake.streaming import incremental
+from convolake.streaming import incremental, ingest
 
 #: More tables of the fixtures: SQL that both engines read, over the bound ones.
 DERIVED = {
@@ -87,7 +87,7 @@ def _query(name: str, tables: str, sql: str | None):
 _sql(
     g1_stats=analytics.stats, g2_top_models=analytics.top_models, g3_activity_daily=analytics.daily, g4_timeline_platform=analytics.timeline_platform, g4_timeline_model=analytics.timeline_model, 
     g6_distinct_models=analytics.distinct_models, g7_date_bounds=analytics.date_bounds, g9_facets=analytics.facets, g11_tool_stats=analytics.tool_stats, g15_majority=analytics.majority,
-    g18_media_stats=analytics.media_stats, g19_run_summary=analytics.run_summary, g20_inventory_counters=analytics.inventory_counters, g21_heat_levels=analytics.heat_levels, g22_bars=analytics.bars,
+    g18_media_stats=analytics.media_stats, g20_inventory_counters=analytics.inventory_counters, g21_heat_levels=analytics.heat_levels, g22_bars=analytics.bars,
     k6_event_days=analytics.event_days, 
     o1_merge_status=archive.merge_status, o1_merge_payload=archive.merge_payload, o2_content_equal=archive.content_equal, o4_inventory_upsert=archive.inventory_upsert, b3_inventory_order=archive.inventory_order, a6_inventory_load=archive.inventory_load,
     b5_replace=archive.replace_conversations, b16_media_prune=archive.media_prune, 
@@ -150,6 +150,36 @@ _query("p7_grep_literal", "messages", "SELECT conversation_id, pos, 'texte' AS f
 _query("p6_grep_regex", "messages", r"SELECT msg_seq, CAST(len(regexp_extract_all(texte, '\b[A-Z][a-z]+ing\b')) AS BIGINT) AS n FROM messages WHERE regexp_matches(texte, '\b[A-Z][a-z]+ing\b')")(
     lambda m: m.where(F.col("texte").rlike(r"\b[A-Z][a-z]+ing\b")).select("msg_seq", F.regexp_count("texte", F.lit(r"\b[A-Z][a-z]+ing\b")).cast("long").alias("n"))
 )
+_query("g19_run_summary", "conv old new", f"""WITH told AS (SELECT platform, conversation_id, status FROM ({archive.merge_status.sql}) t WHERE status <> 'absent' AND NOT EXISTS (SELECT 1 FROM conv c WHERE c.conversation_id = t.conversation_id AND conv_id % 7 = 1)),
+    o AS (SELECT * FROM told UNION ALL SELECT platform, conversation_id, 'failed' FROM conv WHERE conv_id % 7 = 1)
+    SELECT c.platform, count(*) AS discovered, count(o.status) AS targets, count(CASE WHEN o.status IN ('written', 'patched', 'rewritten') THEN 1 END) AS exported, count(CASE WHEN o.status = 'patched' THEN 1 END) AS patched, count(CASE WHEN o.status IN ('unchanged', 'kept') THEN 1 END) AS unchanged,
+           count(CASE WHEN o.status = 'failed' THEN 1 END) AS failed, count(CASE WHEN o.status IS NULL AND c.unavailable THEN 1 END) AS skipped FROM conv c LEFT JOIN o ON o.platform = c.platform AND o.conversation_id = c.conversation_id GROUP BY c.platform""")(
+    lambda c, o, n: ingest.run_summary(c, archive.merge_status(o, n).where("status <> 'absent'").join(c.where("conv_id % 7 = 1"), ["platform", "conversation_id"], "left_anti").select("platform", "conversation_id", "status").unionByName(c.where("conv_id % 7 = 1").select("platform", "conversation_id", F.lit("failed").alias("status"))))
+)
+_query("p7_grep_archive", "messages conv", """WITH f AS (SELECT platform, conversation_id, 0 AS pos, 0 AS k, title AS value FROM conv UNION ALL SELECT platform, conversation_id, pos + 1, 0, texte FROM messages),
+    n AS (SELECT *, CAST((length(value) - length(replace(lower(value), 'er', ''))) / 2 AS INTEGER) AS n FROM f), e AS (SELECT *, unnest(range(n)) AS i FROM n WHERE n > 0)
+    SELECT platform, conversation_id, CASE pos WHEN 0 THEN 'title' ELSE 'texte' END AS field, CAST(count(*) AS BIGINT) AS n, TRUE AS truncated FROM (SELECT * FROM e ORDER BY platform, conversation_id, pos, k, i LIMIT 60) t GROUP BY ALL""")(
+    lambda m, c: _grepped(c, m)
+)
+
+
+def _grepped(c: DataFrame, m: DataFrame) -> DataFrame:
+    found, cut = search.grep_archive(c.select("platform", "conversation_id", "title", F.col("conversation_id").alias("file")), m.select("platform", "conversation_id", "pos", "texte"), "er", limit=60)
+    return found.groupBy("platform", "conversation_id", "field").agg(F.count(F.lit(1)).alias("n")).withColumn("truncated", F.lit(cut))
+
+
+_LOCAL = "images/' || substr(sha1('https://i.example/' || CAST(pos % 5 AS VARCHAR) || '.png'), 1, 20) || '.png"
+_query("r19_media_cache", "messages", f"SELECT msg_seq, md5(texte || CASE WHEN pos % 5 < 3 THEN ' ![x]({_LOCAL})' ELSE ' ![x](https://i.example/' || CAST(pos % 5 AS VARCHAR) || '.png)' END) AS texte FROM messages")(lambda m: _localised(m).select("msg_seq", F.md5("texte").alias("texte")))
+
+
+def _localised(m: DataFrame) -> DataFrame:
+    linked = m.withColumn("texte", F.concat("texte", F.lit(" ![x](https://i.example/"), (F.col("pos") % 5).cast("string"), F.lit(".png)")))
+    wanted = media.addresses(linked)
+    got = wanted.select("url", F.lit("image/png").alias("content_type"), F.when(F.regexp_extract("url", r"(\d)\.png", 1).cast("int") < 3, F.unhex(F.lit("89504E470D0A1A0A00"))).alias("content"))
+    empty = wanted.select("address_key", "url", "folder", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind")).limit(0)
+    return media.localised(linked, media.refresh_cache(wanted, empty, got)[0])
+
+
 _query("p8_grep_inventory", "conv", "SELECT conversation_id, title FROM conv WHERE NOT scraped AND (contains(lower(title), '3') OR contains(lower(conversation_id), '12'))")(
     lambda c: c.where(~F.col("scraped") & (F.contains(F.lower("title"), F.lit("3")) | F.contains(F.lower("conversation_id"), F.lit("12")))).select("conversation_id", "title")
 )
@@ -324,10 +354,47 @@ _text("u6_ordered_distinct", lambda: F.md5(F.array_join(F.array_distinct(F.split
 
 # Quality, sanitising, shapes.
 _METRICS = r"SELECT platform, conversation_id, count(*) AS messages, CAST(0 AS BIGINT) AS consecutive_roles, count(*) AS images, CAST(0 AS BIGINT) AS tables, CAST(count(*) AS BIGINT) AS lists, CAST(0 AS BIGINT) AS code_langs, CAST(sum(length(texte) - length(replace(texte, '$', ''))) AS BIGINT) AS latex FROM messages GROUP BY platform, conversation_id"
+_query("c1_times_of_numbers", "messages", "SELECT msg_seq, CASE pos % 4 WHEN 3 THEN NULL ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS value FROM messages")(
+    lambda m: m.select("msg_seq", T.iso_z(T.any_time(F.parse_json(F.get(F.array(F.unix_timestamp("ts").cast("string"), F.concat(F.unix_timestamp("ts").cast("string"), F.lit(".75")), F.concat(F.lit('"'), T.iso_z(F.col("ts")), F.lit('"')), F.concat(F.lit('"'), F.unix_timestamp("ts").cast("string"), F.lit('"'))), (F.col("pos") % 4).cast("int"))))).alias("value"))
+)
+_query("g16_key_histogram", "events", """SELECT event_type, count(*) AS n, count(CASE WHEN event_id % 3 <> 2 THEN 1 END) AS matches, count(CASE WHEN event_id % 3 = 2 THEN 1 END) AS drifts, CASE WHEN count(CASE WHEN event_id % 3 = 2 THEN 1 END) > 0 THEN '$.a:' || count(CASE WHEN event_id % 3 = 2 THEN 1 END) ELSE '' END AS drift_keys,
+    CASE WHEN count(CASE WHEN event_id % 3 = 1 THEN 1 END) > 0 THEN '$.more:' || count(CASE WHEN event_id % 3 = 1 THEN 1 END) ELSE '' END AS new_keys FROM events WHERE event_id < 300 GROUP BY event_type""".replace(" WHERE event_id < 300", ""))(lambda e: _histogram(e))
+
+
+def _histogram(e: DataFrame) -> DataFrame:
+    base = lambda more="": '{"a": 1, "b": "x", "c": 2.5' + more + "}"
+    said = F.get(F.array(F.lit(base()), F.lit(base(', "more": 1')), F.lit(base().replace('"a": 1, ', ""))), (F.col("event_id") % 3).cast("int"))
+    rows = shapes.shape_rows(e.select(F.col("event_id").alias("payload_id"), said.alias("payload")))
+    ref = shapes.merge(shapes.shape_rows(e.sparkSession.createDataFrame([(0, base())], "payload_id long, payload string")))
+    health = shapes.payload_health(ref, rows).join(e.select(F.col("event_id").alias("payload_id"), "event_type"), "payload_id")
+    keys = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["key"], x["n"].cast("string"))), ",").alias(c)
+    parts = [shapes.key_histogram(health.where(F.pmod(F.xxhash64("payload_id"), F.lit(2)) == k), "event_type") for k in (0, 1)]
+    return shapes.merged_histograms(parts[0].unionByName(parts[1]), "event_type").select("event_type", "n", "matches", "drifts", keys("drift_keys"), keys("new_keys"))
+
+
 _query("c41_metrics", "messages", _METRICS)(lambda m: quality.metrics(m.withColumn("texte", _made())))
-_CAPS = "'headings', 'image_markdown', 'link', 'list_bullet'"
-_query("c42_capabilities", "messages", "SELECT platform, conversation_id, count(*) > 0 AS has_all FROM messages GROUP BY platform, conversation_id")(
-    lambda m: quality.capabilities(m.withColumn("texte", _made())).select("platform", "conversation_id", (F.size(F.array_intersect("capabilities", F.array(*(F.lit(x.strip("'")) for x in _CAPS.split(", "))))) == 4).alias("has_all"))
+#: For each capability a message that shows it, or what else of a message does; the place of a capability says which messages have it.
+_SHOWS = {
+    "headings": "# a", "emphasis": "**a**", "inline_code": "`a`", "link": "[a](https://a)", "blockquote": "> a", "hr": "---", "list_bullet": "- a", "list_numbered": "1. a", "checklist": "- [x] a", "list_nested": "  - a", "table": "| -- |", "latex_inline": "$a$", "latex_display": "$$a$$", "latex_matrix": "\\\\begin{cases}",
+    "image_markdown": "![a](b)", "emoji_unicode": "漢", "refusal_error": "Désolé", "code_block": "```\na\n```", "code_languages": "```py\na\n```", "code_long": "```\n" + "a\n" * 9 + "```", "long_message": "a" * 1200, "upload_pdf": "Document1.pdf", "upload_csv": "](files/a.csv)", "upload_json": "donnees (1).json".replace(" ", ""), "upload_text": "notes.md", "audio": "audio.mp3",
+    "video": "](files/b.webm)", "upload_image": "](images/a", "reasoning": "", "artifact_canvas": "", "web_search_citations": "", "code_execution": "", "connectors": "", "image_generation": "", "thread_memory": "",
+}
+#: What the messages of those also show. Fixed by the forms above.
+_ALSO = {"checklist": ("list_bullet",), "list_nested": ("list_bullet",), "code_languages": ("code_block",), "code_long": ("code_block",)}
+_BY_TOOL = {"code_execution": "Terminal", "connectors": "MCP x", "image_generation": "Génération d'image", "thread_memory": "Mémoire lue"}
+
+
+def _capable(m: DataFrame) -> DataFrame:
+    k = F.pmod(F.col("msg_seq"), F.lit(len(_SHOWS))).cast("int")
+    name = F.get(F.array(*map(F.lit, _SHOWS)), k)
+    filled = lambda n, c: F.when(name == n, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias(c)
+    tool = F.when(F.element_at(F.create_map(*(F.lit(x) for kv in _BY_TOOL.items() for x in kv)), F.when(name.isin(*_BY_TOOL), name).otherwise("connectors")).isNotNull() & name.isin(*_BY_TOOL), F.array(F.element_at(F.create_map(*(F.lit(x) for kv in _BY_TOOL.items() for x in kv)), F.when(name.isin(*_BY_TOOL), name).otherwise("connectors")))).otherwise(F.array().cast("array<string>"))
+    return m.select("platform", "conversation_id", "pos", F.get(F.array(*map(F.lit, _SHOWS.values())), k).alias("texte"), F.when(name == "reasoning", "why").otherwise("").alias("reasoning"), filled("artifact_canvas", "artifacts"), filled("web_search_citations", "sources"), tool.alias("tools"))
+
+
+_ALL_SHOWN = "[" + ", ".join("[" + ", ".join(f"'{x}'" for x in (n, *_ALSO.get(n, ()))) + "]" for n in _SHOWS) + "]"
+_query("c42_capabilities", "messages", f"SELECT platform, conversation_id, array_to_string(list_sort(list_distinct(flatten(list({_ALL_SHOWN}[1 + CAST(msg_seq % {len(_SHOWS)} AS INTEGER)])))), ',') AS capabilities FROM messages GROUP BY platform, conversation_id")(
+    lambda m: quality.capabilities(_capable(m)).select("platform", "conversation_id", F.array_join("capabilities", ",").alias("capabilities"))
 )
 _CHECKED = "checked AS (SELECT platform, conversation_id, count(*) AS old_messages, count(CASE WHEN NOT (conv_id % 3 = 1 AND pos > 1) THEN 1 END) AS new_messages FROM messages GROUP BY ALL), told AS (SELECT *, round(CAST(new_messages AS DOUBLE) / old_messages, 3) AS retention, CASE WHEN new_messages < old_messages * 0.6 OR round(CAST(new_messages AS DOUBLE) / old_messages, 3) < 1.0 THEN 'degrade' ELSE 'ok' END AS status FROM checked)"
 
@@ -342,8 +409,10 @@ _query("q1_regressions", "messages", f"WITH {_CHECKED} SELECT platform, conversa
 _query("g12_recheck_summary", "messages", f"WITH {_CHECKED} SELECT platform, count(*) AS compared, count(CASE WHEN status = 'ok' THEN 1 END) AS ok, count(CASE WHEN status = 'degrade' THEN 1 END) AS degraded, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS ignored, round(avg(retention), 3) AS retention, CASE WHEN min(retention) < 0.5 THEN 'critique' WHEN count(CASE WHEN status = 'degrade' THEN 1 END) > 0 THEN 'attention' ELSE 'ok' END AS verdict FROM told GROUP BY platform")(
     lambda m: quality.verdicts(_rechecked(m))
 )
-_query("g14_audit", "messages", f"SELECT platform, count(DISTINCT conversation_id) AS conv, count(*) AS msgs, CAST(sum(len(regexp_extract_all({_SAID}, '{quality.LINK}'))) AS BIGINT) AS links, CAST(sum(len(regexp_extract_all({_SAID}, '{quality.FENCE}'))) AS BIGINT) AS fences, CAST(sum(len(regexp_extract_all({_SAID}, '{quality.IMAGE}'))) AS BIGINT) AS images, count(CASE WHEN regexp_matches(regexp_replace({_SAID}, '(?s)```.*?```', '', 'g'), '{quality.HTML}') THEN 1 END) AS residual_html, CAST(0 AS BIGINT) AS near_empty FROM messages GROUP BY platform")(
-    lambda m: quality.audit(m.withColumn("texte", _made()))
+_query("g14_audit", "messages conv", f"""WITH a AS (SELECT platform, count(DISTINCT conversation_id) AS conv, count(*) AS msgs, CAST(sum(len(regexp_extract_all({_SAID}, '{quality.LINK}'))) AS BIGINT) AS links, CAST(sum(len(regexp_extract_all({_SAID}, '{quality.FENCE}'))) AS BIGINT) AS fences, CAST(sum(len(regexp_extract_all({_SAID}, '{quality.IMAGE}'))) AS BIGINT) AS images, CAST(count(*) AS BIGINT) AS code_blocks, count(CASE WHEN regexp_matches(regexp_replace({_SAID}, '(?s)```.*?```', '', 'g'), '{quality.HTML}') THEN 1 END) AS residual_html, CAST(0 AS BIGINT) AS near_empty FROM messages GROUP BY platform)
+    SELECT c.platform, count(*) AS conv, coalesce(any_value(msgs), 0) AS msgs, coalesce(any_value(links), 0) AS links, coalesce(any_value(fences), 0) AS fences, coalesce(any_value(images), 0) AS images, coalesce(any_value(code_blocks), 0) AS code_blocks, coalesce(any_value(residual_html), 0) AS residual_html,
+           coalesce(any_value(near_empty), 0) AS near_empty, count(CASE WHEN conv_id % 4 = 1 THEN 1 END) AS without_time, count(CASE WHEN conv_id % 3 = 2 THEN 1 END) AS without_model FROM conv c LEFT JOIN a USING (platform) GROUP BY c.platform""")(
+    lambda m, c: quality.audit(m.withColumn("texte", _made()), c.select("platform", F.when(F.col("conv_id") % 4 != 1, F.col("started_at")).alias("started_at"), F.when(F.col("conv_id") % 3 != 2, "m").alias("model")))
 )
 _query("c18_pii_scan", "documents", rf"SELECT doc_id, line, 'email' AS kind, n FROM (SELECT doc_id, line, len(list_filter(regexp_extract_all(said, '{sanitize.EMAIL}'), lambda x: NOT regexp_matches(x, '{sanitize.SAFE_EMAIL}'))) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS said, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line FROM documents) l) t WHERE n > 0")(
     lambda d: sanitize.findings(d).where("kind = 'email'")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from convolake.functions import text as T
 
 BLOCK = "struct<language:string,code:string>"
-VARIANT = f"struct<kind:string,texte:string,code_blocks:array<{BLOCK}>,model:string,timestamp:string,message_id:string,active:boolean>"
+VARIANT = f"struct<kind:string,texte:string,code_blocks:array<{BLOCK}>,model:string,timestamp:variant,message_id:string,active:boolean>"
 #: A message as it is written, with the names that older archives use.
 MESSAGE = f"struct<message_id:string,role:string,model:string,timestamp:string,texte:string,content:string,code_blocks:array<{BLOCK}>,reasoning:string,artifacts:array<string>,sources:array<string>,tools:array<string>,variants:array<{VARIANT}>,metadata:struct<model:string>>"
 CONVERSATION = f"platform string, service string, conversation_id string, title string, url string, model string, started_at string, last_message_at string, exported_at string, messages array<{MESSAGE}>"
@@ -35,7 +35,7 @@ def messages(conversations: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("m.texte"), F.col("m.content"), F.lit(""))
     full = lambda c: F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.array().cast("array<string>"))
     return m.select(
-        "platform", "conversation_id", "pos", F.coalesce(F.col("m.message_id"), F.lit("")).alias("message_id"), F.col("m.role").alias("role"), F.coalesce(F.col("m.model"), F.col("m.metadata.model")).alias("model"), T.parse_iso(F.col("m.timestamp")).alias("ts"), text.alias("texte"),
+        "platform", "conversation_id", "pos", F.coalesce(F.col("m.message_id"), F.lit("")).alias("message_id"), F.col("m.role").alias("role"), F.coalesce(F.col("m.model"), F.col("m.metadata.model")).alias("model"), T.any_time(F.col("m.timestamp")).alias("ts"), text.alias("texte"),
         F.when(F.coalesce(F.size("m.code_blocks"), F.lit(0)) > 0, F.col("m.code_blocks")).otherwise(T.code_blocks(text)).alias("code_blocks"), F.coalesce(F.col("m.reasoning"), F.lit("")).alias("reasoning"), *(full(F.col(f"m.{c}")).alias(c) for c in ("artifacts", "sources", "tools")), "m.variants",
     )
 
