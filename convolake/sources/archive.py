@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from convolake.functions import text as T
 
 BLOCK = "struct<language:string,code:string>"
-VARIANT = f"struct<kind:string,texte:string,code_blocks:array<{BLOCK}>,model:string,timestamp:variant,message_id:string,active:boolean>"
+VARIANT = f"struct<kind:string,texte:string,code_blocks:array<{BLOCK}>,model:string,timestamp:string,message_id:string,active:boolean>"
 #: A message as it is written, with the names that older archives use.
-MESSAGE = f"struct<message_id:string,role:string,model:string,timestamp:string,texte:string,content:string,code_blocks:array<{BLOCK}>,reasoning:string,artifacts:array<string>,sources:array<string>,tools:array<string>,variants:array<{VARIANT}>,metadata:struct<model:string>>"
+MESSAGE = f"struct<message_id:string,role:string,model:string,timestamp:variant,texte:string,content:string,code_blocks:array<{BLOCK}>,reasoning:string,artifacts:array<string>,sources:array<string>,tools:array<string>,variants:array<{VARIANT}>,metadata:struct<model:string>>"
 CONVERSATION = f"platform string, service string, conversation_id string, title string, url string, model string, started_at string, last_message_at string, exported_at string, messages array<{MESSAGE}>"
 INVENTORY = "platform string, conversations array<struct<conversation_id:string,title:string,url:string,message_count:long,last_message_at:string,has_code:boolean,scraped:boolean,file:string,unavailable:boolean>>"
 #: Files of an export that are no conversation, and the largest file that is read. Fixed values.

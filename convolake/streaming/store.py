@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convolake.scratch import released, saved
+
 KEYS = ["platform", "conversation_id"]
 #: Most bits of a bucket's prefix.
 DEEPEST = 40
@@ -106,6 +108,10 @@ class Store:
         if batch.isEmpty():
             _remove(self.spark, f"{self.path}/changes/batch={number}")
             return None
+        with released(self.spark):
+            return self._write(batch, number, merge)
+
+    def _write(self, batch: DataFrame, number: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame | None:
         before = self.buckets(number).cache()
         try:
             keys = batch.select(*self.keys).distinct()
@@ -120,6 +126,7 @@ class Store:
         had = self.spark.createDataFrame([(r.depth, r.prefix) for r in touched], "depth int, prefix long")
         at = F.broadcast(had)  # rows of the touched buckets only, which are as many as the batch touches
         placed = self._placed(rows, had) if any(r.depth for r in touched) else rows.withColumns({"depth": F.lit(0), "prefix": F.lit(0).cast("long")})
+        placed = saved(placed, "store-rows")  # it is read for the sizes, and again for the rows
         own = placed.groupBy("depth", "prefix", *self.keys).agg(F.sum(F.length(F.to_json(F.struct(*columns)))).alias("size"), F.count(F.lit(1)).alias("rows")).withColumn("h", self._hash())
         sizes = own.groupBy("depth", "prefix").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
         bits = F.ceil(F.log2(F.least(F.col("size") / self.size, F.col("n").cast("double")))).cast("int")
