@@ -55,11 +55,6 @@ tool_stats = sql_operator(
     "messages",
 )
 inventory_counters = sql_operator("SELECT platform, scraped, unavailable, count(*) AS n, CAST(sum(message_count) AS BIGINT) AS messages FROM {conv} GROUP BY platform, scraped, unavailable", "conv")
-run_summary = sql_operator(
-    """SELECT platform, count(*) AS discovered, count(CASE WHEN NOT unavailable THEN 1 END) AS targets, count(CASE WHEN scraped AND NOT unavailable THEN 1 END) AS exported,
-    count(CASE WHEN NOT scraped AND NOT unavailable THEN 1 END) AS failed, count(CASE WHEN unavailable THEN 1 END) AS skipped FROM {conv} GROUP BY platform""",
-    "conv",
-)
 majority = sql_operator("SELECT platform, value AS model FROM (SELECT platform, model AS value, row_number() OVER (PARTITION BY platform ORDER BY count(*) DESC, model) AS k FROM {messages} WHERE model <> '' GROUP BY platform, model) t WHERE k = 1", "messages")
 media_stats = sql_operator("SELECT kind, count(*) AS n, (SELECT count(*) FROM {media}) AS total FROM {media} GROUP BY kind", "media")
 event_days = sql_operator("SELECT CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM {events} GROUP BY CAST(ts AS DATE), event_type", "events")

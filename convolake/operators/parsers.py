@@ -230,11 +230,18 @@ def tool_label(name: Column, labels: dict[str, str], loose: bool = False) -> Col
 
 _RESULT, _POST = "array<struct<url:string>>", "array<struct<url:string,username:string,postId:string>>"
 _RESULTS = f"webSearchResults:{_RESULT},citedWebSearchResults:{_RESULT},xposts:{_POST},citedXposts:{_POST}"
-GROK = f"conversation struct<conversationId:string,title:string>, responses array<struct<responseId:string,sender:string,message:string,createTime:string,model:string,{_RESULTS},cardAttachmentsJson:array<string>,steps:array<struct<tags:array<string>,text:array<string>,toolName:string,{_RESULTS}>>>>"
+GROK = (
+    f"conversation struct<conversationId:string,title:string>, responses array<struct<responseId:string,sender:string,message:string,createTime:string,model:string,{_RESULTS},cardAttachmentsJson:array<string>,fileAttachmentAssetMetadata:array<struct<key:string,name:string,mimeType:string>>,fileAttachmentsMetadata:array<struct<fileUri:string,fileName:string,fileMimeType:string>>,generatedImageUrls:array<string>,"
+    f"streamErrors:array<struct<message:string>>,metadata:struct<request_metadata:struct<stream_errors:array<struct<message:string>>>>,steps:array<struct<tags:array<string>,text:array<string>,toolName:string,{_RESULTS}>>>>"
+)
+#: Where assets are had; cards of files, and words in the kinds of cards of artifacts. Fixed values.
+GROK_ASSETS, GROK_ARTIFACTS = "https://assets.grok.com", r"render_file|rendered_file_card|artifact|canvas"
+
 
 
 def grok(payloads: DataFrame) -> DataFrame:
-    """A list of responses, whose texts lose the vendor's tags and get links for its citations. Sources are those cited, or else all that were found."""
+    """A list of responses, whose texts lose the vendor's tags and get links for its citations, and have what was made or attached after them. A response without a text says the error of its stream, else its files; an answer without any of these stays, a question doesn't.
+    Sources are those cited, or else all that were found."""
     rows = _read(payloads, GROK).select("conversation_id", F.posexplode("p.responses").alias("at", "r"))
     role = F.when(F.lower("r.sender").isin("human", "user"), "user").otherwise("assistant")
     steps = F.coalesce("r.steps", F.array().cast(dict(rows.select("r.steps").dtypes)["steps"]))
@@ -242,15 +249,32 @@ def grok(payloads: DataFrame) -> DataFrame:
     every = lambda field: F.concat(F.coalesce(F.col(f"r.{field}"), F.array().cast(dict(rows.select(f"r.{field}").dtypes)[field])), F.flatten(F.transform(steps, lambda s: F.coalesce(s[field], F.array().cast(dict(rows.select(f"r.{field}").dtypes)[field])))))
     urls = lambda field: F.transform(every(field), lambda x: F.trim(x["url"]))
     posts = lambda field: F.transform(every(field), lambda x: F.coalesce(F.nullif(F.trim(x["url"]), F.lit("")), F.when((x["username"] != "") & (x["postId"] != ""), F.concat(F.lit("https://x.com/"), x["username"], F.lit("/status/"), x["postId"]))))
-    cards = F.filter(F.transform(F.coalesce("r.cardAttachmentsJson", none), lambda c: F.from_json(c, "id string, url string, cardType string, type string")), lambda c: (c["cardType"] == "citation_card") | (c["type"] == "render_inline_citation"))
+    rows = rows.withColumn("cards", F.filter(F.transform(F.coalesce("r.cardAttachmentsJson", none), lambda c: F.from_json(c, "id string, url string, cardType string, type string, file_name string, title string, mime_type string, content_type string, file_size long")), lambda c: c.isNotNull()))
+    cards = F.filter("cards", lambda c: (c["cardType"] == "citation_card") | (c["type"] == "render_inline_citation"))
     cards = F.filter(cards, lambda c: (c["id"] != "") & (c["url"] != ""))
     cited = _distinct(F.concat(urls("citedWebSearchResults"), F.transform(cards, lambda c: c["url"])))
     found = _distinct(F.concat(urls("webSearchResults"), posts("xposts"), posts("citedXposts")))
     named = F.flatten(F.transform(steps, lambda s: F.concat(F.array(s["toolName"]), F.regexp_extract_all(F.array_join(F.coalesce(s["text"], none), "\n"), F.lit(r"(?is)<xai:tool_name>(.*?)</xai:tool_name>"), F.lit(1)))))
     told = [F.when(F.size(every(a)) + F.size(every(b)) > 0, label) for (a, b), label in GROK_RESULTS]
     by_card = F.map_from_entries(F.transform(F.array_distinct(F.transform(cards, lambda c: c["id"])), lambda i: F.struct(i, F.get(F.filter(cards, lambda c: c["id"] == i), -1 + F.size(F.filter(cards, lambda c: c["id"] == i)))["url"])))
+    about = lambda c: F.concat_ws(", ", F.nullif(_first_of(c["mime_type"], c["content_type"]), F.lit("")), F.concat(c["file_size"].cast("string"), F.lit(" o")))
+    made = F.filter("cards", lambda c: F.coalesce((c["type"] == "render_file"), F.lit(False)) | F.coalesce(c["cardType"] == "rendered_file_card", F.lit(False)))
+    files = F.array_join(F.transform(made, lambda c: F.concat(F.lit("Fichier généré : "), F.coalesce(F.nullif(T.strip(c["file_name"]), F.lit("")), F.lit("fichier")), F.when(about(c) != "", F.concat(F.lit(" ("), about(c), F.lit(")"))).otherwise(""))), "\n")
+    url = lambda key: F.when(key.rlike("^https?://"), key).otherwise(F.concat(F.lit(GROK_ASSETS + "/"), F.ltrim(key, F.lit("/"))))
+    link = lambda key, name, mime: F.when(_first_of(key) != "", F.concat(F.when(F.lower(T.strip(F.coalesce(mime, F.lit("")))).startswith("image/"), "![").otherwise("["), F.replace(F.replace(F.coalesce(F.nullif(_first_of(name), F.lit("")), F.lit("fichier")), F.lit("["), F.lit("\\[")), F.lit("]"), F.lit("\\]")), F.lit("]("), url(T.strip(key)), F.lit(")")))
+    rich = _distinct(F.transform("r.fileAttachmentAssetMetadata", lambda x: link(x["key"], x["name"], x["mimeType"])))
+    plain = _distinct(F.transform("r.fileAttachmentsMetadata", lambda x: link(x["fileUri"], x["fileName"], x["fileMimeType"])))
+    drawn = _distinct(F.transform("r.generatedImageUrls", lambda u: F.when(_first_of(u) != "", F.concat(F.lit("![image]("), url(T.strip(u)), F.lit(")")))))
+    attached = F.array_join(_distinct(F.concat(F.when(F.size(rich) > 0, rich).otherwise(plain), drawn)), "\n\n")
+    wrong = F.coalesce(F.get(_each(F.when(F.size("r.streamErrors") > 0, F.col("r.streamErrors")).otherwise(F.col("r.metadata.request_metadata.stream_errors")), lambda e: T.strip(e["message"])), 0), F.lit(""))
+    said = T.clean_vendor_text(render_citations(F.coalesce(F.col("r.message"), F.lit("")), by_card))
+    rows = rows.withColumns({"said": said, "files": files, "attached": attached}).withColumn("texte", _first_of(F.col("said"), wrong, F.col("files"), F.col("attached")))
+    for more in ("files", "attached"):
+        rows = rows.withColumn("texte", F.when((F.col("texte") == "") | F.contains("texte", more), F.col("texte")).otherwise(F.concat_ws("\n\n", "texte", more)))
+    titles = _each(F.filter("cards", lambda c: F.lower(F.concat_ws(" ", c["type"], c["cardType"])).rlike(GROK_ARTIFACTS)), lambda c: _first_of(c["file_name"], c["title"]))
+    rows = rows.where((role == "assistant") | (F.col("texte") != ""))
     return finish(
-        rows, [F.col("at")], message_id=F.coalesce(F.col("r.responseId"), F.lit("")), role=role, model=F.col("r.model"), ts=T.parse_iso(F.col("r.createTime")), texte=T.clean_vendor_text(render_citations(F.coalesce(F.col("r.message"), F.lit("")), by_card)),
+        rows, [F.col("at")], keep_empty=True, message_id=F.coalesce(F.col("r.responseId"), F.lit("")), role=role, model=F.col("r.model"), ts=T.parse_iso(F.col("r.createTime")), texte=F.col("texte"), artifacts=titles,
         tools=_distinct(F.concat(F.transform(named, lambda n: tool_label(n, GROK_TOOLS, True)), F.array(*told))), sources=F.when(F.size(cited) > 0, cited).otherwise(found),
     )
 
@@ -338,23 +362,82 @@ def perplexity(payloads: DataFrame) -> DataFrame:
     return finish(turns, [F.col("at"), F.col("t.half")], keep_empty=True, message_id=F.coalesce("uuid", F.lit("")), role=F.col("t.role"), model=F.col("model"), ts=T.parse_iso(F.col("t.at")), texte=F.col("t.said"), reasoning=F.col("t.reasoning"), tools=F.col("t.tools"), sources=F.col("t.sources"), artifacts=F.col("t.artifacts"))
 
 
-MISTRAL = "messages struct<items:array<struct<id:string,version:int,parentId:string,parentVersion:int,role:string,createdAt:string,contentChunks:array<struct<type:string,text:string>>,files:array<struct<name:string,url:string>>>>>, chat struct<id:string,model:string>"
+_CANVAS = "struct<id:string,version:string,title:string,type:string,content:string>"
+MISTRAL = (
+    "messages struct<items:array<struct<id:string,version:int,parentId:string,parentVersion:int,role:string,createdAt:string,content:string,references:array<struct<url:string,title:string>>,citedSources:array<struct<url:string,title:string>>,"
+    "contentChunks:array<struct<type:string,text:string,id:string,version:string,name:string,fileUrl:string,fileAlt:string,imageUrl:string,_context:struct<type:string>,element:struct<type:string,attributes:struct<title:string>>,"
+    "publicMetadata:struct<display:struct<kind:string>>,publicResult:struct<results:array<struct<url:string,title:string>>>>>,files:array<struct<name:string,url:string>>>>>, "
+    f"chat struct<id:string,model:string>, canvases struct<items:array<{_CANVAS}>>"
+)
+#: Names of tools, starts of names, and those whose results are sources. Fixed values.
+MISTRAL_TOOLS = {
+    "web_search": "Recherche web", "open_search_results": "Résultats de recherche", "open_url": "Ouverture de page web", "search_tool_functions": "Recherche d'outil", "code_interpreter": "Exécution de code", "run_typescript": "Exécution de code", "bash": "Exécution de code",
+    "generate_image": "Génération d'image", "image_generation": "Génération d'image", "analyze_image": "Analyse d'image", "write_canvas": "Canvas", "read_file": "Lecture de fichier", "write_file": "Écriture de fichier", "search_replace": "Modification de fichier",
+    "skill": "Compétence", "read_resource": "Connecteur", "library_search": "Bibliothèque", "library_list": "Bibliothèque",
+}
+MISTRAL_STARTS = {"gmail": "Gmail", "github": "GitHub", "google_calendar": "Google Agenda", "library": "Bibliothèque"}
+MISTRAL_FINDS = ("web_search", "open_search_results", "open_url")
+
+
+def _mistral_tool(chunk: Column) -> Column:
+    """What the step of a chunk is called; empty for a name that can't be one."""
+    name = T.strip(F.coalesce(chunk["name"], F.lit("")))
+    made = F.when((name != "") & F.lower(F.concat_ws(" ", chunk["publicMetadata"]["display"]["kind"], name)).contains("canvas"), "Canvas")
+    known = F.try_element_at(F.create_map(*(F.lit(x) for kv in MISTRAL_TOOLS.items() for x in kv)), name)
+    begins = F.coalesce(*(F.when(F.lower(name).startswith(k), F.lit(v)) for k, v in MISTRAL_STARTS.items()))
+    return F.when(chunk["type"] == "canva", "Canvas").when(chunk["type"] == "tool_call", F.coalesce(made, known, begins, F.when(name.rlike(r"^[A-Za-z0-9_.\-]{1,60}$"), name), F.lit("")))
+
+
+def _mistral_text(m: Column, canvases: Column) -> Column:
+    """Text of an item: its chunks, else the canvas that it made, else its content as a whole; a question's content comes first."""
+    url = lambda c, f: T.strip(F.coalesce(c[f], F.lit("")))
+    alt = lambda c: F.coalesce(F.nullif(T.strip(F.coalesce(c["fileAlt"], F.lit(""))), F.lit("")), url(c, "fileUrl"))
+    part = lambda c: (
+        F.when((c["type"] == "text") & ~F.coalesce(c["_context"]["type"] == "reasoning", F.lit(False)), T.strip(c["text"]))
+        .when((c["type"] == "file_reference") & (url(c, "fileUrl") != ""), F.concat(F.lit("["), F.replace(F.replace(alt(c), F.lit("["), F.lit("\\[")), F.lit("]"), F.lit("\\]")), F.lit("]("), url(c, "fileUrl"), F.lit(")")))
+        .when((c["type"] == "image_url") & (url(c, "imageUrl") != ""), F.concat(F.lit("![image]("), url(c, "imageUrl"), F.lit(")")))
+        .when((c["type"] == "custom_element") & (c["element"]["type"] == "table-metadata"), T.strip(c["element"]["attributes"]["title"]))
+    )
+    chunks = _joined(F.transform(m["contentChunks"], part))
+    canvas = F.get(F.filter(F.transform(F.filter(m["contentChunks"], lambda c: c["type"] == "canva"), lambda c: _canvas_of(c, canvases)), lambda x: x.isNotNull()), 0)["content"]
+    return F.when(m["role"] == "user", _first_of(m["content"], chunks)).otherwise(_first_of(chunks, canvas, m["content"]))
+
+
+def _canvas_of(chunk: Column, canvases: Column) -> Column:
+    version = lambda x: F.coalesce(x["version"].try_cast("int"), F.lit(0))
+    return F.get(F.filter(canvases, lambda x: (x["id"] == chunk["id"]) & (version(x) == version(chunk))), 0)
 
 
 def mistral(payloads: DataFrame) -> DataFrame:
-    """Versioned items, along the parents of the newest one, with the other versions of each as variants; a missing parent's version is 0."""
+    """Versioned items, along the parents of the newest one, with the other versions of each as variants; a missing parent's version is 0. Answers have the canvases that their chunks name, their steps, and as sources their references, what their steps found and what they cite."""
     p = _read(payloads, MISTRAL)
-    rows = p.select("conversation_id", F.explode("p.messages.items").alias("m"))
-    flat = rows.select("conversation_id", F.concat_ws("@", "m.id", F.coalesce("m.version", F.lit(0)).cast("string")).alias("id"), F.when(F.col("m.parentId").isNotNull(), F.concat_ws("@", "m.parentId", F.coalesce("m.parentVersion", F.lit(0)).cast("string"))).alias("parent"), "m")
+    rows = p.select("conversation_id", F.coalesce("p.canvases.items", F.expr(f"CAST(array() AS array<{_CANVAS}>)")).alias("canvases"), F.explode("p.messages.items").alias("m")).where("m IS NOT NULL")
+    flat = rows.select("conversation_id", "canvases", F.concat_ws("@", "m.id", F.coalesce("m.version", F.lit(0)).cast("string")).alias("id"), F.when(F.col("m.parentId").isNotNull(), F.concat_ws("@", "m.parentId", F.coalesce("m.parentVersion", F.lit(0)).cast("string"))).alias("parent"), "m")
     flat = flat.withColumn("k", F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.col("m.createdAt").desc_nulls_last(), F.col("id").desc())))
-    said = lambda thinking: _joined(F.transform(F.filter("m.contentChunks", lambda c: (c["type"] == "reasoning") if thinking else (c["type"] == "text")), lambda c: c["text"]), "")
     files = F.transform("m.files", lambda f: F.concat(F.lit("["), f["name"], F.lit("]("), f["url"], F.lit(")")))
     answer = F.col("m.role") == "assistant"
+    flat = flat.withColumn("said", T.math(_joined(F.array(_mistral_text(F.col("m"), F.col("canvases")), _joined(files)))))
     same = Window.partitionBy("conversation_id", F.when(answer, F.concat_ws("@", F.lit("p"), F.coalesce("parent", F.lit("")))).otherwise(F.concat_ws("@", F.lit("i"), "m.id")))
     kind = F.when(answer, "regeneration").otherwise("edit")
-    flat = flat.withColumn("variants", _variants(same, F.coalesce("m.version", F.lit(0)), kind, T.math(said(False)), T.parse_iso(F.col("m.createdAt")), F.col("id"), F.col("id"), F.col("m.id")))
+    flat = flat.withColumn("variants", _variants(same, F.coalesce("m.version", F.lit(0)), kind, F.col("said"), T.parse_iso(F.col("m.createdAt")), F.col("id"), F.col("id"), F.col("m.id")))
     walk = follow(flat.withColumns({"next": F.col("parent"), "start": F.col("k") == 1}), "id")
-    return finish(flat.join(walk, ["conversation_id", "id"]), [-F.col("depth")], variants=F.col("variants"), message_id=F.col("m.id"), role=F.col("m.role"), ts=T.parse_iso(F.col("m.createdAt")), texte=_joined(F.array(T.math(said(False)), _joined(files))), reasoning=said(True))
+    on, none = flat.join(walk, ["conversation_id", "id"]), F.expr(_NONE)
+    thinks = lambda c: (c["type"] == "reasoning") | (c["type"] == "text") & F.coalesce(c["_context"]["type"] == "reasoning", F.lit(False))
+    why = T.math(_joined(F.transform(F.filter("m.contentChunks", thinks), lambda c: T.strip(c["text"]))))
+    named = lambda x: F.when((_first_of(x["title"]) != "") & (_first_of(x["type"]) != ""), F.concat(_first_of(x["title"]), F.lit(" ("), _first_of(x["type"]), F.lit(")"))).otherwise(_first_of(x["title"], x["type"]))
+    artifacts = _each(F.filter("m.contentChunks", lambda c: c["type"] == "canva"), lambda c: named(_canvas_of(c, F.col("canvases"))))
+    pair = "array<struct<url:string,title:string>>"
+    some = lambda c: F.coalesce(c, F.expr(f"CAST(array() AS {pair})"))
+    results = F.flatten(F.transform(F.filter("m.contentChunks", lambda c: (c["type"] == "tool_call") & c["name"].isin(*MISTRAL_FINDS)), lambda c: some(c["publicResult"]["results"])))
+    on = on.withColumn("found", F.filter(F.concat(some(F.col("m.references")), some(results), some(F.col("m.citedSources"))), lambda x: T.strip(x["url"]).rlike("^https?://")))
+    on = on.withColumn("found", first_by(F.col("found"), lambda x: T.strip(x["url"])))
+    title = lambda x: T.collapse(F.coalesce(x["title"], F.lit("")))
+    sources = F.slice(F.transform("found", lambda x: F.when((title(x) != "") & ~F.contains(T.strip(x["url"]), title(x)), F.concat(title(x), F.lit(" — "), T.strip(x["url"]))).otherwise(F.coalesce(F.nullif(title(x), F.lit("")), T.strip(x["url"])))), 1, MOST_SOURCES)
+    only = lambda c: F.when(answer, c).otherwise(none)
+    return finish(
+        on, [-F.col("depth")], variants=F.col("variants"), message_id=F.col("m.id"), role=F.col("m.role"), ts=T.parse_iso(F.col("m.createdAt")), texte=F.col("said"), reasoning=F.when(answer, why).otherwise(""),
+        tools=only(_each(F.col("m.contentChunks"), _mistral_tool)), sources=only(sources), artifacts=only(artifacts),
+    )
 
 
 def attach_thread_sources(messages: DataFrame, thread: DataFrame) -> DataFrame:

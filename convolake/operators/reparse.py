@@ -20,7 +20,7 @@ FILLED = ("ts", "model", "message_id")
 def parse(payloads: DataFrame, page_rows: DataFrame) -> DataFrame:
     """Messages of payloads (platform, conversation_id, payload) and of the pages (platform, conversation_id, html) of conversations without one, with the origin remapped or reparsed. Of artefacts of one conversation the first by text counts."""
     one = lambda rows, c: rows.groupBy(*KEYS).agg(F.min(c).alias(c))
-    raw, shown = one(payloads, "payload"), one(page_rows, "html").join(payloads.select(*KEYS).distinct(), KEYS, "left_anti")
+    raw, shown = saved(one(payloads, "payload"), "reparse-payloads"), saved(one(page_rows, "html").join(payloads.select(*KEYS).distinct(), KEYS, "left_anti"), "reparse-pages")  # each is read once for each vendor
     made = [parsers.MAPPERS[p](raw.where(F.col("platform") == p)).withColumns({"platform": F.lit(p), "origin": F.lit("remapped")}) for p in parsers.MAPPERS]
     made += [pages.read_pages(shown.where(F.col("platform") == p), p).withColumns({"platform": F.lit(p), "origin": F.lit("reparsed")}) for p in pages.PAGES]
     return reduce(DataFrame.unionByName, made)

@@ -244,3 +244,35 @@ def test_payloads_may_come_as_copies(spark):
     payload = {"entries": [entry(block("ask_text", "x"))]}
     a, b = mapped(spark, "perplexity", payload, copy.deepcopy(payload))
     assert [m[1:] for m in a] == [m[1:] for m in b]
+
+
+def test_files_and_errors_of_responses(spark):
+    card = lambda **x: json.dumps(x)
+    file = lambda key, name="n", mime="text/plain": {"key": key, "name": name, "mimeType": mime}
+    r = [
+        {"sender": "human", "message": "see", "fileAttachmentAssetMetadata": [file("/users/1/content", " a[1].png ", "IMAGE/png"), file("", "no"), file("k/2", "")], "fileAttachmentsMetadata": [{"fileUri": "unused"}]},
+        {"sender": "assistant", "message": "", "streamErrors": [{"message": " "}, {"message": "limit"}], "cardAttachmentsJson": [card(type="render_file", file_name="r.txt", mime_type="text/plain", file_size=7), "broken{"]},
+        {"sender": "human", "message": " ", "fileAttachmentsMetadata": [{"fileUri": "u/3", "fileName": "d.pdf"}]}, {"sender": "assistant", "message": None, "cardAttachmentsJson": [card(cardType="rendered_file_card", file_name="x.docx", file_size="big"), card(type="canvas", title="C")]},
+        {"sender": "human", "message": ""}, {"sender": "assistant", "message": "", "generatedImageUrls": ["https://g/1", "g/2", ""]}, {"sender": "assistant", "message": "", "metadata": {"request_metadata": {"stream_errors": [{"message": "late"}]}}}, {"sender": "assistant"},
+    ]
+    got = mapped(spark, "grok", {"responses": r})
+    assets = parsers.GROK_ASSETS
+    assert [(m.role, m.texte, m.artifacts) for m in got] == [
+        ("user", f"see\n\n![a\\[1\\].png]({assets}/users/1/content)\n\n[fichier]({assets}/k/2)", []), ("assistant", "limit\n\nFichier généré : r.txt (text/plain, 7 o)", ["r.txt"]), ("user", f"[d.pdf]({assets}/u/3)", []),
+        ("assistant", "Fichier généré : x.docx", ["x.docx", "C"]), ("assistant", f"![image](https://g/1)\n\n![image]({assets}/g/2)", []), ("assistant", "late", []), ("assistant", "", []),
+    ]
+
+
+def test_canvases_steps_and_sources(spark):
+    item = lambda i, role, at, parent=None, chunks=(), **more: {"id": i, "version": 0, "parentId": parent, "role": role, "createdAt": f"2026-01-01T00:00:0{at}Z", "contentChunks": list(chunks)} | more
+    step = lambda name, kind=None, results=None: {"type": "tool_call", "name": name, "publicMetadata": {"display": {"kind": kind}}, "publicResult": {"results": results}}
+    text = lambda t, why=False: {"type": "text", "text": t, "_context": {"type": "reasoning"} if why else None}
+    found = [{"url": "https://b", "title": "B  b"}, {"url": "ftp://x"}, {"url": "https://a", "title": "again"}]
+    rich = [text(" why ", True), text("one \\\\(x\\\\)".replace("\\\\", "\\")), {"type": "file_reference", "fileUrl": "https://f", "fileAlt": "a"}, {"type": "image_url", "imageUrl": "https://i"}, {"type": "custom_element", "element": {"type": "table-metadata", "attributes": {"title": "Table"}}}, step("web_search", None, found), step("gmail_send"), step("odd name of a step"), step("new_step"), step("x", "canvas-1"), {"type": "canva", "id": "k", "version": "1"}]
+    items = [item("u", "user", 0, content="Q", files=[{"name": "n", "url": "u"}]), item("a", "assistant", 1, "u", rich, references=[{"url": "https://a", "title": "A"}], citedSources=[{"url": "https://host/c", "title": "host"}]), item("v", "user", 2, "a", content="more"), item("b", "assistant", 3, "v", [{"type": "canva", "id": "k", "version": 1}], content="not this"), item("w", "user", 4, "b", [text("of chunks")]), item("c", "assistant", 5, "w", content=" whole ")]
+    payload = {"messages": {"items": items}, "canvases": {"items": [{"id": "k", "version": 0, "title": "old"}, {"id": "k", "version": 1, "title": "Plan", "type": "text/html", "content": "<b>"}]}}
+    got = mapped(spark, "mistral", payload)
+    assert [m.texte for m in got] == ["Q\n\n[n](u)", "one $x$\n\n[a](https://f)\n\n![image](https://i)\n\nTable", "more", "<b>", "of chunks", "whole"]
+    a = got[1]
+    assert (a.reasoning, a.tools, a.artifacts) == ("why", ["Recherche web", "Gmail", "new_step", "Canvas"], ["Plan (text/html)"])
+    assert a.sources == ["A — https://a", "B b — https://b", "host"]
