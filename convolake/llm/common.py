@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +112,18 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     return told.where("NOT __may").select(*docs.columns).unionByName(rest.select(*docs.columns)).unionByName(one.select(*docs.columns))
 
 
+def blocks(values: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Stretches (begin, end) of a batch of about so many characters; a longer text is one by itself."""
+    begin, n = 0, 0
+    for k, t in enumerate(values):
+        n += len(t)
+        if n >= size:
+            yield begin, k + 1
+            begin, n = k + 1, 0
+    if begin < len(values):
+        yield begin, len(values)
+
+
 def without_collector(run):
     """A batch function whose large tables hold no cycles: the collector would walk them again and again. It is on again for the worker's next task."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convolake.llm.common import texts, without_collector
+from convolake.llm.common import blocks, texts, without_collector
 from convolake.llm.pieces import MARK, Pieces, chunks, marked_words, model_bytes
 
 
@@ -104,7 +104,27 @@ class Codec:
                 return True
 
     def learn(self, keys: Iterable[str]) -> None:
-        """Adds the identifiers of words to the table, walking the marked words as a trie."""
+        """Adds the identifiers of words to the table. A word whose last character no piece has after the one before it, such as a sign after letters, is the word without it, and that character."""
+        pairs, alone = self.pieces.pairs, self.alone
+        parted = [k for k in keys if len(k) > 2 and k[-2:] not in pairs and k[-1] in alone and k[-2] not in (HEAD, MARK)]
+        whole = {k[:-1] for k in parted}
+        whole.update(keys)
+        whole.difference_update(parted)
+        whole.difference_update(self.known)
+        again = whole & self.older.keys()
+        self.known.update((k, self.older[k]) for k in again)
+        self.walk(whole - again)
+        last = {c: array("i", [i]).tobytes() for c, i in alone.items() if len(c) == 1}
+        rest = []
+        for k in parted:
+            if (ids := self.known.get(k[:-1])) is None or k[:-1] in self.odd:
+                rest.append(k)  # what is left of it is parted itself
+            else:
+                self.known[k] = ids + last[k[-1]]
+        self.walk(rest)
+
+    def walk(self, keys: Iterable[str]) -> None:
+        """Adds the identifiers of words, walking the marked words as a trie."""
         words = {word_of(k): k for k in keys}
         sizes, tokens = [0], [0]  # of each prefix of the word before its last token: length and identifier; no length for a character outside the vocabulary
         before = ""
@@ -201,18 +221,6 @@ class Codec:
         return self.said(ids.tolist()).replace(MARK, " ").removeprefix(" ")
 
 
-def _blocks(values: list[str], size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Stretches of a batch of about so many characters."""
-    start, n = 0, 0
-    for k, t in enumerate(values):
-        n += len(t)
-        if n > size:
-            yield start, values[start : k + 1]
-            start, n = k + 1, 0
-    if start < len(values):
-        yield start, values[start:]
-
-
 def encode(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, ids array<int>, n_tokens, ids_sha256 (of the identifiers as little-endian 32-bit integers), round_trip (decoding gives the text)."""
     model = model or model_bytes()
@@ -221,7 +229,9 @@ def encode(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(Pieces(model), splits=splits)
         for batch in batches:
-            for start, block in _blocks(batch.column(1).to_pylist()):
+            values = batch.column(1).to_pylist()
+            for start, end in blocks(values):
+                block = values[start:end]
                 ids, same = zip(*codec.encode_and_check(block), strict=True)
                 sizes = np.array([0, *map(len, ids)], np.int64).cumsum()
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids)))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolake.llm.common import saved, texts
+from convolake.llm.common import blocks, saved, texts
 
 #: Letters of the contract, as a class for Java's expressions. A fixed value.
 LETTERS = r"[A-Za-zÀ-ÿ]"
@@ -76,22 +76,10 @@ def deletion_keys(ids: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.nda
     return np.concatenate([whole, keys[last]]).view(np.int64), np.concatenate([ids, ids[of[last]]]), np.concatenate([none, first[last]]), np.concatenate([none, place[last]])
 
 
-def _blocks(words: list[str]) -> Iterator[tuple[int, int]]:
-    """Stretches of a batch with about BLOCK characters."""
-    begin, n = 0, 0
-    for k, w in enumerate(words):
-        n += len(w)
-        if n >= BLOCK:
-            yield begin, k + 1
-            begin, n = k + 1, 0
-    if begin < len(words):
-        yield begin, len(words)
-
-
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, words = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        for i, j in _blocks(words):
+        for i, j in blocks(words, BLOCK):
             key, of, first, last = deletion_keys(ids[i:j], words[i:j])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["key", "id", "first", "last"])
 
