@@ -5,8 +5,7 @@ goes. A shard is two Arrow files: one of record batches with two fixed-size list
 (mask false); and one of the documents, with the place of their first identifier in the shard and their number. Buffers are not compressed, so a mapped file gives any row, or any document
 within a batch, as a view of its bytes: place p is row p / length.
 
-The library encodes; as white space parts words for it, each distinct word of a task is encoded once, words that differ in the case of ASCII letters or in a comma or full stop at their end
-only once together. Files carry the task attempt in their names, and the table of shards, which Spark commits, has those of the attempts that count: a task that is run again
+The library encodes; as white space parts words for it, each distinct word of a task is encoded once, and words of Latin letters that differ in case, or in the signs at their end, only once together, by the library's model alone. Files carry the task attempt in their names, and the table of shards, which Spark commits, has those of the attempts that count: a task that is run again
 leaves files that nobody reads.
 
 Null and empty texts have the end identifier only. Null doc_ids come first. Rows that repeat a doc_id stay rows of their own, ordered by a hash of their text. A range with no
@@ -16,6 +15,7 @@ document has no shard; an empty table gives an empty result, and no file. Column
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -27,12 +27,12 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolake.llm.common import saved, scratch, texts, without_collector
+from convolake.llm.common import blocks, saved, scratch, texts, without_collector
 
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 64 << 20
 #: White space at which a text is cut before the library sees it; all of it is white space to the library. A fixed value.
-BREAKS = str.maketrans(dict.fromkeys("\t\n\v\f\r", " "))
+BREAKS = "\n\t\r\v\f"
 
 
 def tokenizer_bytes(path: str | None = None) -> bytes:
@@ -45,49 +45,75 @@ def tokenizer_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
+#: A word of letters that lower-case one by one, alone or before signs that the library parts from it. Letters and signs are fixed values.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """What stands for the UTF-8 bytes of the letters from À on in a vocabulary of bytes: a byte that prints as itself in Latin-1 does so, and the others come after them from 256 on, in order."""
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
+    said = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(said[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class WordIds(dict):
-    """Identifiers of a word as bytes of a type, by the word; a bounded table that begins anew when it is full. words_apart: white space parts words and drops out, and letters of either case are one, so that words can be encoded by themselves."""
+    """Identifiers of words as bytes of a type, by the word. This and older hold at most limit of them: when this is full it becomes older, and a word that is met again moves back."""
 
     def __init__(self, tokenizer: bytes, kind: str, limit: int):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.library, self.kind, self.limit = Tokenizer.from_buffer(tokenizer), kind, limit
+        self.model, self.letters = self.library.model, byte_letters()
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        """A whole text by the library."""
+        return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
+        if len(self) >= self.limit // 2:
+            self.older = dict(self)
             self.clear()
-        n = len(word) - 1
-        if word.isascii():
-            if n > 0 and word[n] in ",." and word[n - 1].isalpha():
-                ids = self[word[:n]] + self[word[n]]
-            elif word.isalpha() and not word.islower():
-                ids = self[word.lower()]
-            else:
-                ids = self.encode(word)
-        else:
-            ids = self.encode(word)
-        if n < 64:
-            self[word] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.made(word)
+        self[word] = ids
         return ids
 
+    def made(self, word: str) -> bytes:
+        """A word of letters goes to the library's model as its lower-cased bytes, which is all that the library does before; signs after it come apart; any other word takes the library's whole way."""
+        plain = PLAIN.fullmatch(word)
+        if not plain:
+            return self.encode(word)
+        letters, signs = plain.groups()
+        low = letters.lower()
+        if signs:
+            return self[low] + self[signs]
+        if low != letters:
+            return self[low]
+        return array(self.kind, [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))]).tobytes()
+
     def of(self, text: str) -> bytes:
-        """Identifiers of a whole text."""
-        return b"".join(map(self.__getitem__, text.translate(BREAKS).split(" "))) if text else b""
+        """Identifiers of a whole text, by its words."""
+        for c in BREAKS:
+            if c in text:
+                text = text.replace(c, " ")
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
 
 def words_apart(tokenizer: bytes) -> bool:
-    """Whether the library's encoding of a text is that of its words one after the other, whatever white space is between them, and of ASCII letters in either case alike."""
+    """Whether the library's encoding of a text is that of its words one after the other, whatever white space is between them: that it composes, lower-cases, cuts at a known pattern and maps bytes, and does nothing else."""
     import json
 
     said = json.loads(tokenizer)
-    norm = said.get("normalizer") or {}
-    kinds = [x.get("type") for x in norm.get("normalizers", [norm])]
-    split = [x for x in (said.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
-    return "Lowercase" in kinds and len(split) == 1 and split[0]["behavior"] == "Removed" and split[0]["invert"] and split[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    kinds = [x.get("type") for x in (said.get("normalizer") or {}).get("normalizers", [])]
+    parts = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if kinds != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in parts] != ["Split", "ByteLevel"] or said["model"].get("type") != "BPE":
+        return False
+    split, mapped = parts
+    pattern = split["pattern"].get("Regex", "")
+    return split["behavior"] == "Removed" and split["invert"] and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and not (mapped["add_prefix_space"] or mapped["use_regex"])
 
 
 def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -186,7 +212,7 @@ class Shard:
                 yield reader.get_batch(k)
 
 
-def write_sequences(docs: DataFrame, folder: str | None = None, tokenizer: bytes | None = None, length: int = 2048, end_id: int = 1, shard_bytes: int = SHARD_BYTES, batch_rows: int = 256, known_words: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_sequences(docs: DataFrame, folder: str | None = None, tokenizer: bytes | None = None, length: int = 2048, end_id: int = 1, shard_bytes: int = SHARD_BYTES, batch_rows: int = 256, known_words: int = 800_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards of docs to a folder that all executors and the driver share (by default one of this session) and returns a row for each: shard (its place in their order), path, n_docs, n_ids, n_rows."""
     tokenizer = tokenizer or tokenizer_bytes()
     apart = words_apart(tokenizer)
@@ -215,7 +241,9 @@ def write_sequences(docs: DataFrame, folder: str | None = None, tokenizer: bytes
                 continue
             if out is None:
                 out = ShardWriter(folder, f"shard-{task.partitionId():06d}-{task.taskAttemptId()}", length, batch_rows, kind, batch.schema.field(0).type)
-            out.write(batch.column(0), [encode(t) + end for t in batch.column(1).to_pylist()])
+            values = batch.column(1).to_pylist()
+            for i, j in blocks(values):
+                out.write(batch.column(0).slice(i, j - i), [encode(t) + end for t in values[i:j]])
         if out is not None:
             out.close()
             said = (task.partitionId(), f"{folder}/{os.path.basename(out.paths[0])}", out.n_docs, out.n_ids, -(-out.n_ids // length))

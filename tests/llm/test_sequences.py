@@ -26,8 +26,9 @@ def cases():
 
 def test_words_by_themselves_give_the_library_s_identifiers(library):
     known = sequences.WordIds(sequences.tokenizer_bytes(), "I", 300)
-    for t in cases():
-        t = t or ""
+    every = [t or "" for t in cases()] + ["Straße! ÀÉ,. x--- a'b' c' 'd d's DON'T! Ÿ Ÿ, µ ª² ×÷ a× b÷. ſ K", "a<|endoftext|>, b,<|endoftext|> <|endoftext|"]
+    every += [" ".join(chr(c) * 3 + "x" for c in range(0xC0, 0x100)), " ".join(map(chr, range(0x21, 0x250)))]
+    for t in every:
         assert np.frombuffer(known.of(t), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
