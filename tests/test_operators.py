@@ -138,8 +138,8 @@ def test_pending_reasoning(spark):
     m = lambda role, kind, **c: {"id": c.pop("id", ""), "author": {"role": role}, "content": {"content_type": kind, **c}, "metadata": {}}
     talk = [m("system", "text", parts=["no"]), m("user", "text", id="u", parts=["q"]), m("assistant", "thoughts", thoughts=[{"summary": "s", "content": "t"}]), m("assistant", "text", id="a", parts=["r \\(x\\)"]), m("assistant", "thoughts", thoughts=[{"summary": "lost", "content": ""}]), m("user", "text", id="v", parts=["p"])]
     df = spark.createDataFrame([("c", json.dumps({"messages": talk}))], "conversation_id string, payload string")
-    got = [(r.role, r.texte, r.reasoning, r.message_id) for r in parsers.chatgpt(df).orderBy("pos").collect()]
-    assert got == [("user", "q", "", "u"), ("assistant", "r $x$", "s\nt", "a"), ("assistant", "", "lost", ""), ("user", "p", "", "v")]
+    got = [(r.role, r.texte, r.reasoning, r.message_id, r.tools) for r in parsers.chatgpt(df).orderBy("pos").collect()]
+    assert got == [("user", "q", "", "u", []), ("assistant", "r $x$", "t", "a", ["s"]), ("user", "p", "", "v", [])]
 
 
 def test_branch_of_a_tree(spark):
