@@ -10,6 +10,7 @@ from convolake.llm.queries import ORACLE_SQL, QUERIES
 COLUMNS = {
     "op1": ["doc_id", "held_out", "score", "predicted"], "op2": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], "op4": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op5": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], "op7": ["doc_id", "n_words", "n_removed", "kept_sha256"], "op8": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op11": ["word", "form", "root", "n", "n_near", "form_n"], "op12": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"], "op13": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
 
