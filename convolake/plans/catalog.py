@@ -388,7 +388,8 @@ def _capable(m: DataFrame) -> DataFrame:
     k = F.pmod(F.col("msg_seq"), F.lit(len(_SHOWS))).cast("int")
     name = F.get(F.array(*map(F.lit, _SHOWS)), k)
     filled = lambda n, c: F.when(name == n, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias(c)
-    tool = F.when(F.element_at(F.create_map(*(F.lit(x) for kv in _BY_TOOL.items() for x in kv)), F.when(name.isin(*_BY_TOOL), name).otherwise("connectors")).isNotNull() & name.isin(*_BY_TOOL), F.array(F.element_at(F.create_map(*(F.lit(x) for kv in _BY_TOOL.items() for x in kv)), F.when(name.isin(*_BY_TOOL), name).otherwise("connectors")))).otherwise(F.array().cast("array<string>"))
+    label = F.try_element_at(F.create_map(*(F.lit(x) for kv in _BY_TOOL.items() for x in kv)), name)
+    tool = F.when(label.isNotNull(), F.array(label)).otherwise(F.array().cast("array<string>"))
     return m.select("platform", "conversation_id", "pos", F.get(F.array(*map(F.lit, _SHOWS.values())), k).alias("texte"), F.when(name == "reasoning", "why").otherwise("").alias("reasoning"), filled("artifact_canvas", "artifacts"), filled("web_search_citations", "sources"), tool.alias("tools"))
 
 
