@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolake.llm.common import blocks, saved, scratch, texts, without_collector
@@ -252,7 +252,7 @@ def write_sequences(docs: DataFrame, folder: str | None = None, tokenizer: bytes
     return saved(ordered.mapInArrow(without_collector(run), "shard long, path string, n_docs long, n_ids long, n_rows long"), "sequence-shards")
 
 
-def sums_before(rows: DataFrame, place: str, value: str, block: int = 1000) -> Column | DataFrame:
+def sums_before(rows: DataFrame, place: str, value: str, block: int = 1000) -> DataFrame:
     """rows with start: the sum of value over all rows of smaller place. Blocks of places are summed first, so that no task orders more than one block, or one row for each."""
     blocked = rows.withColumn("__block", F.floor(F.col(place) / block))
     before = lambda *part: Window.partitionBy(*part).orderBy(part and place or "__block").rowsBetween(Window.unboundedPreceding, -1)
