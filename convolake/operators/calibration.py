@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -80,44 +79,54 @@ def minimum_cover(tests: DataFrame, key: str, place: str = "place", found: str =
     return distinct.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {place} {kinds[place]}")
 
 
+def assign(left: pd.DataFrame, right: pd.DataFrame, key: str, place: str) -> pd.DataFrame:
+    """queue_coverage() of one key. Of the parts of an export's short key only those are held that an entry asks for, so what is held grows with the rows and the pairs that do contain one another."""
+    left, right, out = left.sort_values(place), right.sort_values(place), []
+    asked = {s for s in left["short"] if s}
+    sizes = {len(s) for s in asked}
+    parts = lambda s, of: {s[i : i + n] for n in of if n <= len(s) for i in range(len(s) - n + 1)}
+    unused, later, last, shorts, exact, inside = {}, {}, {}, {}, {}, {}  # first place by long key, next place of its key by place, last place and short key by long key, long keys by short key, short keys by part
+    for j, (s, long) in enumerate(zip(right["short"], right["long"], strict=True)):
+        if not s:
+            continue
+        if long in last:
+            later[last[long]] = j
+        else:
+            unused[long] = j
+        last[long] = j
+        shorts[long] = s
+        if s not in exact:
+            exact[s] = {}
+            for x in parts(s, sizes) & asked:
+                inside.setdefault(x, {})[s] = None
+        exact[s][long] = None
+    own = {len(s) for s in exact}
+    for k, p, short, long in left[[key, place, "short", "long"]].itertuples(index=False):
+        best = None
+        if short and long in unused:
+            best = long  # no other is as like
+        elif short:
+            keys = dict.fromkeys(inside.get(short, ())) | dict.fromkeys(x for x in parts(short, own) if x in exact)
+            near = [x for s in keys for x in exact[s]]
+            best = max(near, key=lambda x: (SequenceMatcher(None, long, x).ratio(), -unused[x])) if len(near) > 1 else near[0] if near else None
+        if best is not None:
+            unused[best] = later.pop(unused[best], None)
+            if unused[best] is None:  # the last export of this key leaves the index
+                s = shorts[best]
+                del unused[best], exact[s][best]
+                if not exact[s]:
+                    del exact[s]
+                    for x in parts(s, sizes) & asked:
+                        inside[x].pop(s)
+        out.append((k, p, best is not None))
+    return pd.DataFrame(out, columns=[key, place, "present"])
+
+
 def queue_coverage(queue: DataFrame, exported: DataFrame, key: str = "platform", place: str = "place", text_col: str = "texte") -> DataFrame:
     """Entries of a queue with whether the export has them: one to one, by containment of the short keys, ties by the likeness of the long ones. Candidates come from an index of the parts of short keys; exports of one long key are one candidate, the first unused. A platform's queue is one group."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right, out = left.sort_values(place), right.sort_values(place), []
-        sizes = {len(s) for s in left["short"] if s}
-        parts = lambda s, of: {s[i : i + n] for n in of if n <= len(s) for i in range(len(s) - n + 1)}
-        unused, shorts, exact, inside = {}, {}, {}, {}  # places and short key by long key, long keys by short key, short keys by part
-        for j, (s, long) in enumerate(zip(right["short"], right["long"], strict=True)):
-            if not s:
-                continue
-            unused.setdefault(long, deque()).append(j)
-            shorts[long] = s
-            if s not in exact:
-                exact[s] = {}
-                for x in parts(s, sizes):
-                    inside.setdefault(x, {})[s] = None
-            exact[s][long] = None
-        own = {len(s) for s in exact}
-        for k, p, short, long in left[[key, place, "short", "long"]].itertuples(index=False):
-            best = None
-            if short and long in unused:
-                best = long  # no other is as like
-            elif short:
-                keys = dict.fromkeys(inside.get(short, ())) | dict.fromkeys(x for x in parts(short, own) if x in exact)
-                near = [x for s in keys for x in exact[s]]
-                best = max(near, key=lambda x: (SequenceMatcher(None, long, x).ratio(), -unused[x][0])) if len(near) > 1 else near[0] if near else None
-            if best is not None:
-                unused[best].popleft()
-                if not unused[best]:  # the last export of this key leaves the index
-                    s = shorts[best]
-                    del unused[best], exact[s][best]
-                    if not exact[s]:
-                        del exact[s]
-                        for x in parts(s, sizes):
-                            inside[x].pop(s)
-            out.append((k, p, best is not None))
-        return pd.DataFrame(out, columns=[key, place, "present"])
+        return assign(left, right, key, place)
 
     def keyed(d: DataFrame) -> DataFrame:
         return d.select(key, place, T.match_key(F.col(text_col), 25).alias("short"), T.match_key(F.col(text_col), 120).alias("long"))
