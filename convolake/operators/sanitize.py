@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What is looked for. Fixed values.
-UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
+from convolake.functions.text import let
+
+#: What is looked for. Fixed values. Runs are taken from their start or the end of the match before, and not given back, so that a long run is read once.
+UUID = r"(?=[0-9a-fA-F])\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
 JWT = r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?"
-SAS = r"(?i)((?:[?&]|\\u0026|&amp;)(?:sig|sv|spr|se|skoid|sktid|skt|ske|sks|skv|sr|sp)=)(?!REDACTED)[^&\"\\<>)\s]+"
+SAS = r"(?i)(?=[?&\\])((?:[?&]|\\u0026|&amp;)(?:sig|sv|spr|se|skoid|sktid|skt|ske|sks|skv|sr|sp)=)(?!REDACTED)[^&\"\\<>)\s]+"
 SENTRY = r"(?i)(sentry-[a-z_]+=)(?!REDACTED)[^&\"'\s,]+"
-CALENDAR = r"[A-Za-z0-9._%+-]+@group\.(?:v\.)?calendar\.google\.com"
+CALENDAR = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@group\.(?:v\.)?calendar\.google\.com"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 SAFE_EMAIL = r"(?i)@(?:example\.(?:com|work|invalid)|group\.(?:v\.)?calendar\.google\.com)\b"
 LOCAL_PATH = r"/(?:home|Users)/[^/\"'\s*]+/Documents/code"
-SENTRY_KEY = r"[A-Za-z0-9]{20,}@o\d+\.ingest\.[A-Za-z0-9.]+\.sentry\.io"
+SENTRY_KEY = r"(?:\G|(?<![A-Za-z0-9]))[A-Za-z0-9]{20,}+@o\d+\.ingest\.[A-Za-z0-9.]+\.sentry\.io"
 HEX_ID = r"gemini\.google\.com/app/[0-9a-f]{16}\b|\"conversation_id\"\s*:\s*\"[0-9a-f]{16}\""
 HEX = r"[0-9a-f]{16}"
 #: What stands in their place. Fixed values.
@@ -46,7 +48,7 @@ def sanitize(c: Column, emails: dict[str, str] | None = None, paths: dict[str, s
         """What of matches in each match of pattern, replaced there."""
         own = lambda x: F.regexp_extract(x, of, 0)
         fake = lambda u: F.when(F.lower(u).startswith(start), u).otherwise(F.concat(F.lit(start), F.substring(F.sha1(F.concat(F.lit(namespace), F.lower(u))), 1, 12)))
-        return F.aggregate(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))), c, lambda t, x: F.replace(t, x, F.replace(x, own(x), fake(own(x)))))
+        return let(c, lambda said: F.aggregate(F.array_distinct(F.regexp_extract_all(said, F.lit(pattern), F.lit(0))), said, lambda t, x: F.replace(t, x, F.replace(x, own(x), fake(own(x))))))
 
     c = stood_in(c, HEX_ID, HEX, FAKE_HEX)
     c = stood_in(_replaced(_replaced(c, paths), names), UUID, UUID, FAKE_UUID)
