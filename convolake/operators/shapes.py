@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from convolake.functions import text as T
 from convolake.operators.base import sql_operator
+from convolake.scratch import saved
 
 #: Weights of the score, floor of coverage, penalty of an emptied list. Fixed values.
 STRUCTURE, TYPES, CARDINALITY, FLOOR, EMPTIED = 0.60, 0.25, 0.15, 0.75, 20.0
@@ -113,16 +114,19 @@ CHANGES = ("added", "removed", "type", "cardinality", "format")
 
 
 def payload_health(reference: DataFrame, rows: DataFrame, key: str = "payload_id", threshold: float = 95.0) -> DataFrame:
-    """Per payload of shape rows: its score against the merged reference, whether it only adds paths, its level, and the first MOST_KEYS paths that differ, by kind of change and then path."""
-    live = merge(rows, key)
-    ids = live.select(key).distinct()
-    ref = ids.join(F.broadcast(reference.select("path", F.col("kinds").alias("ref_kinds"), F.col("bucket_rank").alias("ref_rank"), F.col("tags").alias("ref_tags"))), F.lit(True))  # a reference is one shape
-    both = ref.join(live, [key, "path"], "full_outer")
-    return differences(both, key, threshold)
+    """Per payload of shape rows: its score against the merged reference, whether it only adds paths, its level, and the first MOST_KEYS paths that differ, by kind of change and then path. Payloads of one shape share all of this, so rows are read once, and what is compared grows with the distinct shapes."""
+    entry = F.struct("path", "kinds", "bucket_rank", "tags")
+    own = merge(rows, key).groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("shape"))
+    own = saved(own.withColumn("named", F.sha2(F.to_json("shape"), 256)), "shapes")
+    distinct = own.groupBy("named").agg(F.any_value("shape").alias("shape"))
+    ref = distinct.select("named").join(F.broadcast(reference.select("path", F.col("kinds").alias("ref_kinds"), F.col("bucket_rank").alias("ref_rank"), F.col("tags").alias("ref_tags"))), F.lit(True))  # a reference is one shape
+    both = ref.join(distinct.select("named", F.inline("shape")), ["named", "path"], "full_outer")
+    told = saved(differences(both, "named", threshold), "shape-health")  # its size on disk tells whether it is broadcast
+    return own.select(key, "named").join(told, "named").select(key, "score", "level", "additive", "keys", "fits")
 
 
 def differences(both: DataFrame, key: str, threshold: float) -> DataFrame:
-    """payload_health() of paths side by side."""
+    """Health by key of paths side by side."""
     changed = both.withColumn("change", change())
     lists = F.collect_list(F.when(F.col("change") != "same", F.struct(F.array_position(F.array(*map(F.lit, CHANGES)), F.col("change")).alias("k"), "path")))
     told = changed.groupBy(key).agg(F.slice(F.transform(F.sort_array(lists), lambda x: x["path"]), 1, MOST_KEYS).alias("keys"), (F.count_if(~F.col("change").isin("same", "added")) == 0).alias("additive"))
