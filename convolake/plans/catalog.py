@@ -735,9 +735,10 @@ def _exports(m: DataFrame) -> DataFrame:
 
 
 def _read_exports(m: DataFrame) -> DataFrame:
+    """Exports written and read again, a conversation a line: a file for each would cost more than all that is in it."""
     root = f"{scratch(m.sparkSession)}/exports-{uuid.uuid4().hex[:12]}"
-    _exports(m).withColumn("platform", F.col("service")).drop("conv_id").repartition(8).write.option("maxRecordsPerFile", 1).partitionBy("platform").json(root)
-    return archives.read_conversations(m.sparkSession, root)
+    _exports(m).withColumn("platform", F.col("service")).drop("conv_id").write.partitionBy("platform").json(root)
+    return archives.read_conversations(m.sparkSession, root, lines=True)
 
 
 _query("a1_export_scan", "messages", "SELECT platform, conversation_id, count(*) AS n FROM messages GROUP BY ALL")(lambda m: _read_exports(m).select("platform", "conversation_id", F.size("messages").cast("long").alias("n")))

@@ -18,12 +18,12 @@ RESERVED = ("conversation_list.json", "api_health.json", "recheck.json")
 MAX_BYTES = 64 * 1024 * 1024
 
 
-def read_conversations(spark: SparkSession, root: str, platforms: list[str] | None = None, strict: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Conversations of an export tree root/platform/file.json. Broken files are left out, or fail if strict; reserved names and files beyond the bound are left out."""
-    rows = spark.read.schema(CONVERSATION + ("" if strict else ", _corrupt_record string")).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("pathGlobFilter", "*.json").json(f"{root}/*/")
+def read_conversations(spark: SparkSession, root: str, platforms: list[str] | None = None, strict: bool = False, max_bytes: int = MAX_BYTES, lines: bool = False) -> DataFrame:
+    """Conversations of an export tree root/platform/file.json. Broken files are left out, or fail if strict; reserved names and files beyond the bound are left out. lines: a file holds a conversation a line, as large archives do; a broken line is left out, and files have no bound, as they are read in parts."""
+    rows = spark.read.schema(CONVERSATION + ("" if strict else ", _corrupt_record string")).option("multiLine", not lines).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("pathGlobFilter", "*.json").json(f"{root}/*/")
     rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
     rows = rows.withColumn("name", F.element_at(F.split("file", "/"), -1)).withColumn("folder", F.element_at(F.split("file", "/"), -2))
-    rows = rows.where(~F.col("name").isin(*RESERVED) & (F.col("size") <= max_bytes) & F.col("messages").isNotNull())
+    rows = rows.where(~F.col("name").isin(*RESERVED) & (F.lit(lines) | (F.col("size") <= max_bytes)) & F.col("messages").isNotNull())
     if platforms:
         rows = rows.where(F.col("folder").isin(*platforms))
     return rows.withColumn("platform", F.coalesce("platform", "service", F.regexp_replace("folder", "^platform=", ""))).drop("service", "size", "folder", *([] if strict else ["_corrupt_record"]))
