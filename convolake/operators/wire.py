@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How a result is marked among the frames of a batch call; how a page pushes a fragment; how a message begins. Fixed values.
+#: How a result is marked among the frames of a batch call; how a page pushes a fragment (possessive, as a choice that is repeated takes stack for each letter of it); how a message begins. Fixed values.
 RESULT = "wrb.fr"
-PUSH = r"self\.__next_f\.push\(\[1,(\"(?:[^\"\\]|\\.)*\")\]\)"
+PUSH = r"self\.__next_f\.push\(\[1,(\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\")\]\)"
 MESSAGE_START = r'\{"role"\s*:\s*"(?:user|assistant)"'
 
 
@@ -38,7 +38,7 @@ def is_auth_error(c: Column) -> Column:
 
 def page_payload(c: Column) -> Column:
     """What a page's scripts push, fragment by fragment, as one text; fragments that can't be read are left out."""
-    parts = F.transform(F.regexp_extract_all(c, F.lit(PUSH), F.lit(1)), lambda x: F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), 0))
+    parts = F.transform(F.regexp_extract_all(c, F.lit(PUSH), F.lit(1)), lambda x: F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>", {"maxStringLen": str((1 << 31) - 1)}), 0))
     return F.array_join(F.filter(parts, lambda x: x.isNotNull()), "")
 
 

@@ -79,6 +79,29 @@ def test_wire(spark):
     assert [(r.page_id, r.object_id, json.loads(r.object).get("t")) for r in got] == [(1, "a", "}{"), (1, "b", None)]
 
 
+def test_long_fragments_of_pages(spark):
+    push = lambda c, n: F.concat(F.lit('self.__next_f.push([1,"'), F.repeat(c, n), F.lit('"])'))
+    said = ["a", '\\"', "\\\\", "\\u00e9", "ab\\n"]
+    for n in (2000, 200_000):
+        assert column(spark, said, lambda c: wire.page_payload(F.concat(push(c, n), push(c, 1)))) == [json.loads(f'"{x}"') * (n + 1) for x in said]
+    assert column(spark, ["abcdefgh\\n"], lambda c: F.length(wire.page_payload(push(c, 2_400_000)))) == [9 * 2_400_000]
+
+
+def test_fragments_of_odd_pages(spark):
+    def want(page):
+        parts = []
+        for found in re.finditer(r"self\.__next_f\.push\(\[1,(\"(?:[^\"\\]|\\.)*\")\]\)", page):
+            try:
+                parts.append(json.loads(found[1]))
+            except ValueError:
+                continue
+        return "".join(parts)
+
+    texts = odd_texts(8, ['self.__next_f.push([1,"', 'self.__next_f.push([1,"', '"])', '"])', '"', "\\", "\\\\", '\\"', "\\n", "\\u00e9", "é", "a", "\n", "\r", "\u2028", "😀", "])", "[1,7])"], 1000)
+    assert sum(map(bool, map(want, texts))) > 100
+    assert column(spark, texts, wire.page_payload) == list(map(want, texts))
+
+
 def test_lookups(spark):
     rows = spark.createDataFrame([("p", "abc1", "Été ﬁn", "z.json"), ("p", "abc1", "Été", "a.json"), ("p", "abc2", None, "b.json"), ("p", "ab", "x", "c.json"), ("q", "zz", "y", "d.json")], "platform string, conversation_id string, title string, file string")
     assert lookup.locate(rows, "p", "abc1").first().file == "a.json"
